@@ -1,0 +1,197 @@
+"""An adaptive range coder of token ids that mixes predictions of order 0, 1 and 2.
+
+Ids are coded in blocks; each block starts from the same empty model, so it can be read alone. The last id that
+followed the last two ids, and the last id, are the predictions of order 2 and 1. Whether one of them is right is coded
+with the sum of two adaptive histograms, under the confidence of the one and of the other. An id that neither predicts
+is coded by order 0, as three digits (of 6, 5 and 5 bits), each with an adaptive histogram under the digits before it.
+
+Many blocks are coded in step, one id of each at a time, so that the arithmetic is done on arrays.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+
+#: Ids in a block, and blocks that are coded in step, at most.
+BLOCK, LANES = 2048, 2048
+# the coder's interval is kept at 2^48 or wider, enough for an id's four choices of at most 2^11 each
+_TOP, _BOT, _BYTE = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(8)
+_LIMIT = 1900
+_ONE, _TWO = 1 << 9, 1 << 11
+#: (bits, contexts) of the digits
+_DIGITS = ((6, 1), (5, 64), (5, 256))
+_HEAD = struct.Struct("<4sIII")
+_MAGIC = b"IDS1"
+
+
+class _Lanes:
+    """The models of all blocks that are coded in step, and their coders' states. Subclasses write or read.
+
+    Tables are flat: each lane has a stretch of them. A prediction is an id and, from bit 16 on, its confidence.
+    """
+
+    def __init__(self, n: int):
+        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.one, self.two = np.zeros(n * _ONE, np.int32), np.zeros(n * _TWO, np.int32)
+        self.by1, self.by2 = (np.tile(np.array([2, 1, 4], np.int32), (n * 4, 1)) for _ in range(2))
+        self.digits = [np.ones((n * k, 1 << b), np.uint16) for b, k in _DIGITS]
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.all = np.arange(n)
+
+    def narrow(self, lane, r, cum, size):
+        self.low[lane] += cum.astype(np.uint64) * r
+        self.width[lane] = r * size.astype(np.uint64)
+
+    def settle(self, k: int):
+        """Moves out the bytes of the first k lanes that no later choice changes."""
+        low, width = self.low[:k], self.width[:k]
+        while True:
+            same = (low ^ (low + width)) < _TOP
+            w = np.flatnonzero(same | (width < _BOT))
+            if not len(w):
+                return
+            t = w[~same[w]]
+            width[t] = (np.uint64(0) - low[t]) & (_BOT - np.uint64(1))
+            self.byte(w)
+            low[w] <<= _BYTE
+            width[w] <<= _BYTE
+
+    def step(self, k: int, ids):
+        """Codes the next id of the first k lanes; ``ids`` is None to read them. Returns the ids."""
+        lane, last = self.all[:k], self.last[:k]
+        i1 = ((last * 40503 >> 4) & (_ONE - 1)) + lane * _ONE
+        i2 = ((last * 40503 + self.before[:k] * 60493 >> 3) & (_TWO - 1)) + lane * _TWO
+        e1, e2 = self.one.take(i1), self.two.take(i2)
+        p1, p2, s1, s2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
+        h1, h2 = s1 + lane * 4, s2 + lane * 4
+        freq = self.by1.take(h1, 0) + self.by2.take(h2, 0)
+        f0, f1, f2 = freq.T
+        f1 = np.where(p1 == p2, 0, f1)
+        c1 = f0 + f1
+        r = self.width[:k] // (c1 + f2).astype(np.uint64)
+        if ids is None:
+            value = (self.code[:k] - self.low[:k]) // r
+            kind = (value >= f0).astype(np.int64) + (value >= c1)
+        else:
+            kind = np.where(ids == p2, 0, np.where(ids == p1, 1, 2))
+        self.narrow(slice(0, k), r, np.where(kind == 0, 0, np.where(kind == 1, f0, c1)), np.where(kind == 0, f0, np.where(kind == 1, f1, f2)))
+        for table, at in ((self.by1, h1), (self.by2, h2)):
+            flat = table.reshape(-1)
+            x = at * 3 + kind
+            flat[x] += 12
+            full = np.flatnonzero(flat.take(x) > 600)
+            if len(full):
+                table[at[full]] = (table[at[full]] + 1) >> 1
+        out = np.where(kind == 0, p2, p1).astype(np.int64)
+        w = np.flatnonzero(kind == 2)
+        if len(w):
+            out[w] = self.number(w, None if ids is None else ids[w])
+        self.settle(k)
+        for table, at, p, s in ((self.one, i1, p1, s1), (self.two, i2, p2, s2)):
+            right = p == out
+            sure = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
+            table[at] = np.where(right | (s > 0), p, out) | sure << 16
+        self.before[:k] = last
+        self.last[:k] = out
+        return out
+
+    def number(self, lane, ids):
+        """Codes the ids of these lanes by order 0."""
+        done, shift = np.zeros(len(lane), np.int64), 16
+        row = np.arange(len(lane))
+        low, width = self.low[lane], self.width[lane]
+        for (bits, contexts), table in zip(_DIGITS, self.digits):
+            shift -= bits
+            under = lane * contexts + (done if contexts >= 64 and shift > 0 else (done * 2654435761 >> 11) & (contexts - 1))
+            freq = table.take(under, 0)
+            cum = np.cumsum(freq, axis=1, dtype=np.int32)
+            total = cum[:, -1]
+            r = width // total.astype(np.uint64)
+            if ids is None:
+                value = ((self.code[lane] - low) // r).astype(np.int32)
+                digit = (cum <= value[:, None]).sum(axis=1)
+            else:
+                digit = ids >> shift & ((1 << bits) - 1)
+            size = freq[row, digit]
+            low += (cum[row, digit] - size).astype(np.uint64) * r
+            width = r * size.astype(np.uint64)
+            table.reshape(-1)[(under << bits) + digit] += 16
+            full = np.flatnonzero(total > _LIMIT)
+            if len(full):
+                table[under[full]] = (table[under[full]] + 1) >> 1
+            done = done << bits | digit
+        self.low[lane], self.width[lane] = low, width
+        return done
+
+
+class _Write(_Lanes):
+    def __init__(self, n: int, most: int):
+        super().__init__(n)
+        self.out, self.at = np.zeros((n, 6 * most + 16), np.uint8), np.zeros(n, np.int64)
+
+    def byte(self, lane):
+        self.out[lane, self.at[lane]] = self.low[lane] >> np.uint64(56)
+        self.at[lane] += 1
+
+
+class _Read(_Lanes):
+    def __init__(self, codes: list[bytes]):
+        super().__init__(len(codes))
+        most = max(map(len, codes)) + 16
+        self.data = np.frombuffer(b"".join(c.ljust(most, b"\0") for c in codes), np.uint8).reshape(len(codes), most)
+        self.at = np.full(len(codes), 8)
+        self.code = np.ascontiguousarray(self.data[:, :8]).view(">u8").ravel().astype(np.uint64)
+
+    def byte(self, lane):
+        at = np.minimum(self.at[lane], self.data.shape[1] - 1)
+        self.code[lane] = self.code[lane] << _BYTE | self.data[lane, at]
+        self.at[lane] += 1
+
+
+def encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """Each block (ids below 65536) as bytes: a head with its lengths and checksum, then its code."""
+    if not blocks:
+        return []
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))  # so that the lanes at work are the first ones
+    most = len(blocks[order[0]])
+    ids = np.zeros((most, len(blocks)), np.int64)
+    for row, i in enumerate(order):
+        ids[: len(blocks[i]), row] = blocks[i]
+    if ids.size and (ids.max() > 0xFFFF or ids.min() < 0):
+        raise ValueError("an id has more than 16 bits")
+    size = np.array([len(blocks[i]) for i in order])
+    lanes = _Write(len(blocks), most)
+    for t in range(most):
+        k = int((size > t).sum())
+        lanes.step(k, ids[t, :k])
+    out = [b""] * len(blocks)
+    for row, i in enumerate(order):
+        code = lanes.out[row, : lanes.at[row]].tobytes() + int(lanes.low[row]).to_bytes(8, "big")
+        out[i] = _HEAD.pack(_MAGIC, len(blocks[i]), len(code), zlib.crc32(code)) + code
+    return out
+
+
+def decode(coded: list[bytes]) -> list[np.ndarray]:
+    """The ids of each block; a block that isn't whole is an error."""
+    if not coded:
+        return []
+    heads = [_HEAD.unpack_from(c) for c in coded]
+    codes = [c[_HEAD.size :] for c in coded]
+    for (magic, _, n, crc), code in zip(heads, codes):
+        if magic != _MAGIC or len(code) != n or zlib.crc32(code) != crc:
+            raise ValueError("a block is damaged")
+    size = np.array([h[1] for h in heads])
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    lanes = _Read([codes[i] for i in order])
+    ids = np.zeros((int(size.max(initial=0)), len(coded)), np.int64)
+    for t in range(len(ids)):
+        k = int((size > t).sum())
+        ids[t, :k] = lanes.step(k, None)
+    out: list = [None] * len(coded)
+    for row, i in enumerate(order.tolist()):
+        out[i] = np.ascontiguousarray(ids[: size[row], row])
+    return out

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, mixing, simhash, urls
-from tidelake.llm.common import table
+from tidelake.llm import decontaminate, mixing, simhash, token_files, tokens, urls
+from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def register(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -91,3 +99,16 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1], most=3)
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@register("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tables/{uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end=1)
+    return token_files.read(spark, path)
