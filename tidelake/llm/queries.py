@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, mixing, simhash, token_files, tokens, urls
+from tidelake.llm import decontaminate, lm, mixing, simhash, token_files, tokens, urls
 from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end=1)
     return token_files.read(spark, path)
+
+
+@register("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
