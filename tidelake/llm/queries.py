@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, lm, mixing, simhash, token_files, tokens, urls
+from tidelake.llm import decontaminate, lm, mixing, quality, simhash, token_files, tokens, urls
 from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_lm_scoring")
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        F.col("__content").alias("content_score"),
+        F.col("__metadata").alias("metadata_score"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).alias("accepted"),
+    )
