@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, lm, mixing, quality, simhash, token_files, tokens, urls
+from tidelake.llm import ann, decontaminate, lm, mixing, quality, simhash, token_files, tokens, urls
 from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__score").alias("score"),
         (F.col("__score") >= 0.5).alias("accepted"),
     )
+
+
+@register("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
