@@ -1,12 +1,62 @@
-"""The corpus pipeline: quality, near-duplicates, contamination, mixing, token files."""
+"""The corpus pipeline: five stages that turn the documents into token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder
+and gives it, read again, to the next stage. All but the last return the columns of the documents.
+
+1. quality: documents that the co-trained classifier scores below one half go.
+2. near_duplicates: of each component of SimHash links one document stays, that with the smallest id. Shingles have
+   five words. Fingerprints link at RADIUS differing bits or fewer: every pair of documents within it is found. Texts
+   that share four fifths of their shingles differ in nine bits on average, so the radius finds the nearer ones of them
+   (README.md has the shares measured).
+3. decontamination: documents that hold ten consecutive words of a benchmark item go.
+4. mixing: sources are mixed by weights 5, 2 and 1; a document comes as often as the mix takes it, or not at all.
+5. token_files: the documents' ids, coded in files in ascending order of doc_id, and read again: one row a document.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelake.llm import decontaminate, mixing, quality, simhash, token_files
+from tidelake.llm.common import shared_dir, table, written
+from tidelake.llm.queries import tokenizer
+
+RADIUS = 6
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, words=5, radius=RADIUS)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs, weights=[5, 2, 1], most=3)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tables/{uuid4().hex}"
+    token_files.write(docs, path, tokenizer("word_bpe_49k.json"), end=1)
+    return token_files.read(spark, path)
+
+
+STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("mixing", weighted), ("token_files", tokenized)]
+
+#: A classifier's verdicts can't be told in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to the documents."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents, one after another."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
