@@ -45,17 +45,20 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp: long) for every row of ``docs``; null and empty texts get fingerprint zero."""
+    """(doc_id, row, fp: long) for every row of ``docs``; null and empty texts get fingerprint zero.
+
+    row numbers the rows; another read of the same ``docs`` numbers them alike.
+    """
 
     def each(batches):
         import pyarrow as pa
 
-        for part in chunks(batches):
-            fps = [fingerprint(b, words) for b in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        for part in chunks(batches, 2):
+            fps = [fingerprint(b, words) for b in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_bytes().alias("text")).mapInArrow(each, f"doc_id {kind}, row long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -127,6 +130,13 @@ def links(fps: DataFrame, radius: int, bucket_most: int = BUCKET_MOST) -> DataFr
     return pairs.union(_forests(lists, radius)).union(_stars(many, radius)).distinct()
 
 
+def _labelled(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, label) for the distinct fingerprints of ``own``: those of one component have one label."""
+    fps = own.select("fp").distinct()
+    found = components(links(fps, radius)).withColumnRenamed("node", "fp")
+    return fps.join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -135,19 +145,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
     no row in it has an id. Rows that repeat stay; an empty table gives none; other columns are ignored.
     """
     own = written(fingerprints(docs, words))
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(least.select("fp"), radius))
-    labelled = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    whole = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(whole, "label").select("fp", "component_id")
+    labels = _labelled(own, radius)
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels, "fp")
+    whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
+    ids = labels.join(whole, "label").select("fp", "component_id")
     return own.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; of rows that repeat an id, one stays.
-
-    Rows with a null doc_id stay if no row of their component has an id (repeats of one text then all stay).
-    """
-    ids = near_duplicates(docs, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component: that with the smallest doc_id, null ids last, then the first such row."""
+    own = written(fingerprints(docs, words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
+    each = own.groupBy("fp").agg(first.alias("first")).join(_labelled(own, radius), "fp")
+    kept = each.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
