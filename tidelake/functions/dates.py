@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Layouts of datetime parameters (fixed values).
-DATETIME_LAYOUTS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y%m%d %H:%M:%S", "%Y%m%d%H%M%S", "%Y-%m-%d", "%Y%m%d")
+DATETIME_LAYOUTS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y%m%d %H:%M:%S", "%Y%m%d %H:%M", "%Y%m%d%H%M%S", "%Y-%m-%d", "%Y%m%d")
 DATE_LAYOUTS = ("%Y%m%d", "%Y-%m-%d", "%Y/%m/%d")
 
 
@@ -64,7 +64,7 @@ def parse_timestamp_value(raw: Column) -> Column:
         .when(F.length(digits) == 14, ntz(digits, "yyyyMMddHHmmss"))
         .otherwise(F.timestamp_seconds(n).cast("timestamp_ntz"))
     )
-    text = F.coalesce(*[ntz(s, layout) for layout in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")])
+    text = F.coalesce(*[ntz(s, layout) for layout in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")])
     return F.when(n.isNotNull(), number).otherwise(F.when(s != "", text))
 
 
