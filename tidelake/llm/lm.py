@@ -53,8 +53,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words = text.lower().split()
                 if held:
-                    for w in set(words) - seen.keys():
-                        seen[w] = 0
+                    for w in set(words):
+                        if w not in seen:
+                            seen[w] = 0
                 else:
                     seen.update(words)
             if len(seen) > _FLUSH:
