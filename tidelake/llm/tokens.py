@@ -107,7 +107,7 @@ class Encoder:
         """Encodes the pieces that the memo hasn't; only short ones stay in it for later texts."""
         if len(self.memo) > MEMO_MOST:
             self.memo.clear()
-        new = list(set().union(*map(set, pieces)) - self.memo.keys()) if pieces else []
+        new = [p for p in set().union(*map(set, pieces)) if p not in self.memo]
         short = [p for p in new if len(p) <= CHUNK]
         for a in range(0, len(short), 4096):
             part = short[a : a + 4096]
@@ -143,8 +143,9 @@ class Encoder:
         sizes = self.sizes = getattr(self, "sizes", {})
         if len(sizes) > MEMO_MOST:
             sizes.clear()
-        for p in set().union(*map(set, pieces)) - sizes.keys() if pieces else ():
-            sizes[p] = len(self.memo[p])
+        for p in set().union(*map(set, pieces)):
+            if p not in sizes:
+                sizes[p] = len(self.memo[p])
         get = sizes.__getitem__
         out = [sum(map(get, p)) for p in pieces]
         for p in self.long:
