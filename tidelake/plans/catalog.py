@@ -506,12 +506,12 @@ def benchmark_metrics(spark, d):
 @register(
     "fees_slippage",
     """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 100 AS amount, l_extendedprice / l_quantity AS price, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side FROM lineitem)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(price * (1 + side * 0.001) + 1e-7, 4) AS fill, round(greatest(amount * price * 0.0003, 5) + amount * price * 0.0000487 + CASE WHEN side < 0 THEN amount * price * 0.001 ELSE 0 END + 1e-7, 4) AS fees FROM f""",
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(price * (1 + side * 0.001) + 1e-7, 4) AS fill, round(greatest(amount * price * 0.0003, 5) + amount * price * 0.0000487 + CASE WHEN side < 0 THEN amount * price * 0.001 ELSE 0 END + 1e-7, 3) AS fees FROM f""",
 )
 def fees_slippage(spark, d):
     side = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     price, amount = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity") * 100
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(market.execution_price(price, side, 0.002) + 1e-7, 4).alias("fill"), F.round(market.fees(amount * price, side < 0) + 1e-7, 4).alias("fees"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(market.execution_price(price, side, 0.002) + 1e-7, 4).alias("fill"), F.round(market.fees(amount * price, side < 0) + 1e-7, 3).alias("fees"))
 
 
 @register(
