@@ -61,3 +61,17 @@ def chunks(batches, text: int = 1, limit: int = CHUNK_BYTES):
 def text_bytes(name: str = "text") -> Column:
     """A text's UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """Rows that every read gives in the same order and partitions, as numbering them needs.
+
+    Tables that are merely read, projected and filtered are so; anything else is written first.
+    """
+    todo, names = [df._jdf.queryExecution().optimizedPlan()], set()
+    while todo:
+        node = todo.pop()
+        names.add(node.nodeName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df if names <= {"Project", "Filter", "LogicalRelation"} and "LogicalRelation" in names else written(df)

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, decontaminate, lm, mixing, quality, simhash, token_files, tokens, urls
+from tidelake.llm import ann, decontaminate, lm, mixing, quality, repeats, simhash, token_files, tokens, urls
 from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_nearest_neighbours")
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
+
+
+@register("op3_repeated_passages")
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=400)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))

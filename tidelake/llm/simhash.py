@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, text_bytes, written
+from tidelake.llm.common import chunks, steady, text_bytes, written
 from tidelake.llm.components import components
 
 BITS = 64
@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id, null ids last, then the first such row."""
+    docs = steady(docs)
     own = written(fingerprints(docs, words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     each = own.groupBy("fp").agg(first.alias("first")).join(_labelled(own, radius), "fp")
