@@ -98,6 +98,6 @@ def mixed(docs: DataFrame, weights: list[float] = (5, 2, 1), most: float = 3) ->
     """The rows of ``docs`` as often as the mix takes them, with their own columns."""
     sized = docs.withColumns({"__size": n_words(), "__hash": document_hash()})
     slim = written(sized.select("doc_id", "source", F.col("__size").alias("size"), F.col("__hash").alias("hash")))
-    often = copies(slim, list(weights), most).select(F.col("hash").alias("__h"), F.col("source").alias("__s"), "copies").distinct()
-    found = sized.join(often, (F.col("__hash") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))).where("copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    often = copies(slim, list(weights), most).select(F.col("hash").alias("__h"), F.col("source").alias("__s"), F.col("copies").alias("__copies")).distinct()
+    found = sized.join(often, (F.col("__hash") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))).where("__copies > 0")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
