@@ -107,11 +107,11 @@ class _Lanes:
             shift -= bits
             under = lane * contexts + (done if contexts >= 64 and shift > 0 else (done * 2654435761 >> 11) & (contexts - 1))
             freq = table.take(under, 0)
-            cum = np.cumsum(freq, axis=1, dtype=np.int32)
-            total = cum[:, -1]
+            cum = np.add.accumulate(freq, axis=1)  # 16 bits hold the totals
+            total = cum[:, -1].astype(np.int64)
             r = width // total.astype(np.uint64)
             if ids is None:
-                value = ((self.code[lane] - low) // r).astype(np.int32)
+                value = ((self.code[lane] - low) // r).astype(np.uint16)
                 digit = (cum <= value[:, None]).sum(axis=1)
             else:
                 digit = ids >> shift & ((1 << bits) - 1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import chunks, text_bytes
 
 #: A text of more characters is encoded in chunks of this many, with an overlap that doubles until a splice is found.
-CHUNK, OVERLAP, AGREE = 1 << 15, 1 << 9, 8
+CHUNK, OVERLAP, AGREE = 1 << 16, 1 << 9, 8
 #: Pieces that a worker remembers at most, and the longest of them in bytes.
 MEMO_MOST, MEMO_BYTES = 600_000, 64
 
