@@ -330,7 +330,8 @@ def run_many(jobs: DataFrame, bars: DataFrame, strategies: dict[str, Callable])
                 out.loc[out.index[-1], ["trades", "orders", "logs"]] = [json.dumps(x) for x in (done.trades, done.orders, done.logs)]
         except Exception as e:  # noqa: BLE001  a strategy may raise anything; other runs go on
             out = pd.DataFrame([{"run_id": key[0], "error": f"{type(e).__name__}: {e}"}])
-        return out.reindex(columns=[c.split()[0] for c in NAV.split(", ")])
+        # plain objects, whatever text type pandas prefers
+        return out.reindex(columns=[c.split()[0] for c in NAV.split(", ")]).astype({c.split()[0]: object for c in NAV.split(", ") if c.endswith(" string")})
 
     return data.groupBy("run_id").applyInPandas(one, NAV)
 

@@ -140,7 +140,7 @@ def date_parsing(spark, d):
 )
 def timestamp_parsing(spark, d):
     t, k = F.col("ts"), F.col("event_id") % 3
-    text = F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(t, "yyyyMMddHHmmss")).otherwise(F.unix_timestamp(t.cast("timestamp")).cast("string"))
+    text = F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(t, "yyyyMMddHHmmss")).otherwise(F.unix_timestamp(t.cast("timestamp_ltz")).cast("string"))
     return table(spark, d, "events").select("event_id", dates.parse_timestamp_value(text).alias("parsed"))
 
 

@@ -108,10 +108,14 @@ class Lake:
         return out
 
     def write(self, dataset: str, rows: DataFrame, mode: str = "append", operation: str = "import", source: str = "", notes: str = "") -> dict:
-        """Writes rows sorted by the dataset's key, within files of one partition; ``replace`` replaces the partitions that the rows have."""
+        """Writes rows sorted by the dataset's key, within files of one partition; ``replace`` replaces the partitions that the rows have.
+
+        The ledger gets the rows that the dataset gained, so that its sum is what the files hold.
+        """
         d = self.registry[dataset]
         out = self.partitioned(dataset, rows)
-        before = {f for f, _ in self.files(dataset)} if mode == "append" else set()
+        before = {f for f, _ in self.files(dataset)}
+        replaced = self.read(dataset).count() if mode != "append" else 0
         # large partitions take several tasks: rows of a partition are dealt by its first key, too
         keys = [*d.partitions, *[k for k in d.sorted_by[:1] if d.partitions]]
         if keys:
@@ -123,10 +127,10 @@ class Lake:
             writer = writer.partitionBy(*d.partitions).option("partitionOverwriteMode", "dynamic")
         writer.parquet(self.path(dataset))
         new = [f for f, _ in self.files(dataset) if f not in before]
-        if mode != "append":
-            self.spark.catalog.refreshByPath(self.path(dataset))
-        written = self.spark.read.schema(d.schema(False)).parquet(*new).count() if new else 0
-        return self.log(dataset, operation, written, new, source, notes)
+        if mode == "append":
+            return self.log(dataset, operation, self.spark.read.schema(d.schema(False)).parquet(*new).count() if new else 0, new, source, notes)
+        self.spark.catalog.refreshByPath(self.path(dataset))
+        return self.log(dataset, operation, self.read(dataset).count() - replaced, new, source, notes)
 
     def rewrite(self, dataset: str, rows: DataFrame, operation: str, notes: str = "") -> dict:
         """Replaces partitions by rows that were read from them: the new files are whole before the old ones go."""
@@ -213,23 +217,22 @@ class Lake:
             report = todo.collect()  # one row a partition
             if report:
                 part = rows.join(F.broadcast(todo.select(*d.partitions)), list(d.partitions), "left_semi") if d.partitions else rows
-                self.rewrite(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "dedupe-write", "rows of the partitions after removal")
-                # the rewrite logged what it wrote; take out what it replaced
-                self.log(dataset, "dedupe", -sum(r["rows"] for r in report), notes=f"{sum(r.duplicates for r in report)} repeated rows removed")
+                self.rewrite(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "dedupe", f"{sum(r.duplicates for r in report)} repeated rows removed")
             return self.spark.createDataFrame(report, found.schema)
         return found
 
     def build_cross(self, years: list[str] | None = None) -> dict:
         """Materialises the daily cross-section: its columns of the daily bars, sorted by date, whole years replaced."""
         some = {"year": years} if years else None
+        replaced = self.read("daily_cross").count()
         rows = self.scan("bars_daily", columns=self.registry["daily_cross"].names, partitions=some)
         d = self.registry["daily_cross"]
         out = self.partitioned("daily_cross", rows).repartitionByRange("year", "trade_date").sortWithinPartitions("year", *d.sorted_by)
         out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(self.path("daily_cross"))
         done = years or sorted(self.partition_values("daily_cross", "year"))
         files = [f for f, _ in self.files("daily_cross") if any(f"year={y}/" in f for y in done)]
-        n = self.scan("daily_cross", partitions={"year": done}).count()
-        return self.log("daily_cross", "materialize", n, files, "bars_daily")
+        self.spark.catalog.refreshByPath(self.path("daily_cross"))
+        return self.log("daily_cross", "materialize", self.read("daily_cross").count() - replaced, files, "bars_daily")
 
 
 def reconciled_partitions(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minut
     """OHLC bars of fixed windows, given out once the watermark has passed a window's end."""
     order = F.struct(at)
     return (
-        ticks.withColumn(at, F.col(at).cast("timestamp"))
+        ticks.withColumn(at, F.col(at).cast("timestamp_ltz"))
         .withWatermark(at, late)
         .groupBy(F.window(at, width).alias("w"), key)
         .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").alias("vol"), F.sum(price).alias("amount"))
@@ -22,7 +22,7 @@ def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minut
 
 def without_repeats(rows: DataFrame, key: list[str], at: str, late: str = "10 minutes") -> DataFrame:
     """The first row of each key within the watermark's delay."""
-    return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(key)
+    return rows.withColumn(at, F.col(at).cast("timestamp_ltz")).withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
 def into_lake(rows: DataFrame, lake, dataset: str, checkpoint: str):
