@@ -26,7 +26,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_its_sql(name, spark, sf_dir, duck):
     got = catalog.QUERIES[name](spark, sf_dir)
     want = duck.sql(catalog.ORACLE[name])
@@ -35,3 +35,11 @@ def test_query_equals_its_sql(name, spark, sf_dir, duck):
     at = [want.columns.index(c) for c in columns]
     rows = sorted(str([plain(r[c]) for c in columns]) for r in got.collect())
     assert rows == sorted(str([plain(r[i]) for i in at]) for r in want.fetchall())
+
+
+def test_backtests_run(spark, sf_dir):
+    runs = catalog.QUERIES["backtest_runs"](spark, sf_dir).collect()
+    assert {r.run_id for r in runs} == {"averages-2-5", "averages-3-8", "rotation-3", "limits-98"} and all(r.error is None and r.value > 0 for r in runs)
+    trades = catalog.QUERIES["backtest_trades"](spark, sf_dir).collect()
+    assert {t.side for t in trades} == {"buy", "sell"} and all(t.amount % 100 == 0 for t in trades)
+    assert catalog.QUERIES["backtest_metrics"](spark, sf_dir).count() == 4 and catalog.QUERIES["fifo_lot_stats"](spark, sf_dir).count() >= 1

@@ -551,3 +551,45 @@ def mark_to_market(spark, d):
     held = table(spark, d, "events").select(F.col("user_id").alias("security")).distinct().withColumns({"amount": (F.col("security") % 7 + 1) * 100, "last_price": F.lit(50.0)})
     bars = e_panel(spark, d).where(F.col("trade_date") == F.lit(date(2024, 1, 12))).select(F.col("ts_code").alias("security"), "close")
     return held.join(bars, "security", "left").select("security", F.round(F.col("amount") * F.coalesce("close", "last_price"), 4).alias("value"))
+
+
+# backtests: sequential, so SQL can't tell them; tests compare them with single runs
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    import json
+
+    from tidelake.plans import backtest, strategies
+
+    day = Window.partitionBy("trade_date").orderBy("amount", "ts_code")
+    bars = e_panel(spark, d).withColumn("amount_rank", F.row_number().over(day).cast("double")).select(
+        F.format_string("%06d.SH", "ts_code").alias("ts_code"), dates.format_date_iso(F.col("trade_date")).alias("time"), "open", "high", "low", "close", (F.col("vol") * 10000).alias("volume"), "amount", "amount_rank"
+    )
+    some = [f"{k:06d}.SH" for k in range(1, 13)]
+    jobs = [("averages-2-5", "averages", {"fast": 2, "slow": 5}, some), ("averages-3-8", "averages", {"fast": 3, "slow": 8}, some), ("rotation-3", "rotation", {"n": 3}, None), ("limits-98", "limits", {"below": 0.98}, some)]
+    table_ = spark.createDataFrame([(i, s, json.dumps(p), "2024-01-01", "2024-12-31", 1_000_000.0, u) for i, s, p, u in jobs], "run_id string, strategy string, params string, start string, end string, capital double, universe array<string>")
+    return backtest.run_many(table_, bars, strategies.ALL)
+
+
+@register("backtest_runs")
+def backtest_runs(spark, d):
+    return _runs(spark, d).select("run_id", "time", F.round("value", 4).alias("value"), F.round("cash", 4).alias("cash"), "error")
+
+
+@register("backtest_trades")
+def backtest_trades(spark, d):
+    from tidelake.plans.backtest import trades_of
+
+    return trades_of(_runs(spark, d))
+
+
+@register("backtest_metrics")
+def backtest_metrics(spark, d):
+    return analytics.metrics(_runs(spark, d).where("value is not null"), at="time")
+
+
+@register("fifo_lot_stats")
+def fifo_lot_stats(spark, d):
+    from tidelake.plans.backtest import trades_of
+
+    return analytics.fifo(trades_of(_runs(spark, d)))
