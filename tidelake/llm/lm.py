@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
     they come, an empty table gives no rows, and other columns are ignored.
 
     Each worker holds the most frequent words, a fixed number. What remains of a document goes, as hashes with counts,
-    through a join with the table of all words; a word that isn't held has at most 1 / HOT of all tokens.
+    through a join with the table of all words; a word that isn't held is about as rare as the HOT-th most frequent one.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -234,7 +234,15 @@ def score(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.int64()), part.column(1), pa.array(lp, pa.float64())], ["word", "h", "c", "lp"])
 
     table = written(words.mapInArrow(valued, "word binary, h long, c long, lp double"))
-    top = table.where((F.col("c") > 0) & (F.octet_length("word") <= HOT_BYTES)).select("word", "c", "lp").orderBy(F.desc("c"), "word").limit(HOT).collect()
+    # the most frequent words, as many as a histogram of logarithmic counts allows: no task sends more than it must
+    level = F.floor(F.log2("c") * 16)
+    usual = table.where((F.col("c") > 0) & (F.octet_length("word") <= HOT_BYTES))
+    most, room = math.inf, HOT
+    for r in sorted(usual.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r.n > room:
+            break
+        most, room = r.level, room - r.n
+    top = usual.where(level >= most).select("word", "c", "lp").collect() if most < math.inf else []
     hot = sc.broadcast(({bytes(r.word): i for i, r in enumerate(top)}, [math.log10((r.c + 0.5) / below) for r in top], [r.lp for r in top]))
     end_base, end_score = math.log10((ends + 0.5) / below), math.log10(end or 0.5)
     del top
