@@ -40,12 +40,13 @@ def test_fingerprints_and_components_are_those_of_all_pairs(documents, texts):
     assert {r.doc_id: r.component_id for r in rows} == classes(want, 4)
 
 
-@pytest.mark.parametrize("radius", [1, 3, 4])
+@pytest.mark.parametrize("radius", [1, 3, 4, 6])
 def test_masks_cover_every_pair_within_the_radius(radius):
-    rng = random.Random(radius)
+    rng, kept = random.Random(radius), [m & (2**64 - 1) for m in simhash.masks(radius)]
     for _ in range(300):
         bits = sum(1 << b for b in rng.sample(range(64), radius))
-        assert any(m & bits == 0 for m in (m & (2**64 - 1) for m in simhash.masks(radius)))
+        assert any(m & bits == 0 for m in kept)
+    assert min(m.bit_count() for m in kept) >= 20
 
 
 @pytest.mark.parametrize("radius", [3, 4])

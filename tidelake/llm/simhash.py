@@ -9,6 +9,7 @@ their vectors, so that table keeps none of these bits and the pair collides ther
 from __future__ import annotations
 
 from itertools import combinations
+from random import Random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,9 +63,21 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
 
 def masks(radius: int) -> list[int]:
-    """The bits that each table keeps, as signed longs."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(BITS)]
-    kept = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+    """The bits that each table keeps, as signed longs.
+
+    All vectors come in turn where there are no more of them than bits. Else they are drawn, and of some draws the one is
+    taken whose poorest table keeps most bits; tables that keep few bits would have large buckets.
+    """
+    every = range(1, 2 ** (radius + 1))
+
+    def tables(vectors):
+        return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in every]
+
+    if len(every) <= BITS:
+        kept = tables([i % len(every) + 1 for i in range(BITS)])
+    else:
+        draws = (tables(Random(seed).sample(every, BITS)) for seed in range(64))
+        kept = max(draws, key=lambda t: min(m.bit_count() for m in t))
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in kept]
 
 
