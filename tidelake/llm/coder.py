@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 
 #: Ids in a block, and blocks that are coded in step, at most.
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 2048, 1024
 # the coder's interval is kept at 2^48 or wider, enough for an id's four choices of at most 2^11 each
 _TOP, _BOT, _BYTE = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(8)
 _LIMIT = 1900

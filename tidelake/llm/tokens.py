@@ -19,7 +19,7 @@ from tidelake.llm.common import chunks, text_bytes
 #: A text of more characters is encoded in chunks of this many, with an overlap that doubles until a splice is found.
 CHUNK, OVERLAP, AGREE = 1 << 16, 1 << 9, 8
 #: Pieces that a worker remembers at most, and the longest of them in bytes.
-MEMO_MOST, MEMO_BYTES = 600_000, 64
+MEMO_MOST, MEMO_BYTES = 250_000, 64
 
 _PIECE = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # white space outside ASCII, or that Python and the tokenizers' patterns tell apart: such texts are encoded whole
