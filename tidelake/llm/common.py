@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -63,15 +64,37 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))
 
 
-def steady(df: DataFrame) -> DataFrame:
-    """Rows that every read gives in the same order and partitions, as numbering them needs.
-
-    Tables that are merely read, projected and filtered are so; anything else is written first.
-    """
-    todo, names = [df._jdf.queryExecution().optimizedPlan()], set()
+def _files(df: DataFrame) -> list[str] | None:
+    """The Parquet files of a table that is merely read, projected and filtered; None for anything else."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo, relations = [plan], []
     while todo:
         node = todo.pop()
-        names.add(node.nodeName())
+        if node.nodeName() == "LogicalRelation":
+            relations.append(node.relation())
+        elif node.nodeName() not in ("Project", "Filter"):
+            return None
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
-    return df if names <= {"Project", "Filter", "LogicalRelation"} and "LogicalRelation" in names else written(df)
+    if len(relations) != 1 or "_metadata" in df.columns or not plan.deterministic():
+        return None
+    if relations[0].getClass().getSimpleName() != "HadoopFsRelation" or relations[0].fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    files = list(relations[0].location().inputFiles())
+    return files if len(files) == len(set(files)) else None
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a number for each row, the same one in every read, however files are split and whichever executors live.
+
+    Rows of Parquet files that are merely read, projected and filtered have the file's number and their place in it;
+    any others are written with their numbers first.
+    """
+    files = _files(df)
+    if files is None:
+        return written(df.withColumn(name, F.monotonically_increasing_id()))
+    # Hadoop writes file:/ where the listing has file:///
+    known = df.sparkSession.createDataFrame([(re.sub("^([^:/]+):/+", r"\1:/", f), n << 40) for n, f in enumerate(sorted(files))], "__file string, __base long")
+    own = df.select("*", F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    base = F.coalesce("__base", F.raise_error(F.concat(F.lit("a file that wasn't listed: "), "__file")).cast("long"))
+    return own.join(F.broadcast(known), "__file", "left").withColumn(name, base + F.col("__at")).drop("__file", "__at", "__base")

@@ -21,7 +21,7 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, steady, text_bytes, written
+from tidelake.llm.common import chunks, numbered, text_bytes, written
 
 #: Words that all workers hold: the most frequent ones of at most HOT_BYTES bytes.
 HOT, HOT_BYTES = 200_000, 64
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
     spark = docs.sparkSession
     sc = spark.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = steady(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), text_bytes().alias("text"))
+    source = numbered(docs.select("doc_id", "text")).select("row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), text_bytes().alias("text"))
     words = written(word_counts(source))
     t = words.agg(F.sum("c").alias("n"), *[F.count_if(x).alias(k) for k, x in (("v", F.col("c") > 0), ("n1", F.col("c") == 1), ("n2", F.col("c") == 2))]).first()
     ends = source.where("not held_out").count()

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, removed, steady, text_bytes, written
+from tidelake.llm.common import chunks, numbered, removed, text_bytes, written
 
 GRAM, DENSITY = 16, 64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     lose their bytes. Repeated rows are texts of their own; an empty table gives none; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = steady(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("text"), "doc_id")
+    source = numbered(docs.select("doc_id", "text")).select("row", text_bytes().alias("text"), "doc_id")
     facts = written(_facts(source, kind, width))
     keys = _keys(source, width)
     twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")

@@ -14,7 +14,7 @@ from random import Random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, steady, text_bytes, written
+from tidelake.llm.common import chunks, numbered, text_bytes, written
 from tidelake.llm.components import components
 
 BITS = 64
@@ -45,10 +45,10 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, row=None) -> DataFrame:
     """(doc_id, row, fp: long) for every row of ``docs``; null and empty texts get fingerprint zero.
 
-    row numbers the rows; another read of the same ``docs`` numbers them alike.
+    row is the column given, null without one.
     """
 
     def each(batches):
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], ["doc_id", "row", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_bytes().alias("text")).mapInArrow(each, f"doc_id {kind}, row long, fp long")
+    return docs.select("doc_id", (F.lit(None) if row is None else F.col(row)).cast("long").alias("row"), text_bytes().alias("text")).mapInArrow(each, f"doc_id {kind}, row long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -167,10 +167,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest doc_id, null ids last, then the first such row."""
-    docs = steady(docs)
-    own = written(fingerprints(docs, words))
+    rows = numbered(docs, "__row")
+    own = written(fingerprints(rows, words, "__row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     each = own.groupBy("fp").agg(first.alias("first")).join(_labelled(own, radius), "fp")
     kept = each.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
