@@ -565,9 +565,8 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     bars = e_panel(spark, d).withColumn("amount_rank", F.row_number().over(day).cast("double")).select(
         F.format_string("%06d.SH", "ts_code").alias("ts_code"), dates.format_date_iso(F.col("trade_date")).alias("time"), "open", "high", "low", "close", (F.col("vol") * 10000).alias("volume"), "amount", "amount_rank"
     )
-    some = [f"{k:06d}.SH" for k in range(1, 13)]
-    jobs = [("averages-2-5", "averages", {"fast": 2, "slow": 5}, some), ("averages-3-8", "averages", {"fast": 3, "slow": 8}, some), ("rotation-3", "rotation", {"n": 3}, None), ("limits-98", "limits", {"below": 0.98}, some)]
-    table_ = spark.createDataFrame([(i, s, json.dumps(p), "2024-01-01", "2024-12-31", 1_000_000.0, u) for i, s, p, u in jobs], "run_id string, strategy string, params string, start string, end string, capital double, universe array<string>")
+    jobs = [("averages-2-5", "averages", {"fast": 2, "slow": 5}), ("averages-3-8", "averages", {"fast": 3, "slow": 8}), ("rotation-3", "rotation", {"n": 3}), ("limits-98", "limits", {"below": 0.98})]
+    table_ = spark.createDataFrame([(i, s, json.dumps(p), "2024-01-01", "2024-12-31", 1_000_000.0, None) for i, s, p in jobs], "run_id string, strategy string, params string, start string, end string, capital double, universe array<string>")
     return backtest.run_many(table_, bars, strategies.ALL)
 
 
