@@ -4,10 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 and gives it, read again, to the next stage. All but the last return the columns of the documents.
 
 1. quality: documents that the co-trained classifier scores below one half go.
-2. near_duplicates: of each component of SimHash links one document stays, that with the smallest id. Shingles have
-   five words. Fingerprints link at RADIUS differing bits or fewer: every pair of documents within it is found. Texts
-   that share four fifths of their shingles differ in nine bits on average, so the radius finds the nearer ones of them
-   (README.md has the shares measured).
+2. near_duplicates: of each component of links one document stays, that with the smallest id. Two documents link if
+   their sets of five-word shingles have a Jaccard similarity of SHARE or more: MinHash finds the candidates, the
+   shingles themselves confirm them (README.md).
 3. decontamination: documents that hold ten consecutive words of a benchmark item go.
 4. mixing: sources are mixed by weights 5, 2 and 1; a document comes as often as the mix takes it, or not at all.
 5. token_files: the documents' ids, coded in files in ascending order of doc_id, and read again: one row a document.
@@ -19,11 +18,11 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import decontaminate, mixing, quality, simhash, token_files
+from tidelake.llm import decontaminate, mixing, quality, similar, token_files
 from tidelake.llm.common import shared_dir, table, written
 from tidelake.llm.queries import tokenizer
 
-RADIUS = 6
+SHARE = 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, words=5, radius=RADIUS)
+    return similar.one_of_each(docs, words=5, share=SHARE)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
