@@ -1,29 +1,29 @@
 """Tokens of public tokenizers, for whole texts of any length.
 
-Texts are cut where a cut provably changes no token: before ASCII white space that follows a character that is not
-white space. Both tokenizers here split a text by a pattern without lookbehind before anything else; none of its
-matches goes on over such a place, nor do special strings, which hold no white space. What lies between the cuts
-repeats a lot, so each worker encodes a distinct piece once. Huge texts are encoded in overlapping chunks, with
-offsets, which are spliced at such a boundary that both chunks have and after which their tokens agree.
+Byte-pair files of the two forms here are applied by a kernel (kernels/Bpe.java): it splits a text as the file's pattern
+does, with the kinds of characters as the library tells them, and remembers the ids of words it has met. The library
+itself encodes what the kernel leaves: texts with special strings or with characters that its normal form may change,
+texts that are no UTF-8 (bad bytes count as U+FFFD), files of any other form, and huge texts. Those are encoded in
+overlapping chunks, with offsets, which are spliced at a boundary that both chunks have, that is stable by the
+pattern, and after which their tokens agree: the patterns have no lookbehind, none of their matches goes on over a space
+between two marks, and special strings hold no white space.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.llm import kernels
 from tidelake.llm.common import chunks, text_bytes
 
 #: A text of more characters is encoded in chunks of this many, with an overlap that doubles until a splice is found.
 CHUNK, OVERLAP, AGREE = 1 << 16, 1 << 9, 8
-#: Pieces that a worker remembers at most, and the longest of them in bytes.
-MEMO_MOST, MEMO_BYTES = 250_000, 64
-
-_PIECE = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-# white space outside ASCII, or that Python and the tokenizers' patterns tell apart: such texts are encoded whole
-_ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 # a space between two characters that are no white space
 _STABLE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -42,7 +42,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, tuple[int, ...]] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -99,62 +98,78 @@ class Encoder:
                 return i, m.start()
         return None
 
-    def pieces(self, texts: list[bytes]) -> list[list[bytes]]:
-        """Each text in pieces whose tokens, one after another, are the text's; odd ones make one piece."""
-        return [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-
-    def learn(self, pieces: list[list[bytes]]) -> None:
-        """Encodes the pieces that the memo hasn't; only short ones stay in it for later texts."""
-        if len(self.memo) > MEMO_MOST:
-            self.memo.clear()
-        new = [p for p in set().union(*map(set, pieces)) if p not in self.memo]
-        short = [p for p in new if len(p) <= CHUNK]
-        for a in range(0, len(short), 4096):
-            part = short[a : a + 4096]
-            self.memo.update(zip(part, map(tuple, self.whole([p.decode() for p in part]))))
-        self.long = {p for p in new if len(p) > MEMO_BYTES}
-        for p in self.long - set(short):
-            self.memo[p] = tuple(i for ids in self.spliced(p.decode()) for i in ids)
-
-    def forget(self) -> None:
-        for p in self.long:
-            self.memo.pop(p, None)
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        """The token ids of each text; of those over CHUNK bytes from spliced chunks."""
-        from itertools import chain
-
-        small = [t if len(t) <= CHUNK else b"" for t in texts]
-        pieces = self.pieces(small)
-        self.learn(pieces)
-        get = self.memo.__getitem__
-        out = [list(chain.from_iterable(map(get, p))) for p in pieces]
-        self.forget()
+    def encode(self, texts: list[bytes | None]) -> list[list[int] | None]:
+        """The token ids of each text; of those over CHUNK bytes from spliced chunks. None stays None."""
+        out: list[list[int] | None] = [None] * len(texts)
+        small = [i for i, t in enumerate(texts) if t is not None and len(t) <= CHUNK]
+        for i, ids in zip(small, self.whole([texts[i].decode(errors="replace") for i in small])):
+            out[i] = ids
         for i, t in enumerate(texts):
-            if len(t) > CHUNK:
-                out[i] = [x for ids in self.spliced(t.decode()) for x in ids]
+            if t is not None and len(t) > CHUNK:
+                out[i] = [x for ids in self.spliced(t.decode(errors="replace")) for x in ids]
         return out
 
-    def count(self, texts: list[bytes]) -> list[int]:
-        """The number of tokens of each text."""
-        small = [t if len(t) <= CHUNK else b"" for t in texts]
-        pieces = self.pieces(small)
-        self.learn(pieces)
-        sizes = self.sizes = getattr(self, "sizes", {})
-        if len(sizes) > MEMO_MOST:
-            sizes.clear()
-        for p in set().union(*map(set, pieces)):
-            if p not in sizes:
-                sizes[p] = len(self.memo[p])
-        get = sizes.__getitem__
-        out = [sum(map(get, p)) for p in pieces]
-        for p in self.long:
-            sizes.pop(p, None)
-        self.forget()
-        for i, t in enumerate(texts):
-            if len(t) > CHUNK:
-                out[i] = sum(map(len, self.spliced(t.decode())))
-        return out
+
+@dataclass(frozen=True)
+class Alphabet:
+    """What the kernel needs of a tokenizer: the kinds of all code points, lower case, and which of the two forms it has."""
+
+    kinds: str
+    lower: str
+    words: bool
+
+
+#: Ranges of code points that neither compose with others nor decompose: normal form C leaves any string of them alone.
+#: The others, and those that the library's own normal form or lower case changes in length, are the library's to encode.
+_PLAIN = [(0, 0x300), (0x370, 0x483), (0x48A, 0x530), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0), (0x2190, 0x2200), (0x3000, 0x302A), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFF01, 0xFF5F), (0x1F300, 0x1FB00)]
+
+
+@cache
+def alphabet(path: str) -> Alphabet | None:
+    """Asks the library which code points are letters, numbers and white space; None for a file of another form."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, normal, split = told["model"], told["normalizer"], told["pre_tokenizer"]
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    if split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and normal is None and not model.get("end_of_word_suffix"):
+        words = False
+    elif (
+        split["type"] == "Sequence"
+        and [p["type"] for p in split["pretokenizers"]] == ["Split", "ByteLevel"]
+        and split["pretokenizers"][0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and split["pretokenizers"][0]["invert"]
+        and not split["pretokenizers"][1]["use_regex"]
+        and not split["pretokenizers"][1]["add_prefix_space"]
+        and normal
+        and [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and model.get("end_of_word_suffix") == "</w>"
+    ):
+        words = True
+    else:
+        return None
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every, kinds, lower = "".join(map(chr, points)), [], []
+    for kind, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+        for part, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            kinds.append((ord(part[0]), ord(part[-1]) + 1, kind))
+    if words:
+        form, small = normalizers.NFC(), normalizers.Lowercase()
+        end = 0
+        for a, b in [*_PLAIN, (0x110000, 0x110000)]:
+            if end < a:
+                kinds.append((end, a, 4))
+            end = b
+            for c in range(a, b):
+                made = small.normalize_str(chr(c))
+                if form.normalize_str(chr(c)) != chr(c) or len(made) != 1 or (c > 0xFFFF and made != chr(c)):
+                    kinds.append((c, c + 1, 4))
+                elif made != chr(c):
+                    lower.append((c, ord(made)))
+    told_as = lambda rows: ";".join(",".join(map(str, r)) for r in rows)
+    return Alphabet(told_as(kinds), told_as(lower), words)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -162,15 +177,44 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     Repeated rows and null ids stay, an empty table gives no rows, and other columns are ignored.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source, known = docs.select("doc_id", text_bytes().alias("text")), alphabet(path)
+    if known is None:
+        first = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(None).cast("long").alias("n_tokens"), F.col("text").alias("rest"))
+    else:
+        first = kernels.apply(source, "CountTokens", f"doc_id {kind}, n_bytes long, n_tokens long, rest binary", path, known.kinds, known.lower, known.words, CHUNK)
 
     def each(batches):
         import pyarrow as pa
 
-        encoder = Encoder.of(path)
-        for part in chunks(batches, 1, 2 << 20):
-            texts = part.column(1).to_pylist()
-            columns = [part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(encoder.count(texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens"])
+        for part in chunks(batches, 3, 2 << 20):
+            counts = part.column(2)
+            if part.column(3).null_count < part.num_rows:
+                encoded = Encoder.of(path).encode(part.column(3).to_pylist())
+                counts = pa.array([len(ids) if ids is not None else n for ids, n in zip(encoded, counts.to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), counts], ["doc_id", "n_bytes", "n_tokens"])
+
+    return first.mapInArrow(each, f"doc_id {kind}, n_bytes long, n_tokens long")
+
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) for every row of (doc_id, text as bytes), in the same order; ids are little-endian 32-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(each, f"doc_id {kind}, n_bytes long, n_tokens long")
+    known = alphabet(path)
+    if known is None:
+        first = docs.select("doc_id", F.lit(None).cast("binary").alias("ids"), F.col("text").alias("rest"))
+    else:
+        first = kernels.apply(docs.select("doc_id", "text"), "EncodeTokens", f"doc_id {kind}, ids binary, rest binary", path, known.kinds, known.lower, known.words, CHUNK)
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in chunks(batches, 2, 2 << 20):
+            ids = part.column(1)
+            if part.column(2).null_count < part.num_rows:
+                made = Encoder.of(path).encode(part.column(2).to_pylist())
+                ids = pa.array([x if new is None else np.array(new, "<u4").tobytes() for x, new in zip(ids.to_pylist(), made)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+
+    return first.mapInArrow(each, f"doc_id {kind}, ids binary")
