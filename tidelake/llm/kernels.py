@@ -1,6 +1,6 @@
 """Kernels for the JVM: loops over bytes and ids that neither Spark's expressions nor arrays express well.
 
-Their sources are in ``kernels/``. The driver compiles them with Janino, the compiler that Spark itself uses for its
+Their sources are in ``java/``. The driver compiles them with Janino, the compiler that Spark itself uses for its
 generated code, puts the classes into a jar in the shared folder and adds it to the session; executors fetch it from
 there, also those that join later. A kernel takes the rows of a partition one by one and gives rows; nothing but its
 arguments is sent along.
@@ -27,7 +27,7 @@ _added: dict[tuple[str, str], object] = {}
 def _source() -> str:
     """All sources as one unit: the package, the imports, then the classes."""
     imports, bodies = set(), []
-    for f in sorted(files("tidelake.llm").joinpath("kernels").iterdir(), key=lambda f: f.name):
+    for f in sorted(files("tidelake.llm").joinpath("java").iterdir(), key=lambda f: f.name):
         if f.name.endswith(".java"):
             text = f.read_text()
             imports |= set(re.findall(r"^import [^;]+;$", text, re.M))

@@ -1,4 +1,4 @@
-"""Token files: the ids of all documents in ascending order of doc_id, coded in blocks (see coder.py).
+"""Token files: the ids of all documents in ascending order of doc_id, coded in blocks (see java/Coder.java).
 
 A table of files in Parquet, which any file system of Spark's can hold. A row is a block: the shard it belongs to (the
 shards follow one another), its number in it, its code, and what it holds: pieces of documents, each with the
@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.coder import BLOCK, LANES
-from tidelake.llm.common import chunks, text_bytes
+from tidelake.llm import kernels, tokens
+from tidelake.llm.common import text_bytes
+
+#: Ids in a block, at most.
+BLOCK = 1 << 16
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | None = None) -> None:
@@ -28,93 +31,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | No
     placed = docs.select("doc_id", text_bytes().alias("text")).withColumn("tie", F.xxhash64("text"))
     placed = placed.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     schema = f"shard int, block int, code binary, pieces array<struct<doc_id: {kind}, doc: long, at: long, piece: int, n: long>>"
-
-    def each(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        from tidelake.llm import coder
-        from tidelake.llm.tokens import Encoder
-
-        shard, encoder = TaskContext.get().partitionId(), Encoder.of(tokenizer)
-        blocks: list[tuple[list, list]] = [([], [])]  # ids, pieces
-        n_docs = n_ids = n_blocks = 0
-
-        def flush(part):
-            nonlocal n_blocks
-            codes = coder.encode([np.concatenate(ids) for ids, _ in part])
-            rows = [{"shard": shard, "block": n_blocks + i, "code": c, "pieces": p} for i, (c, (_, p)) in enumerate(zip(codes, part))]
-            n_blocks += len(part)
-            return pa.RecordBatch.from_pylist(rows, schema=target)
-
-        target = None
-        filled = 0
-        for batch in batches:
-            if target is None:
-                piece = pa.struct([("doc_id", batch.schema.field(0).type), ("doc", pa.int64()), ("at", pa.int64()), ("piece", pa.int32()), ("n", pa.int64())])
-                target = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("code", pa.binary()), ("pieces", pa.list_(piece))])
-            for part in chunks([batch], 1, 1 << 20):
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids = np.array([*ids, end], np.int64)
-                    if filled and filled + len(ids) > BLOCK:
-                        blocks.append(([], []))
-                        filled = 0
-                    for k, a in enumerate(range(0, len(ids), BLOCK)):
-                        if filled and filled + min(BLOCK, len(ids) - a) > BLOCK:
-                            blocks.append(([], []))
-                            filled = 0
-                        own = ids[a : a + BLOCK]
-                        blocks[-1][0].append(own)
-                        blocks[-1][1].append({"doc_id": doc_id, "doc": n_docs, "at": n_ids, "piece": k, "n": len(own)})
-                        filled += len(own)
-                        if len(blocks) > LANES:
-                            yield flush(blocks[:LANES])
-                            blocks = blocks[LANES:]
-                    n_docs += 1
-                    n_ids += len(ids)
-        if blocks[0][1]:
-            yield flush(blocks)
-
-    placed.drop("tie").mapInArrow(each, schema).write.parquet(path)
+    kernels.apply(tokens.encoded(placed.drop("tie"), tokenizer), "WriteBlocks", schema, end, BLOCK).write.parquet(path)
 
 
 def _pieces(files: DataFrame) -> DataFrame:
     """(shard, doc, doc_id, at, piece, n, crc) for each piece, from its decoded ids."""
     kind = files.schema["pieces"].dataType.elementType["doc_id"].dataType.simpleString()
-
-    def each(batches):
-        import zlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        from tidelake.llm import coder
-
-        def out(rows):
-            made = []
-            for (shard, _, pieces), ids in zip(rows, coder.decode([c for _, c, _ in rows])):
-                at = 0
-                for p in pieces:
-                    crc = zlib.crc32(ids[at : at + p["n"]].astype("<u4").tobytes())
-                    made.append((shard, p["doc"], p["doc_id"], p["at"], p["piece"], p["n"], crc))
-                    at += p["n"]
-                if at != len(ids):
-                    raise ValueError("a block's pieces don't fill it")
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types)], ["shard", "doc", "doc_id", "at", "piece", "n", "crc"])
-
-        rows, types = [], None
-        for batch in batches:
-            types = types or [pa.int32(), pa.int64(), batch.schema.field(2).type.value_type.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append(row)
-                if len(rows) == LANES:
-                    yield out(rows)
-                    rows = []
-        if rows:
-            yield out(rows)
-
-    return files.select("shard", "code", "pieces").mapInArrow(each, f"shard int, doc long, doc_id {kind}, at long, piece int, n long, crc long")
+    return kernels.apply(files.select("shard", "code", "pieces"), "ReadBlocks", f"shard int, doc long, doc_id {kind}, at long, piece int, n long, crc long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +48,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.parquet(path)
     pieces = _pieces(files)
+    # few documents have more than one piece; only theirs meet
+    alone = F.col("n_pieces") == 1
     docs = pieces.groupBy("shard", "doc").agg(
-        F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("p")
-    )
+        F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.sum("n").alias("n_tokens"), F.count("*").alias("n_pieces"), F.first("crc").alias("crc"),
+        F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("p"),
+    ).withColumn("p", F.when(~alone, F.col("p")))
     total = files.select("shard", F.explode("pieces.n").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     before = total.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     kind = files.schema["pieces"].dataType.elementType["doc_id"].dataType.simpleString()
@@ -136,15 +62,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            crc = []
-            for p in b.column(3).to_pylist():
-                whole = p[0]["crc"]
-                for x in p[1:]:
-                    whole = joined(whole, x["crc"], 4 * x["n"])
-                crc.append(whole)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    placed = docs.join(before, "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "p")
+            crc = b.column(3).to_pylist()
+            for i, p in enumerate(b.column(4).to_pylist()):
+                for k, x in enumerate(p or []):
+                    crc[i] = joined(crc[i], x["crc"], 4 * x["n"]) if k else x["crc"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    placed = docs.join(before, "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "crc", "p")
     return placed.mapInArrow(each, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

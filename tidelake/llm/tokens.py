@@ -1,6 +1,6 @@
 """Tokens of public tokenizers, for whole texts of any length.
 
-Byte-pair files of the two forms here are applied by a kernel (kernels/Bpe.java): it splits a text as the file's pattern
+Byte-pair files of the two forms here are applied by a kernel (java/Bpe.java): it splits a text as the file's pattern
 does, with the kinds of characters as the library tells them, and remembers the ids of words it has met. The library
 itself encodes what the kernel leaves: texts with special strings or with characters that its normal form may change,
 texts that are no UTF-8 (bad bytes count as U+FFFD), files of any other form, and huge texts. Those are encoded in
