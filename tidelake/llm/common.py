@@ -34,6 +34,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than this part of all rows have it; there are at most as many such keys as its inverse.
+HOT = 1 / 1000
+
+
+def joined_on_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """left joined with right, which has one row a key and in column n how many of left's ``total`` rows have it.
+
+    Rows with hot keys meet their key's row where they are; as keys without nulls go, there are fewer than 1 / HOT of
+    those, so they are sent to all tasks. All other keys meet by shuffle, with few rows each.
+    """
+    most = int(total * HOT) + 1
+    hot = right.where(F.col("n") > most)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") <= most), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def removed(df: DataFrame) -> None:
     """Deletes a table made by written() that nothing reads any more."""
     spark = df.sparkSession
@@ -59,6 +75,14 @@ def chunks(batches, text: int = 1, limit: int = CHUNK_BYTES):
             yield batch.slice(a, b - a)
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it needs to clash with none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text's UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))

@@ -11,11 +11,14 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import uuid
 import zipfile
+from collections.abc import Callable
 from functools import cache
 from importlib.resources import files
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.llm.common import shared_dir
@@ -58,10 +61,9 @@ def _loader(spark: SparkSession):
     return _added[app, session]
 
 
-def apply(df: DataFrame, kernel: str, schema: str | T.StructType, *args) -> DataFrame:
-    """The rows that the kernel makes of each partition of ``df``; args are strings, numbers and booleans."""
-    spark, jvm = df.sparkSession, df.sparkSession._jvm
-    gateway = spark.sparkContext._gateway
+def _made(spark: SparkSession, kernel: str, args: tuple):
+    """An instance of the kernel; args are strings, numbers and booleans."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
     given = gateway.new_array(jvm.java.lang.Object, len(args))
     for i, x in enumerate(args):
         given[i] = x
@@ -69,7 +71,23 @@ def apply(df: DataFrame, kernel: str, schema: str | T.StructType, *args) -> Data
     kinds[0] = given.getClass()
     inner = gateway.new_array(jvm.java.lang.Object, 1)
     inner[0] = given
-    made = _loader(spark).loadClass(f"tidelake.llm.{kernel}").getDeclaredConstructor(kinds).newInstance(inner)
+    return _loader(spark).loadClass(f"tidelake.llm.{kernel}").getDeclaredConstructor(kinds).newInstance(inner)
+
+
+def _kind(spark: SparkSession, schema: str | T.DataType):
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    encoder = jvm.org.apache.spark.sql.Encoders.row(spark._jsparkSession.parseDataType(schema.json()))
-    return DataFrame(df._jdf.mapPartitions(made, encoder), spark)
+    return spark._jsparkSession.parseDataType(schema.json())
+
+
+def apply(df: DataFrame, kernel: str, schema: str | T.StructType, *args) -> DataFrame:
+    """The rows that the kernel makes of each partition of ``df``."""
+    spark = df.sparkSession
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.row(_kind(spark, schema))
+    return DataFrame(df._jdf.mapPartitions(_made(spark, kernel, args), encoder), spark)
+
+
+def function(spark: SparkSession, kernel: str, kind: str | T.DataType, *args) -> Callable[[Column | str], Column]:
+    """The kernel as a function of a column."""
+    name = f"tidelake_{kernel.lower()}_{uuid.uuid4().hex}"
+    spark._jsparkSession.udf().register(name, _made(spark, kernel, args), _kind(spark, kind))
+    return lambda column: F.call_function(name, column)

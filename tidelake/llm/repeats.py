@@ -2,197 +2,64 @@
 
 In the corpus's suffix order, the suffixes that share their first ``width`` bytes stand together; a suffix has an earlier
 (or later) match of that length if, and only if, its interval has a smaller (or larger) position. Which interval a
-suffix belongs to is all that is needed, and the interval's 64-bit fingerprint tells it. A full suffix array of the
-corpus would take many times its size on disk (README.md has the figures); longest_previous_factors() makes one, with
-the previous and next smaller positions in it, for a text that fits into memory.
+suffix belongs to is all that is needed, and the interval's hash tells it. A suffix array of the corpus would take many
+times its size on disk (README.md has the figures); longest_previous_factors() makes one, with the previous and next
+smaller positions in it, for a text that fits into memory.
 
-To write down few fingerprints, texts are cut at anchors: places whose next GRAM bytes have a hash that is zero modulo
-DENSITY, which depends on these bytes alone, so that equal strings have equal anchors inside. Starting places between
-which neither the first nor the last anchor inside the string changes form a run. All strings of a run hold the
-same inner passage, from the first to the last anchor, and lie in the same outer one, from the anchor before to the
-one after.
+So as to write down few hashes, starting places are taken together as long as they can be:
 
-- If a run's outer passage repeats, so do all its strings.
-- If its inner passage doesn't, none of its strings does.
-- Of the others, and of places without an anchor inside, each string's own fingerprint is counted, together with those
-  of the runs that have the same inner passage (one of all runs with an equal outer passage is enough).
+1. Whole copies of a text lose all their bytes (SHA-256 tells them); one of them stays as evidence for other texts.
+2. Places whose strings have the same anchor (java/Runs.java) form a run. A run whose anchor's key is found nowhere else
+   has no repeated string. These are most, and their keys are all that is ever written of them.
+3. Of the others, a run's outer passage is all that its strings cover. If it repeats, so do all of them. Else the run is
+   cut into blocks of places by their distance to the anchor; what all strings of a whole block share is the block's key.
+4. Step 3 is done again with the blocks, which get smaller down to single strings. A block meets those with the same
+   key only, and of blocks with the same outer passage one is enough.
+
+Keys have 64 bits and only choose what is looked at further; passages are told by 128 bits.
 """
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, numbered, removed, text_bytes, written
-
-GRAM, DENSITY = 16, 64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple] = {}
-
-
-class Prints:
-    """Fingerprints of any substring of a text: a polynomial modulo 2^64, mixed, so that equal strings have equal ones."""
-
-    def __init__(self, text: bytes):
-        import numpy as np
-
-        n = len(text)
-        if not _powers or _powers[0][0].size <= n:
-            size = 1 << max(16, (n + 1).bit_length())
-            up, down = np.full(size + 1, _BASE, np.uint64), np.full(size + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-            _powers[0] = (up, down)
-        up, self.down = _powers[0]
-        # bytes stand for random numbers, so that their sums tell little about them
-        table = self.mixed(np.arange(1, 257, dtype=np.uint64))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[np.frombuffer(text, np.uint8)] * up[:n])])
-
-    @staticmethod
-    def mixed(h):
-        import numpy as np
-
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return h ^ (h >> np.uint64(33))
-
-    def of(self, start, end):
-        """Of the substrings from ``start`` to ``end`` (arrays)."""
-        import numpy as np
-
-        size = (end - start).astype(np.uint64)
-        return self.mixed((self.sums[end] - self.sums[start]) * self.down[start] + size * np.uint64(0x632BE59BD9B4E019))
+from tidelake.llm import kernels
+from tidelake.llm.common import joined_on_hot, numbered, removed, text_bytes, written
 
+#: Places in a block, level after level.
+BLOCKS = (32, 4, 1)
+_SPAN = "array<struct<start: long, end: long>>"
+_PASSAGE = "row long, known boolean, at int, lo int, hi int, key long, h1 long, h2 long"
 
-class Runs:
-    """The runs of a text: first and last starting place (lo, hi), inner and outer fingerprint; zero where there is none."""
-
-    def __init__(self, text: bytes, width: int, salt: int = 0):
-        import numpy as np
-
-        n, reach = len(text), width - GRAM
-        self.prints = p = Prints(text)
-        at = np.arange(max(0, n - GRAM + 1))
-        a = at[p.of(at, at + GRAM) % np.uint64(DENSITY) == 0]
-        most = n - width  # the last starting place
-        cuts = np.unique(np.concatenate([[0], a + 1, a - reach]))
-        self.lo = cuts[(cuts >= 0) & (cuts <= most)]
-        self.hi = np.concatenate([self.lo[1:] - 1, [most]])
-        first, last = np.searchsorted(a, self.lo), np.searchsorted(a, self.lo + reach, "right") - 1
-        held = first <= last
-        self.bare = ~held
-        pad = np.concatenate([a, [0]])
-        zero = np.zeros(len(self.lo), np.uint64)
-        i, j = np.where(held, pad[np.minimum(first, len(a))], 0), np.where(held, pad[np.maximum(last, 0)] + GRAM, 0)
-        self.inner = np.where(held, p.of(i, j) | np.uint64(1), zero)
-        wide = held & (first > 0) & (last + 1 < len(a))
-        i, j = np.where(wide, pad[np.maximum(first - 1, 0)], 0), np.where(wide, pad[np.minimum(last + 1, len(a))] + GRAM, 0)
-        # the last bit tells inner from outer ones
-        self.outer = np.where(wide, p.of(i, j) & ~np.uint64(1) | np.uint64(2), zero)
-
-
-def _signed(x):
-    import numpy as np
-    import pyarrow as pa
-
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def _lists(parts):
-    """An Arrow column of lists of longs."""
-    import numpy as np
-    import pyarrow as pa
-
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    flat = np.concatenate(parts) if len(parts) else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), _signed(flat.astype(np.int64) if flat.dtype != np.uint64 else flat))
 
+def _settled(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written passages: (row, lo, hi) of those that are found again, and (row, items) of what to cut further.
 
-def _keys(source: DataFrame, width: int) -> DataFrame:
-    """(row, key, run): the inner and outer fingerprint of each run, of all runs in all texts."""
-
-    def each(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for part in chunks(batches, 1, 1 << 20):
-            keys = []
-            for text in part.column(1).to_pylist():
-                r = Runs(text, width) if len(text) >= width else None
-                keys.append(np.stack([r.inner, r.outer], axis=1).ravel() if r else np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(keys)], ["row", "keys"])
-
-    found = source.select("row", "text").mapInArrow(each, "row long, keys array<long>")
-    return found.select("row", F.posexplode("keys").alias("at", "key")).where("key <> 0").select("row", "key", (F.col("at") / 2).cast("int").alias("run"))
-
-
-def _facts(source: DataFrame, kind: str, width: int) -> DataFrame:
-    """(row, doc_id, n_bytes, sha, bare): what the result has of a text without repeats; bare: it has a run without an anchor."""
-
-    def each(batches):
-        from hashlib import sha256
-
-        import pyarrow as pa
-
-        for part in chunks(batches, 1, 1 << 20):
-            texts = part.column(1).to_pylist()
-            bare = [len(t) >= width and bool(Runs(t, width).bare.any()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(list(map(len, texts)), pa.int64()), pa.array([sha256(t).hexdigest() for t in texts]), pa.array(bare)],
-                ["row", "doc_id", "n_bytes", "sha", "bare"],
-            )
-
-    return source.select("row", "text", "doc_id").mapInArrow(each, f"row long, doc_id {kind}, n_bytes long, sha string, bare boolean")
-
-
-def _own(texts: DataFrame, width: int) -> DataFrame:
-    """(row, place, print): each string's fingerprint, of the runs in ``own`` and of those without an anchor."""
-
-    def each(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for part in chunks(batches, 1, 1 << 20):
-            places, prints = [], []
-            for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                r = Runs(text, width)
-                some = np.union1d(np.flatnonzero(r.bare), np.array(own or [], np.int64))
-                size = r.hi[some] - r.lo[some] + 1
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(r.lo[some], size)
-                places.append(at)
-                prints.append(r.prints.of(at, at + width))
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(places), _lists(prints)], ["row", "places", "prints"])
-
-    found = texts.select("row", "text", "own").mapInArrow(each, "row long, places array<long>, prints array<long>")
-    return found.select("row", F.explode(F.arrays_zip("places", "prints")).alias("x")).select("row", F.col("x.places").cast("int").alias("place"), F.col("x.prints").alias("print"))
-
-
-def _cut(texts: DataFrame, width: int) -> DataFrame:
-    """(row, spans, kept): from repeated runs and places, the maximal spans and the text without them."""
-
-    def each(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for part in chunks(batches, 1, 1 << 20):
-            spans, kept = [], []
-            for text, runs, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                edge = np.zeros(len(text) + 1, np.int64)
-                if runs:
-                    r = Runs(text, width)
-                    np.add.at(edge, r.lo[runs], 1)
-                    np.add.at(edge, r.hi[runs] + width, -1)
-                if places:
-                    np.add.at(edge, np.array(places), 1)
-                    np.add.at(edge, np.array(places) + width, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                turn = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1))])
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, span), pa.array(kept, pa.binary())], ["row", "spans", "kept"])
-
-    return texts.select("row", "text", "runs", "places").mapInArrow(each, "row long, spans array<struct<start: long, end: long>>, kept binary")
+    A passage that is ``known`` is settled already and serves as evidence for others only.
+    """
+    total = passages.count()
+    outer = written(
+        passages.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.max("known").alias("known"), F.min(F.struct("row", "at", "lo", "hi")).alias("one"))
+        .select("*", F.expr("n > 1 or known").alias("sure"))
+    )
+    again = outer.where("n > 1").select("h1", "h2", "n")
+    sure = written(joined_on_hot(passages.where("not known"), again, ["h1", "h2"], total).select("row", "lo", "hi"))
+    open_ = outer.groupBy("key").agg(F.count("*").alias("n"), F.min("sure").alias("all")).where("n > 1 and not all").select("key", "n")
+    todo = joined_on_hot(outer.select("key", "one", "sure"), open_, ["key"], total).select("one.*", "sure")
+    items = written(todo.groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi", F.col("sure").alias("known"))).alias("items")))
+    removed(outer)
+    return sure, items
+
+
+def _tidy(*tables: DataFrame) -> None:
+    """Deletes tables, and lets Spark delete the shuffles behind them."""
+    for df in tables:
+        removed(df)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
@@ -204,30 +71,44 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     lose their bytes. Repeated rows are texts of their own; an empty table gives none; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = numbered(docs.select("doc_id", "text")).select("row", text_bytes().alias("text"), "doc_id")
-    facts = written(_facts(source, kind, width))
-    keys = _keys(source, width)
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    marked = written(keys.join(twice, "key"))
-    # fingerprints of inner passages are odd, of outer ones even
-    inner, outer = marked.where("key % 2 <> 0"), marked.where("key % 2 = 0")
-    first = outer.groupBy("key").agg(F.min(F.struct("row", "run")).alias("f")).select("f.row", "f.run", F.lit(True).alias("first"))
-    runs = inner.join(outer.select("row", "run", F.lit(True).alias("sure")), ["row", "run"], "left").join(first, ["row", "run"], "left")
-    runs = written(runs.select("row", "run", "key", F.coalesce("sure", F.lit(False)).alias("sure"), F.coalesce("first", F.lit(False)).alias("first")))
-    removed(marked)
-    unsure = runs.where("not sure").select("key", F.lit(True).alias("open")).distinct()
-    each = runs.join(unsure, "key", "left")
-    lists = each.groupBy("row").agg(
-        F.collect_list(F.when(F.col("sure"), F.col("run"))).alias("runs"), F.collect_list(F.when(F.col("open") & (~F.col("sure") | F.col("first")), F.col("run"))).alias("own")
+    source = numbered(docs.select("doc_id", "text")).select("row", "doc_id", text_bytes().alias("text"))
+    facts = written(kernels.apply(source, "TextFacts", f"row long, doc_id {kind}, n_bytes long, sha binary, keys array<long>", width))
+    total = facts.count()
+    copies = facts.where(F.col("n_bytes") >= width).groupBy("sha").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1")
+    copied = written(joined_on_hot(facts.select("row", "sha"), copies, ["sha"], total).select("row", F.expr("row = first").alias("stays")))
+    status = facts.select("row", "keys").join(copied, "row", "left")
+    keys = written(status.where("stays is null or stays").select("row", F.expr("stays is not null").alias("copied"), F.explode("keys").alias("key")))
+    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = joined_on_hot(keys, twice, ["key"], keys.count()).groupBy("row", "copied").agg(F.collect_set("key").alias("keys"))
+    # a text that shares nothing with another one needn't be looked at again
+    texts = written(source.select("row", "text").join(shared, "row").select("row", "copied", "text", "keys"))
+    passages = written(kernels.apply(texts, "RunPassages", _PASSAGE, width))
+    _tidy(keys)
+    found = []
+    for size in BLOCKS:
+        sure, items = _settled(passages)
+        found.append(sure)
+        _tidy(passages)
+        passages = written(kernels.apply(texts.select("row", "text").join(items, "row"), "BlockPassages", _PASSAGE, width, size))
+        _tidy(items)
+    sure, items = _settled(passages)
+    found.append(sure)
+    _tidy(passages, items)
+    places = found[0]
+    for more in found[1:]:
+        places = places.union(more)
+    gone = texts.where("not copied").select("row", "text").join(places.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("places")), "row")
+    cut = kernels.apply(gone, "CutSpans", f"row long, spans {_SPAN}, kept binary", width)
+    whole = facts.select("row", "doc_id", "n_bytes", "sha").join(copied, "row", "left").join(cut, "row", "left")
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    kept = F.when(F.col("stays").isNotNull(), F.lit(b"")).otherwise(F.col("kept"))
+    return whole.select(
+        "doc_id",
+        "n_bytes",
+        F.when(F.col("stays").isNotNull(), all_).otherwise(F.coalesce("spans", F.array().cast(_SPAN))).cast(_SPAN).alias("spans"),
+        kept.alias("kept"),
+        F.coalesce(F.sha2(kept, 256), F.lower(F.hex("sha"))).alias("sha"),
     )
-    some = facts.where("bare").select("row", "bare").join(lists, "row", "full_outer").drop("bare")
-    texts = written(source.select("row", "text").join(some, "row"))
-    removed(runs)
-    own = _own(texts, width)
-    again = own.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    places = own.join(again, "print").groupBy("row").agg(F.collect_list("place").alias("places"))
-    cut = _cut(texts.join(places, "row", "left"), width).where(F.size("spans") > 0)
-    return facts.join(cut, "row", "left").select("doc_id", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")).alias("spans"), "kept", F.coalesce(F.sha2("kept", 256), "sha").alias("sha"))
 
 
 def suffix_array(text: bytes):
