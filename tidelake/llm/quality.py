@@ -1,80 +1,36 @@
 """A quality classifier by co-training two views of a document.
 
 One view is its text: which words it has and its style (letters, marks, repetition, lengths). The other is its page's
-metadata: language, source and size as recorded. Each view has a logistic classifier. Both learn from the labelled
-sample; then, over some rounds, each gives its most confident verdicts on unlabelled documents to the other as
-pseudo-labels. A third, small classifier, fitted on labelled documents that neither learned from, calibrates and joins
-the two; it gives the final score to all documents.
-
-Labelled and unlabelled documents are drawn by a hash of their ids, at most a given number of each: the bound on what
-the driver holds. All documents are scored, by one pass over their whole texts.
+metadata: language and source. Each view has a logistic classifier. Both learn from the labelled sample; then, over some
+rounds, each gives its most confident verdicts on all other documents to the other as pseudo-labels. After each fit the
+views are calibrated on labelled documents that neither learned from, so that "confident" means the same in both; a
+third, small fit joins the two calibrated views and gives the final score to all documents.
+
+The labelled documents are drawn by a hash of their ids, ``labelled`` of them at most: the bound on what the driver holds.
+All others, however many, are candidates for pseudo-labels in each round: their features are written once, each task
+keeps its best, and only those chosen reach the driver. Texts are read by kernels for the JVM (java/TextView.java).
 """
 
 from __future__ import annotations
 
-import zlib
+import base64
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidelake.llm.common import chunks
-
-#: Labelled and unlabelled documents to learn from, at most.
-LABELLED, UNLABELLED = 12_000, 4_000
-#: Word features are kept by their association with the label.
-WORDS, SPACE = 4096, 1 << 20
-ROUNDS, EACH = 3, 400
-HASHED = 1024
-
-# all but letters and digits become spaces; A-Z become a-z
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EDGES = np.array([0.001, 0.003, 0.01, 0.02, 0.04, 0.07, 0.11, 0.16, 0.22, 0.3, 0.4, 0.5, 0.62, 0.75, 0.9])
-_SIZES = np.array([1, 3, 6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 25600])
-_STYLES, _BINS = 12, 16
-
-
-def style(text: bytes, words: list[bytes]) -> list[int]:
-    """The bin of each style measure: shares of kinds of characters and of repeated words, and lengths."""
-    kinds = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    n, m = max(1, len(text)), max(1, len(words))
-    distinct = set(words)
-    twice = sum(a == b for a, b in zip(words, words[1:]))
-    letters = max(1, int(kinds[65:91].sum() + kinds[97:123].sum()))
-    marks = kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum()
-    sentence = kinds[44] + kinds[46]  # , and .
-    shares = [
-        kinds[65:91].sum() / letters,
-        kinds[33] / n,
-        kinds[124] / n,
-        (marks - sentence) / n,
-        sentence / n,
-        kinds[48:58].sum() / n,
-        kinds[128:].sum() / n,
-        kinds[10] / n,
-        1 - len(distinct) / m,
-        twice / m,
-    ]
-    return [*np.searchsorted(_EDGES, shares).tolist(), int(np.searchsorted(_SIZES, m)), int(np.searchsorted(np.arange(1, 16), n / m))]
-
-
-def content(text: bytes) -> tuple[list[int], set[bytes]]:
-    """A text's style features (numbers below _STYLES * _BINS) and its distinct words."""
-    words = text.translate(_FOLD).split()
-    return [k * _BINS + b for k, b in enumerate(style(text, words))], set(words)
-
-
-def metadata(lang, source, n_chars) -> list[int]:
-    """Features of a page's metadata, below 2 * HASHED + 16; nulls have features of their own."""
-    bucket = lambda x: zlib.crc32(repr(x).encode()) % HASHED
-    size = 15 if n_chars is None else min(14, int(np.searchsorted(_SIZES, n_chars / 6)))
-    return [bucket(lang), HASHED + bucket(source), 2 * HASHED + size]
-
-
-def word_feature(word: bytes) -> int:
-    return zlib.crc32(word) % SPACE
+
+from tidelake.llm import kernels
+from tidelake.llm.common import free, numbered, removed, text_bytes, written
+
+#: Labelled documents to learn from, at most.
+LABELLED = 12_000
+#: Word features are kept by their association with the label; a word must be in SEEN documents of the sample.
+WORDS, SEEN = 4096, 8
+#: Rounds, pseudo-labels of each kind that a view gives in one, and how sure it must be.
+ROUNDS, EACH, SURE = 3, 200, 0.95
+#: Hashed values of each metadata field, and features of a text's style.
+HASHED, STYLE = 1024, 192
 
 
 @dataclass
@@ -107,152 +63,151 @@ class Logistic:
 
 
 @dataclass
-class Model:
-    """Both views' classifiers, the words that have a feature, and what joins the two logits."""
-
-    words: dict[bytes, int]
-    text: Logistic
-    page: Logistic
-    joint: tuple[float, float, float]
+class View:
+    """A view's classifier and its calibration: the chance of a good document is the logistic of scale * logit + shift."""
 
-    def content(self, text: bytes) -> np.ndarray:
-        marks, words = content(text)
-        return np.array(marks + [self.words[w] for w in self.words.keys() & words], np.int64)
+    plain: Logistic
+    scale: float
+    shift: float
 
-    def score(self, text_logit, page_logit):
-        a, b, c = self.joint
-        return 1 / (1 + np.exp(-np.clip(a * text_logit + b * page_logit + c, -30, 30)))
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        return self.scale * self.plain.logits(rows) + self.shift
 
+    def column(self, spark, features: str | Column) -> Column:
+        """The calibrated logit of packed features."""
+        weights = np.append(self.plain.weights * self.scale, self.plain.bias * self.scale + self.shift)
+        sent = base64.b64encode(weights.astype("<f8").tobytes()).decode()
+        return kernels.function(spark, "Weigh", "double", sent)(features)
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int):
-    """Rows (text, lang, source, n_chars, good or None) of both samples, by the least hashes of ids."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
-    )
-    own = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars").where("doc_id is not null")
-    order = F.xxhash64(F.lit(7), "doc_id")
-    # ids alone are sorted; texts are fetched for those that are drawn
-    ids = own.select("doc_id").join(marks, "doc_id", "left").withColumn("o", order)
-    some = ids.where("good is not null").orderBy("o", "doc_id").limit(labelled).union(ids.where("good is null").orderBy("o", "doc_id").limit(unlabelled))
-    drawn = some.dropDuplicates(["doc_id"]).select("doc_id", "good", "o")
-    return own.join(F.broadcast(drawn), "doc_id").orderBy("o", "doc_id")
 
+@dataclass
+class Model:
+    """The words that have a feature, one a line, both views, and what joins their calibrated logits."""
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> Model | None:
-    """The model, or None where there are no labelled documents of both kinds."""
-    drawn = _sample(docs, labels, labelled, unlabelled)
-    kind = T.StructType([T.StructField("good", T.BooleanType()), T.StructField("marks", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("page", T.ArrayType(T.IntegerType()))])
-
-    def features(batches):
-        import pyarrow as pa
-
-        for part in chunks(batches, 4):
-            cols = [c.to_pylist() for c in part.columns]
-            text = [content(t or b"") for t in cols[4]]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([m for m, _ in text], pa.list_(pa.int32())), pa.array([sorted(w) for _, w in text], pa.list_(pa.binary())), pa.array(list(map(metadata, *cols[1:4])), pa.list_(pa.int32()))],
-                ["good", "marks", "words", "page"],
-            )
-
-    found = drawn.select("good", "lang", "source", "n_chars", "text").mapInArrow(features, kind)
-    # document frequencies by class come first, so that only words that tell the classes apart reach the driver
-    n_good, n_bad = (found.where(F.col("good") == x).count() for x in (True, False))
-    if not n_good or not n_bad:
-        return None
-    df = found.where("good is not null").select("good", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).where("g + b >= 8")
-    p, q = F.col("g") / n_good, F.col("b") / n_bad
-    spread = F.abs(p - q) / F.sqrt((F.col("g") + F.col("b")) * F.lit(1.0) / (n_good * 1.0 * n_bad) + 1e-12)
-    words = {bytes(r.w): _STYLES * _BINS + i for i, r in enumerate(df.orderBy(spread.desc(), "w").limit(WORDS).collect())}
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(words)
-
-    def kept(batches):
-        import pyarrow as pa
-
-        ids = sent.value
-        for b in batches:
-            rows = [m + sorted(ids[w] for w in ids.keys() & set(ws)) for m, ws in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(3)], ["good", "text", "page"])
-
-    rows = found.mapInArrow(kept, "good boolean, text array<int>, page array<int>").collect()
-    text, page = ([np.array(getattr(r, k), np.int64) for r in rows] for k in ("text", "page"))
-    good = np.array([-1 if r.good is None else int(r.good) for r in rows])
-    known = np.flatnonzero(good >= 0)
-    aside, learn = known[::4], np.delete(known, np.s_[::4])
-    if len(set(good[learn])) < 2 or len(set(good[aside])) < 2:
-        aside = learn = known
-    return _cotrain(words, text, page, good, learn, aside, np.flatnonzero(good < 0), rounds)
+    words: str
+    text: View
+    page: View
+    joint: tuple[float, float, float]
 
 
-def _cotrain(words, text, page, good, learn, aside, pool, rounds) -> Model:
-    views = ((text, _STYLES * _BINS + len(words)), (page, 2 * HASHED + 16))
-    own = [{int(i): int(good[i]) for i in learn} for _ in views]
-    rest = set(pool.tolist())
-    for turn in range(rounds + 1):
-        fitted = []
-        for (rows, size), marks in zip(views, own):
-            at = list(marks)
-            y = np.array([marks[i] for i in at])
-            # pseudo-labels weigh half
-            weight = np.array([1.0 if good[i] >= 0 else 0.5 for i in at])
-            fitted.append(Logistic.fit([rows[i] for i in at], y, size, weight))
-        if turn == rounds:
-            break
-        for k, (rows, _) in enumerate(views):
-            free = np.array(sorted(rest), np.int64)
-            if not len(free):
-                break
-            p = 1 / (1 + np.exp(-np.clip(fitted[k].logits([rows[i] for i in free]), -30, 30)))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")[:EACH]
-            for i in free[order[np.abs(p[order] - 0.5) > 0.45]].tolist():
-                own[1 - k][i] = int(p[np.searchsorted(free, i)] > 0.5)
-                rest.discard(i)
-    z = [f.logits([rows[i] for i in aside]) for f, (rows, _) in zip(fitted, views)]
-    # a logistic fit on both logits, drawn to the text's own; Newton's steps, halved until the loss falls
-    x, y, start = np.stack([*z, np.ones(len(aside))], axis=1), good[aside], np.array([1.0, 0.0, 0.0])
+def _newton(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A logistic fit drawn to ``start``, by Newton's steps, halved until the loss falls."""
     loss = lambda w: np.logaddexp(0, np.where(y == 1, -(x @ w), x @ w)).sum() + 0.5 * ((w - start) ** 2).sum()
     w = start
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(3), x.T @ (p - y) + w - start)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(x.shape[1]), x.T @ (p - y) + w - start)
         while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
             step = step / 2
         w = w - step
-    return Model(words, *fitted, tuple(w))
+    return w
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with __content, __metadata (each view's probability of a good document), __score (theirs joined)."""
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("__content", "__metadata", "__score")]])
-    if model is None:
-        return docs.withColumns({n: F.lit(1.0) for n in ("__content", "__metadata", "__score")})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = [names.index(x) for x in ("text", "lang", "source", "n_chars")]
+def _page_features() -> Column:
+    """A page's language, source and both together, hashed, as two bytes each; nulls have features of their own."""
+    known = lambda name: F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+    parts = [known("lang"), known("source"), F.concat(known("lang"), F.lit("\n"), known("source"))]
+    packed = []
+    for k, part in enumerate(parts):
+        f = F.crc32(part.cast("binary")) % HASHED + k * HASHED
+        packed += [F.lpad(F.hex(f % 256), 2, "0"), F.lpad(F.hex(F.floor(f / 256)), 2, "0")]
+    return F.unhex(F.concat(*packed))
 
-    def each(batches):
-        import pyarrow as pa
 
-        m = sent.value
-        for part in chunks(batches, at[0]):
-            a = m.text.logits([m.content(t or b"") for t in part.column(at[0]).cast(pa.binary()).to_pylist()])
-            b = m.page.logits([np.array(metadata(*x)) for x in zip(*(part.column(i).to_pylist() for i in at[1:]))])
-            p = lambda z: pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*part.columns, p(a), p(b), pa.array(m.score(a, b))], [*names, "__content", "__metadata", "__score"])
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u2").astype(np.int64)
 
-    return docs.mapInArrow(each, schema)
 
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """The model, or None where there are no labelled documents of both kinds."""
+    spark = docs.sparkSession
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+        F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
+    )
+    own = numbered(docs.select("doc_id", "lang", "source", text_bytes().alias("text")))
+    # one row for each id; ids alone are sorted
+    drawn = own.select("row", "doc_id").join(marks, "doc_id").groupBy("doc_id").agg(F.min("row").alias("row"), F.min("good").alias("good"))
+    some = sorted(((r.o, str(r.doc_id), r.row, r.good) for r in drawn.withColumn("o", F.xxhash64(F.lit(7), "doc_id")).orderBy("o", "doc_id").limit(labelled).collect()), key=lambda r: r[:2])
+    good = np.array([int(r[3]) for r in some])
+    if len(set(good.tolist())) < 2:
+        return None
+    sample = F.broadcast(spark.createDataFrame([(r[2], bool(r[3])) for r in some], "row long, good boolean"))
+    told = kernels.apply(own.select("row", "text").join(sample, "row").select("good", "text"), "TextWords", "good boolean, words array<binary>")
+    n_good, n_bad = int(good.sum()), int(len(good) - good.sum())
+    df = told.select("good", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).where(F.col("g") + F.col("b") >= SEEN)
+    p, q = F.col("g") / n_good, F.col("b") / n_bad
+    spread = F.abs(p - q) / F.sqrt((F.col("g") + F.col("b")) * F.lit(1.0) / (n_good * 1.0 * n_bad) + 1e-12)
+    words = "\n".join(bytes(r.w).decode("latin-1") for r in df.orderBy(spread.desc(), "w").limit(WORDS).collect())
+    features = written(own.select("row", F.xxhash64("doc_id", "lang", "source").alias("tie"), kernels.function(spark, "TextFeatures", "binary", words)("text").alias("text"), _page_features().alias("page")))
+    rows = {r.row: (_unpacked(r.text), _unpacked(r.page)) for r in features.join(sample, "row").select("row", "text", "page").collect()}
+    text, page = ([rows[r[2]][k] for r in some] for k in (0, 1))
+    model = _cotrain(spark, words, text, page, good, features.join(sample, "row", "left_anti"), rounds)
+    removed(features)
+    return model
 
-def classify(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """``docs`` with __content, __metadata and __score, for every row; see train() for the bounds.
+
+def _cotrain(spark, words: str, text: list, page: list, good: np.ndarray, pool: DataFrame, rounds: int) -> Model:
+    known = np.arange(len(good))
+    aside, learn = known[::4], np.delete(known, np.s_[::4])
+    if len(set(good[learn])) < 2 or len(set(good[aside])) < 2:
+        aside = learn = known
+    sizes = (STYLE + len(words.split("\n")) if words else STYLE, 3 * HASHED)
+    seen = (text, page)
+    # each view's rows to learn from: features, verdict, weight
+    own = [[(rows[i], int(good[i]), 1.0) for i in learn] for rows in seen]
+    taken: list[int] = []
+    for turn in range(rounds + 1):
+        views = []
+        for rows, size, marks in zip(seen, sizes, own):
+            plain = Logistic.fit([m[0] for m in marks], np.array([m[1] for m in marks]), size, np.array([m[2] for m in marks]))
+            z = plain.logits([rows[i] for i in aside])
+            scale, shift = _newton(np.stack([z, np.ones(len(aside))], axis=1), good[aside], np.array([1.0, 0.0]))
+            views.append(View(plain, float(scale), float(shift)))
+        if turn == rounds:
+            break
+        least = float(np.log(SURE / (1 - SURE)))
+        for k, (view, name) in enumerate(zip(views, ("text", "page"))):
+            z = pool.withColumn("z", view.column(spark, F.col(name)))
+            for kind, order, sure in ((1, F.col("z").desc(), F.col("z") > least), (0, F.col("z").asc(), F.col("z") < -least)):
+                best = z.where(sure).orderBy(order, "tie", "row").limit(EACH + len(taken)).select("row", "text", "page").collect()
+                fresh = [r for r in best if r.row not in set(taken)][:EACH]
+                taken += [r.row for r in fresh]
+                # pseudo-labels weigh half
+                own[1 - k] += [(_unpacked(r.page if k == 0 else r.text), kind, 0.5) for r in fresh]
+    x = np.stack([*(v.logits([rows[i] for i in aside]) for v, rows in zip(views, seen)), np.ones(len(aside))], axis=1)
+    return Model(words, *views, tuple(_newton(x, good[aside], np.array([1.0, 0.0, 0.0]))))
+
+
+def scored(docs: DataFrame, model: Model | None, into: tuple[str, str, str] = ("__content", "__metadata", "__score")) -> DataFrame:
+    """``docs`` with each view's calibrated chance of a good document and theirs joined, in columns named by ``into``."""
+    if set(into) & set(docs.columns):
+        raise ValueError(f"a column of {into} is there already")
+    if model is None:
+        return docs.withColumns({n: F.lit(1.0) for n in into})
+    spark = docs.sparkSession
+    a, b = (free(docs.columns, n) for n in ("text_logit", "page_logit"))
+    features = kernels.function(spark, "TextFeatures", "binary", model.words)(text_bytes())
+    out = docs.withColumns({a: model.text.column(spark, features), b: model.page.column(spark, _page_features())})
+    chance = lambda z: 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    u, v, w = model.joint
+    return out.withColumns({into[0]: chance(F.col(a)), into[1]: chance(F.col(b)), into[2]: chance(u * F.col(a) + v * F.col(b) + w)}).drop(a, b)
+
+
+def classify(docs: DataFrame, labels: DataFrame, into: tuple[str, str, str] = ("__content", "__metadata", "__score"), **bounds) -> DataFrame:
+    """``docs`` with three more columns named by ``into``, for every row; see scored(), and train() for the bounds.
 
     A good document is one labelled of quality 1 and not toxic; a document labelled more than once must be good each
     time. Null and empty texts are documents without words. Where labels of both kinds are missing every document
-    scores 1. Repeated rows score alike, an empty table gives none, other columns stay.
+    scores 1. Repeated rows score alike, an empty table gives none, other columns stay. Names of ``into`` that the
+    documents have already are an error.
     """
-    return scored(docs, train(docs, labels, **bounds))
+    return scored(docs, train(docs, labels, **bounds), into)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their own columns."""
-    return classify(docs, labels, **bounds).where(F.col("__score") >= threshold).drop("__content", "__metadata", "__score")
+    """The rows of ``docs`` that score at least ``threshold``, with their own columns, whatever these are called.
+
+    Nulls, empty texts, repeated rows and empty tables are as in classify().
+    """
+    into = tuple(free(docs.columns, n) for n in ("content", "metadata", "score"))
+    return classify(docs, labels, into, **bounds).where(F.col(into[2]) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -121,14 +121,9 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_quality_classifier")
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select(
-        "doc_id",
-        F.col("__content").alias("content_score"),
-        F.col("__metadata").alias("metadata_score"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= 0.5).alias("accepted"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = quality.classify(docs, table(spark, sf_dir, "labels"), ("content_score", "metadata_score", "score"))
+    return found.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= 0.5).alias("accepted"))
 
 
 @register("op10_nearest_neighbours")
