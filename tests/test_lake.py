@@ -119,6 +119,35 @@ def test_maintenance(spark, tmp_path):
     assert {r.ts_code: r.status for r in diff} == {"a": "mismatch", "b": "ok"}
 
 
+def test_writes_that_fail_leave_what_was_there(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, str(tmp_path))
+    bars = spark.createDataFrame([("a", date(2023, 1, 3), 1.0), ("b", date(2024, 1, 3), 2.0)], "ts_code string, trade_date date, close double")
+    lake.write("bars_daily", bars)
+    before, moves = sorted(map(tuple, lake.read("bars_daily").collect())), []
+    move = Lake._moved
+
+    def breaks(self, was, now):
+        moves.append(now)
+        if len(moves) == 4:
+            raise OSError("the disk is gone")
+        return move(self, was, now)
+
+    monkeypatch.setattr(Lake, "_moved", breaks)
+    with pytest.raises(OSError):
+        lake.write("bars_daily", bars.withColumn("close", F.lit(9.0)), "replace")
+    monkeypatch.undo()
+    assert len(moves) > 4 and sorted(map(tuple, lake.read("bars_daily").collect())) == before
+    assert {r.dataset: r.status for r in lake.verify().collect()}["bars_daily"] == "ok"
+    # a repeat under one tag leaves one set of files
+    for _ in range(2):
+        lake.write("bars_daily", bars, tag="batch-1")
+    assert lake.read("bars_daily").count() == 4 and lake.write("bars_daily", bars.limit(0), "replace")["rows"] == 0
+    big = lake.dedupe("bars_daily", apply=True, max_rows=1).collect()
+    assert {r.status for r in big} == {"too large"} and lake.read("bars_daily").count() == 4
+    told = lake.scan_report("bars_daily", [P("trade_date", ">=", date(2024, 1, 1)), P("ts_code", "=", "b")], ["close"])
+    assert told["rows"] == 2 and told["files_read"] == 2 < told["files"] and "EqualTo(ts_code,b)" in told["pushed"]
+
+
 def test_migration(spark):
     d = market_registry()["bars_1m"]
     old = spark.createDataFrame([("a", datetime(2024, 1, 2, 9, 31), float("nan"), 7.0, 5000.0)], "code string, datetime timestamp_ntz, open double, volume double, amount double")
@@ -149,7 +178,10 @@ def test_imports(spark, tmp_path):
     importer = ingest.Importer(lake, fake)
     importer.run(spec, date(2024, 1, 1), date(2024, 2, 29))
     importer.run(spec, date(2024, 1, 1), date(2024, 2, 29))  # resumes after all of it
-    assert len(fake.calls) == 2 and lake.read("namechange").count() == 2
+    assert lake.ledger("namechange").count() == 2 and lake.read("namechange").count() == 2
+    for _ in range(2):  # a snapshot replaces the one before
+        ingest.Importer(lake, Fake(lambda p: remote.Page(names, given[p["list_status"]]))).run(ingest.imports(2024)["stock_basic"])
+    assert lake.read("stock_basic").count() == 3 and {r.dataset: r.status for r in lake.verify().collect()}["stock_basic"] == "ok"
     for page_ in (remote.Page(["a"], [[1]], count=5000), remote.Page(["a"], [[1]] * 5, limit=5)):
         with pytest.raises(remote.SourceError):
             remote.complete(page_)
@@ -168,6 +200,11 @@ def test_sources(spark, monkeypatch):
     http = remote.Http("http://x", token="${SECRET}", limit=4000, tries=4, pause=0, transport=service)
     assert http.call("daily").items == [[1]] and asked == [4000, 4000, 2000]
     assert remote.envelope('[{"a": 1}, {"a": 2, "b": 3}]').items == [[1, None], [2, 3]]
+    assert [remote.kind_of(*x) for x in ((400, "exceeds the limit"), (503, "too large"), (503, "down"), (429, ""), (404, "too large"), (200, "limit"))] == ["halve", "halve", "transient", "transient", "fatal", "fatal"]
+    answers = [(503, '{"ok": false, "error": "busy"}'), (400, '{"code": 9, "msg": "no", "detail": "exceeds the limit"}'), (200, good)]
+    assert remote.Http("http://x", pause=0, transport=lambda *a: answers.pop(0)).call("daily").items == [[1]]
+    with pytest.raises(remote.SourceError, match="denied: ask first"):
+        remote.Http("http://x", pause=0, transport=lambda *a: (200, '{"ok": false, "error": "denied", "message": "ask first"}')).call("daily")
     for bad in ('{"code": 1, "msg": "bad token"}', '{"data": {"fields": [], "items": [], "meta": {"sample": true}}}', '"x"'):
         with pytest.raises(remote.SourceError):
             remote.envelope(bad)

@@ -26,14 +26,15 @@ def drawdowns(nav: DataFrame, run: str = "run_id", at: str = "trade_date", value
 
 
 def metrics(nav: DataFrame, run: str = "run_id", at: str = "trade_date", value: str = "value", year: float = YEAR) -> DataFrame:
-    """One row a run: returns, volatility, ratios, the deepest drawdown and its dates. Runs of one value give none."""
+    """One row a run: returns, volatility, ratios, the deepest drawdown and its dates. Runs of one value give none; a run that
+    starts at zero has null returns."""
     rows = drawdowns(nav, run, at, value)
     root = F.sqrt(F.lit(float(year)))
     m, s = F.avg("ret"), stats.population_std(F.col("ret"))
     down = F.sqrt(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret"))))
     out = rows.groupBy(run).agg(
         F.count("*").alias("n"),
-        (F.max_by(value, at) / F.min_by(value, at)).alias("growth"),
+        F.try_divide(F.max_by(value, at), F.min_by(value, at)).alias("growth"),
         m.alias("mean"),
         s.alias("sd"),
         down.alias("down"),
@@ -63,7 +64,7 @@ def against_benchmark(nav: DataFrame, run: str = "run_id", at: str = "trade_date
     r = lambda c: F.when(F.lag(c).over(order) > 0, F.col(c) / F.lag(c).over(order) - 1)
     rows = nav.withColumns({"r": r(value), "b": r(benchmark)}).withColumn("a", F.col("r") - F.col("b"))
     out = rows.groupBy(run).agg(
-        (F.max_by(value, at) / F.min_by(value, at) - F.max_by(benchmark, at) / F.min_by(benchmark, at)).alias("excess_return"),
+        (F.try_divide(F.max_by(value, at), F.min_by(value, at)) - F.try_divide(F.max_by(benchmark, at), F.min_by(benchmark, at))).alias("excess_return"),
         F.avg("a").alias("ma"),
         stats.population_std(F.col("a")).alias("sa"),
         stats.population_covariance("r", "b").alias("cov"),

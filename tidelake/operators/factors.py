@@ -22,7 +22,7 @@ from tidelake.operators import stats
 #: Factor kinds with their parameters as (name, type, default), and the fields of the ``field`` kind.
 KINDS = {
     "momentum": (("window", "int", 20),),
-    "reversal": (("window", "int", 20),),
+    "reversal": (("window", "int", 5),),
     "volatility": (("window", "int", 20),),
     "turnover": (("window", "int", 20),),
     "size": (("log", "bool", True),),
@@ -47,8 +47,10 @@ class Factor:
 
     @property
     def window(self) -> int:
-        w = int(self.params.get("window", 20))
-        return w if w > 0 else 20
+        """The parameter if it is positive, else the kind's default."""
+        otherwise = next((d for n, _, d in KINDS[self.kind] if n == "window"), 20)
+        w = int(self.params.get("window", otherwise))
+        return w if w > 0 else otherwise
 
     def validate(self) -> None:
         if not self.id.strip() or not self.name.strip():

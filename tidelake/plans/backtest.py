@@ -7,14 +7,17 @@ group of its bars, in one task, and the results are tables.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelake.functions.market import VALUATION
-from tidelake.plans.broker import Bar, Broker, CorporateAction, Rules, lot
+from tidelake.plans.broker import EXPIRED, Bar, Broker, CorporateAction, Rules, lot
 
 PRICES = ("open", "high", "low", "close", "volume", "amount")
 
@@ -30,14 +33,38 @@ class Market:
     names: dict[str, str] = field(default_factory=dict)
     listed: dict[str, tuple[str | None, str | None]] = field(default_factory=dict)
 
-    @property
+    @cached_property
     def times(self) -> list[str]:
+        """All points of time, ascending; bars don't change once a run has begun."""
         return sorted(self.bars)
 
+    @cached_property
+    def series(self) -> dict[str, tuple[list[str], list[Bar]]]:
+        """Each security's times, ascending, and its bars at them."""
+        out: dict[str, tuple[list[str], list[Bar]]] = {}
+        for t in self.times:
+            for s, bar in self.bars[t].items():
+                times, bars = out.setdefault(s, ([], []))
+                times.append(t)
+                bars.append(bar)
+        return out
+
+    @cached_property
+    def _factor_days(self) -> dict[str, list[str]]:
+        return {s: [d for d, _ in known] for s, known in self.factors.items()}
+
     def factor(self, security: str, day: str) -> float:
         """The latest factor by a day, else the earliest, else one."""
         known = self.factors.get(security)
-        return next((f for d, f in reversed(known) if d <= day[:10]), known[0][1]) if known else 1.0
+        if not known:
+            return 1.0
+        return known[max(0, bisect_right(self._factor_days[security], day[:10]) - 1)][1]
+
+    def close_at(self, security: str, time: str) -> float:
+        """The last close by a time; NaN before the first."""
+        times, bars = self.series.get(security, ([], []))
+        at = bisect_right(times, time) - 1
+        return bars[at].close if at >= 0 else float("nan")
 
 
 @dataclass(frozen=True)
@@ -161,7 +188,8 @@ class Context:
         have no bars at all.
         """
         some = [securities] if isinstance(securities, str) else list(securities)
-        times = [t for t in self.market.times if t < self.clock or (include and t == self.clock)][-count:]
+        end = (bisect_right if include else bisect_left)(self.market.times, self.clock)
+        times = self.market.times[max(0, end - count) : end]
         return {s: self._series(s, times, field if field in PRICES else "close", fq) for s in some}
 
     @property
@@ -169,17 +197,18 @@ class Context:
         return self.now if self.config.frequency == "1m" and self.now else self.day
 
     def _series(self, security: str, times: list[str], name: str, fq: str | None) -> list[float]:
-        known = [t for t in self.market.times if security in self.market.bars[t]]
+        known, bars = self.market.series.get(security, ([], []))
         out = []
+        at = bisect_left(known, times[0]) if times else 0
         for t in times:
-            bar = self.market.bars[t].get(security)
-            if bar is not None:
-                v = getattr(bar, name)
+            while at < len(known) and known[at] < t:
+                at += 1
+            if at < len(known) and known[at] == t:
+                v = getattr(bars[at], name)
             elif not known:
                 v = 0.0
             else:
-                last = next((k for k in reversed(known) if k < t), None)
-                v = float("nan") if last is None else 0.0 if name in ("volume", "amount") else self.market.bars[last][security].close
+                v = float("nan") if at == 0 else 0.0 if name in ("volume", "amount") else bars[at - 1].close
             if fq in ("post", "hfq", "q", "pre", "qfq"):
                 v *= self.market.factor(security, t)
             if fq in ("pre", "qfq"):
@@ -187,12 +216,29 @@ class Context:
             out.append(v)
         return out
 
+    def get_history(self, count: int, frequency: str = "1d", fields: str | list[str] = "close", securities=None, fq: str | None = None, include: bool = False, shape: str = "table"):
+        """``history`` of several fields: a pandas table of (code, time, fields), or by ``shape`` "dict" arrays by code and field."""
+        import numpy as np
+
+        if frequency not in ("1d", self.config.frequency):
+            raise ValueError(f"bars of {frequency} aren't loaded")
+        names = [fields] if isinstance(fields, str) else list(fields)
+        some = self.universe if securities is None else [securities] if isinstance(securities, str) else list(securities)
+        end = (bisect_right if include else bisect_left)(self.market.times, self.clock)
+        times = self.market.times[max(0, end - count) : end]
+        data = {s: {n: np.array(self._series(s, times, n if n in PRICES else "close", fq)) for n in names} for s in some}
+        if shape == "dict":
+            return data
+        import pandas as pd
+
+        return pd.DataFrame([{"code": s, "time": t, **{n: data[s][n][i] for n in names}} for s in some for i, t in enumerate(times)], columns=["code", "time", *names])
+
     def get_price(self, securities, start: str | None = None, end: str | None = None, field: str = "close", count: int | None = None, fq: str | None = None) -> dict[str, list[float]]:
         """Values up to ``end`` (the day before by default, never after today), ``count`` of them or, without it, one; then those from ``start``."""
         some = [securities] if isinstance(securities, str) else list(securities)
         upto = min(end or self.previous_day or "", self.day)
-        times = [t for t in self.market.times if t <= upto][-(count or 1) :]
-        times = [t for t in times if not start or t >= start]
+        end_at = bisect_right(self.market.times, upto)
+        times = [t for t in self.market.times[max(0, end_at - (count or 1)) : end_at] if not start or t >= start]
         return {s: self._series(s, times, field if field in PRICES else "close", fq) for s in some}
 
     def get_fundamentals(self, securities=None, fields=(), day: str | None = None) -> list[dict]:
@@ -230,6 +276,18 @@ class Result:
     trades: list[dict]
     orders: list[dict]
     logs: list[str]
+    summary: dict = field(default_factory=dict)
+
+
+def summary_of(nav: list[dict], trades: list[dict], orders: list[dict], capital: float) -> dict:
+    """First and last value, return on the capital, and the numbers of points of time, orders and trades."""
+    if not nav:
+        return {}
+    last = nav[-1]["value"]
+    return {
+        "start": nav[0]["time"], "end": nav[-1]["time"], "initial_value": capital, "final_value": last, "total_return": last / capital - 1 if capital else 0.0,
+        "trading_days": len(nav), "order_count": len(orders), "trade_count": len(trades),
+    }
 
 
 def simulate(strategy, config: Config, market: Market) -> Result:
@@ -248,7 +306,7 @@ def simulate(strategy, config: Config, market: Market) -> Result:
             ctx.previous_day, ctx.day, ctx.now = ctx.day, day, ""
             broker.start_day(day)
             broker.tick(f"{day} 08:30:00" if minute else f"{day} 15:00:00")
-            broker.apply([a for a in market.actions.get(day, []) if a.security in ctx.universe])
+            broker.apply(market.actions.get(day, []))  # they touch what is held, whether or not it is in the universe still
             ctx.phase = "before_trading_start"
             call("before_trading_start")
         ctx.now = t if minute else f"{day} 15:00:00"
@@ -282,38 +340,81 @@ def simulate(strategy, config: Config, market: Market) -> Result:
             if not minute:
                 nav.append(row | {"value": broker.value, "positions_value": broker.positions_value, "returns": broker.returns, "cash": broker.cash})
     orders |= {o.id: asdict(o) for o in broker.orders + broker.expired}
-    return Result(nav, [asdict(t) for t in broker.trades], list(orders.values()), ctx.logs)
+    if config.benchmark:
+        for row in nav:
+            row["benchmark"] = market.close_at(config.benchmark, row["time"])
+    trades, all_orders = [asdict(t) for t in broker.trades], list(orders.values())
+    return Result(nav, trades, all_orders, ctx.logs, summary_of(nav, trades, [o for o in all_orders if o["status"] != EXPIRED], config.capital))
 
 
-NAV = "run_id string, time string, value double, cash double, positions_value double, returns double, trades string, orders string, logs string, error string"
+NAV = "run_id string, time string, value double, cash double, positions_value double, returns double, benchmark double, trades string, orders string, logs string, summary string, error string"
+#: What the parallel runs may be given beside bars: columns that must be there.
+ACTIONS = ("allotted_ps", "rationed_ps", "rationed_px", "bonus_ps")
 
 
 def market_of(rows, code: str = "ts_code", at: str = "time") -> Market:
-    """A run's market from a pandas frame of bars; columns beyond prices count as facts, ``adj_factor`` as the factor."""
+    """A run's market from a pandas frame of bars; columns beyond prices count as facts, ``adj_factor`` as the factor.
+
+    Columns of corporate actions (and of names and listings) that are set on a row go to the actions (names, listings).
+    """
     bars: dict[str, dict[str, Bar]] = {}
     market = Market(bars)
-    extra = [c for c in rows.columns if c not in (*PRICES, code, at, "run_id", "adj_factor")]
+    about = ("name", "list_date", "delist_date")
+    extra = [c for c in rows.columns if c not in (*PRICES, code, at, "run_id", "adj_factor", *ACTIONS, *about)]
     rows = rows.sort_values([at, code], kind="stable")
+    there = lambda v: v is not None and v == v
     for r in rows.to_dict("records"):
         t, s = str(r[at]), str(r[code])
-        bars.setdefault(t, {})[s] = Bar(*(float(r[p]) if p in r and r[p] == r[p] and r[p] is not None else 0.0 for p in PRICES))
+        if there(r.get("close")):
+            bars.setdefault(t, {})[s] = Bar(*(float(r[p]) if there(r.get(p)) else 0.0 for p in PRICES))
         if extra:
             market.facts.setdefault(t[:10], {})[s] = {c: r[c] for c in extra}
-        if r.get("adj_factor") is not None:
+        if there(r.get("adj_factor")):
             market.factors.setdefault(s, []).append((t[:10], float(r["adj_factor"])))
+        if any(there(r.get(c)) for c in ACTIONS):
+            market.actions.setdefault(t[:10], []).append(CorporateAction(s, **{c: float(r[c]) if there(r.get(c)) else 0.0 for c in ACTIONS}))
+        if there(r.get("name")):
+            market.names[s] = str(r["name"])
+        if there(r.get("list_date")) or there(r.get("delist_date")):
+            market.listed[s] = tuple(str(r[c]) if there(r.get(c)) else None for c in ("list_date", "delist_date"))
     return market
 
 
-def run_many(jobs: DataFrame, bars: DataFrame, strategies: dict[str, Callable]) -> DataFrame:
-    """Results of many runs: one row for each point of time, with trades, orders and logs (JSON) on a run's last one.
+def bars_of_runs(jobs: DataFrame, bars: DataFrame, warmup: int = 365) -> DataFrame:
+    """Each run's bars with the run's columns: those of its universe (all without one) and its benchmark, from ``warmup`` days before its start to its end.
 
-    ``jobs`` has run_id, strategy, params (JSON), start, end, capital and universe (array of codes, null: all). Runs are
-    spread over tasks; a run gets the bars of its universe and dates only. A run that fails gives one row with its error.
+    Runs with a universe meet the bars by code; runs without one get all bars, by a list of their rows.
     """
-    want = jobs.select("run_id", "strategy", "params", "start", "end", "capital", "universe")
-    each = want.withColumn("ts_code", F.explode_outer("universe"))
-    # jobs are few against bars; Spark picks the side to send by size
-    data = bars.join(each, (bars["ts_code"] == each["ts_code"]) | each["ts_code"].isNull()).drop(each["ts_code"]).where(F.substring("time", 1, 10) <= F.col("end"))
+    span = F.col("time").substr(1, 10).between(F.date_sub(F.to_date("start"), warmup).cast("string"), F.col("end"))
+    if "benchmark" not in jobs.columns:
+        jobs = jobs.withColumn("benchmark", F.lit(None).cast("string"))
+    named = jobs.where("universe is not null").withColumn("ts_code", F.explode(F.array_distinct(F.concat("universe", F.when(F.col("benchmark").isNotNull(), F.array("benchmark")).otherwise(F.array().cast("array<string>"))))))
+    # one key for all: the list of such runs is exploded over the bars, which stay where they are
+    whole = jobs.where("universe is null").agg(F.collect_list(F.struct(*jobs.columns)).alias("__jobs")).withColumn("__one", F.lit(1))
+    every = bars.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one").withColumn("__job", F.explode("__jobs")).select(bars["*"], "__job.*")
+    return named.join(bars, "ts_code").select(*every.columns).unionByName(every).where(span)
+
+
+def run_many(jobs: DataFrame, bars: DataFrame, strategies: dict[str, Callable], actions: DataFrame | None = None, basics: DataFrame | None = None, warmup: int = 365) -> DataFrame:
+    """Results of many runs: one row for each point of time, with trades, orders, logs and a summary (JSON) on a run's last one.
+
+    ``jobs`` has run_id, strategy, params (JSON), start, end, capital, universe (array of codes, null: all) and, if wanted,
+    benchmark (a code among the bars, which isn't traded unless the universe has it). ``actions`` has ts_code, ex_date and
+    ACTIONS; ``basics`` has ts_code, name, list_date and delist_date. Runs are spread over tasks; a run gets the bars of its
+    universe and dates (with ``warmup`` days before) only. A run that fails gives one row with its error.
+    """
+    rows = bars
+    if basics is not None:
+        about = basics.groupBy("ts_code").agg(*[F.first(F.col(c).cast("string"), ignorenulls=True).alias(c) for c in ("name", "list_date", "delist_date")])
+        rows = rows.join(about, "ts_code", "left")
+    if actions is not None:
+        own = actions.groupBy("ts_code", F.col("ex_date").cast("string").alias("__day")).agg(*[F.sum(c).alias(c) for c in ACTIONS])
+        # an action on a day without a bar still counts: its row has no prices
+        first = rows.withColumn("__day", F.when(F.row_number().over(Window.partitionBy("ts_code", F.substring("time", 1, 10)).orderBy("time")) == 1, F.substring("time", 1, 10)))
+        rows = first.join(own, ["ts_code", "__day"], "full_outer").withColumn("time", F.coalesce("time", "__day")).drop("__day")
+    want = jobs.select("run_id", "strategy", "params", "start", "end", "capital", "universe", *[c for c in ("benchmark",) if c in jobs.columns])
+    data = bars_of_runs(want, rows, warmup)
+    columns = [(c.split()[0], c.split()[1]) for c in NAV.split(", ")]
 
     def one(key, rows):
         import pandas as pd
@@ -321,21 +422,29 @@ def run_many(jobs: DataFrame, bars: DataFrame, strategies: dict[str, Callable])
         first = rows.iloc[0]
         try:
             strategy = strategies[first.strategy](**json.loads(first.params or "{}"))
-            own = rows.drop(columns=["strategy", "params", "start", "end", "capital", "universe"])
-            codes = tuple(sorted(own.ts_code.astype(str).unique()))
+            own = rows.drop(columns=["strategy", "params", "start", "end", "capital", "universe", "benchmark"])
+            benchmark = first.benchmark if isinstance(first.benchmark, str) else ""
+            wanted = set(own.ts_code.astype(str)) if first.universe is None else set(first.universe)
+            codes = tuple(sorted(wanted - ({benchmark} if first.universe is None else set())))
             frequency = "1m" if len(str(own.time.iloc[0])) > 10 else "1d"
-            done = simulate(strategy, Config(first.start, first.end, float(first.capital), codes, frequency=frequency), market_of(own))
-            out = pd.DataFrame(done.nav).assign(run_id=key[0], trades=None, orders=None, logs=None, error=None)
+            done = simulate(strategy, Config(first.start, first.end, float(first.capital), codes, benchmark, frequency), market_of(own))
+            out = pd.DataFrame(done.nav).assign(run_id=key[0], trades=None, orders=None, logs=None, summary=None, error=None)
             if len(out):
-                out.loc[out.index[-1], ["trades", "orders", "logs"]] = [json.dumps(x) for x in (done.trades, done.orders, done.logs)]
+                out.loc[out.index[-1], ["trades", "orders", "logs", "summary"]] = [json.dumps(x) for x in (done.trades, done.orders, done.logs, done.summary)]
         except Exception as e:  # noqa: BLE001  a strategy may raise anything; other runs go on
             out = pd.DataFrame([{"run_id": key[0], "error": f"{type(e).__name__}: {e}"}])
         # plain objects, whatever text type pandas prefers
-        return out.reindex(columns=[c.split()[0] for c in NAV.split(", ")]).astype({c.split()[0]: object for c in NAV.split(", ") if c.endswith(" string")})
+        return out.reindex(columns=[c for c, _ in columns]).astype({c: object if kind == "string" else float for c, kind in columns})
 
     return data.groupBy("run_id").applyInPandas(one, NAV)
 
 
+def summaries(results: DataFrame) -> DataFrame:
+    """One row a run from run_many's results: its summary."""
+    kind = "start string, end string, initial_value double, final_value double, total_return double, trading_days long, order_count long, trade_count long"
+    return results.where("summary is not null").select("run_id", F.from_json("summary", kind).alias("s")).select("run_id", "s.*")
+
+
 def trades_of(results: DataFrame) -> DataFrame:
     """The trades of run_many's results, one row each."""
     kind = "array<struct<trade_id: long, entrust_no: long, order_id: string, security: string, side: string, amount: long, price: double, value: double, trade_time: string>>"
@@ -368,3 +477,71 @@ class JobLedger:
     def list(self) -> list[dict]:
         """Newest first."""
         return sorted((json.loads(p.read_text()) for p in self.folder.glob("*.json")), key=lambda j: j.get("created_at", ""), reverse=True)
+
+
+class Jobs:
+    """Submits backtests: at most so many at a time, the others wait their turn; states and results go to the ledger and its folder."""
+
+    def __init__(self, ledger: JobLedger, most: int = 2):
+        from concurrent.futures import ThreadPoolExecutor
+
+        self.ledger, self.pool = ledger, ThreadPoolExecutor(most)
+        self.running: dict = {}
+
+    def submit(self, strategy, config: Config, market: Market, name: str = "") -> str:
+        """Queues a run and gives its id. ``strategy`` is an object, or the source text of one (see strategy_of)."""
+        from datetime import datetime, timezone
+        from uuid import uuid4
+
+        run_id = uuid4().hex
+        job = self.ledger.put({"run_id": run_id, "name": name, "status": "queued", "created_at": datetime.now(timezone.utc).isoformat(), "config": asdict(config)})
+        self.running[run_id] = self.pool.submit(self._run, job, strategy, config, market)
+        return run_id
+
+    def _run(self, job: dict, strategy, config: Config, market: Market) -> dict:
+        self.ledger.put(job | {"status": "running"})
+        try:
+            done = simulate(strategy_of(strategy) if isinstance(strategy, str) else strategy, config, market)
+            (self.ledger.folder / f"{job['run_id']}.result").write_text(json.dumps(asdict(done)))
+            return self.ledger.put(job | {"status": "done", "summary": done.summary})
+        except Exception as e:  # noqa: BLE001  a strategy may raise anything; the ledger tells what
+            return self.ledger.put(job | {"status": "failed", "error": f"{type(e).__name__}: {e}"})
+
+    def wait(self, run_id: str) -> dict:
+        return self.running[run_id].result()
+
+    def result(self, run_id: str) -> dict | None:
+        path = self.ledger.folder / f"{run_id}.result"
+        return json.loads(path.read_text()) if path.exists() else None
+
+
+class _Source:
+    """A strategy from source text: its functions take the context; orders and look-ups are also functions by themselves."""
+
+    def __init__(self, functions: dict, names: dict):
+        self.functions, self.names = functions, names
+
+    def __getattr__(self, name):
+        if name not in ("initialize", "handle_data", "before_trading_start", "after_trading_end") or name not in self.__dict__["functions"]:
+            raise AttributeError(name)
+        f = self.functions[name]
+
+        def call(ctx, *args):
+            # the text calls order(...) where an object would call ctx.order(...)
+            for n in dir(Context):
+                if not n.startswith("_") and callable(getattr(Context, n)):
+                    self.names.setdefault(n, getattr(ctx, n))
+            self.names["g"] = ctx.g
+            return f(ctx, *args)
+
+        return call
+
+
+def strategy_of(source: str) -> _Source:
+    """A strategy from the text of a module with initialize(context) and handle_data(context, data).
+
+    The text runs with the rights of this process: it must come from whoever may run code here.
+    """
+    names: dict = {"__name__": "strategy"}
+    exec(compile(source, "strategy", "exec"), names)  # noqa: S102
+    return _Source({k: v for k, v in names.items() if callable(v)}, names)

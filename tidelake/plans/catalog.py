@@ -24,7 +24,7 @@ E_SQL = """e AS (SELECT user_id AS ts_code, CAST(ts AS DATE) AS trade_date, firs
     min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS vol, round(sum(value), 6) AS amount FROM events GROUP BY 1, 2)"""
 S_SQL = """s AS (SELECT l_suppkey AS ts_code, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date,
     round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, round(sum(l_quantity), 6) AS vol, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1, 2)"""
-C_SQL = E_SQL + """, c AS (SELECT *, coalesce((close / lag(close) OVER w - 1) * 100, 0) AS pct_chg, vol / 10 AS turnover_rate, amount * 3 AS total_mv
+C_SQL = E_SQL + """, c AS (SELECT *, coalesce((close / nullif(lag(close) OVER w, 0) - 1) * 100, 0) AS pct_chg, vol / 10 AS turnover_rate, amount * 3 AS total_mv
     FROM e WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date))"""
 
 
@@ -62,7 +62,7 @@ def cross_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E with the inputs of all factor kinds."""
     own = Window.partitionBy("ts_code").orderBy("trade_date")
     return e_panel(spark, sf_dir).withColumns({
-        "pct_chg": F.coalesce((F.col("close") / F.lag("close").over(own) - 1) * 100, F.lit(0.0)),
+        "pct_chg": F.coalesce((F.try_divide("close", F.lag("close").over(own)) - 1) * 100, F.lit(0.0)),
         "turnover_rate": F.col("vol") / 10,
         "total_mv": F.col("amount") * 3,
     })

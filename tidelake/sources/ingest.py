@@ -26,6 +26,7 @@ class Import:
     mode: str
     fields: str
     slices: tuple[dict, ...] = ({},)
+    partition_from: str = ""
     date_param: str = ""
     window_days: int = 31
 
@@ -39,9 +40,9 @@ def imports(last_year: int) -> dict[str, Import]:
     return {
         i.dataset: i
         for i in (
-            Import("stock_basic", "snapshot", "ts_code,symbol,name,area,industry,fullname,enname,cnspell,market,exchange,curr_type,list_status,list_date,delist_date,is_hs,act_name,act_ent_type", tuple({"list_status": s} for s in "LDP")),
-            Import("trade_cal", "snapshot", "exchange,cal_date,is_open,pretrade_date", tuple(years)),
-            Import("index_basic", "snapshot", "ts_code,name,fullname,market,publisher,index_type,category,base_date,base_point,list_date", tuple({"market": m} for m in ("SSE", "SZSE", "CSI", "CNI", "SW"))),
+            Import("stock_basic", "snapshot", "ts_code,symbol,name,area,industry,fullname,enname,cnspell,market,exchange,curr_type,list_status,list_date,delist_date,is_hs,act_name,act_ent_type", ({"list_status": "L"}, {"list_status": "D"}, {"list_status": "P"}), "list_status"),
+            Import("trade_cal", "snapshot", "exchange,cal_date,is_open,pretrade_date", tuple(years), "exchange"),
+            Import("index_basic", "snapshot", "ts_code,name,fullname,market,publisher,index_type,category,base_date,base_point,list_date", tuple({"market": m} for m in ("SSE", "SZSE", "CSI", "CNI", "SW")), "market"),
             Import("stk_limit", "date", "ts_code,trade_date,pre_close,up_limit,down_limit", date_param="trade_date"),
             Import("suspend_d", "window", "ts_code,trade_date,suspend_timing,suspend_type"),
             Import("namechange", "window", "ts_code,name,start_date,end_date,ann_date,change_reason"),
@@ -91,20 +92,31 @@ class Importer:
         self.lake, self.source = lake, source
 
     def _rows(self, spec: Import, calls: list[dict]) -> DataFrame:
-        """The calls' rows as text, in the calls' order."""
-        names, items = spec.fields.split(","), []
-        for k, params in enumerate(calls):
-            page = complete(self.source.call(spec.dataset, params, spec.fields))
-            at = [page.fields.index(n) if n in page.fields else None for n in names]
-            items += [[None if i is None or r[i] is None else str(r[i]) for i in at] + [k * 10**9 + j] for j, r in enumerate(page.items)]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__seq", T.LongType())])
-        return self.lake.spark.createDataFrame(items, schema)
+        """The calls' rows as text, numbered in the calls' order. Executors make the calls, one to a partition."""
+        names, source, api = spec.fields.split(","), self.source, spec.dataset
+        fields = spec.fields
+
+        def fetched(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k, params in zip(*(c.to_pylist() for c in batch.columns)):
+                    page = complete(source.call(api, json.loads(params), fields))
+                    at = [page.fields.index(n) if n in page.fields else None for n in names]
+                    text = [[None if i is None or r[i] is None else str(r[i]) for r in page.items] for i in at]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(t, pa.string()) for t in text), pa.array(range(k * 10**9, k * 10**9 + len(page.items)), pa.int64())], [*names, "__seq"])
+
+        spark = self.lake.spark
+        asked = spark.createDataFrame([(k, json.dumps(p)) for k, p in enumerate(calls)], "k long, params string").repartitionByRange(len(calls), "k")
+        return asked.mapInArrow(fetched, T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__seq", T.LongType())]))
 
     def _store(self, spec: Import, rows: DataFrame, label: str, replace: bool) -> dict:
         d = self.lake.registry[spec.dataset]
         own = typed(rows, d)
         if d.primary_key:
             own = keep_first(own, list(d.primary_key), ["__seq"])
+        if d.partitions and spec.partition_from:
+            own = own.withColumn(d.partitions[0], F.coalesce(F.col(spec.partition_from).cast("string"), F.lit("")))
         own = own.drop("__seq")
         return self.lake.write(spec.dataset, own, "replace" if replace else "append", "import", notes=label)
 
@@ -113,9 +125,13 @@ class Importer:
         return {r.notes for r in self.lake.ledger(dataset).where("operation = 'import'").select("notes").distinct().collect()}
 
     def run(self, spec: Import, start: date | None = None, end: date | None = None, replace: bool = False, resume: bool = True) -> list[dict]:
-        """Imports; windows that are in the ledger already are left out."""
+        """Imports; windows that are in the ledger already are left out.
+
+        A snapshot holds all there is, so it replaces what the dataset (or those of its partitions that it has) held:
+        running it again changes nothing.
+        """
         if spec.mode == "snapshot":
-            return [self._store(spec, self._rows(spec, list(spec.slices)), "snapshot", replace)]
+            return [self._store(spec, self._rows(spec, list(spec.slices)), "snapshot", True)]
         span = windows(start, end, 1 if spec.mode == "date" else spec.window_days)
         done, out = self.done(spec.dataset) if resume else set(), []
         for slice_ in spec.slices:

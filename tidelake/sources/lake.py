@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.operators import predicates as P
 from tidelake.operators.timeseries import keep_first
@@ -30,7 +31,10 @@ class Lake:
 
     def files(self, dataset: str) -> list[tuple[str, int]]:
         """(path, bytes) of a dataset's Parquet files, from the file system's listing."""
-        fs, p = self._fs(self.path(dataset))
+        return self._listed(self.path(dataset))
+
+    def _listed(self, path: str) -> list[tuple[str, int]]:
+        fs, p = self._fs(path)
         if not fs.exists(p):
             return []
         found, out = fs.listFiles(p, True), []
@@ -107,44 +111,73 @@ class Lake:
             raise ValueError(f"{dataset}: rows lack the partitions {missing}")
         return out
 
-    def write(self, dataset: str, rows: DataFrame, mode: str = "append", operation: str = "import", source: str = "", notes: str = "") -> dict:
+    def write(self, dataset: str, rows: DataFrame, mode: str = "append", operation: str = "import", source: str = "", notes: str = "", tag: str = "", arranged: bool = False) -> dict:
         """Writes rows sorted by the dataset's key, within files of one partition; ``replace`` replaces the partitions that the rows have.
 
-        The ledger gets the rows that the dataset gained, so that its sum is what the files hold.
+        Files are whole in a staging folder before any of them is moved in. What they replace is moved to a backup and
+        comes back if a move fails. Files of an earlier attempt with the same ``tag`` go first, so that a repeat leaves one
+        set. The ledger gets the rows that the dataset gained, so that its sum is what the files hold; only files that
+        come or go are counted, by their footers.
         """
         d = self.registry[dataset]
         out = self.partitioned(dataset, rows)
-        before = {f for f, _ in self.files(dataset)}
-        replaced = self.read(dataset).count() if mode != "append" else 0
-        # large partitions take several tasks: rows of a partition are dealt by its first key, too
-        keys = [*d.partitions, *[k for k in d.sorted_by[:1] if d.partitions]]
-        if keys:
-            out = out.repartition(*keys) if mode != "single" else out
-        out = out.sortWithinPartitions(*d.partitions, *d.sorted_by)
-        writer = out.write.mode("append" if mode == "append" else "overwrite").option("compression", "zstd").option("maxRecordsPerFile", d.target_file_rows)
+        if not arranged:
+            # large partitions take several tasks: rows of a partition are dealt by its first key, too
+            keys = [*d.partitions, *[k for k in d.sorted_by[:1] if d.partitions]]
+            out = out.repartition(*keys) if keys else out
+            out = out.sortWithinPartitions(*d.partitions, *d.sorted_by)
+        batch = uuid.uuid4().hex
+        staged, backup = f"{self.root}/.staging/{batch}", f"{self.root}/.backup/{batch}"
+        writer = out.write.option("compression", "zstd").option("maxRecordsPerFile", d.target_file_rows)
         writer = writer.option("parquet.block.size", max(1 << 20, d.row_group_rows * 16 * len(d.fields)))
         if d.partitions:
-            writer = writer.partitionBy(*d.partitions).option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path(dataset))
-        new = [f for f, _ in self.files(dataset) if f not in before]
-        if mode == "append":
-            return self.log(dataset, operation, self.spark.read.schema(d.schema(False)).parquet(*new).count() if new else 0, new, source, notes)
-        self.spark.catalog.refreshByPath(self.path(dataset))
-        return self.log(dataset, operation, self.read(dataset).count() - replaced, new, source, notes)
-
-    def rewrite(self, dataset: str, rows: DataFrame, operation: str, notes: str = "") -> dict:
-        """Replaces partitions by rows that were read from them: the new files are whole before the old ones go."""
-        d = self.registry[dataset]
-        staged = f"{self.root}/.staging/{uuid.uuid4().hex}"
-        self.partitioned(dataset, rows).write.parquet(staged)
+            writer = writer.partitionBy(*d.partitions)
+        home = self.path(dataset)
         try:
-            back = self.spark.read.parquet(staged)
-            for p in d.partitions:
-                back = back.withColumn(p, F.col(p).cast("string"))
-            return self.write(dataset, back, "replace", operation, notes=notes)
+            writer.parquet(staged)
+            new = self._listed(staged)
+            gained = self._count([f for f, _ in new], d)
+            new = new if gained else []
+            parts = {self._folder(f, staged) for f, _ in new}
+            gone = [f for f, _ in self.files(dataset) if (mode == "replace" and self._folder(f, home) in parts) or (tag and f.rpartition("/")[2].startswith(f"{tag}-"))]
+            lost = self._count(gone, d) if gone else 0
+            moved: list[tuple[str, str]] = []
+            try:
+                for f in gone:
+                    moved.append(self._moved(f, f"{backup}{self._folder(f, home)}/{f.rpartition('/')[2]}"))
+                for f, _ in new:
+                    moved.append(self._moved(f, f"{home}{self._folder(f, staged)}/{tag + '-' if tag else ''}{f.rpartition('/')[2]}"))
+            except Exception:
+                for was, now in reversed(moved):
+                    self._moved(now, was)
+                raise
+            self.spark.catalog.refreshByPath(home)
+            files = [now for was, now in moved[len(gone) :]]
+            return self.log(dataset, operation, gained - lost, files, source, notes)
         finally:
-            fs, p = self._fs(staged)
-            fs.delete(p, True)
+            for path in (staged, backup):
+                fs, p = self._fs(path)
+                fs.delete(p, True)
+
+    def _folder(self, file: str, home: str) -> str:
+        """A file's folder under the given one: empty, or partitions after a slash each."""
+        under = "/".join(x for x in file.rpartition("/")[0].split("/") if "=" in x and x not in home.split("/"))
+        return f"/{under}" if under else ""
+
+    def _count(self, files: list[str], d: Dataset) -> int:
+        return self.spark.read.schema(d.schema(False)).parquet(*files).count() if files else 0
+
+    def _moved(self, was: str, now: str) -> tuple[str, str]:
+        fs, p = self._fs(was)
+        _, to = self._fs(now)
+        fs.mkdirs(to.getParent())
+        if not fs.rename(p, to):
+            raise OSError(f"{was} couldn't be moved to {now}")
+        return was, now
+
+    def rewrite(self, dataset: str, rows: DataFrame, operation: str, notes: str = "") -> dict:
+        """Replaces partitions by rows that were read from them."""
+        return self.write(dataset, rows, "replace", operation, notes=notes)
 
     # ledger
 
@@ -202,37 +235,55 @@ class Lake:
 
     # maintenance
 
-    def dedupe(self, dataset: str, apply: bool = False, max_rows: int = 20_000_000) -> DataFrame:
-        """Rows per partition beyond the first of each primary key; ``apply`` removes them, of partitions up to max_rows.
+    def dedupe(self, dataset: str, apply: bool = False, max_rows: int | None = None) -> DataFrame:
+        """(partitions, rows, duplicates, status): rows beyond the first of each primary key; ``apply`` removes them.
 
-        Which row is first: by the file, then the place in it.
+        Which row is first: by the file, then the place in it. Partitions of more than ``max_rows`` rows stay as they are,
+        and their status says so; without it there is no bound.
         """
         d = self.registry[dataset]
         keys = [*d.partitions, *d.primary_key]
-        rows = self.read(dataset).select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+        rows = self.read(dataset).select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i")) if self.files(dataset) else self.read(dataset).selectExpr("*", "'' AS __f", "0L AS __i")
         count = rows.groupBy(*keys).count().groupBy(*d.partitions).agg(F.sum("count").alias("rows"), F.sum(F.col("count") - 1).alias("duplicates"))
-        found = count.where("duplicates > 0")
-        if apply:
-            todo = found.where(F.col("rows") <= max_rows)
-            report = todo.collect()  # one row a partition
-            if report:
-                part = rows.join(F.broadcast(todo.select(*d.partitions)), list(d.partitions), "left_semi") if d.partitions else rows
-                self.rewrite(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "dedupe", f"{sum(r.duplicates for r in report)} repeated rows removed")
-            return self.spark.createDataFrame(report, found.schema)
-        return found
+        large = F.lit(False) if max_rows is None else F.col("rows") > max_rows
+        found = count.where("duplicates > 0").withColumn("status", F.when(large, "too large").otherwise("removed" if apply else "found"))
+        if not apply:
+            return found
+        report = found.collect()  # one row a partition
+        todo = [r for r in report if r.status == "removed"]
+        if todo:
+            some = self.spark.createDataFrame([tuple(r[p] for p in d.partitions) for r in todo], T.StructType([T.StructField(p, T.StringType()) for p in d.partitions])) if d.partitions else None
+            part = rows.join(F.broadcast(some), list(d.partitions), "left_semi") if some is not None else rows
+            self.rewrite(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "dedupe", f"{sum(r.duplicates for r in todo)} repeated rows removed")
+        return self.spark.createDataFrame(report, found.schema)
 
     def build_cross(self, years: list[str] | None = None) -> dict:
         """Materialises the daily cross-section: its columns of the daily bars, sorted by date, whole years replaced."""
-        some = {"year": years} if years else None
-        replaced = self.read("daily_cross").count()
-        rows = self.scan("bars_daily", columns=self.registry["daily_cross"].names, partitions=some)
         d = self.registry["daily_cross"]
-        out = self.partitioned("daily_cross", rows).repartitionByRange("year", "trade_date").sortWithinPartitions("year", *d.sorted_by)
-        out.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(self.path("daily_cross"))
-        done = years or sorted(self.partition_values("daily_cross", "year"))
-        files = [f for f, _ in self.files("daily_cross") if any(f"year={y}/" in f for y in done)]
-        self.spark.catalog.refreshByPath(self.path("daily_cross"))
-        return self.log("daily_cross", "materialize", self.read("daily_cross").count() - replaced, files, "bars_daily")
+        rows = self.partitioned("daily_cross", self.scan("bars_daily", columns=d.names, partitions={"year": years} if years else None))
+        out = rows.repartitionByRange("year", "trade_date").sortWithinPartitions("year", *d.sorted_by)
+        return self.write("daily_cross", out, "replace", "materialize", "bars_daily", arranged=True)
+
+    def scan_report(self, dataset: str, filters: list[P.Predicate] = (), columns: list[str] | None = None, partitions: dict[str, list[str]] | None = None) -> dict:
+        """Runs a scan and tells what it read: files and bytes of the dataset and of the scan, rows read and given, the filters that reached the files."""
+        rows = self.scan(dataset, filters, columns, partitions)
+        own = rows._jdf.queryExecution()
+        given = own.executedPlan().executeCollect()
+        out = {"dataset": dataset, "files": len(self.files(dataset)), "bytes": sum(n for _, n in self.files(dataset)), "rows": len(given), "files_read": 0, "bytes_read": 0, "rows_read": 0, "pushed": ""}
+        todo = [own.executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+            if node.nodeName().startswith("Scan parquet"):
+                read = lambda name: int(node.metrics().apply(name).value()) if node.metrics().contains(name) else 0  # noqa: B023, E731
+                out["files_read"] += read("numFiles")
+                out["bytes_read"] += read("filesSize")
+                out["rows_read"] += read("numOutputRows")
+                out["pushed"] = node.metadata().get("PushedFilters").get() if node.metadata().contains("PushedFilters") else ""
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return out
 
 
 def reconciled_partitions(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

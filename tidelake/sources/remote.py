@@ -38,26 +38,31 @@ class SourceError(RuntimeError):
         self.kind = kind
 
 
-#: Words by which a service says that a call can't succeed, or that it asked for too much.
-FATAL = ("token", "permission", "unauthorized", "forbidden", "unknown api", "no such")
-TOO_MUCH = ("too many", "too large", "exceed", "limit", "timeout")
+#: Words by which a service says that it was asked for too much; a source's own are added to them.
+TOO_MUCH = ("exceeds the limit", "too large", "upstream_pool_exhausted", "response estimate")
 
 
-def kind_of(message: str, status: int = 0) -> str:
-    text = message.lower()
-    if status in (401, 403, 404) or any(w in text for w in FATAL):
-        return "fatal"
-    return "halve" if status in (413, 504) or any(w in text for w in TOO_MUCH) else "transient"
+def kind_of(status: int, text: str, hints: tuple[str, ...] = TOO_MUCH) -> str:
+    """halve: 400 or 503 with a hint; transient: 429 and 5xx; all others are fatal, errors in a response with 200 too."""
+    if status in (400, 503) and any(h.lower() in text.lower() for h in hints):
+        return "halve"
+    return "transient" if status == 429 or status >= 500 else "fatal"
 
 
 def envelope(body: bytes | str) -> Page:
-    """A response of one of three shapes: {code, msg, data: {fields, items}}, {data: [objects]}, or {fields, items}."""
-    raw = json.loads(body)
-    if isinstance(raw, dict) and raw.get("code") not in (None, 0, 200):
-        message = str(raw.get("msg") or raw.get("message") or raw["code"])
-        raise SourceError(message, kind_of(message))
-    data = raw.get("data", raw) if isinstance(raw, dict) else raw
+    """A response of one of four shapes: {code, msg, detail, data: {fields, items}}, {ok, error, message, data}, {data: [objects]}, or {fields, items}."""
+    try:
+        raw = json.loads(body)
+    except ValueError as e:
+        raise SourceError("the response isn't JSON", "fatal") from e
     top = raw if isinstance(raw, dict) else {}
+    if top.get("ok") is False:
+        told = [str(top[k]) for k in ("error", "message") if top.get(k)]
+        raise SourceError(": ".join(told) or "the service refused", "fatal")
+    if top.get("code") not in (None, 0, 200):
+        told = [str(top[k]) for k in ("msg", "detail") if top.get(k)] or [str(top.get("message") or top["code"])]
+        raise SourceError(" ".join(told), "fatal")
+    data = raw.get("data", raw) if isinstance(raw, dict) else raw
     if isinstance(data, list):
         names = list(dict.fromkeys(k for r in data for k in r))
         page = Page(names, [[r.get(n) for n in names] for r in data])
@@ -67,7 +72,8 @@ def envelope(body: bytes | str) -> Page:
         raise SourceError("the response has none of the known shapes", "fatal")
     more = data if isinstance(data, dict) else {}
     page.count = int(more.get("count") or top.get("count") or 0)
-    page.has_more = bool(more.get("has_more") or top.get("has_more"))
+    told = more.get("has_more", top.get("has_more"))
+    page.has_more = bool(told) if told is not None else 0 < len(page.items) < page.count
     page.meta = more.get("meta") or top.get("meta") or {}
     if page.meta.get("probe") or page.meta.get("sample"):
         raise SourceError("the service sent a sample, not the data", "fatal")
@@ -102,44 +108,53 @@ class Http:
     least: int = 100
     tries: int = 3
     pause: float = 0.5
+    hints: tuple[str, ...] = ()
     transport: Callable | None = None
 
     def call(self, api: str, params: dict | None = None, fields: str = "") -> Page:
-        """Tries again with the same limit first; then, if the service wants less, with half of it."""
-        limit, left, last = self.limit, self.tries, None
-        halved = False
-        while left > 0:
+        """Tries again: with the same limit first; if the service wants less a second time, with half of it, and so on. Pauses grow."""
+        limit, same = self.limit, 0
+        for turn in range(self.tries):
             try:
                 asked = dict(params or {}) | ({"limit": limit} if limit else {})
-                page = envelope(self._send(self.names.get(api, api), asked, fields))
+                page = self._page(*self._send(self.names.get(api, api), asked, fields))
                 page.limit = limit
                 return page
             except SourceError as e:
-                last, left = e, left - 1
-                if e.kind == "fatal":
+                if e.kind == "fatal" or turn + 1 == self.tries:
                     raise
-                if e.kind == "halve" and halved and limit > self.least:
-                    limit = max(self.least, limit // 2)
-                halved = e.kind == "halve"
-                time.sleep(self.pause)
-        raise last or SourceError("no tries left")
+                if e.kind == "halve":
+                    same += 1
+                    if same > 1 and limit > self.least:
+                        limit, same = max(self.least, limit // 2), 0
+                time.sleep(min(20.0, self.pause * (turn + 1)))
+        raise SourceError("no tries left")
+
+    def _page(self, status: int, body: bytes | str) -> Page:
+        try:
+            return envelope(body)
+        except SourceError as e:
+            text = body if isinstance(body, str) else body.decode(errors="replace")
+            raise SourceError(str(e), kind_of(status, f"{e} {text[:400]}", (*TOO_MUCH, *self.hints))) from e
 
-    def _send(self, api: str, params: dict, fields: str) -> bytes:
+    def _send(self, api: str, params: dict, fields: str) -> tuple[int, bytes]:
+        """(status, body) of a response, whatever its status; a transport that gives a body alone means 200."""
         token, headers = expanded(self.token), {"Content-Type": "application/json"}
         body = {"api_name": api, "params": params, "fields": fields} | ({"token": token} if token and not self.header else {})
         if self.header and token:
             headers[self.header] = token
         url = self.url if self.method == "POST" else f"{self.url}/{api}?{urllib.parse.urlencode(params | {'fields': fields})}"
         if self.transport:
-            return self.transport(self.method, url, headers, body)
+            answer = self.transport(self.method, url, headers, body)
+            return answer if isinstance(answer, tuple) else (200, answer)
         request = urllib.request.Request(url, json.dumps(body).encode() if self.method == "POST" else None, headers, method=self.method)
         try:
             with urllib.request.urlopen(request, timeout=60) as r:
-                return r.read()
+                return r.status, r.read()
         except urllib.error.HTTPError as e:
-            raise SourceError(f"HTTP {e.code}", kind_of("", e.code)) from e
+            return e.code, e.read()
         except OSError as e:
-            raise SourceError(str(e)) from e
+            raise SourceError(str(e), "transient") from e
 
 
 @dataclass

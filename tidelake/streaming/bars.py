@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -26,16 +27,55 @@ def without_repeats(rows: DataFrame, key: list[str], at: str, late: str = "10 mi
 
 
 def into_lake(rows: DataFrame, lake, dataset: str, checkpoint: str):
-    """Writes each micro-batch once: its label is in the ledger, and a batch that is there already is left out."""
+    """Writes each micro-batch once: its files carry the batch's number and stream, and the ledger its label.
+
+    A batch that is in the ledger is left out. One that was cut off before its label came writes the same names again,
+    and what the first attempt left goes.
+    """
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:8]
 
     def store(batch: DataFrame, number: int) -> None:
-        label = f"batch {number}"
+        label = f"batch {stream} {number}"
         if lake.ledger(dataset).where((F.col("operation") == "stream") & (F.col("notes") == label)).isEmpty():
-            lake.write(dataset, batch, "append", "stream", notes=label)
+            lake.write(dataset, batch, "append", "stream", notes=label, tag=f"batch-{stream}-{number}")
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def expiring_orders(orders: DataFrame, key: str = "order_id", at: str = "ts", life: str = "6 hours") -> DataFrame:
+    """(order_id, status) of a stream of (order_id, ts, event: placed, filled or cancelled), as orders end.
+
+    An order that is neither filled nor cancelled expires once the watermark has passed its placing by ``life``.
+    """
+    import pandas as pd
+
+    span = int(pd.Timedelta(life).total_seconds() * 1000)
+
+    def each(group, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [group[0]], "status": ["expired"]})
+            return
+        ended, placed = None, state.get[0] if state.exists else None
+        for part in parts:
+            for r in part.sort_values(at, kind="stable").itertuples():
+                if r.event == "placed":
+                    placed = int(r.ts.timestamp() * 1000)
+                elif ended is None:
+                    ended = r.event
+        if ended is not None:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({key: [group[0]], "status": [ended]})
+        elif placed is not None:
+            state.update((placed,))
+            state.setTimeoutTimestamp(max(placed + span, state.getCurrentWatermarkMs() + 1))
+
+    return orders.withColumn(at, F.col(at).cast("timestamp_ltz")).withWatermark(at, "0 seconds").groupBy(key).applyInPandasWithState(
+        each, f"{key} string, status string", "placed long", "append", "EventTimeTimeout"
+    )
+
+
 def following_positions(fills: DataFrame, key: str = "run_id") -> DataFrame:
     """Cash flow and holdings after each batch of fills (run_id, day, amount, price): bought shares can be sold the next day."""
     import pandas as pd
