@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidelake.plans import catalog
+from tidelake.plans import backtest_catalog, catalog, lake_catalog  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

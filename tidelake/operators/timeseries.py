@@ -46,6 +46,60 @@ def forward_filled(bars: DataFrame, slots: DataFrame, code: str, at: str, price:
     return out.withColumn("suspended", F.col("__has").isNull()).drop("__has")
 
 
+#: Fixed value: rows that a window of minutes may have.
+MINUTE_ROWS = 3_000_000
+
+
+def window_days(wanted: int, codes: int, most: int = MINUTE_ROWS) -> int:
+    """Days of minutes to hold for so many codes: as many as wanted (two at least) while the rows stay below ``most``, and one at least."""
+    wanted, most = max(2, wanted), most if most > 0 else MINUTE_ROWS
+    per_day = codes * sum(b - a + 1 for a, b in SESSIONS)
+    return max(1, min(wanted, most // per_day)) if per_day else wanted
+
+
+def minute_filled(minutes: DataFrame, days: DataFrame, daily: DataFrame, code: str = "ts_code", at: str = "trade_time", day: str = "trade_date") -> DataFrame:
+    """(code, at, open, high, low, close, vol, amount, suspended) for the days' slots, without gaps.
+
+    Missing minutes have the last close before them, no volume and NaN for the amount, from a code's first minute in the
+    window on. A code with no minute in it is filled from its last daily close before the window, if there is one.
+    """
+    span = days.agg(F.min(day).alias("__from"), F.max(day).alias("__to"))
+    seeds = daily.join(F.broadcast(span)).where(F.col(day) < F.col("__from")).groupBy(code).agg(F.max_by("close", day).alias("__seed"))
+    inside = minutes.join(F.broadcast(span)).where(F.to_date(at).between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
+    codes = inside.select(code).union(seeds.where("__seed > 0").select(code)).distinct()
+    slots = grid(minute_clock(days, day).select(at), codes)
+    prices = ["open", "high", "low", "close"]
+    own = slots.join(inside.select(code, at, *prices, "vol", "amount"), [code, at], "left").join(seeds, code, "left")
+    each = Window.partitionBy(code)
+    has = F.col("close").isNotNull()
+    first = F.min(F.when(has, F.col(at))).over(each)
+    last = F.last("close", ignorenulls=True).over(each.orderBy(at))
+    out = own.withColumns({"__first": first, "__last": last, "suspended": ~has})
+    out = out.where((F.col(at) >= F.col("__first")) | (F.col("__first").isNull() & (F.col("__seed") > 0)))
+    fill = F.coalesce("__last", "__seed")
+    return out.select(code, at, *[F.coalesce(c, fill).alias(c) for c in prices], F.coalesce("vol", F.lit(0.0)).alias("vol"), F.when(~F.col("suspended"), F.col("amount")).otherwise(F.lit(float("nan"))).alias("amount"), "suspended")
+
+
+def resampled(minutes: DataFrame, width: str, code: str = "ts_code", at: str = "trade_time") -> DataFrame:
+    """Bars of a wider frequency (such as "5 minutes"), named by their ends; a width must divide an hour or be whole hours."""
+    end = F.window(F.col(at) - F.expr("INTERVAL 1 MICROSECOND"), width)["end"]
+    return minutes.groupBy(code, end.alias("__end")).agg(
+        F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"), F.sum("vol").alias("vol"), F.sum("amount").alias("amount")
+    ).withColumnRenamed("__end", at)
+
+
+#: Spellings of frequencies.
+FREQUENCIES = {"1d": "1d", "d": "1d", "day": "1d", "daily": "1d", "1m": "1m", "m": "1m", "1min": "1m", "min": "1m", "minute": "1m"}
+
+
+def frequency(text: str) -> str:
+    """1d or 1m for any of their spellings; others are an error."""
+    found = FREQUENCIES.get(str(text).strip().lower())
+    if found is None:
+        raise ValueError(f"no such frequency: {text}")
+    return found
+
+
 def fold_auction(minutes: DataFrame, code: str = "ts_code", at: str = "trade_time") -> DataFrame:
     """The opening auction's 09:30 bar merged into 09:31; dropped where no 09:31 follows."""
     opening = (F.hour(at) == 9) & (F.minute(at) == 30)

@@ -57,4 +57,23 @@ class Limits:
                 ctx.order(s, 100, round(bar.close * self.below, 2))
 
 
-ALL = {"averages": MovingAverages, "rotation": Rotation, "limits": Limits}
+class Hold:
+    """Buys 100 shares of each security on the first day and sells all it can on the day of the given number."""
+
+    def __init__(self, until: int = 0, slippage: float = 0.002):
+        self.until, self.slippage, self.seen = until, slippage, 0
+
+    def initialize(self, ctx):
+        ctx.set_limit_mode("UNLIMITED")
+        ctx.set_slippage(self.slippage)
+
+    def handle_data(self, ctx, bars):
+        self.seen += 1
+        for s in sorted(bars):
+            if self.seen == 1:
+                ctx.order(s, 100)
+            elif self.seen == self.until:
+                ctx.order_target(s, 0)
+
+
+ALL = {"averages": MovingAverages, "rotation": Rotation, "limits": Limits, "hold": Hold}
