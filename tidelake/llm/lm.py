@@ -4,28 +4,34 @@ The units are the pieces of an existing subword vocabulary and, besides them, th
 text's lattice has an arc for every unit that fits at a place; all its paths, that is all segmentations, count by the
 product of their units' weights, and the score is the logarithm of their sum. Units don't reach over white space, so
 the lattice of a text is a chain of its words' lattices and the sum is a product over words, each found by a forward
-recursion and needed once for each distinct word.
+recursion in log space (java/Lattice.java) and needed once for each distinct word.
 
-The vocabulary at hand comes from byte-pair merges: its scores are ranks, no probabilities. The pieces' weights are
-therefore learned, from the training documents' distinct words: first by the vocabulary's own segmentation, then by
-expected counts over all segmentations. A word's own arc weighs (count - discount) / N, its pieces' paths share what
-the discounts leave, so a score is a proper log-probability.
+The vocabulary's own scores weigh the pieces first. The one at hand comes from byte-pair merges, so its scores are
+ranks: a piece of rank r weighs 1 / (r + RANK), as frequencies fall with ranks. All segmentations of the training
+documents' distinct words under these weights give each piece an expected count, to which the vocabulary's weights,
+worth PRIOR pieces together, are added. A word's own arc weighs (count - discount) / N, its pieces' paths share what the discounts leave,
+so a score is a proper log-probability.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import struct
 from dataclasses import dataclass
-from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, numbered, text_bytes, written
+from tidelake.llm import kernels
+from tidelake.llm.common import numbered, removed, text_bytes, written
 
-#: Words that all workers hold: the most frequent ones of at most HOT_BYTES bytes.
+#: Words that all executors hold: the most frequent ones of at most HOT_BYTES bytes.
 HOT, HOT_BYTES = 200_000, 64
 START = "▁"
+#: What is added to a rank, and how many pieces the vocabulary's own weights are worth.
+RANK, PRIOR = 3.0, 20_000.0
+#: Distinct words that a task adds up before it gives them out.
 _FLUSH = 400_000
 
 
@@ -36,158 +42,66 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word: binary, c: long): every distinct word of ``docs`` (held_out, text: binary) and its count in training texts."""
-
-    def each(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
-        seen: Counter = Counter()
-
-        def out():
-            b = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-            seen.clear()
-            return b
-
-        for part in chunks(batches):
-            for held, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words = text.lower().split()
-                if held:
-                    for w in set(words):
-                        if w not in seen:
-                            seen[w] = 0
-                else:
-                    seen.update(words)
-            if len(seen) > _FLUSH:
-                yield out()
-        if seen:
-            yield out()
-
-    return docs.select("held_out", "text").mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return kernels.apply(docs.select("held_out", "text"), "CountWords", "word binary, c long", _FLUSH).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Pieces:
-    """Weights of a word's first pieces, and of those that follow, single bytes and the stop included."""
+    """The pieces' names, and the natural logarithms of their weights: those that begin a word share one, the later ones and the stop another."""
 
-    first: dict[str, float]
-    later: dict[str, float]
+    names: list[str]
+    logs: list[float]
     stop: float
-    longest: int = 16
 
-    def arcs(self, word: bytes):
-        """(from, to, unit, weight) in order; a character that is no piece has an arc of its bytes."""
-        text = START + word.decode("utf-8", "replace")
-        n, first, later = len(text), self.first.get, self.later.get
-        out = []
-        for j in range(1, min(n, self.longest) + 1):
-            q = first(text[:j])
-            if q is not None:
-                out.append((0, j, text[:j], q))
-        for i in range(1, n):
-            if later(text[i]) is None:
-                q = 1.0
-                for b in text[i].encode():
-                    q *= self.later[f"<0x{b:02X}>"]
-                out.append((i, i + 1, None, q))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                q = later(text[i:j])
-                if q is not None:
-                    out.append((i, j, text[i:j], q))
-        return n, out
+    def sent(self) -> tuple[str, str]:
+        """As the kernel takes them."""
+        packed = struct.pack(f"<{len(self.logs) + 1}d", *self.logs, self.stop)
+        return "\n".join(self.names), base64.b64encode(packed).decode()
 
-    def log_likelihood(self, word: bytes) -> float:
-        """The natural logarithm of the sum over all segmentations, by a forward recursion that is rescaled as it goes."""
-        n, arcs = self.arcs(word)
-        a, shift, at = [0.0] * (n + 1), 0.0, 0
-        a[0] = 1.0
-        for i, j, _, q in arcs:
-            if i > at:
-                at = i
-                if 0.0 < a[i] < 1e-150:
-                    scale = 1.0 / a[i]
-                    shift -= math.log(scale)
-                    for k in range(i, min(n, i + self.longest) + 1):
-                        a[k] *= scale
-            a[j] += a[i] * q
-        return math.log(a[n]) + shift + math.log(self.stop)
+    def of_words(self, spark):
+        """A function of a column of words: the logarithm of the sum over all segmentations."""
+        return kernels.function(spark, "LatticeLog", "double", *self.sent())
 
-    def expected(self, word: bytes, into) -> None:
-        """Adds the expected number of each unit, over all segmentations, to ``into``."""
-        n, arcs = self.arcs(word)
-        a, shift = [-math.inf] * (n + 1), -math.inf
-        a[0] = 0.0
-        b = [-math.inf] * (n + 1)
-        b[n] = 0.0
-        logs = [math.log(q) for *_, q in arcs]
-        for (i, j, _, _), q in zip(arcs, logs):
-            x, y = a[j], a[i] + q
-            a[j] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-        for (i, j, _, _), q in zip(reversed(arcs), reversed(logs)):
-            x, y = b[i], b[j] + q
-            b[i] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-        shift = a[n]
-        for (i, j, unit, _), q in zip(arcs, logs):
-            p = math.exp(a[i] + q + b[j] - shift)
-            if unit is not None:
-                into[unit] = into.get(unit, 0.0) + p
-            else:
-                into[None] = into.get(None, 0.0) + p
 
+def _weighed(names: list[str], counts: list[float], words: float) -> Pieces:
+    """Relative counts; ``words`` is how often a word stopped."""
+    first = [n.startswith(START) for n in names]
+    a = sum(c for c, f in zip(counts, first) if f)
+    b = sum(c for c, f in zip(counts, first) if not f) + words
+    return Pieces(names, [math.log(c / (a if f else b)) for c, f in zip(counts, first)], math.log(words / b))
 
-def _weights(names: list[str], counts: dict[str, float], words: float) -> Pieces:
-    """Relative counts, with half a count for every unit of the vocabulary."""
-    first = {n: counts.get(n, 0.0) + 0.5 for n in names if n.startswith(START)}
-    later = {n: counts.get(n, 0.0) + 0.5 for n in names if START not in n}
-    a, b = sum(first.values()), sum(later.values()) + words + 0.5
-    return Pieces({k: v / a for k, v in first.items()}, {k: v / b for k, v in later.items()}, (words + 0.5) / b, max(map(len, names)))
 
+def vocabulary(model: str) -> tuple[list[str], list[float]]:
+    """The pieces of a sentencepiece model that words are made of, and their weights by the model's scores, 1 together.
 
-def learn_pieces(words: DataFrame, model: str, rounds: int = 1) -> Pieces:
-    """Weights of the pieces of a sentencepiece model from the distinct words with a count.
-
-    The driver gets sums for each piece of the vocabulary, no more, however many words there are.
+    Scores that are log-probabilities count as such; those of byte-pair models are negative ranks.
     """
     from sentencepiece import SentencePieceProcessor
 
-    vocabulary = SentencePieceProcessor(model_file=model)
-    names = [vocabulary.id_to_piece(i) for i in range(vocabulary.get_piece_size()) if not (vocabulary.is_control(i) or vocabulary.is_unknown(i))]
-    sc = words.sparkSession.sparkContext
-
-    def own(batches):
-        import numpy as np
-        import pyarrow as pa
-        from sentencepiece import SentencePieceProcessor
-
-        m = SentencePieceProcessor(model_file=model)
-        counts = np.zeros(m.get_piece_size())
-        for part in chunks(batches, 0):
-            ids = m.encode([w.decode("utf-8", "replace") for w in part.column(0).to_pylist()], num_threads=1)
-            counts += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([m.id_to_piece(int(i)) for i in at], pa.string()), pa.array(counts[at])], ["unit", "n"])
-
-    def soft(sent):
-        def each(batches):
-            import pyarrow as pa
-
-            pieces, into = sent.value, {}
-            for part in chunks(batches, 0):
-                for w in part.column(0).to_pylist():
-                    pieces.expected(w, into)
-            into.pop(None, None)
-            yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.string()), pa.array(into.values(), pa.float64())], ["unit", "n"])
+    m = SentencePieceProcessor(model_file=model)
+    ids = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) and START not in m.id_to_piece(i)[1:]]
+    scores = [m.get_score(i) for i in ids]
+    ranked = all(x == int(x) for x in scores)
+    # bytes have no rank of their own: they come last
+    last = max((-x for x in scores), default=0.0) + 1
+    weights = [1 / ((last if m.is_byte(i) else -x) + RANK) for i, x in zip(ids, scores)] if ranked else [math.exp(x) for x in scores]
+    return [m.id_to_piece(i) for i in ids], [w / sum(weights) for w in weights]
 
-        return each
 
-    def summed(df):
-        return {r.unit: r.n for r in df.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+def learn_pieces(words: DataFrame, model: str, rounds: int = 1) -> Pieces:
+    """The pieces' weights: the vocabulary's own, then ``rounds`` times with what they expect of the distinct words with a count.
 
+    The driver gets sums for each piece of the vocabulary, no more, however many words there are.
+    """
+    names, own = vocabulary(model)
+    prior = [PRIOR * w for w in own]
+    pieces = _weighed(names, prior, PRIOR / 4)
     types = words.where("c > 0").select("word")
     n = types.count()
-    pieces = _weights(names, summed(types.mapInArrow(own, "unit string, n double")), n)
     for _ in range(rounds):
-        pieces = _weights(names, summed(types.mapInArrow(soft(sc.broadcast(pieces)), "unit string, n double")), n)
+        found = kernels.apply(types, "ExpectedPieces", "piece int, n double", *pieces.sent()).groupBy("piece").agg(F.sum("n").alias("n"))
+        counts = dict(found.collect())
+        pieces = _weighed(names, [counts.get(i, 0.0) + p for i, p in enumerate(prior)], n + PRIOR / 4)
     return pieces
 
 
@@ -199,11 +113,11 @@ def score(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
     score that of the lattice. Rows with a null id are learned from. Repeated rows count and are scored as often as
     they come, an empty table gives no rows, and other columns are ignored.
 
-    Each worker holds the most frequent words, a fixed number. What remains of a document goes, as hashes with counts,
-    through a join with the table of all words; a word that isn't held is about as rare as the HOT-th most frequent one.
+    Each executor holds the most frequent words, a fixed number. What remains of a document goes, with its counts,
+    through a join with the table of all words, on the words themselves; one that isn't held is about as rare as the
+    HOT-th most frequent one.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = numbered(docs.select("doc_id", "text")).select("row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), text_bytes().alias("text"))
     words = written(word_counts(source))
@@ -214,26 +128,13 @@ def score(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
     discount = min(0.9, max(0.1, t.n1 / (t.n1 + 2 * t.n2))) if t.n1 else 0.5
     share, end = (discount * t.v / n, ends / n) if n else (0.5, 0.5)
     share = share or 1e-9
-    pieces = sc.broadcast(learn_pieces(words, model, rounds))
-
-    def valued(batches):
-        import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        p = pieces.value
-        for part in chunks(batches, 0, 1 << 20):
-            ws, cs = part.column(0).to_pylist(), part.column(1).to_pylist()
-            lp = []
-            for w, c in zip(ws, cs):
-                log = math.log(share) + p.log_likelihood(w)
-                if c:
-                    own = math.log(max(c - discount, 1e-300) / n)
-                    log = max(log, own) + math.log1p(math.exp(-abs(log - own)))
-                lp.append(log / math.log(10))
-            h = [x - (x >> 63 << 64) for x in (xxh64_intdigest(w) for w in ws)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.int64()), part.column(1), pa.array(lp, pa.float64())], ["word", "h", "c", "lp"])
-
-    table = written(words.mapInArrow(valued, "word binary, h long, c long, lp double"))
+    pieces = learn_pieces(words, model, rounds)
+    # a word's log10 weight: its pieces' paths and, if it was seen, its own arc
+    apart = F.lit(math.log(share)) + pieces.of_words(spark)("word")
+    own = F.log(F.greatest(F.col("c") - discount, F.lit(1e-300)) / (n or 1))
+    both = F.greatest("a", own) + F.log1p(F.exp(-F.abs(F.col("a") - own)))
+    table = written(words.withColumn("a", apart).select("word", "c", (F.when(F.col("c") > 0, both).otherwise(F.col("a")) / math.log(10)).alias("lp")))
+    removed(words)
     # the most frequent words, as many as a histogram of logarithmic counts allows: no task sends more than it must
     level = F.floor(F.log2("c") * 16)
     usual = table.where((F.col("c") > 0) & (F.octet_length("word") <= HOT_BYTES))
@@ -243,38 +144,14 @@ def score(docs: DataFrame, model: str, rounds: int = 1) -> DataFrame:
             break
         most, room = r.level, room - r.n
     top = usual.where(level >= most).select("word", "c", "lp").collect() if most < math.inf else []
-    hot = sc.broadcast(({bytes(r.word): i for i, r in enumerate(top)}, [math.log10((r.c + 0.5) / below) for r in top], [r.lp for r in top]))
-    end_base, end_score = math.log10((ends + 0.5) / below), math.log10(end or 0.5)
+    packed = b"".join([struct.pack("<i", len(top)), *(struct.pack("<h", len(r.word)) + bytes(r.word) + struct.pack("<2d", math.log10((r.c + 0.5) / below), r.lp) for r in top)])
+    held = spark.sparkContext._jsc.broadcast(packed)
     del top
-
-    def each(batches):
-        from collections import Counter
-
-        import numpy as np
-        import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        ids, base, lps = hot.value
-        base, lps = np.array([*base, 0.0]), np.array([*lps, 0.0])
-        for part in chunks(batches, 3):
-            out = [[] for _ in range(6)]
-            for text in part.column(3).to_pylist():
-                ws = text.lower().split()
-                at = np.fromiter(map(ids.get, ws, repeat(-1)), np.int64, len(ws))
-                rest = Counter([ws[i] for i in np.flatnonzero(at < 0).tolist()])
-                known = len(ws) - sum(rest.values()) + (ends > 0)
-                hashes = [x - (x >> 63 << 64) for x in map(xxh64_intdigest, rest)]
-                for column, x in zip(out, (len(ws) + 1, known, base[at].sum() + end_base, lps[at].sum() + end_score, hashes, list(rest.values()))):
-                    column.append(x)
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), *[pa.array(x, k) for x, k in zip(out, types)]],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h", "times"],
-            )
-
-    parts = written(source.mapInArrow(each, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, h array<long>, times array<long>"))
-    tail = parts.select("row", F.explode(F.arrays_zip("h", "times")).alias("x")).select("row", "x.h", "x.times")
-    scored = tail.join(table.select("h", "c", "lp"), "h").groupBy("row").agg(
+    end_base, end_score = math.log10((ends + 0.5) / below), math.log10(end or 0.5)
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>"
+    parts = written(kernels.apply(source.select("row", "doc_id", "held_out", "text"), "ScoreTexts", schema, held, end_base, end_score, ends > 0))
+    tail = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), "x.times")
+    scored = tail.join(table, "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / below)).alias("b"),
         F.sum(F.col("times") * F.col("lp")).alias("s"),
