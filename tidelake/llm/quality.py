@@ -169,8 +169,11 @@ def _cotrain(spark, words: str, text: list, page: list, good: np.ndarray, pool:
         for k, (view, name) in enumerate(zip(views, ("text", "page"))):
             z = pool.withColumn("z", view.column(spark, F.col(name)))
             for kind, order, sure in ((1, F.col("z").desc(), F.col("z") > least), (0, F.col("z").asc(), F.col("z") < -least)):
-                best = z.where(sure).orderBy(order, "tie", "row").limit(EACH + len(taken)).select("row", "text", "page").collect()
-                fresh = [r for r in best if r.row not in set(taken)][:EACH]
+                # executors settle which rows are best; only these reach the driver, with their features
+                best = z.where(sure).orderBy(order, "tie", "row").limit(EACH + len(taken)).select("row", "z", "tie")
+                found = pool.select("row", "text", "page").join(F.broadcast(best), "row").collect()
+                found.sort(key=lambda r: (-r.z if kind else r.z, r.tie, r.row))  # noqa: B023
+                fresh = [r for r in found if r.row not in set(taken)][:EACH]
                 taken += [r.row for r in fresh]
                 # pseudo-labels weigh half
                 own[1 - k] += [(_unpacked(r.page if k == 0 else r.text), kind, 0.5) for r in fresh]
