@@ -48,3 +48,22 @@ def test_many_copies_in_split_cells(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [r.vec_id for r in ann.search(table, F.col("vec_id") == 300, k=5).orderBy("rank").collect()]
     assert got == [0, 3, 6, 9, 12]
+
+
+def test_rows_that_repeat_are_candidates_of_their_own(spark):
+    table = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in ann.search(table, F.col("vec_id") % 50 == 0, k=5).orderBy("rank").collect()]
+    assert got == [1, 2, 2]
+    # a query that comes twice is one query
+    twice = table.union(table.where("vec_id = 50"))
+    assert [r.vec_id for r in ann.search(twice, F.col("vec_id") % 50 == 0, k=5).orderBy("rank").collect()] == [1, 2, 2]
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = ann.search(table, F.col("vec_id") % 3 == 0, k=4).collect()
+    monkeypatch.setattr(ann, "QUERY_ROWS", 20)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
+    assert sorted(map(tuple, ann.search(table, F.col("vec_id") % 3 == 0, k=4).collect())) == sorted(map(tuple, whole)) and len(whole) == 800

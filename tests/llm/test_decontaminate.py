@@ -26,6 +26,23 @@ def naive(texts, items, window):
     return out
 
 
+def naive_longest(text, items, least):
+    """The number of words of the longest verbatim match that holds a window."""
+    w, best = WORD.findall(lower(text or "")), 0
+    for _, other in items:
+        o = WORD.findall(lower(other or ""))
+        last = [0] * (len(o) + 1)
+        for i in range(len(w)):
+            now = [0] * (len(o) + 1)
+            for j in range(len(o)):
+                if w[i] == o[j]:
+                    now[j + 1] = last[j] + 1
+                    if now[j + 1] >= min(least, len(o)):
+                        best = max(best, now[j + 1])
+            last = now
+    return best
+
+
 def digest(row):
     return row["__n_words"], sum(r.end - r.start for r in row["__runs"]), row["__items"]
 
@@ -33,8 +50,16 @@ def digest(row):
 @pytest.mark.parametrize("block", [300, 1 << 20])
 def test_hits_are_those_of_all_windows(spark, sf_dir, documents, texts, block):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = {r.doc_id: digest(r) for r in decontaminate.scan(documents.select("doc_id", "text"), bench, 10, block).collect()}
+    found = decontaminate.scan(documents.select("doc_id", "text"), bench, 10, block).collect()
+    rows = {r.doc_id: digest(r) for r in found}
     ids = sorted(texts)
+    items = {str(r.item_id): r.text for r in bench.collect()}
+    some = [r for r in found if r["__longest"]]
+    assert {r.doc_id for r in some} == {r.doc_id for r in found if r["__runs"]}
+    for r in some[:25]:
+        m, w = r["__longest"], WORD.findall(lower(texts[r.doc_id]))
+        assert m.words == naive_longest(texts[r.doc_id], items.items(), 10)
+        assert w[m.doc_at : m.doc_at + m.words] == WORD.findall(lower(items[m["item"]]))[m.item_at : m.item_at + m.words]
     want = naive([texts[i] for i in ids], [(r.item_id, r.text) for r in bench.collect()], 10)
     assert [rows[i] for i in ids] == want
     assert any(w[1] for w in want)

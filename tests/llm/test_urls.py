@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tidelake.llm import urls
 from tidelake.llm.queries import URL_RULES
 
@@ -37,6 +39,45 @@ def test_precedence_defaults_and_empty_tables(spark):
     assert urls.judge(pages.limit(0), urls.rules(spark, rules)).count() == 0
 
 
+def test_the_longest_rule_wins_and_rules_without_a_slash(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/bbbbbbbbbbbb"), (2, "http://evil.com"), (3, "http://x.evil.com?q=1"), (4, "http://evil.com/p"), (5, "http://www.a.org/")], "page_id long, url string")
+    rules = urls.rules(spark, [("block", "a.org/"), ("allow", "org/bbbbbbbbbbbb"), ("block", "evil.com"), ("allow", "www.a.org/"), ("block", "org")])
+    assert {r.page_id: r["__rule"] for r in urls.judge(pages, rules).collect()} == {1: "org/bbbbbbbbbbbb", 2: "evil.com", 3: "evil.com", 4: "evil.com", 5: "www.a.org/"}
+
+
+def test_random_rules_and_the_registered_sql(spark):
+    """Code, SQL and a plain loop agree on rules drawn at random (the SQL's rules take the place of the registered ones)."""
+    import random
+
+    rng = random.Random(6)
+    label = lambda: rng.choice(["a", "b", "org", "com"])
+    rules = list({f"{'.'.join(label() for _ in range(rng.randrange(1, 4)))}/{rng.choice(['', 'x', 'x/', 'xy', 'y'])}": None for _ in range(40)})
+    rules = [(rng.choice(["allow", "block"]), r) for r in rules]
+    pages = [(i, f"http://{'.'.join(label() for _ in range(rng.randrange(1, 5)))}/{rng.choice(['', 'x', 'xy/z', 'x/', 'yy', 'z'])}{rng.choice(['', '?q', '#/x'])}") for i in range(500)]
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r.page_id: (r["__host"], r["__path"], r["__rule"], r["__verdict"]) for r in urls.judge(table, urls.rules(spark, rules)).collect()}
+    for i, u in pages:
+        host, path, rule, verdict = naive(u, rules)
+        # of equally long rules that fit, that with the longer host wins
+        fits = [(len(r), len(r.split("/")[0]), r, v) for v, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        want = (host, path, *((max(fits)[2], max(fits)[3]) if fits else (None, "allow")))
+        assert got[i] == want
+
+
+def test_names_that_clash(spark):
+    names = ["__host", "__path", "__rule", "__verdict", "__won", "host", "path", "won", "x", "found", "short", "rule", "verdict"]
+    table = spark.createDataFrame([(1, "http://org/", *range(13))], f"page_id long, url string, {', '.join(f'{n} int' for n in names)}")
+    out = urls.judge(table, urls.rules(spark, URL_RULES), into=("h_", "p_", "r_", "v_"))
+    assert out.columns == [*table.columns, "h_", "p_", "r_", "v_"] and tuple(out.first()) == (1, "http://org/", *range(13), "org", "/", "org/", "allow")
+    with pytest.raises(ValueError):
+        urls.judge(table, urls.rules(spark, URL_RULES))
+
+
+def test_very_long_urls(spark):
+    table = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "com/de/q"), (2, "http://com/fr/" + "b" * 2_000_000)], "page_id long, url string")
+    assert {r.page_id: r["__rule"] for r in urls.judge(table, urls.rules(spark, URL_RULES)).collect()} == {1: "com/de/", 2: "com/fr/"}
+
+
 def test_plan_is_native(spark, sf_dir):
     plan = urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), urls.rules(spark, URL_RULES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "ArrowEval" not in plan and "CartesianProduct" not in plan

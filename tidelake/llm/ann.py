@@ -6,7 +6,8 @@ vectors by a table of its products with the codewords (the asymmetric distance),
 cosine of the original vectors.
 
 Centroids and codewords come from a bounded sample of rows; every row is indexed. A cell is split into blocks of
-bounded size, and a query visits all blocks of a cell, so that no task gets a whole large cell.
+bounded size, and a query visits all blocks of a cell, so that no task gets a whole large cell; nor does one get all
+queries that visit it, for they come in blocks, too.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tidelake.llm.common import written
 SAMPLE = 20_000
 #: Rows in a block of a cell, about; cells are made so that one has CELL_ROWS on average, up to CELLS of them.
 BLOCK_ROWS, CELL_ROWS, CELLS = 8192, 1000, 4096
+#: Queries that visit a block in one task, about.
+QUERY_ROWS = 4096
 PARTS = 16
 
 
@@ -119,8 +122,8 @@ class Index:
                 for j in np.argsort(-exact, kind="stable"):
                     if len(found) > k and exact[j] < found[k - 1][0]:
                         break
-                    members = ids[by_kind[begin[t[j]] : begin[t[j] + 1]][: k + 1]]
-                    found += [(exact[j], int(m)) for m in members if m != q_ids[a + i]]
+                    members = ids[by_kind[begin[t[j]] : begin[t[j] + 1]]]
+                    found += [(exact[j], int(m)) for m in members[members != q_ids[a + i]][:k]]
                 for s, m in sorted(found, key=lambda f: (-f[0], f[1]))[:k]:
                     out[0].append(int(q_ids[a + i]))
                     out[1].append(m)
@@ -152,7 +155,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
 
     Candidates are all rows that can take part (see usable) but those with the query's own id; ties go to smaller ids.
     A query visits ``probes`` cells, or as many as the index finds that it wants (see Index.wanted); small tables have
-    one cell. Of rows that repeat an id and a vector one is given. An empty table gives no rows.
+    one cell. Rows that repeat an id and a vector are candidates of their own, but one query. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector)
@@ -181,12 +184,15 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(cells), pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
     placed = written(rows.mapInArrow(place, "vec_id long, v array<double>, cell int, code binary"))
+    asked = written(rows.where(is_query).distinct().mapInArrow(look, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell")))
     # one row for each cell, of which there is a fixed number at most
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    held = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = rows.where(is_query).mapInArrow(look, "query_id long, q array<double>, cells array<int>")
-    asked = asked.select("query_id", "q", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell")
-    asked = asked.select("query_id", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    parts = lambda n: F.greatest(F.ceil(F.count("*") / n), F.lit(1)).cast("int")
+    shape = placed.groupBy("cell").agg(parts(BLOCK_ROWS).alias("blocks")).join(asked.groupBy("cell").agg(parts(QUERY_ROWS).alias("turns")), "cell")
+    shape = F.broadcast(written(shape))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c, "cell"), F.col(n)).cast("int")
+    held = placed.join(shape, "cell").withColumns({"block": dealt("vec_id", "blocks"), "turn": each("turns")})
+    asked = asked.join(shape, "cell").withColumns({"turn": dealt("query_id", "turns"), "block": each("blocks")})
 
     def visit(queries, members):
         import pyarrow as pa
@@ -198,6 +204,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
         found = index.value.best(_vectors(queries.column("q")), np.asarray(queries.column("query_id")), _vectors(members.column("v")), np.asarray(members.column("vec_id")), code, k, rerank)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=names)
 
-    near = asked.groupBy("cell", "block").cogroup(held.drop("blocks").groupBy("cell", "block")).applyInArrow(visit, "query_id long, vec_id long, score double")
+    key = ("cell", "block", "turn")
+    near = asked.select(*key, "query_id", "q").groupBy(*key).cogroup(held.select(*key, "vec_id", "v", "code").groupBy(*key)).applyInArrow(visit, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

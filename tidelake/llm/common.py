@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a new one only where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. On one machine, where it is unset, a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -118,7 +120,8 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     if files is None:
         return written(df.withColumn(name, F.monotonically_increasing_id()))
     # Hadoop writes file:/ where the listing has file:///
-    known = df.sparkSession.createDataFrame([(re.sub("^([^:/]+):/+", r"\1:/", f), n << 40) for n, f in enumerate(sorted(files))], "__file string, __base long")
-    own = df.select("*", F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    base = F.coalesce("__base", F.raise_error(F.concat(F.lit("a file that wasn't listed: "), "__file")).cast("long"))
-    return own.join(F.broadcast(known), "__file", "left").withColumn(name, base + F.col("__at")).drop("__file", "__at", "__base")
+    file, at, base = (free([*df.columns, name], n) for n in ("file", "at", "base"))
+    known = df.sparkSession.createDataFrame([(re.sub("^([^:/]+):/+", r"\1:/", f), n << 40) for n, f in enumerate(sorted(files))], f"{file} string, {base} long")
+    own = df.select("*", F.regexp_replace("_metadata.file_path", "^([^:/]+):/+", "$1:/").alias(file), F.col("_metadata.row_index").alias(at))
+    start = F.coalesce(base, F.raise_error(F.concat(F.lit("a file that wasn't listed: "), file)).cast("long"))
+    return own.join(F.broadcast(known), file, "left").withColumn(name, start + F.col(at)).drop(file, at, base)

@@ -1,13 +1,16 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Each chunk of documents is a shard: the word ids of its texts, in one sequence, with their suffixes sorted. The
-benchmark comes to the shards in blocks of bounded size, one pass for each block, and every suffix of a benchmark item
-is looked up in every shard by binary search. Words that no item of the block has get id zero, which matches nothing,
-so suffixes that start with one needn't be sorted: they can't match.
+benchmark comes to the shards in blocks of bounded size, one after another, and every suffix of a benchmark item is
+looked up in every shard by binary search; suffixes that share the first ``window`` words are looked up as one. Words
+that no item of the block has get id zero, which matches nothing, so suffixes that start with one needn't be sorted:
+they can't match. Where a window occurs, the document's suffixes are looked up in the block's own suffix array, whose
+neighbours give the longest verbatim match and its place in the item.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from itertools import repeat
 
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.llm.common import chunks
+from tidelake.llm.common import chunks, free
 
 #: Text bytes of the benchmark that go to the executors at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 4 << 20
@@ -28,18 +31,61 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def suffix_order(ids):
+    """The suffixes of a sequence of non-negative integers in order, by doubling the length of what is compared."""
+    import numpy as np
+
+    n = len(ids)
+    rank, size = np.asarray(ids, np.int64) + 1, 1
+    while n:
+        after = np.concatenate([rank[size:], np.zeros(min(size, n), np.int64)])
+        _, rank = np.unique(rank * (int(max(rank.max(), n)) + 2) + after, return_inverse=True)
+        rank = rank.ravel() + 1
+        if rank.max() == n or size >= n:
+            break
+        size *= 2
+    return np.argsort(rank, kind="stable")
+
+
 class Block:
-    """A part of the benchmark: its words' ids, its item sequences, its distinct windows and whose they are."""
+    """A part of the benchmark: its words' ids, its item sequences, its distinct windows and whose they are, its suffix array."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
+        import numpy as np
+
         self.window, self.ids, self.items, found = window, {}, [], defaultdict(set)
+        flat: list[int] = []
+        self.starts = []
         for item, text in items:
             seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
             if seq:
                 self.items.append((item, seq))
+                self.starts.append(len(flat))
+                flat += [*seq, 0]
                 for at in range(max(1, len(seq) - window + 1)):
                     found[tuple(seq[at : at + window])].add(item)
         self.windows = [(w, sorted(of)) for w, of in found.items()]
+        self.flat, self.order = flat, suffix_order(np.array(flat, np.int64)).tolist()
+
+    def longest(self, seq: list[int]) -> tuple[int, str, int]:
+        """(words, item, place in it) of the longest prefix of ``seq`` that is in an item: of the neighbours in the suffix order."""
+        lo, hi, flat, order, n = 0, len(self.order), self.flat, self.order, len(seq)
+        while lo < hi:
+            mid = (lo + hi) >> 1
+            if flat[order[mid] : order[mid] + n] < seq:
+                lo = mid + 1
+            else:
+                hi = mid
+        best = (0, "", 0)
+        for k in (lo, lo - 1):
+            if 0 <= k < len(order):
+                at, m = order[k], 0
+                while m < n and at + m < len(flat) and flat[at + m] == seq[m] and seq[m]:
+                    m += 1
+                if m > best[0]:
+                    i = bisect_right(self.starts, at) - 1
+                    best = (m, self.items[i][0], at - self.starts[i])
+        return best
 
 
 class Shard:
@@ -157,13 +203,16 @@ def _shard(texts: list[bytes], block: Block, depth: int):
     return Shard(np.concatenate(parts), depth, len(block.ids)), np.cumsum(n_words + 1) - n_words - 1, n_words
 
 
-def _find(texts: list[bytes], runs: list, items: list, block: Block) -> tuple[list[int], list, list]:
-    """For each text its number of words, the maximal runs of hit words and the items that occur."""
+def _find(texts: list[bytes], runs: list, items: list, matches: list, block: Block) -> tuple[list[int], list, list, list]:
+    """For each text its number of words, the maximal runs of hit words, the items that occur, and the longest match.
+
+    ``runs``, ``items`` and ``matches`` hold what other blocks have found.
+    """
     import numpy as np
 
     shard, first, n_words = _shard(texts, block, block.window)
     hit = np.zeros(len(shard.ids) + 1, np.int64)
-    own = [set(x or ()) for x in items]
+    own, best = [set(x or ()) for x in items], list(matches)
     if len(shard.order):
         seqs = [w for w, _ in block.windows]
         which, at = shard.occurrences(shard.pack(seqs, 0), shard.pack(seqs, (1 << shard.bits) - 1))
@@ -173,53 +222,77 @@ def _find(texts: list[bytes], runs: list, items: list, block: Block) -> tuple[li
         text_of = np.searchsorted(first, at, "right") - 1
         for t, w in set(zip(text_of.tolist(), which.tolist())):
             own[t].update(block.windows[w][1])
+        for t, ends in _hit_words(hit, first).items():
+            for a, b in ends:
+                for p in range(a, b):
+                    # what starts here can't be longer than the run's rest
+                    if best[t] and b - p <= best[t]["words"]:
+                        break
+                    n, item, item_at = block.longest(shard.ids[p:b].tolist())
+                    if n and (not best[t] or n > best[t]["words"]):
+                        best[t] = {"words": n, "doc_at": p - int(first[t]), "item": item, "item_at": item_at}
     for t, old in enumerate(runs):
         for r in old or ():
             hit[first[t] + r["start"]] += 1
             hit[first[t] + r["end"]] -= 1
+    found = _hit_words(hit, first)
+    out = [[{"start": a - int(first[t]), "end": b - int(first[t])} for a, b in found.get(t, ())] for t in range(len(texts))]
+    return n_words.tolist(), out, [sorted(x) for x in own], best
+
+
+def _hit_words(hit, first) -> dict[int, list[tuple[int, int]]]:
+    """The maximal runs of places that a positive running sum of ``hit`` covers, by text."""
+    import numpy as np
+
     covered = np.concatenate([[False], np.cumsum(hit)[:-1] > 0, [False]])
     edge = np.diff(covered.astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = [[] for _ in texts]
+    out: dict[int, list[tuple[int, int]]] = {}
     for a, b, t in zip(start.tolist(), end.tolist(), (np.searchsorted(first, start, "right") - 1).tolist()):
-        out[t].append({"start": a - int(first[t]), "end": b - int(first[t])})
-    return n_words.tolist(), out, [sorted(x) for x in own]
+        out.setdefault(t, []).append((a, b))
+    return out
 
 
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_MATCH = T.StructType([T.StructField("words", T.LongType()), T.StructField("doc_at", T.LongType()), T.StructField("item", T.StringType()), T.StructField("item_at", T.LongType())])
+NAMES = ("__n_words", "__runs", "__items", "__longest")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with three more columns: __n_words, __runs (maximal runs of hit words: start, end) and __items.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, into: tuple[str, str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with four more columns, named by ``into``: the number of words, maximal runs of hit words (start, end), items, the longest match.
 
     A window is ``window`` consecutive words of a benchmark item, or the whole of a shorter item that has any; words
-    of a document inside any occurrence of a window are hit. __items are the ids, as strings, of the items with a
-    window that occurs, sorted; an item without an id is called "null". Null and empty texts have no words, so nothing
-    occurs in them; an empty benchmark hits nothing. All other columns and repeated rows stay as they are.
+    of a document inside any occurrence of a window are hit. The items are the ids, as strings, of those with a window
+    that occurs, sorted; an item without an id is called "null". The longest match (words, doc_at, item, item_at) is a
+    longest verbatim one within the runs, the first in the document; null without a run. Null and empty texts have no
+    words, so nothing occurs in them; an empty benchmark hits nothing. All other columns and repeated rows stay as they
+    are; names of ``into`` that the documents have already are an error.
     """
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__runs", _RUNS), T.StructField("__items", T.ArrayType(T.StringType()))])
+    if set(into) & set(names):
+        raise ValueError(f"a column of {into} is there already")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(into, (T.LongType(), _RUNS, T.ArrayType(T.StringType()), _MATCH))]])
     sc = docs.sparkSession.sparkContext
     at = names.index("text")
-    out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__runs": F.lit(None).cast(_RUNS), "__items": F.lit(None).cast("array<string>")})
-
-    def passed(sent):
-        def each(batches):
-            import pyarrow as pa
+    sent = [sc.broadcast(block) for block in blocks(benchmark, window, block_bytes)] or [sc.broadcast(Block([], window))]
 
-            for part in chunks(batches, at, 4 << 20):
-                texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
-                found = _find(texts, part.column(len(names) + 1).to_pylist(), part.column(len(names) + 2).to_pylist(), sent.value)
-                types = [part.schema.field(len(names) + i).type for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[pa.array(x, t) for x, t in zip(found, types)]], schema=part.schema)
+    def each(batches):
+        import pyarrow as pa
 
-        return each
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        match = pa.struct([("words", pa.int64()), ("doc_at", pa.int64()), ("item", pa.string()), ("item_at", pa.int64())])
+        # several blocks take turns in a worker, so they pass larger chunks
+        for part in chunks(batches, at, (4 if len(sent) == 1 else 16) << 20):
+            texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
+            found = (None, [None] * len(texts), [None] * len(texts), [None] * len(texts))
+            for one in sent:
+                found = _find(texts, *found[1:], one.value)
+                if len(sent) > 1:
+                    del one._value
+            types = [pa.int64(), span, pa.list_(pa.string()), match]
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, t) for x, t in zip(found, types)]], [*names, *into])
 
-    some = False
-    for block in blocks(benchmark, window, block_bytes):
-        out = out.mapInArrow(passed(sc.broadcast(block)), schema)
-        some = True
-    return out if some else out.mapInArrow(passed(sc.broadcast(Block([], window))), schema)
+    return docs.mapInArrow(each, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -264,10 +337,14 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5, block
         return docs.sparkSession.createDataFrame([], schema)
     best = found.groupBy("item_id", "item_at").agg(F.min(F.struct(-F.col("n_words"), "doc_id", "doc_at")).alias("b"))
     best = best.select("item_id", "item_at", F.col("b.doc_id").alias("doc_id"), F.col("b.doc_at").alias("doc_at"), (-F.col("b.col1")).alias("n_words"))
-    before = best.select("item_id", (F.col("item_at") + 1).alias("item_at"), (F.col("n_words") - 1).alias("__held"))
-    return best.join(before, ["item_id", "item_at"], "left").where("__held is null or n_words > __held").drop("__held")
+    before = best.select("item_id", (F.col("item_at") + 1).alias("item_at"), (F.col("n_words") - 1).alias("held"))
+    return best.join(before, ["item_id", "item_at"], "left").where("held is null or n_words > held").drop("held")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with their own columns."""
-    return scan(docs, benchmark, window).where(F.size("__runs") == 0).drop("__n_words", "__runs", "__items")
+    """The rows of ``docs`` in which no window of the benchmark occurs, with their own columns, whatever these are called.
+
+    Null and empty texts, repeated rows and empty tables are as in scan().
+    """
+    into = tuple(free(docs.columns, n) for n in ("n_words", "runs", "items", "longest"))
+    return scan(docs, benchmark, window, into=into).where(F.size(into[1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

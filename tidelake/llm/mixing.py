@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import written
+from tidelake.llm.common import free, written
 
 #: Hex digits of the hash that each histogram resolves, and the number of histograms, each of the last one's boundary bucket.
 DIGITS, LEVELS = 3, 5
+#: Bytes of sources, one row each, to be broadcast at most; more of them are shuffled.
+SOURCES_BYTES = 16 << 20
 
 
 def n_words(text: str = "text") -> Column:
@@ -72,8 +74,10 @@ def copies(sized: DataFrame, weights: list[float], most: float) -> DataFrame:
             )
     goal = goal.withColumnRenamed("source", "__source")
     # a source whose sums never pass the rest takes one copy more of everything
-    goal = goal.join(bound, F.col("__source").eqNullSafe(F.col("__s")), "left")
-    out = sized.join(goal, F.col("source").eqNullSafe(F.col("__source")))
+    goal = written(goal.join(bound, F.col("__source").eqNullSafe(F.col("__s")), "left"))
+    # one row a source: sent to all tasks if that is little, so that a hot source's documents stay where they are
+    told = goal.agg(F.sum(F.octet_length(F.coalesce("__source", F.lit(""))) + 100).alias("bytes")).first()
+    out = sized.join(F.broadcast(goal) if (told.bytes or 0) <= SOURCES_BYTES else goal, F.col("source").eqNullSafe(F.col("__source")))
     extra = (F.col("part") > 0) & (F.col("__prefix").isNull() | (F.substr("hash", F.lit(1), F.lit(DIGITS * LEVELS)) < F.col("__prefix")))
     return out.withColumn("copies", F.col("whole") + F.when(extra, 1).otherwise(0)).select(*sized.columns, "source_size", "target", "copies")
 
@@ -95,9 +99,13 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), most: float = 3) -> D
 
 
 def mixed(docs: DataFrame, weights: list[float] = (5, 2, 1), most: float = 3) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    sized = docs.withColumns({"__size": n_words(), "__hash": document_hash()})
-    slim = written(sized.select("doc_id", "source", F.col("__size").alias("size"), F.col("__hash").alias("hash")))
-    often = copies(slim, list(weights), most).select(F.col("hash").alias("__h"), F.col("source").alias("__s"), F.col("copies").alias("__copies")).distinct()
-    found = sized.join(often, (F.col("__hash") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__s"))).where("__copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with their own columns, whatever these are called.
+
+    Null and empty texts, null sources and ids, and rows that repeat are as in mix(); an empty table gives no rows.
+    """
+    n, h, s = (free(docs.columns, x) for x in ("copies", "hash", "source_of"))
+    sized = docs.withColumn(h, document_hash())
+    slim = written(docs.select("doc_id", "source", n_words().alias("size"), document_hash().alias("hash")))
+    often = copies(slim, list(weights), most).select(F.col("hash").alias(h), F.col("source").alias(s), F.col("copies").alias(n)).distinct()
+    found = sized.join(often, h).where(F.col("source").eqNullSafe(F.col(s)) & (F.col(n) > 0))
+    return found.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in docs.columns))

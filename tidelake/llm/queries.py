@@ -50,6 +50,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.col("__longest.words").alias("longest_words"),
+        F.col("__longest.doc_at").alias("longest_doc_at"),
+        F.col("__longest.item").alias("longest_item_id"),
+        F.col("__longest.item_at").alias("longest_item_at"),
     )
 
 
@@ -73,8 +77,8 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 )
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    found = urls.judge(pages, urls.rules(spark, URL_RULES), default="allow")
-    return found.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"))
+    found = urls.judge(pages, urls.rules(spark, URL_RULES), "allow", ("host", "path", "rule", "verdict"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 @register(

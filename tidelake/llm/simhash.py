@@ -14,7 +14,7 @@ from random import Random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import chunks, numbered, text_bytes, written
+from tidelake.llm.common import chunks, free, numbered, text_bytes, written
 from tidelake.llm.components import components
 
 BITS = 64
@@ -166,10 +166,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
 
 
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest doc_id, null ids last, then the first such row."""
-    rows = numbered(docs, "__row")
-    own = written(fingerprints(rows, words, "__row"))
+    """One row of ``docs`` for each component: that with the smallest doc_id, null ids last, then the first such row.
+
+    Null and empty texts are one component; an empty table gives no rows; other columns stay, whatever their names.
+    """
+    row, keep = (free(docs.columns, x) for x in ("row", "kept"))
+    rows = numbered(docs, row)
+    own = written(fingerprints(rows, words, row))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     each = own.groupBy("fp").agg(first.alias("first")).join(_labelled(own, radius), "fp")
-    kept = each.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    kept = each.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(keep))
+    return rows.join(kept, F.col(row) == F.col(keep), "left_semi").drop(row)

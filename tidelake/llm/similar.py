@@ -1,146 +1,125 @@
 """Near-duplicates by the share of shingles: pairs of texts whose sets of shingles have a Jaccard similarity of ``share`` or more.
 
-Candidates come from MinHash: BANDS keys of ROWS least hashes each. A pair at similarity s shares none of its keys with
-probability (1 - s^ROWS)^BANDS, 7e-10 at 0.8. Every candidate is then confirmed by its shingles themselves.
+Candidates come from two sides. The covering tables of simhash.py give, with certainty, all pairs whose 64-bit
+fingerprints differ in RADIUS bits or fewer. Texts that share four fifths of their shingles differ in ten bits on
+average, farther than covering tables can reach; MinHash finds these: BANDS keys of ROWS least hashes each, of which a
+pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 7e-10 at 0.8. Every candidate is then confirmed by
+its shingles themselves.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidelake.llm.common import chunks, numbered, text_bytes, written
+from tidelake.llm import kernels, simhash
+from tidelake.llm.common import free, joined_on_hot, numbered, removed, text_bytes, written
 from tidelake.llm.components import components
 
-ROWS, BANDS = 4, 40
-#: Shingles that are hashed at a time; the hashes of all keys then fit a core's cache.
-BLOCK = 512
-
-
-def shingles(text: bytes, words: int):
-    """The distinct 64-bit hashes of a text's shingles, ascending; a text of fewer words is one shingle, an empty one has none."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    tokens = text.lower().split()  # of bytes, as in simhash.fingerprint
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(tokens)
-    if len(tokens) <= words:
-        return np.array([xxh64_intdigest(line, 42)], np.uint64)
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(tokens) - words + 1].tolist()
-    return np.unique(np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(start, end[words - 1 :].tolist())], np.uint64))
-
-
-@lru_cache(1)
-def _factors():
-    import numpy as np
-
-    return np.random.default_rng(7).integers(0, 1 << 31, (ROWS * BANDS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-
+ROWS, BANDS, RADIUS = 4, 40, 4
+#: How many times more hubs a bucket has from round to round.
+WIDER = 8
+#: Partners of a row that one task compares it with, about.
+PARTNERS = 1000
 
-def band_keys(own) -> list[int]:
-    """The signed 64-bit keys of a set of shingles' hashes, one for each band; texts that share one are candidates."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    low, high, least = own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32), np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(own), BLOCK):
-        least = np.minimum(least, ((low[at : at + BLOCK] * _factors()) ^ high[at : at + BLOCK]).min(axis=1))
-    keys = [xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, same: the set's digest, n: its size, keys) for every row; an empty set has no keys."""
-
-    def each(batches):
-        import pyarrow as pa
-        from xxhash import xxh3_128_digest
-
-        for part in chunks(batches, 2):
-            same, n, keys = [], [], []
-            for text in part.column(2).to_pylist():
-                own = shingles(text, words)
-                same.append(xxh3_128_digest(own.tobytes()))
-                n.append(len(own))
-                keys.append(band_keys(own) if len(own) else [])
-            columns = [part.column(0), part.column(1), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "same", "n", "keys"])
 
+def _sketches(docs: DataFrame, words: int, row: str) -> DataFrame:
+    """(doc_id, row, same: the set's digest, n: its size, fp: its fingerprint, keys) for every row; an empty set has no keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "__row", text_bytes().alias("text")).mapInArrow(each, f"doc_id {kind}, row long, same binary, n long, keys array<long>")
+    source = docs.select("doc_id", F.col(row).alias("row"), text_bytes().alias("text"))
+    return kernels.apply(source, "Sketches", f"doc_id {kind}, row long, same binary, n long, fp long, keys array<long>", words, ROWS, BANDS)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """The ``pairs`` (u, v: rows) whose texts (row, text) are as similar as ``share``, by their shingles."""
+    """The written ``pairs`` (u, v: rows) whose texts (row, text) are as similar as ``share``, by their shingles.
+
+    A row with many partners meets them in several tasks, PARTNERS to each.
+    """
 
-    def each(batches):
-        import numpy as np
-        import pyarrow as pa
+    def of(rows, *more):
+        return rows.join(texts, "row").select("row", "text", *more)
 
-        was, a = None, None
-        for batch in batches:
-            us, vs = [], []
-            for part in chunks(chunks([batch], 2), 3):
-                for u, v, x, y in zip(*(c.to_pylist() for c in part.columns)):
-                    if u != was:
-                        was, a = u, shingles(x, words)
-                    b = shingles(y, words)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both >= share * (len(a) + len(b) - both):
-                        us.append(u)
-                        vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+    many = pairs.groupBy("u").agg(F.count("*").alias("n"))
+    turns = F.ceil(F.col("n") / PARTNERS).cast("int")
+    dealt = joined_on_hot(pairs, many, ["u"], pairs.count()).select("u", "v", F.pmod(F.xxhash64("v"), turns).cast("int").alias("turn"))
+    left = of(many.select(F.col("u").alias("row"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn")), "turn").toDF("u", "text_u", "turn")
+    right = of(pairs.select(F.col("v").alias("row")).distinct()).toDF("v", "text_v")
+    whole = dealt.join(right, "v").join(left, ["u", "turn"]).select("u", "v", "text_u", "text_v")
+    return kernels.apply(whole, "SimilarPairs", "u long, v long", words, share)
 
-    def of(name):
-        return pairs.select(F.col(name).alias("row")).distinct().join(texts, "row").select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
 
-    whole = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_u", "text_v")
-    return whole.mapInArrow(each, "u long, v long")
+def _covered(sets: DataFrame) -> DataFrame:
+    """(u, v): nodes joined by the covering tables of their fingerprints, each through the least node of its fingerprint."""
+    nodes = sets.where("n > 0").select("node", "n", "fp")
+    least = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("hub")).select("fp", "hub.node", "hub.n"))
+    alike = nodes.join(least.toDF("fp", "hub", "hub_n"), "fp").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv"))
+    near = simhash.links(least.select("fp"), RADIUS)
+    u, v = least.toDF("fu", "u", "nu"), least.toDF("fv", "v", "nv")
+    pairs = near.toDF("fu", "fv").join(u, "fu").join(v, "fv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv")
+    return alike.union(pairs)
 
 
 def links(sets: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """(u, v): links between ``sets`` (node, n, keys) whose components are those of all candidate pairs as similar as ``share``.
-
-    Members of a bucket are compared with its least member first; after that all pairs of a bucket that these links
-    haven't joined already. Sizes alone rule out pairs that differ by more than ``share``.
+    """(u, v): links between ``sets`` (node, n, fp, keys) whose components are those of all candidate pairs as similar as ``share``.
+
+    A bucket isn't compared pair by pair. In each round some of its members, the hubs, meet the others, and those that
+    are as similar as wanted become one component with them. Pairs of a component needn't meet any more, nor do pairs that
+    held a hub before, so a bucket is done when all members that weren't hubs are of one component. The first hub is the
+    member that meets most others in all its buckets, as the origin of copies does. Later hubs are what doesn't
+    belong to a bucket's largest component, WIDER times as many each round. Sizes alone rule out pairs that differ by more
+    than ``share``.
     """
-    keyed = sets.select("node", "n", F.explode("keys").alias("key"))
-    twice = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub")
-    members = written(keyed.join(twice, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-
-    def sized(a, b):
-        return F.least(a, b) >= share * F.greatest(a, b)
-
-    stars = members.where(F.col("node") != F.col("hub")).where(sized("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    stars = written(stars)
-    first = written(_confirmed(stars, texts, words, share))
-    labels = components(first)
-    labelled = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b and size > 2").select("key")
-    left = written(labelled.join(open_, "key"))
-    x, y = left.toDF("key", "u", "nu", "lu"), left.toDF("key", "v", "nv", "lv")
-    rest = x.join(y, "key").where("u < v and lu <> lv").where(sized("nu", "nv")).select("u", "v").distinct()
-    rest = written(rest.join(stars, ["u", "v"], "left_anti"))
-    return first.union(written(_confirmed(rest, texts, words, share)))
+    sized = lambda a, b: F.least(a, b) >= share * F.greatest(a, b)
+    keyed = written(sets.select("node", F.col("n").alias("size"), F.explode("keys").alias("key")))
+    total = keyed.count()
+    members = joined_on_hot(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], total)
+    members = written(members)
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    left = written(members.join(degrees, "node").select("key", "node", "size", "degree", F.col("node").alias("label")))
+    for df in (keyed, members):
+        removed(df)
+    tested = written(_covered(sets).where(sized("nu", "nv")).select("u", "v").distinct())
+    found = written(_confirmed(tested, texts, words, share))
+    hubs_each = 0
+    while True:
+        labels = components(found)
+        left = left.drop("label").join(labels, "node", "left").select("key", "node", "size", "degree", F.coalesce("label", "node").alias("label"))
+        counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
+        open_ = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most")).where("labels > 1").select("key", "n", "most")
+        rows = left.count() if hubs_each else total
+        left = written(joined_on_hot(left, open_, ["key"], rows))
+        if left.isEmpty():
+            return found
+        # the first round has one hub a bucket, whatever its component
+        ranked = left if not hubs_each else left.where("label <> most")
+        hubs_each = max(1, hubs_each * WIDER)
+        first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
+        hubs = written(ranked.withColumn("place", first).where(F.col("place") <= hubs_each).select("key", "node", "size", "label"))
+        lists = hubs.groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("hubs"))
+        lists = lists.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+        met = joined_on_hot(left.select("key", "node", "size", "label"), lists, ["key"], left.count()).select("node", "size", "label", F.explode("hubs").alias("hub"))
+        met = met.where((F.col("hub.label") != F.col("label")) & sized("size", "hub.size"))
+        pairs = met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
+        pairs = written(pairs.join(tested, ["u", "v"], "left_anti"))
+        found = written(found.union(_confirmed(pairs, texts, words, share)))
+        tested = written(tested.union(pairs))
+        left = left.drop("n", "most").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each component of pairs as similar as ``share``: that with the smallest doc_id, null ids last, then the first such row.
 
-    Null and empty texts are one component. Other columns stay as they are.
+    Null and empty texts are one component; an empty table gives no rows; other columns stay, whatever their names.
     """
-    rows = numbered(docs, "__row")
-    own = written(_sketches(rows, words))
+    row, keep = (free(docs.columns, x) for x in ("row", "kept"))
+    rows = numbered(docs, row)
+    own = written(_sketches(rows, words, row))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("first")
-    sets = written(own.groupBy("same").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), first))
-    texts = rows.select(F.col("__row").alias("row"), text_bytes().alias("text"))
+    sets = written(own.groupBy("same").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), first))
+    removed(own)
+    texts = rows.select(F.col(row).alias("row"), text_bytes().alias("text"))
     labels = components(links(sets, texts, words, share))
     each = sets.select("node", "first").join(labels, "node", "left")
-    kept = each.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    kept = each.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(keep))
+    return rows.join(kept, F.col(row) == F.col(keep), "left_semi").drop(row)

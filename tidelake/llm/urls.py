@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of a digest that the join uses; the whole digests are compared after it.
 SHORT = 8
-#: Rules to be broadcast at most; more of them are shuffled.
-RULES_MOST = 100_000
+#: Bytes of rules to be broadcast at most; more of them are shuffled.
+RULES_BYTES = 16 << 20
 
 
 def rules(spark: SparkSession, listed: list[tuple[str, str]]) -> DataFrame:
@@ -26,35 +26,40 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, big, small), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule and verdict as __host, __path, __rule and __verdict.
+def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", into: tuple[str, str, str, str] = ("__host", "__path", "__rule", "__verdict")) -> DataFrame:
+    """``pages`` with the URL's host and path, the rule that decides and its verdict, in columns named by ``into``.
 
-    A rule fits its host and all subdomains if the URL's path starts with the rule's path. Of the rules that fit, the
-    longest wins, by the host first; of two equal rules a block wins. Where none fits, rule is null and the verdict is
-    ``default``. Null URLs and those without ``://`` have an empty host and path, which no rule fits. Repeated rows
-    stay, an empty table gives none, and other columns are kept.
+    A rule fits its host and all subdomains if the URL's path starts with the rule's path; a rule without a slash fits
+    any path, the empty one too. Of the rules that fit, the longest wins, the host's part and the path's counted
+    together; of equally long ones that with the longer host, and of two equal rules a block. Where none fits, rule is
+    null and the verdict is ``default``. Null URLs and those without ``://`` have an empty host and path, which no rule
+    fits. Repeated rows stay, an empty table gives none, URLs may be of any length, and other columns are kept, whatever
+    their names; names of ``into`` that are there already are an error.
 
     Each distinct host and path is expanded into the host suffixes and path prefixes that have as many labels and
     characters as some rule, joined to the rules on a short prefix of the expression's digest, and confirmed by the
     whole digest. URLs meet their result again by host and path, a join whose hot keys Spark can split.
     """
+    if set(into) & set(pages.columns):
+        raise ValueError(f"a column of {into} is there already")
     parsed = listed.where("rule is not null").select(
         "verdict", "rule", F.substring_index("rule", "/", 1).alias("h"), F.sha2("rule", 256).alias("digest"), F.length("rule").alias("n")
     )
+    # labels and characters that some rule has, together: pairs, so that a URL isn't expanded into all combinations
     parsed = parsed.withColumns({"labels": F.size(F.split("h", r"\.")), "chars": F.col("n") - F.length("h")})
     best = parsed.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("blocks"), F.first("digest").alias("digest"), F.first("labels").alias("labels"), F.first("chars").alias("chars"), F.first("h").alias("h"))
-    shapes = best.agg(F.collect_set("labels").alias("labels"), F.collect_set("chars").alias("chars"), F.count("*").alias("n")).first()
+    told = best.agg(F.collect_set(F.struct("labels", "chars")).alias("shapes"), F.sum(F.octet_length("rule") + 120).alias("bytes")).first()
+    shapes = sorted(tuple(x) for x in told.shapes)
+    host_is, path_is, rule_is, verdict_is = into
     host, path = host_and_path(F.col("url"))
-    own = pages.withColumns({"__host": host, "__path": path})
-    distinct = own.select("__host", "__path").where("__host <> '' and __path <> ''").distinct()
-    suffixes = F.array_distinct(F.array(*[F.substring_index("__host", ".", -n) for n in sorted(shapes.labels)])) if shapes.labels else F.array().cast("array<string>")
-    prefixes = F.filter(F.array(*[F.when(F.length("__path") >= n, F.substr("__path", F.lit(1), F.lit(n))) for n in sorted(shapes.chars)]), lambda x: x.isNotNull()) if shapes.chars else F.array().cast("array<string>")
-    each = distinct.withColumn("__x", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))))
-    each = each.withColumn("__digest", F.sha2("__x", 256))
-    keyed = best.withColumn("__short", F.substr("digest", F.lit(1), F.lit(SHORT)))
-    keyed = F.broadcast(keyed) if shapes.n <= RULES_MOST else keyed
-    hits = each.join(keyed, F.substr("__digest", F.lit(1), F.lit(SHORT)) == F.col("__short")).where("__digest = digest and __x = rule")
-    won = hits.groupBy("__host", "__path").agg(F.max_by(F.struct("rule", "blocks"), F.struct(F.length("h"), "chars")).alias("__won"))
-    found = own.join(won, ["__host", "__path"], "left")
-    verdict = F.when(F.col("__won").isNull(), F.lit(default)).when(F.col("__won.blocks"), F.lit("block")).otherwise(F.lit("allow"))
-    return found.withColumns({"__rule": F.col("__won.rule"), "__verdict": verdict}).select(*pages.columns, "__host", "__path", "__rule", "__verdict")
+    own = pages.withColumns({host_is: host, path_is: path})
+    distinct = own.select(F.col(host_is).alias("host"), F.col(path_is).alias("path")).where("host <> ''").distinct()
+    fits = [F.when((F.size(F.split("host", r"\.")) >= n) & (F.length("path") >= k), F.concat(F.substring_index("host", ".", -n), F.substr("path", F.lit(1), F.lit(k)))) for n, k in shapes]
+    each = distinct.withColumn("x", F.explode(F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>"))).withColumn("found", F.sha2("x", 256))
+    keyed = best.withColumn("short", F.substr("digest", F.lit(1), F.lit(SHORT)))
+    keyed = F.broadcast(keyed) if (told.bytes or 0) <= RULES_BYTES else keyed
+    hits = each.join(keyed, F.substr("found", F.lit(1), F.lit(SHORT)) == F.col("short")).where("found = digest and x = rule")
+    won = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "blocks"), F.struct(F.length("rule"), F.length("h"))).alias("won"))
+    won = won.select(F.col("host").alias(host_is), F.col("path").alias(path_is), F.col("won.rule").alias(rule_is), F.when(F.col("won.blocks"), "block").otherwise("allow").alias(verdict_is))
+    found = own.join(won, [host_is, path_is], "left")
+    return found.select(*(F.col(f"`{c}`") for c in pages.columns), host_is, path_is, rule_is, F.coalesce(F.col(verdict_is), F.lit(default)).alias(verdict_is))
