@@ -148,8 +148,12 @@ class DataApi:
         paths = {}
         for name, q in QUERIES.items():
             d = self.lake.registry[q.dataset]
-            columns = {f: {"type": kinds[d.type_of(f)], "description": next(x.unit for x in d.fields if x.name == f)} for f in q.fields.split()}
-            paths[f"/{name}"] = {"post": {"summary": q.dataset, "x-default-limit": q.limits[0], "x-max-limit": q.limits[1], "responses": {"200": {"description": "a page", "content": {"application/json": {"schema": {"type": "object", "properties": columns}}}}}}}
+            columns = {f: {"type": kinds[d.type_of(f)], "description": next(" ".join(filter(None, (x.desc, x.unit))) for x in d.fields if x.name == f)} for f in q.fields.split()}
+            asked = {"type": "object", "properties": {
+                "api_name": {"type": "string", "enum": [name]}, "token": {"type": "string"}, "fields": {"type": "string", "description": "a comma list; all without it"},
+                "params": {"type": "object", "description": (q.filters.__doc__ or "ranges of dates").strip(), "additionalProperties": {"type": "string"}},
+            }}
+            paths[f"/{name}"] = {"post": {"summary": q.dataset, "requestBody": {"content": {"application/json": {"schema": asked}}}, "x-default-limit": q.limits[0], "x-max-limit": q.limits[1], "responses": {"200": {"description": "a page", "content": {"application/json": {"schema": {"type": "object", "properties": columns}}}}}}}
         return {"openapi": "3.0.3", "info": {"title": "market data", "version": "1"}, "paths": paths}
 
 
