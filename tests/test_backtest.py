@@ -172,6 +172,84 @@ def test_many_runs_equal_single_ones(spark):
     assert stats["r2"].wins == sum(y > x for _, x, y in pairs) and stats["r2"].losses == sum(y < x for _, x, y in pairs)
 
 
+def test_actions_reach_what_left_the_universe_and_summaries_tell():
+    class Leaves:
+        def initialize(self, ctx):
+            pass
+
+        def handle_data(self, ctx, bars):
+            if ctx.day == "2024-01-01":
+                ctx.order(SEC, 1000)
+                ctx.set_universe(["other"])
+
+    m = market([10, 10, 11, 12])
+    m.actions["2024-01-03"] = [CorporateAction(SEC, bonus_ps=0.5)]
+    r = b.simulate(Leaves(), b.Config("2024-01-01", "2024-12-31", 100_000.0, (SEC,), benchmark=SEC), m)
+    cash = [row["cash"] for row in r.nav]
+    assert cash[2] - cash[1] == pytest.approx(1000 * 0.5 * 0.8)
+    assert [row["benchmark"] for row in r.nav] == [10, 10, 11, 12]
+    assert r.summary["trading_days"] == 4 and r.summary["trade_count"] == r.summary["order_count"] == 1
+    assert r.summary["total_return"] == pytest.approx(r.nav[-1]["value"] / 100_000 - 1)
+
+
+def test_history_of_several_fields():
+    seen = {}
+
+    class S:
+        def initialize(self, ctx):
+            ctx.set_universe([SEC, "none"])
+
+        def handle_data(self, ctx, bars):
+            if ctx.day == "2024-01-03":
+                seen["table"] = ctx.get_history(2, fields=["close", "volume"], include=True)
+                seen["dict"] = ctx.get_history(2, "1d", "close", SEC, shape="dict")
+                with pytest.raises(ValueError):
+                    ctx.get_history(2, "5m")
+
+    b.simulate(S(), b.Config("2024-01-01", "2024-12-31", 1e5), market([10, 11, 12]))
+    assert seen["table"].code.tolist() == [SEC, SEC, "none", "none"] and seen["table"].close.tolist() == [11, 12, 0, 0]
+    assert seen["dict"][SEC]["close"].tolist() == [10, 11]
+
+
+def test_history_of_gaps_equals_a_plain_search():
+    import random
+
+    rng = random.Random(8)
+    bars = {f"2024-01-{d:02d}": {s: Bar(*[rng.random()] * 4, 5.0) for s in ("a", "b", "c") if rng.random() < 0.5} for d in range(1, 29)}
+    m = b.Market({t: x for t, x in bars.items() if x})
+    got = []
+
+    class S:
+        def initialize(self, ctx):
+            ctx.set_universe(["a", "b", "c"])
+
+        def handle_data(self, ctx, now):
+            got.append((ctx.day, ctx.history(["a", "b", "c"], count=5), ctx.history(["a"], "volume", 3, include=True)))
+
+    b.simulate(S(), b.Config("2024-01-01", "2024-12-31", 1e5), m)
+    times = sorted(m.bars)
+    for day, close, volume in got:
+        before = [t for t in times if t < day][-5:]
+        for s in ("a", "b", "c"):
+            want = [next((m.bars[k][s].close for k in reversed(times) if k <= t and s in m.bars[k]), float("nan")) for t in before]
+            assert str(close[s]) == str(want)
+        upto = [t for t in times if t <= day][-3:]
+        first = next(t for t in times if "a" in m.bars[t])
+        assert str(volume["a"]) == str([m.bars[t]["a"].volume if "a" in m.bars[t] else 0.0 if t > first else float("nan") for t in upto])
+
+
+def test_runs_without_a_nested_loop(spark):
+    rows = [(c, f"2024-01-{d:02d}", 10.0 + d) for c in ("a", "b", "c") for d in range(1, 20)]
+    bars = spark.createDataFrame(rows, "ts_code string, time string, close double").selectExpr("ts_code", "time", "close AS open", "close AS high", "close AS low", "close", "1e7 AS volume", "0.0 AS amount")
+    jobs = spark.createDataFrame([("x", "s", None, "2024-01-10", "2024-01-15", 1e5, ["a"], "b"), ("y", "s", None, "2024-01-10", "2024-01-15", 1e5, None, None)], "run_id string, strategy string, params string, start string, end string, capital double, universe array<string>, benchmark string")
+    own = b.bars_of_runs(jobs, bars, warmup=3)
+    assert "NestedLoop" not in own._jdf.queryExecution().toString()
+    seen = {}
+    for r in own.collect():
+        seen.setdefault(r.run_id, set()).add((r.ts_code, r.time))
+    assert seen == {"x": {(c, f"2024-01-{d:02d}") for c in ("a", "b") for d in range(7, 16)}, "y": {(c, f"2024-01-{d:02d}") for c in ("a", "b", "c") for d in range(7, 16)}}
+
+
 def test_job_ledger(tmp_path):
     jobs = b.JobLedger(tmp_path)
     jobs.put({"run_id": "a", "status": "running", "created_at": "1"})

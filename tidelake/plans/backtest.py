@@ -389,9 +389,9 @@ def bars_of_runs(jobs: DataFrame, bars: DataFrame, warmup: int = 365) -> DataFra
     if "benchmark" not in jobs.columns:
         jobs = jobs.withColumn("benchmark", F.lit(None).cast("string"))
     named = jobs.where("universe is not null").withColumn("ts_code", F.explode(F.array_distinct(F.concat("universe", F.when(F.col("benchmark").isNotNull(), F.array("benchmark")).otherwise(F.array().cast("array<string>"))))))
-    # one key for all: the list of such runs is exploded over the bars, which stay where they are
-    whole = jobs.where("universe is null").agg(F.collect_list(F.struct(*jobs.columns)).alias("__jobs")).withColumn("__one", F.lit(1))
-    every = bars.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one").withColumn("__job", F.explode("__jobs")).select(bars["*"], "__job.*")
+    # a list of such runs, of one row, is looked up once and opened on each bar: no join
+    whole = jobs.where("universe is null").agg(F.collect_list(F.struct(*jobs.columns)).alias("jobs"))
+    every = bars.withColumn("__job", F.explode(whole.scalar())).select(*[F.col(f"`{c}`") for c in bars.columns], "__job.*")
     return named.join(bars, "ts_code").select(*every.columns).unionByName(every).where(span)
 
 
