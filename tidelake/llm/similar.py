@@ -81,7 +81,7 @@ def links(sets: DataFrame, texts: DataFrame, words: int, share: float) -> DataFr
         removed(df)
     tested = written(_covered(sets).where(sized("nu", "nv")).select("u", "v").distinct())
     found = written(_confirmed(tested, texts, words, share))
-    hubs_each = 0
+    hubs_each, old = 0, [left]
     while True:
         labels = components(found)
         left = left.drop("label").join(labels, "node", "left").select("key", "node", "size", "degree", F.coalesce("label", "node").alias("label"))
@@ -89,6 +89,8 @@ def links(sets: DataFrame, texts: DataFrame, words: int, share: float) -> DataFr
         open_ = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most")).where("labels > 1").select("key", "n", "most")
         rows = left.count() if hubs_each else total
         left = written(joined_on_hot(left, open_, ["key"], rows))
+        for df in old:
+            removed(df)
         if left.isEmpty():
             return found
         # the first round has one hub a bucket, whatever its component
@@ -102,6 +104,7 @@ def links(sets: DataFrame, texts: DataFrame, words: int, share: float) -> DataFr
         met = met.where((F.col("hub.label") != F.col("label")) & sized("size", "hub.size"))
         pairs = met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
         pairs = written(pairs.join(tested, ["u", "v"], "left_anti"))
+        old = [left, hubs, found, tested, pairs]
         found = written(found.union(_confirmed(pairs, texts, words, share)))
         tested = written(tested.union(pairs))
         left = left.drop("n", "most").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
