@@ -51,7 +51,9 @@ def test_commands(spark, home):
     told(spark, home, "build-cross")
     assert {r["dataset"]: r["status"] for r in told(spark, home, "verify")}["daily_cross"] == "ok"
     assert told(spark, home, "dedupe", "bars_daily") == [] and told(spark, home, "reconcile", "bars_daily") == [{"dataset": "bars_daily", "rows": 0}]
-    assert {h["dataset"] for h in told(spark, home, "health") if h["files"]} == {"bars_daily", "daily_cross", "corporate_actions"}
+    health = told(spark, home, "health")
+    assert 0 < health[-1]["disk"]["lake"] < health[-1]["disk"]["capacity"]
+    assert {h["dataset"] for h in health[:-1] if h["files"]} == {"bars_daily", "daily_cross", "corporate_actions"}
     sources = home / "sources.json"
     answer = "import json; print(json.dumps({'fields': ['a'], 'items': [[1]]}))"
     sources.write_text(json.dumps({"sources": {"x": {"kind": "exec", "argv": ["python", "-c", answer]}, "y": {"kind": "nope"}}, "bindings": {"trade_cal": ["x"]}}))

@@ -127,6 +127,7 @@ def run(args: argparse.Namespace, spark, say=print) -> int:
     elif command == "health":
         for h in lake.health():
             tell(h)
+        tell({"disk": lake.disk()})
     elif command == "reconcile":
         tell(lake.reconcile(args.dataset) or {"dataset": args.dataset, "rows": 0})
     elif command == "backtest":

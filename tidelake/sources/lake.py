@@ -216,6 +216,12 @@ class Lake:
             out.append({"dataset": d.name, "files": len(files), "bytes": sum(n for _, n in files), "partitions": len({f.rpartition("/")[0] for f, _ in files}) if d.partitions else 0})
         return out
 
+    def disk(self) -> dict:
+        """Bytes of the file system that holds the lake: all, used and left, and what the lake's datasets take."""
+        fs, p = self._fs(self.root)
+        at = fs.getStatus(p) if fs.exists(p) else fs.getStatus()
+        return {"capacity": at.getCapacity(), "used": at.getUsed(), "remaining": at.getRemaining(), "lake": sum(h["bytes"] for h in self.health())}
+
     def verify(self) -> DataFrame:
         """Rows by the ledger against rows in files: ok, mismatch, or no-manifest."""
         actual = None
