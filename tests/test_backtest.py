@@ -238,6 +238,19 @@ def test_history_of_gaps_equals_a_plain_search():
         assert str(volume["a"]) == str([m.bars[t]["a"].volume if "a" in m.bars[t] else 0.0 if t > first else float("nan") for t in upto])
 
 
+def test_fundamentals_of_a_day():
+    m = market([10, 11])
+    m.facts["2024-01-01"] = {SEC: {"total_mv": 2.0, "dv_ttm": 1.5}, "b": {"total_mv": None}}
+    ctx = b.Context(b.Config("2024-01-01", "2024-12-31"), m)
+    ctx.day = "2024-01-01"
+    assert [r["code"] for r in ctx.get_fundamentals()] == [SEC, "b"] and ctx.get_fundamentals([]) == []
+    assert ctx.get_fundamentals(SEC, "dividend_ratio") == [{"code": SEC, "trading_day": "2024-01-01", "total_value": 20000.0, "dividend_ratio": "1.500000%"}]
+    assert ctx.get_fundamentals("none") == [] and ctx.get_fundamentals(SEC, day="2024-01-02") == []
+    for bad in ({"table": "growth"}, {"fields": "nope"}, {"start_year": 2020}):
+        with pytest.raises(ValueError):
+            ctx.get_fundamentals(SEC, **bad)
+
+
 def test_runs_without_a_nested_loop(spark):
     rows = [(c, f"2024-01-{d:02d}", 10.0 + d) for c in ("a", "b", "c") for d in range(1, 20)]
     bars = spark.createDataFrame(rows, "ts_code string, time string, close double").selectExpr("ts_code", "time", "close AS open", "close AS high", "close AS low", "close", "1e7 AS volume", "0.0 AS amount")

@@ -241,8 +241,15 @@ class Context:
         times = [t for t in self.market.times[max(0, end_at - (count or 1)) : end_at] if not start or t >= start]
         return {s: self._series(s, times, field if field in PRICES else "close", fq) for s in some}
 
-    def get_fundamentals(self, securities=None, fields=(), day: str | None = None) -> list[dict]:
-        """Rows of valuation fields at a day, by code; a security without a row has none."""
+    def get_fundamentals(self, securities=None, fields=(), day: str | None = None, table: str = "valuation", **others) -> list[dict]:
+        """Rows of valuation fields at a day, by code; a security without a row has none. No securities named are all, an empty list is none.
+
+        Valuations at a day are the only table and mode: years, report types and the like are an error, and so are unknown fields.
+        """
+        if table != "valuation" or any(v is not None for v in others.values()):
+            raise ValueError("only valuations at a day are there")
+        if unknown := sorted({fields} - VALUATION.keys() if isinstance(fields, str) else set(fields) - VALUATION.keys()):
+            raise ValueError(f"no such valuation fields: {unknown}")
         rows = self.market.facts.get(day or self.day, {})
         some = sorted(rows) if securities is None else sorted(set([securities] if isinstance(securities, str) else securities) & rows.keys())
         out = []
