@@ -68,7 +68,10 @@ class Block:
         self.flat, self.order = flat, suffix_order(np.array(flat, np.int64)).tolist()
 
     def longest(self, seq: list[int]) -> tuple[int, str, int]:
-        """(words, item, place in it) of the longest prefix of ``seq`` that is in an item: of the neighbours in the suffix order."""
+        """(words, item, place in it) of the longest prefix of ``seq`` that is in an item, the first such item and place.
+
+        The neighbours in the suffix order share most; whatever shares as much stands beside them.
+        """
         lo, hi, flat, order, n = 0, len(self.order), self.flat, self.order, len(seq)
         while lo < hi:
             mid = (lo + hi) >> 1
@@ -76,16 +79,20 @@ class Block:
                 lo = mid + 1
             else:
                 hi = mid
-        best = (0, "", 0)
-        for k in (lo, lo - 1):
-            if 0 <= k < len(order):
+        best, places = 0, []
+        for k, step in ((lo, 1), (lo - 1, -1)):
+            while 0 <= k < len(order):
                 at, m = order[k], 0
                 while m < n and at + m < len(flat) and flat[at + m] == seq[m] and seq[m]:
                     m += 1
-                if m > best[0]:
-                    i = bisect_right(self.starts, at) - 1
-                    best = (m, self.items[i][0], at - self.starts[i])
-        return best
+                if m < max(best, 1):
+                    break
+                if m > best:
+                    best, places = m, []
+                i = bisect_right(self.starts, at) - 1
+                places.append((self.items[i][0], at - self.starts[i]))
+                k += step
+        return (best, *min(places)) if places else (0, "", 0)
 
 
 class Shard:

@@ -38,7 +38,25 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@register("op2_benchmark_decontamination")
+@register(
+    "op2_benchmark_decontamination",
+    r"""
+    WITH lower AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lower),
+    b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+    bw AS (SELECT item, q, size, array_to_string(w[q + 1 : q + size], ' ') AS k FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS q FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM bw),
+    dw AS (SELECT r, p, size, array_to_string(w[p + 1 : p + size], ' ') AS k FROM (SELECT r, w, size, unnest(range(0, len(w) - size + 1)) AS p FROM d, sizes WHERE len(w) >= size)),
+    m AS (SELECT r, p, size, item, q FROM dw JOIN bw USING (size, k)),
+    hits AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(p, p + size)) AS x FROM m) GROUP BY r),
+    items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS told FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
+    chains AS (SELECT r, item, min(p) AS p, min(q) AS q, count(DISTINCT p) + size - 1 AS words FROM (SELECT DISTINCT r, item, p, q, size, p - dense_rank() OVER (PARTITION BY r, item, size, p - q ORDER BY p) AS island FROM m) GROUP BY r, item, size, p - q, island),
+    best AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, p, item, q) = 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(items.told, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated,
+        best.words::BIGINT AS longest_words, best.p::BIGINT AS longest_doc_at, best.item AS longest_item_id, best.q::BIGINT AS longest_item_at
+    FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)
+    """.strip(),
+)
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -135,7 +153,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
 
 
-@register("op3_repeated_passages")
+@register(
+    "op3_repeated_passages",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    parts AS (SELECT r, n, c, substr(h, 800 * c + 1, 1598) AS part FROM (SELECT r, h, len(h) // 2 AS n, unnest(range(0, (len(h) // 2 - 400) // 400 + 1)) AS c FROM d WHERE len(h) >= 800)),
+    w AS (SELECT r, 400 * c + o AS p, md5(substr(part, 2 * o + 1, 800)) AS k FROM (SELECT r, c, part, unnest(range(0, least(400, n - 399 - 400 * c))) AS o FROM parts)),
+    hit AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+    numbered AS (SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM hit),
+    spans AS (SELECT r, min(p) AS a, max(p) + 400 AS e FROM numbered GROUP BY r, g),
+    cuts AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS left_at FROM spans),
+    told AS (SELECT r, sum(e - a) AS n, count(*) AS spans, max(e) AS last, string_agg(substr(h, 2 * left_at + 1, 2 * (a - left_at)), '' ORDER BY a) AS kept FROM cuts JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN told USING (r)
+    """,
+)
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=400)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
