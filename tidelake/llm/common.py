@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,14 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(*tables: DataFrame) -> None:
+    """Deletes tables that nothing reads any more, and lets Spark delete the shuffles that made them."""
+    for df in tables:
+        removed(df)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def chunks(batches, text: int = 1, limit: int = CHUNK_BYTES):
     """Slices record batches into pieces whose column number ``text`` (binary) has about ``limit`` bytes or one row."""
     import numpy as np

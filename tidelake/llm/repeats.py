@@ -21,13 +21,11 @@ Keys have 64 bits and only choose what is looked at further; passages are told b
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm import kernels
-from tidelake.llm.common import joined_on_hot, numbered, removed, text_bytes, written
+from tidelake.llm.common import joined_on_hot, numbered, removed, text_bytes, tidy, written
 
 #: Places in a block, level after level.
 BLOCKS = (32, 4, 1)
@@ -54,14 +52,6 @@ def _settled(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sure, items
 
 
-def _tidy(*tables: DataFrame) -> None:
-    """Deletes tables, and lets Spark delete the shuffles behind them."""
-    for df in tables:
-        removed(df)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, sha) for every row of ``docs``.
 
@@ -83,17 +73,17 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     # a text that shares nothing with another one needn't be looked at again
     texts = written(source.select("row", "text").join(shared, "row").select("row", "copied", "text", "keys"))
     passages = written(kernels.apply(texts, "RunPassages", _PASSAGE, width))
-    _tidy(keys)
+    tidy(keys)
     found = []
     for size in BLOCKS:
         sure, items = _settled(passages)
         found.append(sure)
-        _tidy(passages)
+        tidy(passages)
         passages = written(kernels.apply(texts.select("row", "text").join(items, "row"), "BlockPassages", _PASSAGE, width, size))
-        _tidy(items)
+        tidy(items)
     sure, items = _settled(passages)
     found.append(sure)
-    _tidy(passages, items)
+    tidy(passages, items)
     places = found[0]
     for more in found[1:]:
         places = places.union(more)

@@ -3,7 +3,7 @@
 Candidates come from two sides. The covering tables of simhash.py give, with certainty, all pairs whose 64-bit
 fingerprints differ in RADIUS bits or fewer. Texts that share four fifths of their shingles differ in ten bits on
 average, farther than covering tables can reach; MinHash finds these: BANDS keys of ROWS least hashes each, of which a
-pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 7e-10 at 0.8. Every candidate is then confirmed by
+pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 8e-6 at 0.8. Every candidate is then confirmed by
 its shingles themselves.
 """
 
@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.llm import kernels, simhash
-from tidelake.llm.common import free, joined_on_hot, numbered, removed, text_bytes, written
+from tidelake.llm.common import free, joined_on_hot, numbered, removed, text_bytes, tidy, written
 from tidelake.llm.components import components
 
-ROWS, BANDS, RADIUS = 4, 40, 4
+ROWS, BANDS, RADIUS = 8, 64, 4
 #: How many times more hubs a bucket has from round to round.
 WIDER = 8
 #: Partners of a row that one task compares it with, about.
 PARTNERS = 1000
+#: Row numbers that are sent to all tasks at most, of eight bytes each.
+ROWS_SENT = 100_000
 
 
 def _sketches(docs: DataFrame, words: int, row: str) -> DataFrame:
@@ -32,21 +34,21 @@ def _sketches(docs: DataFrame, words: int, row: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """The written ``pairs`` (u, v: rows) whose texts (row, text) are as similar as ``share``, by their shingles.
+    """The written ``pairs`` (u, v: rows) whose texts (row, text) are as similar as ``share``, by their shingles; a written table.
 
-    A row with many partners meets them in several tasks, PARTNERS to each.
+    Only the texts of these rows move, once. A row with many partners meets them in several tasks, PARTNERS to each.
     """
-
-    def of(rows, *more):
-        return rows.join(texts, "row").select("row", "text", *more)
-
+    asked = written(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    few = asked.count() <= ROWS_SENT
+    some = written(texts.join(F.broadcast(asked) if few else asked, "row").select("row", "text"))
     many = pairs.groupBy("u").agg(F.count("*").alias("n"))
     turns = F.ceil(F.col("n") / PARTNERS).cast("int")
     dealt = joined_on_hot(pairs, many, ["u"], pairs.count()).select("u", "v", F.pmod(F.xxhash64("v"), turns).cast("int").alias("turn"))
-    left = of(many.select(F.col("u").alias("row"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn")), "turn").toDF("u", "text_u", "turn")
-    right = of(pairs.select(F.col("v").alias("row")).distinct()).toDF("v", "text_v")
-    whole = dealt.join(right, "v").join(left, ["u", "turn"]).select("u", "v", "text_u", "text_v")
-    return kernels.apply(whole, "SimilarPairs", "u long, v long", words, share)
+    left = many.select(F.col("u").alias("row"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn")).join(some, "row").select("row", "text", "turn").toDF("u", "text_u", "turn")
+    whole = dealt.join(some.toDF("v", "text_v"), "v").join(left, ["u", "turn"]).select("u", "v", "text_u", "text_v")
+    out = written(kernels.apply(whole, "SimilarPairs", "u long, v long", words, share))
+    tidy(asked, some)
+    return out
 
 
 def _covered(sets: DataFrame) -> DataFrame:
@@ -72,42 +74,38 @@ def links(sets: DataFrame, texts: DataFrame, words: int, share: float) -> DataFr
     """
     sized = lambda a, b: F.least(a, b) >= share * F.greatest(a, b)
     keyed = written(sets.select("node", F.col("n").alias("size"), F.explode("keys").alias("key")))
-    total = keyed.count()
-    members = joined_on_hot(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], total)
-    members = written(members)
+    rows = keyed.count()
+    members = written(joined_on_hot(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], rows))
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    left = written(members.join(degrees, "node").select("key", "node", "size", "degree", F.col("node").alias("label")))
-    for df in (keyed, members):
-        removed(df)
+    left = written(members.join(degrees, "node").select("key", "node", "size", "degree"))
     tested = written(_covered(sets).where(sized("nu", "nv")).select("u", "v").distinct())
-    found = written(_confirmed(tested, texts, words, share))
-    hubs_each, old = 0, [left]
+    edges = _confirmed(tested, texts, words, share)
+    hubs_each, old = 0, [keyed, members, left]
     while True:
-        labels = components(found)
-        left = left.drop("label").join(labels, "node", "left").select("key", "node", "size", "degree", F.coalesce("label", "node").alias("label"))
-        counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
+        # what is known so far, as one link from each node to its component's least
+        known = components(edges)
+        labelled = left.join(known, "node", "left").select("key", "node", "size", "degree", F.coalesce("label", "node").alias("label"))
+        counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
         open_ = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most")).where("labels > 1").select("key", "n", "most")
-        rows = left.count() if hubs_each else total
-        left = written(joined_on_hot(left, open_, ["key"], rows))
-        for df in old:
-            removed(df)
-        if left.isEmpty():
-            return found
+        left = written(joined_on_hot(labelled, open_, ["key"], rows))
+        tidy(edges, *old)
+        rows = left.count()
+        if not rows:
+            return known.toDF("u", "v")
         # the first round has one hub a bucket, whatever its component
         ranked = left if not hubs_each else left.where("label <> most")
         hubs_each = max(1, hubs_each * WIDER)
         first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-        hubs = written(ranked.withColumn("place", first).where(F.col("place") <= hubs_each).select("key", "node", "size", "label"))
-        lists = hubs.groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("hubs"))
-        lists = lists.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
-        met = joined_on_hot(left.select("key", "node", "size", "label"), lists, ["key"], left.count()).select("node", "size", "label", F.explode("hubs").alias("hub"))
+        hubs = written(ranked.withColumn("place", first).where(F.col("place") <= hubs_each).select("key", "node", "size", "label", "n"))
+        lists = hubs.groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("hubs"), F.first("n").alias("n"))
+        met = joined_on_hot(left.select("key", "node", "size", "label"), lists, ["key"], rows).select("node", "size", "label", F.explode("hubs").alias("hub"))
         met = met.where((F.col("hub.label") != F.col("label")) & sized("size", "hub.size"))
         pairs = met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
         pairs = written(pairs.join(tested, ["u", "v"], "left_anti"))
-        old = [left, hubs, found, tested, pairs]
-        found = written(found.union(_confirmed(pairs, texts, words, share)))
+        old = [left, hubs, tested, pairs]
         tested = written(tested.union(pairs))
-        left = left.drop("n", "most").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
+        edges = written(known.toDF("u", "v").union(_confirmed(pairs, texts, words, share)))
+        left = left.drop("n", "most", "label").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:

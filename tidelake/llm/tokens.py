@@ -150,11 +150,13 @@ def alphabet(path: str) -> Alphabet | None:
         words = True
     else:
         return None
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every, kinds, lower = "".join(map(chr, points)), [], []
+    kinds, lower = [], []
     for kind, pattern in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
-        for part, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            kinds.append((ord(part[0]), ord(part[-1]) + 1, kind))
+        split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        # some thousand code points at a time, without the surrogates
+        for a in range(0, 0x110000, 0x1000):
+            if not 0xD800 <= a < 0xE000:
+                kinds += [(ord(part[0]), ord(part[-1]) + 1, kind) for part, _ in split.pre_tokenize_str("".join(map(chr, range(a, min(a + 0x1000, 0xD800) if a < 0xD800 else a + 0x1000))))]
     if words:
         form, small = normalizers.NFC(), normalizers.Lowercase()
         end = 0
