@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import ann, decontaminate, lm, mixing, quality, repeats, simhash, token_files, tokens, urls
+from tidelake.llm import ann, decontaminate, lm, minhash, mixing, quality, repeats, simhash, token_files, tokens, urls
 from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,24 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=400)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+
+
+@register(
+    "op11_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[p : p + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM d WHERE len(w) > 0)),
+    sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+    shared AS (SELECT a.r AS u, b.r AS v, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.r < b.r GROUP BY a.r, b.r),
+    links AS MATERIALIZED (SELECT u, v FROM shared JOIN sizes x ON x.r = u JOIN sizes y ON y.r = v WHERE 100 * common >= 85 * (x.n + y.n - common)),
+    edges AS MATERIALIZED (SELECT u, v FROM links UNION SELECT v, u FROM links),
+    reach(r, c) AS (SELECT r, r FROM sizes UNION SELECT edges.v, reach.c FROM reach JOIN edges ON edges.u = reach.r),
+    ids AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.c GROUP BY reach.r)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+        coalesce(doc_id = CASE WHEN n IS NULL THEN doc_id ELSE component_id END, false) AS kept
+    FROM d LEFT JOIN sizes USING (r) LEFT JOIN ids USING (r)
+    """,
+)
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, share=0.85)
