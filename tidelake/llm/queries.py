@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm import align, ann, decontaminate, lm, minhash, mixing, quality, repeats, simhash, token_files, tokens, urls
+from tidelake.llm import align, ann, decontaminate, lm, minhash, mixing, quality, repeats, simhash, spelling, token_files, tokens, urls
 from tidelake.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,27 @@ def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_cross_tokenizer_alignment")
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@register(
+    "op13_spelling_variants",
+    r"""
+    WITH RECURSIVE table_of AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    runs AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS name, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+    distinct_runs AS MATERIALIZED (SELECT name, run, count(*) AS n, hex(encode(name || ':' || run)) AS h FROM runs WHERE length(run) >= 7 GROUP BY name, run),
+    coded AS (SELECT run, n, list_transform(range(0, len(h) // 2), lambda i: (16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::UBIGINT) AS bytes FROM distinct_runs),
+    hashed AS (SELECT run, n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1]))) AS crc FROM coded, table_of),
+    given AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM given WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    holes AS MATERIALIZED (SELECT word, n, length(word) AS size, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+    pairs AS (SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.size = b.size AND a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+    near AS (SELECT word, count(*) AS n_near, arg_max(other, (n, -rank)) AS form, max(n) AS form_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY encode(other)) AS rank FROM pairs) GROUP BY word),
+    forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+    chains(word, root, step) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word) USING (word)
+    """,
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=31, least=7, times=2, ratio=10)
