@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tests.llm.conftest import lower
 from tidelake.llm import minhash
 
@@ -44,7 +46,7 @@ def copies(rng):
     for _ in range(20):
         base = [f"w{rng.randrange(4000)}" for _ in range(200)]
         out.append(base)
-        for changed in (1, 2, 3, 3, 4, 6):
+        for changed in (1, 2, 3, 3, 4, 6, 7, 8):
             other = list(rng.choice(out[-3:])) if rng.random() < 0.4 else list(base)
             for at in rng.sample(range(200), changed):
                 other[at] = f"n{rng.randrange(10**6)}"
@@ -54,9 +56,11 @@ def copies(rng):
     return [(i, " ".join(t)) for i, t in enumerate(out)]
 
 
-def test_all_pairs(spark, monkeypatch):
-    # few hubs: more rounds, the same groups
-    monkeypatch.setattr(minhash, "WIDER", 3)
+@pytest.mark.parametrize("small,part", [(6, 1 << 20), (1, 500)])
+def test_all_pairs(spark, monkeypatch, small, part):
+    # the second time all buckets left are blocks, of several parts
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "PART", part)
     texts = copies(random.Random(11))
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     assert got(frame, words=5, share=0.85) == all_pairs(texts, 5, 0.85)

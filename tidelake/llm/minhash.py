@@ -6,26 +6,28 @@ another in a way that makes the share of equal places vary less than with indepe
 as it can't improve any place. Sets that agree in all ROWS places of some band are candidates; a pair at similarity s
 misses all bands with probability (1 - s^ROWS)^BANDS, 8e-7 at 0.85. Every candidate is confirmed on the full sets.
 
-Groups form by union-find, as alternating stars over tables. A bucket isn't compared pair by pair: some of its members, the hubs,
-meet the others; members that one component holds needn't meet any more. The first hub is the member that meets most others,
-as the origin of copies does; it settles most buckets. In the rounds after it the hubs are what doesn't belong to
-a bucket's largest component, WIDER each in the first of them and WIDER times more in each later one, until no bucket has a
-pair of two components that hasn't met. So no link is lost to the size of a bucket.
+Groups form by union-find, as alternating stars over tables, in two steps. First each bucket's hub meets its members: the one that
+meets most others in all its buckets, as the origin of copies does; that settles most buckets. Of the others, small ones
+give their pairs, each once. Larger ones are read as blocks of bounded size: a task holds a block's sets, skips what one
+component holds already and gives only links that join two components. A bucket too large for one block is dealt into
+parts, and each two parts meet in a block. So every candidate pair is either compared on its whole sets or joined already,
+and no pair within a group is written out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidelake.llm import kernels
 from tidelake.llm.common import joined_on_hot, numbered, removed, text_bytes, tidy, written
 from tidelake.llm.components import components
 
 ROWS, BANDS = 10, 64
-#: How many hubs a bucket has in its second round, and how many times more in each later one.
-WIDER = 64
+#: Buckets of so many members at most give their pairs.
+SMALL = 6
+#: Shingles that a part of a larger bucket has, about; a block has two parts at most.
+PART = 1 << 20
 #: Partners of a row that one task compares it with, about.
 PARTNERS = 1000
 
@@ -67,35 +69,34 @@ def grouped(sets: DataFrame, texts: DataFrame, words: int, share: float) -> Data
     hub = left.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("degree", -F.col("node"))).alias("hub"), F.count("*").alias("n"))
     met = joined_on_hot(left, hub, ["key"], rows).where((F.col("node") != F.col("hub.node")) & sized("size", "hub.size"))
     tested = written(met.select(F.col("hub.node").alias("u"), F.col("node").alias("v")).distinct())
-    edges, hubs_each = _similar(tested, texts, words, share), 1
-    while True:
-        found = components(edges)
-        # every bucket's members by component: those of one component are done
-        labelled = left.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-        open_ = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most")).where("labels > 1").select("key", "n", "most")
-        was, left = left, written(joined_on_hot(labelled, open_, ["key"], rows).drop("labels"))
-        removed(was)
-        rows = left.count()
-        if not rows:
-            tidy(left, texts, tested)
-            return found
-        hubs_each *= WIDER
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-        hubs = written(left.where("label <> most").withColumn("place", place).where(F.col("place") <= hubs_each).select("key", "node", "size", "label", "n"))
-        lists = hubs.groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("hubs"), F.first("n").alias("n"))
-        met = joined_on_hot(left.select("key", "node", "size", "label"), lists, ["key"], rows).select("node", "size", "label", F.explode("hubs").alias("hub"))
-        met = met.where((F.col("hub.label") != F.col("label")) & sized("size", "hub.size")).select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
-        # a pair that met in another bucket or round, from either side, needn't meet again
-        once = met.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.first("u").alias("u"), F.first("v").alias("v"))
-        before = tested.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        pairs = written(once.join(before, ["a", "b"], "left_anti").select("u", "v"))
-        more = _similar(pairs, texts, words, share)
-        edges = written(found.toDF("u", "v").union(more))
-        tested_too = written(tested.union(pairs))
-        was, left = left, written(left.join(hubs.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "size", "degree"))
-        tidy(was, hubs, tested, pairs, more)
-        tested = tested_too
+    edges = _similar(tested, texts, words, share)
+    found = components(edges)
+    # what a bucket still has to settle: its members by component
+    labelled = left.join(found, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    labels = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("size").alias("size"), *[F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (0, 1)])
+    each = labels.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.sum("size").alias("all"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where("labels > 1")
+    # buckets of the same members are one
+    once = each.groupBy("n", "h0", "h1").agg(F.min("key").alias("key"), F.first("all").alias("all")).select("key", "n", "all")
+    open_ = written(joined_on_hot(labelled, once, ["key"], rows))
+    few = open_.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "size", "label"))).alias("m"))
+    pairs = few.select(F.explode(F.expr("flatten(transform(m, (a, i) -> transform(slice(m, i + 2, size(m)), b -> struct(a, b))))")).alias("p")).where(F.col("p.a.label") != F.col("p.b.label"))
+    pairs = pairs.where(sized("p.a.size", "p.b.size")).select(F.col("p.a.node").alias("u"), F.col("p.b.node").alias("v")).distinct()
+    before = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = written(pairs.join(before, ["u", "v"], "left_anti"))
+    more = _similar(pairs, texts, words, share)
+    blocks = written(kernels.apply(_blocks(open_.where(F.col("n") > SMALL), texts), "BlockLinks", "u long, v long", words, share))
+    out = components(found.toDF("u", "v").union(more).union(blocks))
+    tidy(left, texts, tested, edges, open_, pairs, more, blocks)
+    return out
+
+
+def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, i, j, part, node, label, text) of ``members`` (key, node, size, label, n, all): each two parts of a bucket in one block, sorted."""
+    parts = F.ceil(F.col("all") / PART).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label").join(texts, "node")
+    return own.select("key", "i", "j", "part", "node", "label", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
 def joined_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
