@@ -3,27 +3,19 @@
 Candidates come from two sides. The covering tables of simhash.py give, with certainty, all pairs whose 64-bit
 fingerprints differ in RADIUS bits or fewer. Texts that share four fifths of their shingles differ in ten bits on
 average, farther than covering tables can reach; MinHash finds these: BANDS keys of ROWS least hashes each, of which a
-pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 8e-6 at 0.8. Every candidate is then confirmed by
-its shingles themselves.
+pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 8e-6 at 0.8. Both kinds of keys are buckets of one
+kind to minhash.grouped(), which confirms each candidate on its shingles and joins what is similar.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidelake.llm import kernels, simhash
-from tidelake.llm.common import free, joined_on_hot, numbered, removed, text_bytes, tidy, written
-from tidelake.llm.components import components
+from tidelake.llm import kernels, minhash, simhash
+from tidelake.llm.common import free, numbered, removed, text_bytes, written
 
 ROWS, BANDS, RADIUS = 8, 64, 4
-#: How many times more hubs a bucket has from round to round.
-WIDER = 8
-#: Partners of a row that one task compares it with, about.
-PARTNERS = 1000
-#: Row numbers that are sent to all tasks at most, of eight bytes each.
-ROWS_SENT = 100_000
 
 
 def _sketches(docs: DataFrame, words: int, row: str) -> DataFrame:
@@ -33,79 +25,10 @@ def _sketches(docs: DataFrame, words: int, row: str) -> DataFrame:
     return kernels.apply(source, "Sketches", f"doc_id {kind}, row long, same binary, n long, fp long, keys array<long>", words, ROWS, BANDS)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """The written ``pairs`` (u, v: rows) whose texts (row, text) are as similar as ``share``, by their shingles; a written table.
-
-    Only the texts of these rows move, once. A row with many partners meets them in several tasks, PARTNERS to each.
-    """
-    asked = written(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
-    few = asked.count() <= ROWS_SENT
-    some = written(texts.join(F.broadcast(asked) if few else asked, "row").select("row", "text"))
-    many = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    turns = F.ceil(F.col("n") / PARTNERS).cast("int")
-    dealt = joined_on_hot(pairs, many, ["u"], pairs.count()).select("u", "v", F.pmod(F.xxhash64("v"), turns).cast("int").alias("turn"))
-    left = many.select(F.col("u").alias("row"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn")).join(some, "row").select("row", "text", "turn").toDF("u", "text_u", "turn")
-    whole = dealt.join(some.toDF("v", "text_v"), "v").join(left, ["u", "turn"]).select("u", "v", "text_u", "text_v")
-    out = written(kernels.apply(whole, "SimilarPairs", "u long, v long", words, share))
-    tidy(asked, some)
-    return out
-
-
-def _covered(sets: DataFrame) -> DataFrame:
-    """(u, v): nodes joined by the covering tables of their fingerprints, each through the least node of its fingerprint."""
-    nodes = sets.where("n > 0").select("node", "n", "fp")
-    least = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("hub")).select("fp", "hub.node", "hub.n"))
-    alike = nodes.join(least.toDF("fp", "hub", "hub_n"), "fp").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv"))
-    near = simhash.links(least.select("fp"), RADIUS)
-    u, v = least.toDF("fu", "u", "nu"), least.toDF("fv", "v", "nv")
-    pairs = near.toDF("fu", "fv").join(u, "fu").join(v, "fv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv")
-    return alike.union(pairs)
-
-
-def links(sets: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """(u, v): links between ``sets`` (node, n, fp, keys) whose components are those of all candidate pairs as similar as ``share``.
-
-    A bucket isn't compared pair by pair. In each round some of its members, the hubs, meet the others, and those that
-    are as similar as wanted become one component with them. Pairs of a component needn't meet any more, nor do pairs that
-    held a hub before, so a bucket is done when all members that weren't hubs are of one component. The first hub is the
-    member that meets most others in all its buckets, as the origin of copies does. Later hubs are what doesn't
-    belong to a bucket's largest component, WIDER times as many each round. Sizes alone rule out pairs that differ by more
-    than ``share``.
-    """
-    sized = lambda a, b: F.least(a, b) >= share * F.greatest(a, b)
-    keyed = written(sets.select("node", F.col("n").alias("size"), F.explode("keys").alias("key")))
-    rows = keyed.count()
-    members = written(joined_on_hot(keyed, keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), ["key"], rows))
-    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    left = written(members.join(degrees, "node").select("key", "node", "size", "degree"))
-    tested = written(_covered(sets).where(sized("nu", "nv")).select("u", "v").distinct())
-    edges = _confirmed(tested, texts, words, share)
-    hubs_each, old = 0, [keyed, members, left]
-    while True:
-        # what is known so far, as one link from each node to its component's least
-        known = components(edges)
-        labelled = left.join(known, "node", "left").select("key", "node", "size", "degree", F.coalesce("label", "node").alias("label"))
-        counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-        open_ = counts.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most")).where("labels > 1").select("key", "n", "most")
-        left = written(joined_on_hot(labelled, open_, ["key"], rows))
-        tidy(edges, *old)
-        rows = left.count()
-        if not rows:
-            return known.toDF("u", "v")
-        # the first round has one hub a bucket, whatever its component
-        ranked = left if not hubs_each else left.where("label <> most")
-        hubs_each = max(1, hubs_each * WIDER)
-        first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-        hubs = written(ranked.withColumn("place", first).where(F.col("place") <= hubs_each).select("key", "node", "size", "label", "n"))
-        lists = hubs.groupBy("key").agg(F.collect_list(F.struct("node", "size", "label")).alias("hubs"), F.first("n").alias("n"))
-        met = joined_on_hot(left.select("key", "node", "size", "label"), lists, ["key"], rows).select("node", "size", "label", F.explode("hubs").alias("hub"))
-        met = met.where((F.col("hub.label") != F.col("label")) & sized("size", "hub.size"))
-        pairs = met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
-        pairs = written(pairs.join(tested, ["u", "v"], "left_anti"))
-        old = [left, hubs, tested, pairs]
-        tested = written(tested.union(pairs))
-        edges = written(known.toDF("u", "v").union(_confirmed(pairs, texts, words, share)))
-        left = left.drop("n", "most", "label").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
+def _keys() -> Column:
+    """The MinHash keys of a row and what each covering table keeps of its fingerprint, with the table's number."""
+    tables = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(simhash.masks(RADIUS))]
+    return F.concat("keys", F.array(*tables))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
@@ -119,8 +42,8 @@ def one_of_each(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("first")
     sets = written(own.groupBy("same").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), first))
     removed(own)
-    texts = rows.select(F.col(row).alias("row"), text_bytes().alias("text"))
-    labels = components(links(sets, texts, words, share))
+    texts = rows.select(F.col(row).alias("node"), text_bytes().alias("text"))
+    labels = minhash.grouped(sets.where("n > 0").select("node", "n", _keys().alias("keys")), texts, words, share)
     each = sets.select("node", "first").join(labels, "node", "left")
     kept = each.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(keep))
     return rows.join(kept, F.col(row) == F.col(keep), "left_semi").drop(row)
