@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -92,3 +94,33 @@ def test_messy_rows(spark, messy, nothing):
     assert decontaminate.scan(nothing, bench).count() == 0
     assert decontaminate.decontaminated(messy, bench.limit(0)).count() == messy.count()
     assert decontaminate.longest_matches(messy, bench.limit(0)).count() == 0
+
+
+def test_long_runs_of_hit_words():
+    """A text that repeats items a hundred thousand words long, in bounded time, with the matches that trying all places gives."""
+    rng = random.Random(4)
+    items = [(f"i{k}", " ".join(f"w{rng.randrange(6)}" for _ in range(n))) for k, n in enumerate((40, 12, 300, 5))] + [("same", "x " * 40)]
+    block = decontaminate.Block([(k, t.encode()) for k, t in items], 10)
+
+    def plain(text):
+        w, best = text.split(), None
+        for p in range(len(w)):
+            for name, t in items:
+                seq = t.split()
+                for q in range(len(seq)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(seq) and w[p + n] == seq[q + n]:
+                        n += 1
+                    if n and (best is None or n > best[0]):
+                        best = (n, p, name, q)
+        return best
+
+    texts = [" ".join([items[0][1]] * 3), " ".join(t for _, t in items), "x " * 100, items[3][1] + " q " + items[2][1][60:] + " " + items[1][1], " ".join(f"w{rng.randrange(6)}" for _ in range(400)) + " " + items[1][1]]
+    found = decontaminate._find([t.encode() for t in texts], [None] * len(texts), [None] * len(texts), [None] * len(texts), block)
+    for text, match in zip(texts, found[3]):
+        n, p, name, q = plain(text)
+        assert (match["words"], match["doc_at"], match["item"], match["item_at"]) == (n, p, name, q)
+    began = time.time()
+    long = [" ".join([items[0][1]] * 5000), "x " * 100_000]
+    found = decontaminate._find([t.encode() for t in long], [None] * 2, [None] * 2, [None] * 2, block)
+    assert [m["words"] for m in found[3]] == [40, 40] and time.time() - began < 30

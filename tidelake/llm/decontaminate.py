@@ -65,13 +65,10 @@ class Block:
                 for at in range(max(1, len(seq) - window + 1)):
                     found[tuple(seq[at : at + window])].add(item)
         self.windows = [(w, sorted(of)) for w, of in found.items()]
+        self.most = max((len(seq) for _, seq in self.items), default=0)
         self.flat, self.order = flat, suffix_order(np.array(flat, np.int64)).tolist()
 
-    def longest(self, seq: list[int]) -> tuple[int, str, int]:
-        """(words, item, place in it) of the longest prefix of ``seq`` that is in an item, the first such item and place.
-
-        The neighbours in the suffix order share most; whatever shares as much stands beside them.
-        """
+    def _place(self, seq: list[int]) -> int:
         lo, hi, flat, order, n = 0, len(self.order), self.flat, self.order, len(seq)
         while lo < hi:
             mid = (lo + hi) >> 1
@@ -79,6 +76,19 @@ class Block:
                 lo = mid + 1
             else:
                 hi = mid
+        return lo
+
+    def holds(self, seq: list[int]) -> bool:
+        """Whether an item holds the whole of ``seq``."""
+        lo = self._place(seq)
+        return lo < len(self.order) and self.flat[self.order[lo] : self.order[lo] + len(seq)] == seq
+
+    def longest(self, seq: list[int]) -> tuple[int, str, int]:
+        """(words, item, place in it) of the longest prefix of ``seq`` that is in an item, the first such item and place.
+
+        The neighbours in the suffix order share most; whatever shares as much stands beside them.
+        """
+        lo, flat, order, n = self._place(seq), self.flat, self.order, len(seq)
         best, places = 0, []
         for k, step in ((lo, 1), (lo - 1, -1)):
             while 0 <= k < len(order):
@@ -229,15 +239,20 @@ def _find(texts: list[bytes], runs: list, items: list, matches: list, block: Blo
         text_of = np.searchsorted(first, at, "right") - 1
         for t, w in set(zip(text_of.tolist(), which.tolist())):
             own[t].update(block.windows[w][1])
+        ahead = _windows_ahead(at[size == block.window], len(shard.ids))
         for t, ends in _hit_words(hit, first).items():
             for a, b in ends:
-                for p in range(a, b):
-                    # what starts here can't be longer than the run's rest
-                    if best[t] and b - p <= best[t]["words"]:
+                # a match of more words than a window starts a window at each of its places but the last ones, and stays within an item and the run
+                reach = np.minimum(np.minimum(block.window - 1 + ahead[a:b], block.most), np.arange(b - a, 0, -1))
+                known = best[t]["words"] if best[t] else 0
+                for p in (a + np.flatnonzero(reach > known)).tolist():
+                    end = p + int(reach[p - a])
+                    if end - p <= known or not block.holds(shard.ids[p : p + known + 1].tolist()):
+                        continue
+                    n, item, item_at = block.longest(shard.ids[p:end].tolist())
+                    best[t], known = {"words": n, "doc_at": p - int(first[t]), "item": item, "item_at": item_at}, n
+                    if known == block.most:
                         break
-                    n, item, item_at = block.longest(shard.ids[p:b].tolist())
-                    if n and (not best[t] or n > best[t]["words"]):
-                        best[t] = {"words": n, "doc_at": p - int(first[t]), "item": item, "item_at": item_at}
     for t, old in enumerate(runs):
         for r in old or ():
             hit[first[t] + r["start"]] += 1
@@ -247,6 +262,15 @@ def _find(texts: list[bytes], runs: list, items: list, matches: list, block: Blo
     return n_words.tolist(), out, [sorted(x) for x in own], best
 
 
+def _windows_ahead(at, size: int):
+    """For each of ``size`` places how many places from it on, without a gap, are in ``at``."""
+    import numpy as np
+
+    gap = np.arange(size + 1)
+    gap[at] = size
+    return np.minimum.accumulate(gap[::-1])[::-1][:size] - np.arange(size)
+
+
 def _hit_words(hit, first) -> dict[int, list[tuple[int, int]]]:
     """The maximal runs of places that a positive running sum of ``hit`` covers, by text."""
     import numpy as np
