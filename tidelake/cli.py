@@ -95,7 +95,8 @@ def run(args: argparse.Namespace, spark, say=print) -> int:
         for r in lake.scan(args.dataset, predicates(lake, args.dataset, args.filter, args.start, args.end), limit=args.limit).toLocalIterator():
             tell(r.asDict())
     elif command == "diagnose":
-        tell(lake.scan_report(args.dataset, predicates(lake, args.dataset, args.filter, args.start, args.end)))
+        for r in lake.scan_report(args.dataset, predicates(lake, args.dataset, args.filter, args.start, args.end)).orderBy("file").toLocalIterator():
+            tell(r.asDict())
     elif command == "import":
         spec = ingest.imports(date.today().year)[args.dataset]
         for entry in ingest.Importer(lake, sources.resolve(args.dataset)).run(spec, day(args.start), day(args.end), args.replace):

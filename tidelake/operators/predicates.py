@@ -24,34 +24,41 @@ class Predicate:
     op: str
     value: object
 
-    def column(self, dataset: Dataset) -> Column:
-        """A condition with literals of the field's own type; a value of another kind is never true, as null is."""
+    def fitting(self, dataset: Dataset) -> list:
+        """The values of the field's own kind, each once; one of another kind is never equal, more or less."""
         kind = dataset.type_of(self.field)
         if self.op not in OPERATORS:
             raise ValueError(f"no such operator: {self.op}")
         values = list(self.value) if self.op == "in" else [self.value]
         # a datetime is a date to Python, and a bool a number
         fits = [v for v in values if isinstance(v, _PYTHON[kind]) and isinstance(v, datetime) == (kind == "timestamp") and isinstance(v, bool) == (kind == "bool")]
-        if not fits:
+        return list(dict.fromkeys(float(v) if kind == "float64" else v for v in fits))
+
+    def literals(self, dataset: Dataset) -> list[Column]:
+        return [F.lit(v).cast(TYPES[dataset.type_of(self.field)]) for v in self.fitting(dataset)]
+
+    def column(self, dataset: Dataset) -> Column:
+        """A condition with literals of the field's own type; a value of another kind is never true, as null is."""
+        c, literals = F.col(self.field), self.literals(dataset)
+        if not literals:
             return F.lit(False)
-        c, literals = F.col(self.field), [F.lit(v).cast(TYPES[kind]) for v in fits]
         if self.op == "in":
             return c.isin(*literals)
         return {"=": c == literals[0], ">=": c >= literals[0], "<=": c <= literals[0], ">": c > literals[0], "<": c < literals[0]}[self.op]
 
 
 def applied(rows: DataFrame, dataset: Dataset, predicates: list[Predicate]) -> DataFrame:
-    """Rows that meet all predicates. Long lists become semi joins."""
+    """Rows that meet all predicates. Long lists become semi joins, with the same values as short ones would have."""
     for p in predicates:
         if p.field not in dataset.names:
             raise KeyError(f"{dataset.name} has no field {p.field}")
-    short = [p for p in predicates if p.op != "in" or len(list(p.value)) <= LIST_MOST]
+    short = [p for p in predicates if p.op != "in" or len(p.fitting(dataset)) <= LIST_MOST]
     if short:
         rows = rows.where(reduce(lambda a, b: a & b, [p.column(dataset) for p in short]))
     for p in predicates:
         if p not in short:
             kind = TYPES[dataset.type_of(p.field)]
-            listed = rows.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(p.value)], T.StructType([T.StructField(p.field, kind)]))
+            listed = rows.sparkSession.createDataFrame([(v,) for v in p.fitting(dataset)], T.StructType([T.StructField(p.field, kind)]))
             rows = rows.join(listed, p.field, "left_semi")
     return rows
 

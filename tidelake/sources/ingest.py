@@ -122,7 +122,7 @@ class Importer:
 
     def done(self, dataset: str) -> set[str]:
         """Labels of windows that the ledger has."""
-        return {r.notes for r in self.lake.ledger(dataset).where("operation = 'import'").select("notes").distinct().collect()}
+        return self.lake.labels(dataset, "import")
 
     def run(self, spec: Import, start: date | None = None, end: date | None = None, replace: bool = False, resume: bool = True) -> list[dict]:
         """Imports; windows that are in the ledger already are left out.

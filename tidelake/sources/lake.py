@@ -1,9 +1,15 @@
-"""The lake: typed Parquet datasets under one root, with a ledger of the batches written to each."""
+"""The lake: typed Parquet datasets under one root, each with numbered versions, which are also the ledger of its batches.
+
+Data files have names of their own and never change. What a reader sees is the list of files of one version (versions.py); files
+that a cut-off write left behind are in no version. Files that later versions dropped stay for readers of earlier ones until
+``vacuum``. A folder of Parquet files without versions is read as it lies, and becomes version 0 with the first write.
+"""
 
 from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +18,10 @@ from pyspark.sql import types as T
 from tidelake.operators import predicates as P
 from tidelake.operators.timeseries import keep_first
 from tidelake.registry import Dataset, Registry, market
+from tidelake.sources.footers import footers, may_match
+from tidelake.sources.versions import Conflict, File, Versions
 
-_LEDGER = "id string, dataset string, operation string, source string, created_at timestamp, rows long, partitions array<string>, files array<string>, notes string"
+_LEDGER = "id string, dataset string, operation string, source string, created_at timestamp, rows long, partitions array<string>, files array<string>, notes string, version long"
 
 
 class Lake:
@@ -29,9 +37,31 @@ class Lake:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def files(self, dataset: str) -> list[tuple[str, int]]:
-        """(path, bytes) of a dataset's Parquet files, from the file system's listing."""
-        return self._listed(self.path(dataset))
+    def versions(self, dataset: str) -> Versions:
+        return Versions(self.spark, f"{self.root}/meta/manifest/{dataset}")
+
+    def version(self, dataset: str) -> int:
+        """The number of the dataset's last version; -1 without any."""
+        return self.versions(dataset).latest()
+
+    def _state(self, dataset: str, version: int | None = None) -> dict[str, File]:
+        """The files of a version, the last one by default; without versions what the folder holds, of unknown rows."""
+        own = self.versions(dataset)
+        at = own.latest() if version is None else version
+        if at >= 0:
+            return own.state(at)
+        home = self.path(dataset)
+        return {f.path: f for f in (File(self._under(path, home), -1, n) for path, n in self._listed(home))}
+
+    def files(self, dataset: str, version: int | None = None) -> list[tuple[str, int]]:
+        """(path, bytes) of the Parquet files of a version, the last one by default."""
+        home = self.path(dataset)
+        return sorted((f"{home}/{f.path}", f.bytes) for f in self._state(dataset, version).values())
+
+    def _under(self, file: str, home: str) -> str:
+        """A file's path under the dataset's folder: its partitions and its name."""
+        folder = self._folder(file, home)
+        return f"{folder[1:]}/{file.rpartition('/')[2]}" if folder else file.rpartition("/")[2]
 
     def _listed(self, path: str) -> list[tuple[str, int]]:
         fs, p = self._fs(path)
@@ -49,11 +79,13 @@ class Lake:
 
     # reading
 
-    def read(self, dataset: str) -> DataFrame:
+    def read(self, dataset: str, version: int | None = None) -> DataFrame:
+        """All rows of one version; what is committed later doesn't change them."""
         d = self.registry[dataset]
-        if not self.files(dataset):
+        files = [f for f, _ in self.files(dataset, version)]
+        if not files:
             return self.spark.createDataFrame([], d.schema())
-        return self.spark.read.schema(d.schema()).option("basePath", self.path(dataset)).parquet(self.path(dataset))
+        return self.spark.read.schema(d.schema()).option("basePath", self.path(dataset)).parquet(*files)
 
     def scan(
         self,
@@ -63,8 +95,9 @@ class Lake:
         partitions: dict[str, list[str]] | None = None,
         limit: int = 0,
         offset: int = 0,
+        version: int | None = None,
     ) -> DataFrame:
-        """Rows that meet all filters, in the columns asked for (none: all fields; partitions are no fields).
+        """Rows of a version that meet all filters, in the columns asked for (none: all fields; partitions are no fields).
 
         Date ranges also restrict the year and month partitions. Pages come in the order of the dataset's sort key, so
         that they follow one another without gaps; a limit of zero is none.
@@ -73,7 +106,7 @@ class Lake:
         for c in columns or []:
             if c not in d.names:
                 raise KeyError(f"{dataset} has no field {c}")
-        rows = self.read(dataset)
+        rows = self.read(dataset, version)
         for key, values in (partitions or {}).items():
             if key not in d.partitions:
                 raise KeyError(f"{dataset} has no partition {key}")
@@ -111,13 +144,13 @@ class Lake:
             raise ValueError(f"{dataset}: rows lack the partitions {missing}")
         return out
 
-    def write(self, dataset: str, rows: DataFrame, mode: str = "append", operation: str = "import", source: str = "", notes: str = "", tag: str = "", arranged: bool = False) -> dict:
-        """Writes rows sorted by the dataset's key, within files of one partition; ``replace`` replaces the partitions that the rows have.
+    def write(self, dataset: str, rows: DataFrame, mode: str = "append", operation: str = "import", source: str = "", notes: str = "", arranged: bool = False, base: int | None = None, once: bool = False) -> dict:
+        """Writes rows sorted by the dataset's key, within files of one partition, and commits them as one version.
 
-        Files are whole in a staging folder before any of them is moved in. What they replace is moved to a backup and
-        comes back if a move fails. Files of an earlier attempt with the same ``tag`` go first, so that a repeat leaves one
-        set. The ledger gets the rows that the dataset gained, so that its sum is what the files hold; only files that
-        come or go are counted, by their footers.
+        ``replace`` replaces the partitions that the rows have: their files as they are when the commit is made, whoever wrote
+        them. ``base`` is the version that the rows were read from; the commit is refused with a Conflict if a later one touched
+        these partitions. With ``once``, nothing is committed if a version has the same notes already. The ledger gets the rows
+        that the dataset gained. Only footers of new files are counted; versions know the rows of the others.
         """
         d = self.registry[dataset]
         out = self.partitioned(dataset, rows)
@@ -126,76 +159,124 @@ class Lake:
             keys = [*d.partitions, *[k for k in d.sorted_by[:1] if d.partitions]]
             out = out.repartition(*keys) if keys else out
             out = out.sortWithinPartitions(*d.partitions, *d.sorted_by)
-        batch = uuid.uuid4().hex
-        staged, backup = f"{self.root}/.staging/{batch}", f"{self.root}/.backup/{batch}"
+        staged = f"{self.root}/.staging/{uuid.uuid4().hex}"
         writer = out.write.option("compression", "zstd").option("maxRecordsPerFile", d.target_file_rows)
         writer = writer.option("parquet.block.size", max(1 << 20, d.row_group_rows * 16 * len(d.fields)))
         if d.partitions:
             writer = writer.partitionBy(*d.partitions)
-        home = self.path(dataset)
+        home, added = self.path(dataset), []
         try:
             writer.parquet(staged)
-            new = self._listed(staged)
-            gained = self._count([f for f, _ in new], d)
-            new = new if gained else []
-            parts = {self._folder(f, staged) for f, _ in new}
-            gone = [f for f, _ in self.files(dataset) if (mode == "replace" and self._folder(f, home) in parts) or (tag and f.rpartition("/")[2].startswith(f"{tag}-"))]
-            lost = self._count(gone, d) if gone else 0
-            moved: list[tuple[str, str]] = []
-            try:
-                for f in gone:
-                    moved.append(self._moved(f, f"{backup}{self._folder(f, home)}/{f.rpartition('/')[2]}"))
-                for f, _ in new:
-                    moved.append(self._moved(f, f"{home}{self._folder(f, staged)}/{tag + '-' if tag else ''}{f.rpartition('/')[2]}"))
-            except Exception:
-                for was, now in reversed(moved):
-                    self._moved(now, was)
-                raise
-            self.spark.catalog.refreshByPath(home)
-            files = [now for was, now in moved[len(gone) :]]
-            return self.log(dataset, operation, gained - lost, files, source, notes)
+            listed = dict(self._listed(staged))
+            count = self._counted(list(listed), staged, d)
+            self._begun(dataset)
+            for path, size in listed.items():
+                to = self._under(path, staged)
+                if count.get(to):
+                    self._moved(path, f"{home}/{to}")
+                    added.append(File(to, count[to], size))
+            return self._commit(dataset, operation, added, mode, base, source, notes, once)
+        except BaseException:
+            for f in added:  # they are in no version
+                fs, p = self._fs(f"{home}/{f.path}")
+                fs.delete(p, False)
+            raise
         finally:
-            for path in (staged, backup):
-                fs, p = self._fs(path)
-                fs.delete(p, True)
+            fs, p = self._fs(staged)
+            fs.delete(p, True)
+
+    def _begun(self, dataset: str) -> None:
+        """Makes version 0 of what the folder holds already, before anything is moved there."""
+        own = self.versions(dataset)
+        if own.latest() < 0:
+            d, home = self.registry[dataset], self.path(dataset)
+            listed = self._listed(home)
+            count = self._counted([f for f, _ in listed], home, d)
+            own.put(0, self._entry(dataset, "adopt", sum(count.values()), [File(self._under(f, home), count.get(self._under(f, home), 0), n) for f, n in listed]))
+
+    def _entry(self, dataset: str, operation: str, rows: int, added: list[File] = (), removed: list[str] = (), source: str = "", notes: str = "") -> dict:
+        folders = sorted({f.folder for f in added} - {""})
+        return {
+            "id": uuid.uuid4().hex, "dataset": dataset, "operation": operation, "source": source, "created_at": datetime.now(timezone.utc).isoformat(), "rows": rows, "partitions": folders, "files": [f.path for f in added], "notes": notes,
+            "added": [{"path": f.path, "rows": f.rows, "bytes": f.bytes} for f in added], "removed": list(removed),
+        }
+
+    def _commit(self, dataset: str, operation: str, added: list[File], mode: str, base: int | None, source: str, notes: str, once: bool) -> dict:
+        """Puts the next version; where another writer was faster, what is to go is looked up again in theirs."""
+        own, parts = self.versions(dataset), {f.folder for f in added}
+        known = -1  # versions up to this have other notes
+        while True:
+            at = own.latest()
+            if once:
+                twin = next((e for e in own.since(known, at) if e["notes"] == notes and e["operation"] == operation), None)
+                if twin is not None:
+                    for f in added:
+                        fs, p = self._fs(f"{self.path(dataset)}/{f.path}")
+                        fs.delete(p, False)
+                    return twin
+                known = at
+            if base is not None:
+                touched = {p.rpartition("/")[0] for e in own.since(base, at) for p in [*e["files"], *e["removed"]]}
+                if clash := touched & parts:
+                    raise Conflict(f"{dataset}: {sorted(clash)} changed after version {base}")
+            gone = [f for f in own.state(at).values() if f.folder in parts] if mode == "replace" else []
+            entry = self._entry(dataset, operation, sum(f.rows for f in added) - sum(f.rows for f in gone), added, [f.path for f in gone], source, notes)
+            if own.put(at + 1, entry):
+                return entry
 
     def _folder(self, file: str, home: str) -> str:
         """A file's folder under the given one: empty, or partitions after a slash each."""
         under = "/".join(x for x in file.rpartition("/")[0].split("/") if "=" in x and x not in home.split("/"))
         return f"/{under}" if under else ""
 
-    def _count(self, files: list[str], d: Dataset) -> int:
-        return self.spark.read.schema(d.schema(False)).parquet(*files).count() if files else 0
+    def _counted(self, files: list[str], home: str, d: Dataset) -> dict[str, int]:
+        """Rows of each file by its path under ``home``, from footers alone: no column is read."""
+        if not files:
+            return {}
+        rows = self.spark.read.schema(d.schema(False)).parquet(*files).groupBy(F.col("_metadata.file_path").alias("file")).count()
+        return {self._under(unquote(r["file"]), home): r["count"] for r in rows.collect()}  # one row a file that comes
 
-    def _moved(self, was: str, now: str) -> tuple[str, str]:
+    def _moved(self, was: str, now: str) -> None:
         fs, p = self._fs(was)
         _, to = self._fs(now)
         fs.mkdirs(to.getParent())
         if not fs.rename(p, to):
             raise OSError(f"{was} couldn't be moved to {now}")
-        return was, now
 
-    def rewrite(self, dataset: str, rows: DataFrame, operation: str, notes: str = "") -> dict:
-        """Replaces partitions by rows that were read from them."""
-        return self.write(dataset, rows, "replace", operation, notes=notes)
+    def vacuum(self, dataset: str, keep: int = 1, older_hours: float = 24.0) -> int:
+        """Deletes data files that none of the last ``keep`` versions has and that are older than so many hours; tells how many."""
+        own, home = self.versions(dataset), self.path(dataset)
+        held = {path for n in own.numbers()[-keep:] for path in own.state(n)}
+        if not held and own.latest() < 0:
+            return 0
+        fs, p = self._fs(home)
+        before, gone = datetime.now(timezone.utc).timestamp() * 1000 - older_hours * 3_600_000, 0
+        for path, _ in self._listed(home):
+            fs, p = self._fs(path)
+            if self._under(path, home) not in held and fs.getFileStatus(p).getModificationTime() <= before:
+                gone += bool(fs.delete(p, False))
+        return gone
 
     # ledger
 
-    def log(self, dataset: str, operation: str, rows: int, files: list[str] = (), source: str = "", notes: str = "") -> dict:
-        """Appends a batch to the dataset's ledger."""
-        parts = sorted({"/".join(x for x in f.split("/") if "=" in x) for f in files} - {""})
-        entry = {"id": uuid.uuid4().hex, "dataset": dataset, "operation": operation, "source": source, "created_at": datetime.now(timezone.utc), "rows": rows, "partitions": parts, "files": list(files), "notes": notes}
-        self.spark.createDataFrame([entry], _LEDGER).coalesce(1).write.mode("append").json(f"{self.root}/meta/manifest/{dataset}")
+    def log(self, dataset: str, operation: str, rows: int, source: str = "", notes: str = "") -> dict:
+        """Adds a batch without files to the dataset's ledger."""
+        self._begun(dataset)
+        own, entry = self.versions(dataset), self._entry(dataset, operation, rows, source=source, notes=notes)
+        while not own.put(own.latest() + 1, entry):
+            pass
         return entry
 
     def ledger(self, dataset: str | None = None) -> DataFrame:
-        out = self.spark.createDataFrame([], _LEDGER)
-        for d in self.registry:
-            path = f"{self.root}/meta/manifest/{d.name}"
-            fs, p = self._fs(path)
-            if (dataset is None or dataset == d.name) and fs.exists(p):
-                out = out.unionByName(self.spark.read.schema(_LEDGER).json(path))
-        return out
+        """The batches of a dataset or of all: its versions, but for a version 0 that had nothing to adopt."""
+        paths = [f"{self.root}/meta/manifest/{d.name}" for d in self.registry if dataset in (None, d.name) and self.versions(d.name).latest() >= 0]
+        if not paths:
+            return self.spark.createDataFrame([], _LEDGER)
+        return self.spark.read.schema(_LEDGER).option("pathGlobFilter", "*.json").json(paths).where("operation <> 'adopt' or size(files) > 0")
+
+    def labels(self, dataset: str, operation: str) -> set[str]:
+        """The notes of a dataset's batches of one kind."""
+        return {r.notes for r in self.ledger(dataset).where(F.col("operation") == operation).select("notes").distinct().collect()}
 
     def summary(self) -> DataFrame:
         """Batches, files, rows and the last time of each dataset in the ledger."""
@@ -222,12 +303,13 @@ class Lake:
         at = fs.getStatus(p) if fs.exists(p) else fs.getStatus()
         return {"capacity": at.getCapacity(), "used": at.getUsed(), "remaining": at.getRemaining(), "lake": sum(h["bytes"] for h in self.health())}
 
-    def verify(self) -> DataFrame:
-        """Rows by the ledger against rows in files: ok, mismatch, or no-manifest."""
+    def verify(self, *datasets: str) -> DataFrame:
+        """Rows by the ledger against rows in files, of these datasets or all: ok, mismatch, or no-manifest."""
         actual = None
         for d in self.registry:
-            one = self.read(d.name).agg(F.lit(d.name).alias("dataset"), F.count("*").alias("actual"))
-            actual = one if actual is None else actual.unionByName(one)
+            if not datasets or d.name in datasets:
+                one = self.read(d.name).agg(F.lit(d.name).alias("dataset"), F.count("*").alias("actual"))
+                actual = one if actual is None else actual.unionByName(one)
         said = self.summary().select("dataset", F.col("rows").alias("logged"))
         out = actual.join(said, "dataset", "left")
         status = F.when(F.col("logged").isNull(), "no-manifest").when(F.col("logged") == F.col("actual"), "ok").otherwise("mismatch")
@@ -235,7 +317,7 @@ class Lake:
 
     def reconcile(self, dataset: str) -> dict | None:
         """Adds a correction where the ledger and the files differ."""
-        row = self.verify().where(F.col("dataset") == dataset).first()
+        row = self.verify(dataset).first()
         diff = row.actual - (row.logged or 0)
         return self.log(dataset, "reconcile", diff, notes=f"logged {row.logged}, found {row.actual}") if diff else None
 
@@ -245,11 +327,11 @@ class Lake:
         """(partitions, rows, duplicates, status): rows beyond the first of each primary key; ``apply`` removes them.
 
         Which row is first: by the file, then the place in it. Partitions of more than ``max_rows`` rows stay as they are,
-        and their status says so; without it there is no bound.
+        and their status says so; without it there is no bound. Raises Conflict if another writer changed these partitions meanwhile.
         """
-        d = self.registry[dataset]
-        keys = [*d.partitions, *d.primary_key]
-        rows = self.read(dataset).select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i")) if self.files(dataset) else self.read(dataset).selectExpr("*", "'' AS __f", "0L AS __i")
+        d, base = self.registry[dataset], self.version(dataset)
+        keys, at = [*d.partitions, *d.primary_key], None if base < 0 else base
+        rows = self.read(dataset, at).select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i")) if self.files(dataset, at) else self.read(dataset, at).selectExpr("*", "'' AS __f", "0L AS __i")
         count = rows.groupBy(*keys).count().groupBy(*d.partitions).agg(F.sum("count").alias("rows"), F.sum(F.col("count") - 1).alias("duplicates"))
         large = F.lit(False) if max_rows is None else F.col("rows") > max_rows
         found = count.where("duplicates > 0").withColumn("status", F.when(large, "too large").otherwise("removed" if apply else "found"))
@@ -260,7 +342,8 @@ class Lake:
         if todo:
             some = self.spark.createDataFrame([tuple(r[p] for p in d.partitions) for r in todo], T.StructType([T.StructField(p, T.StringType()) for p in d.partitions])) if d.partitions else None
             part = rows.join(F.broadcast(some), list(d.partitions), "left_semi") if some is not None else rows
-            self.rewrite(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "dedupe", f"{sum(r.duplicates for r in todo)} repeated rows removed")
+            # from the version that was counted: a commit between the two is a Conflict, and the caller starts again
+            self.write(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "replace", "dedupe", notes=f"{sum(r.duplicates for r in todo)} repeated rows removed", base=at)
         return self.spark.createDataFrame(report, found.schema)
 
     def build_cross(self, years: list[str] | None = None) -> dict:
@@ -270,26 +353,35 @@ class Lake:
         out = rows.repartitionByRange("year", "trade_date").sortWithinPartitions("year", *d.sorted_by)
         return self.write("daily_cross", out, "replace", "materialize", "bars_daily", arranged=True)
 
-    def scan_report(self, dataset: str, filters: list[P.Predicate] = (), columns: list[str] | None = None, partitions: dict[str, list[str]] | None = None) -> dict:
-        """Runs a scan and tells what it read: files and bytes of the dataset and of the scan, rows read and given, the filters that reached the files."""
-        rows = self.scan(dataset, filters, columns, partitions)
-        own = rows._jdf.queryExecution()
-        given = own.executedPlan().executeCollect()
-        out = {"dataset": dataset, "files": len(self.files(dataset)), "bytes": sum(n for _, n in self.files(dataset)), "rows": len(given), "files_read": 0, "bytes_read": 0, "rows_read": 0, "pushed": ""}
-        todo = [own.executedPlan()]
-        while todo:
-            node = todo.pop()
-            if node.nodeName() == "AdaptiveSparkPlan":
-                todo.append(node.executedPlan())
-            if node.nodeName().startswith("Scan parquet"):
-                read = lambda name: int(node.metrics().apply(name).value()) if node.metrics().contains(name) else 0  # noqa: B023, E731
-                out["files_read"] += read("numFiles")
-                out["bytes_read"] += read("filesSize")
-                out["rows_read"] += read("numOutputRows")
-                out["pushed"] = node.metadata().get("PushedFilters").get() if node.metadata().contains("PushedFilters") else ""
-            children = node.children()
-            todo += [children.apply(i) for i in range(children.size())]
-        return out
+    def footers(self, dataset: str, version: int | None = None) -> DataFrame:
+        """(partitions, file, row_group, rows, field, low, high, nulls, bytes) of a version's files, from their footers."""
+        return footers(self.spark, self._file_table(dataset, version))
+
+    def _file_table(self, dataset: str, version: int | None = None) -> DataFrame:
+        """(file, partitions): a row for each file of a version."""
+        d, home = self.registry[dataset], self.path(dataset)
+        rows = [(f"{home}/{f.path}", *[dict(x.split("=", 1) for x in f.folder.split("/") if x).get(p) for p in d.partitions]) for f in self._state(dataset, version).values()]
+        return self.spark.createDataFrame(rows, T.StructType([T.StructField(n, T.StringType()) for n in ("file", *d.partitions)]))
+
+    def scan_report(self, dataset: str, filters: list[P.Predicate] = (), columns: list[str] | None = None, partitions: dict[str, list[str]] | None = None, version: int | None = None) -> DataFrame:
+        """What a scan reads of each file, from footers alone; nothing is scanned, and no footer reaches the driver.
+
+        (file, row_groups, rows, bytes) of each file of the version, and (row_groups_read, rows_read, bytes_read): those that
+        the partitions leave and whose statistics don't rule out that a row meets all filters; bytes of the columns asked for
+        and filtered. A group without statistics of a field is read.
+        """
+        d = self.registry[dataset]
+        files = self._file_table(dataset, version)
+        kept = F.lit(True)
+        for key, values in (partitions or {}).items():
+            kept = kept & (F.col(key).isin(list(values)) if values else F.lit(False))
+        implied = P.implied_partitions(d, list(filters))
+        files = files.withColumn("kept", kept if implied is None else kept & implied)
+        wanted = {*(columns or d.names), *(p.field for p in filters)}
+        stats = footers(self.spark, files).withColumn("open", may_match(d, list(filters)))
+        groups = stats.groupBy("file", "kept", "row_group").agg(F.first("rows").alias("rows"), F.bool_and("open").alias("open"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("field").isin(*wanted), F.col("bytes")).otherwise(0)).alias("wanted"))
+        read = lambda c: F.sum(F.when(F.col("kept") & F.col("open"), c).otherwise(0))
+        return groups.groupBy("file").agg(F.count("*").alias("row_groups"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), read(F.lit(1)).alias("row_groups_read"), read(F.col("rows")).alias("rows_read"), read(F.col("wanted")).alias("bytes_read"))
 
 
 def reconciled_partitions(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

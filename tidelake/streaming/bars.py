@@ -27,17 +27,16 @@ def without_repeats(rows: DataFrame, key: list[str], at: str, late: str = "10 mi
 
 
 def into_lake(rows: DataFrame, lake, dataset: str, checkpoint: str):
-    """Writes each micro-batch once: its files carry the batch's number and stream, and the ledger its label.
+    """Writes each micro-batch once: a version's notes carry the stream and the batch's number.
 
-    A batch that is in the ledger is left out. One that was cut off before its label came writes the same names again,
-    and what the first attempt left goes.
+    Files and notes are committed together, so a batch that was cut off before left nothing, and one that came through is left out.
     """
     stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:8]
 
     def store(batch: DataFrame, number: int) -> None:
         label = f"batch {stream} {number}"
-        if lake.ledger(dataset).where((F.col("operation") == "stream") & (F.col("notes") == label)).isEmpty():
-            lake.write(dataset, batch, "append", "stream", notes=label, tag=f"batch-{stream}-{number}")
+        if label not in lake.labels(dataset, "stream"):
+            lake.write(dataset, batch, "append", "stream", notes=label, once=True)
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
