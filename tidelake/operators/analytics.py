@@ -4,25 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tidelake.operators import stats
+from tidelake.operators import carry, stats
 
 YEAR = 252
 
 
 def drawdowns(nav: DataFrame, run: str = "run_id", at: str = "trade_date", value: str = "value") -> DataFrame:
-    """Rows with the simple return, the running peak, its date and the drawdown."""
-    order = Window.partitionBy(run).orderBy(at)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.lag(value).over(order)
-    out = nav.withColumns({"ret": F.when(prev > 0, F.col(value) / prev - 1), "peak": F.max(value).over(so_far)})
-    first = F.when(F.col(value) == F.col("peak"), F.col(at))
-    # a peak's date is its first one
-    new = F.when(F.coalesce(F.lag("peak").over(order) < F.col("peak"), F.lit(True)), first)
-    out = out.withColumn("peak_date", F.last(new, ignorenulls=True).over(so_far))
-    return out.withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1)
+    """Rows with the simple return, the running peak, its first date and the drawdown; a run's history is scanned in blocks of time (carry.py)."""
+    # of equal values the first date is the larger one
+    high = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), (-carry.number(nav, at)).alias("n"), F.col(at).alias("at")))
+    rows = carry.running(nav, [run], [at], {"__prev": carry.lag(value), "__high": carry.most(high)}).withColumns({"peak": F.col("__high.v"), "peak_date": F.col("__high.at")})
+    out = rows.withColumn("ret", F.when(F.col("__prev") > 0, F.col(value) / F.col("__prev") - 1)).withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1)
+    return out.select(*nav.columns, "ret", "peak", "peak_date", "drawdown")
 
 
 def metrics(nav: DataFrame, run: str = "run_id", at: str = "trade_date", value: str = "value", year: float = YEAR) -> DataFrame:
@@ -60,9 +54,9 @@ def metrics(nav: DataFrame, run: str = "run_id", at: str = "trade_date", value:
 
 def against_benchmark(nav: DataFrame, run: str = "run_id", at: str = "trade_date", value: str = "value", benchmark: str = "benchmark", year: float = YEAR) -> DataFrame:
     """One row a run: excess return, information ratio, beta and alpha against the benchmark column."""
-    order = Window.partitionBy(run).orderBy(at)
-    r = lambda c: F.when(F.lag(c).over(order) > 0, F.col(c) / F.lag(c).over(order) - 1)
-    rows = nav.withColumns({"r": r(value), "b": r(benchmark)}).withColumn("a", F.col("r") - F.col("b"))
+    rows = carry.running(nav, [run], [at], {"__r": carry.lag(value), "__b": carry.lag(benchmark)})
+    r = lambda c, before: F.when(F.col(before) > 0, F.col(c) / F.col(before) - 1)
+    rows = rows.withColumns({"r": r(value, "__r"), "b": r(benchmark, "__b")}).withColumn("a", F.col("r") - F.col("b"))
     out = rows.groupBy(run).agg(
         (F.try_divide(F.max_by(value, at), F.min_by(value, at)) - F.try_divide(F.max_by(benchmark, at), F.min_by(benchmark, at))).alias("excess_return"),
         F.avg("a").alias("ma"),
@@ -83,37 +77,60 @@ def against_benchmark(nav: DataFrame, run: str = "run_id", at: str = "trade_date
 
 
 def lot_pairs(trades):
-    """First-in-first-out matches of (side, amount, price) tuples: (amount, buy price, sell price); surplus sales match nothing."""
-    lots: list[list[float]] = []
+    """One run's first-in-first-out matches, on the driver: (amount, buy price, sell price) of (side, amount, price) tuples; surplus sales match nothing."""
+    held: list[list[float]] = []
     for side, amount, price in trades:
         if side == "buy":
-            lots.append([amount, price])
+            held.append([amount, price])
             continue
-        while amount > 0 and lots:
-            n = min(amount, lots[0][0])
-            yield n, lots[0][1], price
+        while amount > 0 and held:
+            n = min(amount, held[0][0])
+            yield n, held[0][1], price
             amount -= n
-            lots[0][0] -= n
-            if lots[0][0] <= 0:
-                lots.pop(0)
+            held[0][0] -= n
+            if held[0][0] <= 0:
+                held.pop(0)
 
 
-def fifo(trades: DataFrame, run: str = "run_id", order: tuple[str, ...] = ("trade_time", "trade_id")) -> DataFrame:
-    """One row a run: matched lots that won and lost, their share and the mean win over the mean loss (no fees).
+#: Amounts are added up exactly.
+_AMOUNT = "decimal(28,6)"
 
-    Lots are matched within a run and security, in one task each, as state goes from trade to trade.
-    """
-    kind = T.StructType([trades.schema[run], T.StructField("wins", T.LongType()), T.StructField("losses", T.LongType()), T.StructField("won", T.DoubleType()), T.StructField("lost", T.DoubleType())])
 
-    def each(key, rows):
-        import pandas as pd
+def lots(trades: DataFrame, key: list[str], order: tuple[str, ...] = ("trade_time", "trade_id")) -> DataFrame:
+    """(key, buy_price, sell_price, amount): what each sale took of each purchase, first in first out; surplus sales match nothing.
+
+    Units are numbered as they are bought and as they are sold. Sales beyond what was bought by then count for nothing: their sum
+    so far is the highest that sales less purchases have been, above zero. The numbers at which purchases and sales end cut the
+    units into pieces; a piece belongs to the purchase and the sale that end next. These are running sums, a running maximum
+    and a look ahead, all in blocks (carry.py), so no task holds a security's whole history, and no ranges are joined.
+    Trades with null or no positive amounts match nothing. Times as text are all ISO dates or times, or none is.
+    """
+    amount = F.col("amount").cast(_AMOUNT)
+    when = {f"__o{i}": F.col(c) for i, c in enumerate(order)}
+    if dict(trades.dtypes)[order[0]] == "string":
+        when = {"__t": F.col(order[0]).try_cast("timestamp_ntz")} | when
+    own = trades.where("amount > 0").select(*key, *[c.alias(n) for n, c in when.items()], F.col("side") == "buy", "price", amount.alias("amount")).toDF(*key, *when, "buy", "price", "amount")
+    net = F.when(F.col("buy"), -F.col("amount")).otherwise(F.col("amount"))
+    zero = F.lit(0).cast(_AMOUNT)
+    flow = carry.running(own, key, list(when), {"bought": carry.total(F.when(F.col("buy"), F.col("amount")).otherwise(zero)), "sold": carry.total(F.when(F.col("buy"), zero).otherwise(F.col("amount"))), "surplus": carry.peak(net)})
+    at = F.when(F.col("buy"), F.col("bought")).otherwise(F.col("sold") - F.greatest("surplus", zero))
+    ends = flow.select(*key, *when, at.cast(_AMOUNT).alias("at"), F.when(F.col("buy"), F.col("price")).alias("buy_price"), F.when(~F.col("buy"), F.col("price")).alias("sell_price"))
+    # rows that end at one place come in the order of time: the first of them has the piece, sales that took nothing follow the one that did
+    units = own.groupBy(*key).agg(F.sum(F.when(F.col("buy"), F.col("amount"))).alias("n")).agg(F.lit(0.0), F.coalesce(F.max("n"), F.lit(0)).cast("double"))
+    pieces = carry.running(ends, key, ["at", *when], {"__from": carry.lag("at"), "buy_price": carry.following("buy_price"), "sell_price": carry.following("sell_price")}, span=units)
+    size = F.col("at") - F.coalesce("__from", zero)
+    return pieces.withColumn("amount", size.cast("double")).where("amount > 0 AND buy_price IS NOT NULL AND sell_price IS NOT NULL").select(*key, "buy_price", "sell_price", "amount")
 
-        rows = rows.sort_values(list(order), kind="stable")
-        pnl = [n * (b - a) for n, a, b in lot_pairs(zip(rows.side, rows.amount, rows.price))]
-        won, lost = [p for p in pnl if p > 0], [p for p in pnl if p < 0]
-        return pd.DataFrame({run: [key[0]], "wins": [len(won)], "losses": [len(lost)], "won": [float(sum(won))], "lost": [float(-sum(lost))]})
 
-    total = trades.groupBy(run, "security").applyInPandas(each, kind).groupBy(run).agg(*[F.sum(c).alias(c) for c in ("wins", "losses", "won", "lost")])
+def fifo(trades: DataFrame, run: str = "run_id", order: tuple[str, ...] = ("trade_time", "trade_id")) -> DataFrame:
+    """One row a run: matched lots that won and lost, their share and the mean win over the mean loss (no fees)."""
+    gain = F.col("amount") * (F.col("sell_price") - F.col("buy_price"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    found = lots(trades, [run, "security"], order).withColumn("gain", gain).groupBy(run).agg(
+        count(F.col("gain") > 0).alias("wins"), count(F.col("gain") < 0).alias("losses"), F.sum(F.when(F.col("gain") > 0, F.col("gain")).otherwise(0.0)).alias("won"), F.sum(F.when(F.col("gain") < 0, -F.col("gain")).otherwise(0.0)).alias("lost")
+    )
+    # a run whose trades match nothing has a row, too
+    total = trades.select(run).distinct().join(found, run, "left").fillna(0, ["wins", "losses"]).fillna(0.0, ["won", "lost"])
     rate = F.coalesce(F.try_divide("wins", F.col("wins") + F.col("losses")), F.lit(0.0))
     ratio = F.coalesce(F.try_divide(F.try_divide("won", "wins"), F.try_divide("lost", "losses")), F.lit(0.0))
     return total.select(run, "wins", "losses", rate.alias("win_rate"), ratio.alias("profit_loss_ratio"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.functions.market import finite
-from tidelake.operators import stats
+from tidelake.operators import carry, stats
 
 #: Factor kinds with their parameters as (name, type, default), and the fields of the ``field`` kind.
 KINDS = {
@@ -180,8 +180,7 @@ def layer_returns(ranked: DataFrame, day: str = "trade_date") -> DataFrame:
 
 def layer_cumulative(returns: DataFrame, horizon: int, day: str = "trade_date") -> DataFrame:
     """Each layer's compounded return, a day's return spread over the horizon."""
-    order = Window.partitionBy("layer").orderBy(day)
-    return returns.withColumn("cum", stats.running_product(1 + F.col("ret") / horizon, order) - 1)
+    return carry.running(returns, ["layer"], [day], {"cum": carry.product(1 + F.col("ret") / horizon)}).withColumn("cum", F.col("cum") - 1)
 
 
 def ic_summary(daily: DataFrame) -> DataFrame:

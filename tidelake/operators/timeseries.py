@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelake.operators import carry
+
 #: The minute slots of a trading day, first and last of each session, in minutes after midnight.
 SESSIONS = ((9 * 60 + 31, 11 * 60 + 30), (13 * 60 + 1, 15 * 60))
 
@@ -35,11 +37,10 @@ def grid(days: DataFrame, codes: DataFrame) -> DataFrame:
 def forward_filled(bars: DataFrame, slots: DataFrame, code: str, at: str, price: str, zeros: list[str], blanks: list[str] | None = None) -> DataFrame:
     """Slots with the bars' values; where a bar is missing, the last price before it, zeros and blanks (NaN).
 
-    A code that has no bar up to a slot has a null price there.
+    A code that has no bar up to a slot has a null price there. A code's slots are filled in blocks of time (carry.py).
     """
-    order = Window.partitionBy(code).orderBy(at)
     joined = slots.join(bars.withColumn("__has", F.lit(True)), [code, at], "left")
-    out = joined.withColumn(price, F.last(price, ignorenulls=True).over(order))
+    out = carry.running(joined, [code], [at], {price: carry.last(price)})
     fills = {c: 0.0 for c in zeros} | {c: float("nan") for c in blanks or []}
     for c, v in fills.items():
         out = out.withColumn(c, F.when(F.col("__has"), F.col(c)).otherwise(F.lit(v).cast(bars.schema[c].dataType)))
@@ -70,11 +71,8 @@ def minute_filled(minutes: DataFrame, days: DataFrame, daily: DataFrame, code: s
     slots = grid(minute_clock(days, day).select(at), codes)
     prices = ["open", "high", "low", "close"]
     own = slots.join(inside.select(code, at, *prices, "vol", "amount"), [code, at], "left").join(seeds, code, "left")
-    each = Window.partitionBy(code)
     has = F.col("close").isNotNull()
-    first = F.min(F.when(has, F.col(at))).over(each)
-    last = F.last("close", ignorenulls=True).over(each.orderBy(at))
-    out = own.withColumns({"__first": first, "__last": last, "suspended": ~has})
+    out = carry.running(own, [code], [at], {"__first": carry.first(F.when(has, F.col(at))), "__last": carry.last("close")}).withColumn("suspended", ~has)
     out = out.where((F.col(at) >= F.col("__first")) | (F.col("__first").isNull() & (F.col("__seed") > 0)))
     fill = F.coalesce("__last", "__seed")
     return out.select(code, at, *[F.coalesce(c, fill).alias(c) for c in prices], F.coalesce("vol", F.lit(0.0)).alias("vol"), F.when(~F.col("suspended"), F.col("amount")).otherwise(F.lit(float("nan"))).alias("amount"), "suspended")
@@ -120,21 +118,16 @@ def fold_auction(minutes: DataFrame, code: str = "ts_code", at: str = "trade_tim
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, fallback_first: bool = True, default: float | None = None) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` (key, at, value) at or before each row.
 
-    Where there is none: the key's earliest value if ``fallback_first``, then ``default``. One shuffle by the key: both
-    sides are stacked and the last value is carried on; no range join.
+    Where there is none: the key's earliest value if ``fallback_first``, then ``default``. Both sides are stacked and the last value
+    is carried on, in blocks of time (carry.py): one shuffle, no range join, and a hot key takes as many tasks as it has blocks.
     """
     names = left.columns
     both = left.withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__own", F.lit(1)).unionByName(
         right.select(key, at, F.col(value).alias("__v"), F.lit(0).alias("__own")), allowMissingColumns=True
     )
-    order = Window.partitionBy(key).orderBy(at, "__own")
-    whole = Window.partitionBy(key).orderBy(at, "__own").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = [F.last("__v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))]
-    if fallback_first:
-        found.append(F.first("__v", ignorenulls=True).over(whole))
-    if default is not None:
-        found.append(F.lit(default))
-    return both.withColumn(value, F.coalesce(*found)).where("__own = 1").select(*names, value)
+    found = {"__last": carry.last("__v")} | ({"__first": carry.first("__v")} if fallback_first else {})
+    out = carry.running(both, [key], [at, "__own"], found).where("__own = 1")
+    return out.select(*names, F.coalesce(*found, *([F.lit(default)] if default is not None else [])).alias(value))
 
 
 def adjusted(bars: DataFrame, factors: DataFrame, fields: list[str], mode: str, cutoff: Column | None = None, code: str = "ts_code", day: str = "trade_date") -> DataFrame:
@@ -163,8 +156,9 @@ def last_bars(bars: DataFrame, upto: Column, n: int, code: str = "ts_code", at:
 
 
 def keep_first(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key in the given order. Tasks keep one row a key before anything moves."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*key).agg(F.min_by(whole, F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def numbered(rows: DataFrame, day: str, order: list, start: int) -> DataFrame:

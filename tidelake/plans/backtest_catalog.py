@@ -92,19 +92,20 @@ def backtest_benchmark(spark, d):
 
 @register(
     "fifo_lots",
-    """WITH t AS (SELECT l_linestatus AS run_id, l_suppkey AS security, l_returnflag = 'R' AS sells, l_quantity AS amount, l_extendedprice / l_quantity AS price, l_orderkey * 10 + l_linenumber AS i FROM lineitem),
-    c AS (SELECT *, sum(amount) OVER (PARTITION BY run_id, security, sells ORDER BY i, price, amount ROWS UNBOUNDED PRECEDING) AS upto FROM t),
-    p AS (SELECT s.run_id, (least(b.upto, s.upto) - greatest(b.upto - b.amount, s.upto - s.amount)) AS n, s.price - b.price AS gain FROM c b JOIN c s ON b.run_id = s.run_id AND b.security = s.security AND NOT b.sells AND s.sells
-        AND b.upto > s.upto - s.amount AND s.upto > b.upto - b.amount)
+    """WITH t AS (SELECT l_linestatus AS run_id, l_suppkey AS security, l_returnflag = 'R' AS sells, l_quantity AS amount, l_extendedprice / l_quantity AS price, l_shipdate AS t, l_orderkey * 10 + l_linenumber AS i FROM lineitem),
+    f AS (SELECT *, sum(CASE WHEN sells THEN 0 ELSE amount END) OVER o AS bought, sum(CASE WHEN sells THEN amount ELSE 0 END) OVER o AS sold FROM t WINDOW o AS (PARTITION BY run_id, security ORDER BY t, i, price, amount ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT *, CASE WHEN sells THEN sold - greatest(max(sold - bought) OVER (PARTITION BY run_id, security ORDER BY t, i, price, amount ROWS UNBOUNDED PRECEDING), 0) ELSE bought END AS upto FROM f),
+    c AS (SELECT *, lag(upto, 1, 0) OVER (PARTITION BY run_id, security, sells ORDER BY t, i, price, amount) AS since FROM g),
+    p AS (SELECT s.run_id, least(b.upto, s.upto) - greatest(b.since, s.since) AS n, s.price - b.price AS gain FROM c b JOIN c s ON b.run_id = s.run_id AND b.security = s.security AND NOT b.sells AND s.sells
+        AND b.upto > s.since AND s.upto > b.since WHERE s.upto > s.since)
     SELECT run_id, count(*) FILTER (gain > 0) AS wins, count(*) FILTER (gain < 0) AS losses, round(count(*) FILTER (gain > 0) / count(*) FILTER (gain <> 0), 6) AS win_rate,
     round((sum(n * gain) FILTER (gain > 0) / count(*) FILTER (gain > 0)) / (-sum(n * gain) FILTER (gain < 0) / count(*) FILTER (gain < 0)), 6) AS profit_loss_ratio FROM p GROUP BY 1""",
 )
 def fifo_lots(spark, d):
-    """Purchases come first, sales after them; what is sold beyond all purchases matches nothing."""
-    sells = F.col("l_returnflag") == "R"
+    """Sales come before, between and after purchases; what is sold beyond what was bought by then matches nothing."""
     trades = table(spark, d, "lineitem").select(
-        F.col("l_linestatus").alias("run_id"), F.col("l_suppkey").cast("string").alias("security"), F.when(sells, "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("amount"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.when(sells, "2").otherwise("1").alias("trade_time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
+        F.col("l_linestatus").alias("run_id"), F.col("l_suppkey").cast("string").alias("security"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("amount"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_shipdate").alias("trade_time"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
     )
     out = analytics.fifo(trades, order=("trade_time", "trade_id", "price", "amount"))
     return out.select("run_id", "wins", "losses", F.round("win_rate", 6).alias("win_rate"), F.round("profit_loss_ratio", 6).alias("profit_loss_ratio"))
@@ -126,7 +127,7 @@ def _minute_bars(spark, d) -> DataFrame:
 
 @register(
     "minute_fill",
-    f"""WITH {E_SQL}, {_M_SQL}, ds AS (SELECT DISTINCT trade_date FROM e WHERE trade_date IN (DATE '2024-01-20', DATE '2024-01-21')), lo AS (SELECT min(trade_date) AS a, max(trade_date) AS b FROM ds),
+    f"""WITH {E_SQL}, {_M_SQL}, ds AS (SELECT DISTINCT trade_date FROM e WHERE trade_date > (SELECT min(trade_date) FROM e)), lo AS (SELECT min(trade_date) AS a, max(trade_date) AS b FROM ds),
     slots AS (SELECT CAST(trade_date AS TIMESTAMP) + to_minutes(CAST(slot AS INTEGER)) AS trade_time FROM ds, (SELECT unnest(range(571, 691)) AS slot UNION ALL SELECT unnest(range(781, 901)))),
     i AS (SELECT m.* FROM m, lo WHERE CAST(trade_time AS DATE) BETWEEN a AND b), seeds AS (SELECT ts_code, arg_max(close, trade_date) AS seed FROM e, lo WHERE trade_date < a GROUP BY 1),
     codes AS (SELECT ts_code FROM i UNION SELECT ts_code FROM seeds WHERE seed > 0),
@@ -137,7 +138,9 @@ def _minute_bars(spark, d) -> DataFrame:
 )
 def minute_fill(spark, d):
     e = e_panel(spark, d)
-    days = e.select("trade_date").distinct().where("trade_date IN (DATE '2024-01-20', DATE '2024-01-21')")
+    # all days but the first one, whose closes are what codes without minutes start from
+    days = e.select("trade_date").distinct()
+    days = days.join(F.broadcast(days.agg(F.min("trade_date").alias("first")))).where("trade_date > first").select("trade_date")
     return timeseries.minute_filled(_minute_bars(spark, d), days, e.select("ts_code", "trade_date", "close")).drop("amount")
 
 
@@ -148,8 +151,3 @@ def minute_fill(spark, d):
 )
 def minute_resample(spark, d):
     return timeseries.resampled(_minute_bars(spark, d), "5 minutes").drop("amount")
-
-
-@register("minute_window_days", "SELECT unnest([1, 100, 2000, 20000, 0]) AS codes, unnest([30, 30, 6, 1, 30]) AS days")
-def minute_window_days(spark, d):
-    return spark.createDataFrame([(n, timeseries.window_days(30, n)) for n in (1, 100, 2000, 20000, 0)], "codes int, days int")
