@@ -310,7 +310,9 @@ def test_imports(spark, tmp_path):
     importer = ingest.Importer(lake, fake)
     importer.run(spec, date(2024, 1, 1), date(2024, 2, 29))
     importer.run(spec, date(2024, 1, 1), date(2024, 2, 29))  # resumes after all of it
-    assert lake.ledger("namechange").count() == 2 and lake.read("namechange").count() == 2
+    assert lake.ledger("namechange").count() == 1 and lake.read("namechange").count() == 2 and len(importer.done("namechange")) == 2
+    importer.run(spec, date(2024, 1, 1), date(2024, 5, 31), at_once=2)  # two of the three months left are one commit
+    assert lake.ledger("namechange").count() == 3 and lake.read("namechange").count() == 5
     for _ in range(2):  # a snapshot replaces the one before
         ingest.Importer(lake, Fake(lambda p: remote.Page(names, given[p["list_status"]]))).run(ingest.imports(2024)["stock_basic"])
     assert lake.read("stock_basic").count() == 3 and {r.dataset: r.status for r in lake.verify().collect()}["stock_basic"] == "ok"
@@ -319,6 +321,38 @@ def test_imports(spark, tmp_path):
             remote.complete(page_)
 
 
+class Short:
+    """A service with a row a day, of which it sends so many at most; ``told``: by its count, by its limit, or as a refusal."""
+
+    def __init__(self, told, most=5):
+        self.told, self.most = told, most
+
+    def call(self, api, params=None, fields=""):
+        a, b = (dates.date_parameter(params[k]) for k in ("start_date", "end_date"))
+        rows = [["c", f"{a + timedelta(i):%Y%m%d}", str(n)] for i in range((b - a).days + 1) for n in range(3 if (a + timedelta(i)).day == 9 else 1)]
+        sent = rows[: self.most]
+        if self.told == "refusal" and len(rows) > self.most:
+            raise remote.SourceError("response estimate: too large", "halve")
+        return remote.Page(["ts_code", "trade_date", "vol"], sent, count=len(rows) if self.told == "count" else 0, limit=self.most + 1 if self.told == "limit" and len(rows) <= self.most else self.most if self.told == "limit" else 0)
+
+
+@pytest.mark.parametrize("told", ["count", "limit", "refusal"])
+def test_windows_that_are_too_large_are_halved(spark, tmp_path, told):
+    lake = Lake(spark, str(tmp_path))
+    spec = ingest.Import("index_daily", "window", "ts_code,trade_date,vol", ({"ts_code": "c"},), window_days=31)
+    done = ingest.Importer(lake, Short(told)).run(spec, date(2024, 1, 5), date(2024, 3, 20))
+    assert len(done) == 1 and done[0]["rows"] == 76
+    # of the days that the service repeats, the first row stays
+    assert sorted((r.trade_date, r.vol) for r in lake.read("index_daily").collect()) == [(date(2024, 1, 5) + timedelta(i), 0.0) for i in range(76)]
+    pages = list(ingest.whole_pages(Short(told), "index_daily", {"start_date": "20240105", "end_date": "20240205"}, "ts_code,trade_date,vol"))
+    days = [r[1] for p in pages for r in p.items]
+    assert days == sorted(days) and len(set(days)) == 32 and all(len(p.items) <= 5 for p in pages)
+    # one day alone can't be halved; nothing is committed then
+    with pytest.raises(Exception, match="20240209"):
+        ingest.Importer(lake, Short(told, 2)).run(spec, date(2024, 2, 8), date(2024, 2, 10))
+    assert lake.version("index_daily") == 1
+
+
 def test_sources(spark, monkeypatch):
     good = json.dumps({"code": 0, "data": {"fields": ["a"], "items": [[1]]}})
     asked = []

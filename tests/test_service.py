@@ -5,6 +5,7 @@ import urllib.request
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelake import cli
 from tidelake.operators.api import DataApi
@@ -113,10 +114,11 @@ def test_expiring_orders(spark, tmp_path):
     assert ended == {"a": "filled", "b": "expired", "c": "cancelled"}
 
 
-def test_windows_of_minutes_and_frequencies():
+def test_windows_of_minutes_and_frequencies(spark):
     from tidelake.operators.timeseries import frequency, window_days
 
-    assert [window_days(*x) for x in ((30, 300), (30, 2000), (1, 10), (5, 10**6), (30, 10, 2400))] == [30, 6, 2, 1, 1]
+    given = [(30, 300), (30, 2000), (1, 10), (5, 10**6), (30, 10, 2400), (30, 0)]
+    assert list(spark.range(1).select(*[window_days(a, F.lit(n), *rest).alias(f"c{i}") for i, (a, n, *rest) in enumerate(given)]).first()) == [30, 6, 2, 1, 1, 30]
     assert frequency(" Daily ") == "1d" and frequency("1min") == "1m"
     with pytest.raises(ValueError):
         frequency("5m")

@@ -51,11 +51,11 @@ def forward_filled(bars: DataFrame, slots: DataFrame, code: str, at: str, price:
 MINUTE_ROWS = 3_000_000
 
 
-def window_days(wanted: int, codes: int, most: int = MINUTE_ROWS) -> int:
+def window_days(wanted: int, codes: Column, most: int = MINUTE_ROWS) -> Column:
     """Days of minutes to hold for so many codes: as many as wanted (two at least) while the rows stay below ``most``, and one at least."""
     wanted, most = max(2, wanted), most if most > 0 else MINUTE_ROWS
-    per_day = codes * sum(b - a + 1 for a, b in SESSIONS)
-    return max(1, min(wanted, most // per_day)) if per_day else wanted
+    fit = F.floor(F.lit(most) / (codes * sum(b - a + 1 for a, b in SESSIONS)))
+    return F.when(codes > 0, F.greatest(F.lit(1), F.least(F.lit(wanted), fit))).otherwise(F.lit(wanted)).cast("int")
 
 
 def minute_filled(minutes: DataFrame, days: DataFrame, daily: DataFrame, code: str = "ts_code", at: str = "trade_time", day: str = "trade_date") -> DataFrame:

@@ -151,3 +151,10 @@ def minute_fill(spark, d):
 )
 def minute_resample(spark, d):
     return timeseries.resampled(_minute_bars(spark, d), "5 minutes").drop("amount")
+
+
+@register("minute_window_days", f"WITH {E_SQL}, n AS (SELECT trade_date, count(DISTINCT ts_code) AS codes FROM e GROUP BY 1) SELECT trade_date, codes, greatest(1, least(30, 300000 // (codes * 240)))::INTEGER AS days FROM n")
+def minute_window_days(spark, d):
+    """For each day's codes, the days of minutes to hold."""
+    codes = e_panel(spark, d).groupBy("trade_date").agg(F.countDistinct("ts_code").alias("codes"))
+    return codes.withColumn("days", timeseries.window_days(30, F.col("codes"), 300_000))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelake.functions import dates, market
-from tidelake.operators import analytics, factors, stats, timeseries
+from tidelake.operators import analytics, compare, factors, pages, stats, timeseries
 from tidelake.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,9 +304,35 @@ def union_by_key(spark, d):
     return timeseries.keep_first(both, ["o_orderkey"], ["slice"]).select("o_orderkey", "o_orderstatus")
 
 
-@register("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@register("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
+    """Customers without a large order that is filled."""
+    large = table(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 100000")
+    return table(spark, d, "customer").select("c_custkey").subtract(large.select("o_custkey"))
+
+
+@register("deep_page", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 500 OFFSET (SELECT count(*) * 5 // 6 FROM lineitem)")
+def deep_page(spark, d):
+    """A page behind five sixths of the line items: ranges before it are counted, not sorted."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return pages.page(rows, rows.columns, rows.count() * 5 // 6, 500, few=5_000)
+
+
+@register(
+    "table_differences",
+    """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderpriority AS priority FROM orders), b AS (SELECT k, CASE WHEN k % 97 = 3 THEN 'X' ELSE status END AS status, CASE WHEN k % 89 = 5 THEN NULL ELSE price END AS price, priority FROM a WHERE k % 101 <> 7
+        UNION ALL SELECT -k, status, price, priority FROM a WHERE k % 103 = 9)
+    SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'differs' END AS status, f.field, CASE f.field WHEN 'status' THEN a.status WHEN 'price' THEN round(a.price, 2)::VARCHAR END AS a, CASE f.field WHEN 'status' THEN b.status WHEN 'price' THEN round(b.price, 2)::VARCHAR END AS b
+    FROM a FULL JOIN b ON a.k = b.k JOIN (SELECT unnest(['status', 'price', NULL]) AS field) f ON (a.k IS NULL OR b.k IS NULL) = (f.field IS NULL) AND (f.field IS NULL OR (f.field = 'status' AND a.status <> b.status) OR (f.field = 'price' AND a.price IS DISTINCT FROM b.price))""",
+)
+def table_differences(spark, d):
+    """Orders against a copy in which some differ, lack or come in addition, field by field."""
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+    k = F.col("k")
+    b = a.where(k % 101 != 7).withColumns({"status": F.when(k % 97 == 3, "X").otherwise(F.col("status")), "price": F.when(k % 89 == 5, None).otherwise(F.col("price"))})
+    b = b.unionByName(a.where(k % 103 == 9).withColumn("k", -k))
+    found = compare.differences(a.withColumnRenamed("status", "state"), b.withColumnRenamed("status", "state"), ["k"])
+    return found.select("k", "status", F.when(F.col("field") == "state", "status").otherwise(F.col("field")).alias("field"), F.col("left").alias("a"), F.col("right").alias("b"))
 
 
 @register("name_lookup", "SELECT s_suppkey, s_name, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")

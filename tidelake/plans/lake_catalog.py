@@ -5,17 +5,21 @@ The driver's tables are written as datasets of a lake first; each query's SQL te
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelake.operators import pages
 from tidelake.operators.api import DataApi
 from tidelake.operators.predicates import Predicate as P
 from tidelake.plans.catalog import E_SQL, S_SQL, e_panel, register, s_panel
 from tidelake.plans.tables import scratch, table
+from tidelake.registry import Registry, market
 from tidelake.sources import ingest
+from tidelake.sources.footers import located
 from tidelake.sources.lake import Lake, migrated, old_mapping
 from tidelake.sources.remote import Page
 
@@ -186,6 +190,16 @@ def lake_predicates(spark, d):
     return out
 
 
+@register("lake_scan_after", f"WITH {DAILY_SQL} SELECT ts_code, trade_date, close FROM bars_daily ORDER BY ts_code, trade_date LIMIT 90")
+def lake_scan_after(spark, d):
+    """Three pages, each by the token of the last row before it."""
+    lake, rows, at = lake_of(spark, d, "bars_daily"), [], ""
+    for _ in range(3):
+        rows += lake.scan_after("bars_daily", at, 30).select("ts_code", "trade_date", "close").collect()
+        at = pages.token(rows[-1], lake.order("bars_daily"))
+    return spark.createDataFrame(rows, "ts_code string, trade_date date, close double")
+
+
 @register("lake_scan_page", f"WITH {DAILY_SQL} SELECT * FROM bars_daily ORDER BY ts_code, trade_date LIMIT 60 OFFSET 45")
 def lake_scan_page(spark, d):
     names = ["ts_code", "trade_date", "open", "high", "low", "close", "vol", "amount", "turnover_rate", "pe", "total_mv"]
@@ -204,10 +218,89 @@ def lake_scan_many_codes(spark, d):
     return lake_of(spark, d, "bars_daily").scan("bars_daily", [P("ts_code", "in", codes), P("vol", ">=", 2.0)], ["ts_code", "trade_date", "vol"])
 
 
-@register("lake_scan_report", f"WITH {DAILY_SQL} SELECT 'bars_daily' AS dataset, count(*) AS rows, true AS pushed, true AS pruned FROM bars_daily WHERE trade_date >= DATE '2024-01-20' AND close > 30")
+_FILE_ROWS = 500
+_FILES_SQL = f"""WITH {MONTHLY_SQL}, f AS (SELECT *, year(trade_date) AS y, (row_number() OVER (PARTITION BY year(trade_date) ORDER BY ts_code, trade_date) - 1) // {_FILE_ROWS} AS f FROM m),
+    g AS (SELECT y, f, count(*) AS n, max(close) AS close, min(ts_code) AS lo, max(ts_code) AS hi FROM f GROUP BY 1, 2)"""
+
+
+def _small_files(spark, d) -> Lake:
+    """A lake of small files: each year's rows by code and day, _FILE_ROWS to a file, which has one row group."""
+    known = market()
+    lake = Lake(spark, scratch(spark), Registry([replace(x, target_file_rows=_FILE_ROWS) if x.name == "bars_daily" else x for x in known]))
+    rows = lake.partitioned("bars_daily", _monthly(spark, d))
+    lake.write("bars_daily", rows.repartition("year").sortWithinPartitions("year", "ts_code", "trade_date"), arranged=True)
+    return lake
+
+
+@register(
+    "lake_scan_report",
+    _FILES_SQL + """, t AS (SELECT *, y >= 1995 AND close > 1080 AND lo <= '000070.SH' AND hi >= '000011.SZ' AS reads FROM g)
+    SELECT y::VARCHAR AS year, count(*) AS row_groups, sum(n)::BIGINT AS rows, count(*) FILTER (reads) AS row_groups_read, coalesce(sum(n) FILTER (reads), 0)::BIGINT AS rows_read FROM t GROUP BY 1""",
+)
 def lake_scan_report(spark, d):
-    told = lake_of(spark, d, "bars_daily").scan_report("bars_daily", [P("trade_date", ">=", date(2024, 1, 20)), P("close", ">", 30.0)], ["close"])
-    return spark.createDataFrame([(told["dataset"], told["rows"], "GreaterThan(close,30.0)" in told["pushed"], told["files_read"] <= told["files"])], "dataset string, rows long, pushed boolean, pruned boolean")
+    """Row groups that a scan reads, by year: from footers alone."""
+    some = [P("trade_date", ">=", date(1995, 3, 1)), P("close", ">", 1080.0), P("ts_code", ">=", "000011.SZ"), P("ts_code", "<=", "000070.SH")]
+    told = _small_files(spark, d).scan_report("bars_daily", some, ["close"])
+    return told.groupBy(F.regexp_extract("file", "year=([^/]+)", 1).alias("year")).agg(*[F.sum(c).alias(c) for c in ("row_groups", "rows", "row_groups_read", "rows_read")])
+
+
+@register(
+    "lake_footers",
+    _FILES_SQL + """, x AS (SELECT y, f, 'close' AS field, min(close) AS low, max(close) AS high, 0 AS nulls, count(*) AS rows FROM f GROUP BY 1, 2 UNION ALL SELECT y, f, 'vol', min(vol), max(vol), 0, count(*) FROM f GROUP BY 1, 2
+    UNION ALL SELECT y, f, 'pe', NULL, NULL, count(*), count(*) FROM f GROUP BY 1, 2) SELECT y::VARCHAR AS year, field, low, high, nulls, rows FROM x""",
+)
+def lake_footers(spark, d):
+    """The statistics of three fields in each file."""
+    told = _small_files(spark, d).footers("bars_daily").where("field IN ('close', 'vol', 'pe')")
+    return told.select("year", "field", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "nulls", "rows")
+
+
+def _three_versions(spark, d) -> tuple[Lake, list[int]]:
+    """Daily bars as first written, with the closes of 1995 doubled where vol > 30 and the others of that year gone, and with 1996 twice."""
+    lake, at = _own(spark, d), []
+    at.append(lake.version("bars_daily"))
+    lake.write("bars_daily", _monthly(spark, d).where((F.year("trade_date") == 1995) & (F.col("vol") > 30)).withColumn("close", F.col("close") * 2), "replace")
+    at.append(lake.version("bars_daily"))
+    lake.write("bars_daily", _monthly(spark, d).where(F.year("trade_date") == 1996))
+    return lake, [*at, lake.version("bars_daily")]
+
+
+_VERSIONS_SQL = f"""WITH {MONTHLY_SQL}, v1 AS (SELECT * FROM m WHERE year(trade_date) <> 1995 UNION ALL SELECT ts_code, trade_date, close * 2, vol, amount FROM m WHERE year(trade_date) = 1995 AND vol > 30),
+    v2 AS (SELECT * FROM v1 UNION ALL SELECT * FROM m WHERE year(trade_date) = 1996)"""
+
+
+@register("lake_versions", _VERSIONS_SQL + " SELECT 0 AS version, ts_code, trade_date, round(close, 2) AS close FROM m UNION ALL SELECT 1, ts_code, trade_date, round(close, 2) FROM v1 UNION ALL SELECT 2, ts_code, trade_date, round(close, 2) FROM v2")
+def lake_versions(spark, d):
+    """Three versions, read after the last one was committed."""
+    lake, at = _three_versions(spark, d)
+    out = None
+    for i, v in enumerate(at):
+        one = lake.scan("bars_daily", columns=["ts_code", "trade_date", "close"], version=v).select(F.lit(i).alias("version"), "ts_code", "trade_date", F.round("close", 2).alias("close"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    "lake_changes",
+    _VERSIONS_SQL + """ SELECT m.ts_code, m.trade_date, CASE WHEN v1.ts_code IS NULL THEN 'missing' ELSE 'differs' END AS status, CASE WHEN v1.ts_code IS NOT NULL THEN 'close' END AS field,
+    CASE WHEN v1.ts_code IS NOT NULL THEN m.close END AS a, v1.close AS b FROM m LEFT JOIN v1 USING (ts_code, trade_date) WHERE v1.ts_code IS NULL OR m.close <> v1.close""",
+)
+def lake_changes(spark, d):
+    """What the second version changed, by key and field."""
+    lake, at = _three_versions(spark, d)
+    found = lake.changes("bars_daily", at[0], at[1])
+    return found.select("ts_code", "trade_date", "status", "field", F.col("left").cast("double").alias("a"), F.col("right").cast("double").alias("b"))
+
+
+@register(
+    "lake_compared",
+    _VERSIONS_SQL + """ SELECT year(trade_date)::VARCHAR AS year, count(*) FILTER (s = 0) AS left_rows, count(*) FILTER (s = 1) AS right_rows, CASE WHEN year(trade_date) IN (1995, 1996) THEN 'differs' ELSE 'same' END AS status
+    FROM (SELECT 0 AS s, * FROM m UNION ALL SELECT 1, * FROM v2) GROUP BY 1, 4""",
+)
+def lake_compared(spark, d):
+    """Which partitions differ between the first version and the last, by sums of digests."""
+    lake, at = _three_versions(spark, d)
+    return lake.compared("bars_daily", at[0], at[2])
 
 
 # named queries
@@ -250,10 +343,10 @@ def _own(spark, d) -> Lake:
     return lake
 
 
-@register("lake_append", f"WITH {MONTHLY_SQL} SELECT * FROM m UNION ALL SELECT ts_code, trade_date, close, vol, amount + 1 FROM m WHERE year(trade_date) = 1994")
+@register("lake_append", f"WITH {MONTHLY_SQL} SELECT * FROM m UNION ALL SELECT ts_code, trade_date, close, vol, amount + 1 FROM m WHERE year(trade_date) = 1996")
 def lake_append(spark, d):
     lake = _own(spark, d)
-    lake.write("bars_daily", _monthly(spark, d).where(F.year("trade_date") == 1994).withColumn("amount", F.col("amount") + 1))
+    lake.write("bars_daily", _monthly(spark, d).where(F.year("trade_date") == 1996).withColumn("amount", F.col("amount") + 1))
     return lake.scan("bars_daily", columns=["ts_code", "trade_date", "close", "vol", "amount"])
 
 
@@ -326,67 +419,88 @@ def lake_partition_counts(spark, d):
     return _own(spark, d).partition_counts("bars_daily")
 
 
-@register("lake_health", "SELECT unnest(['bars_daily', 'trade_cal', 'index_basic']) AS dataset, unnest([(SELECT count(DISTINCT year(l_shipdate)) FROM lineitem), 0, 0]) AS partitions, true AS has_bytes")
+@register("lake_health", _FILES_SQL + " SELECT 'bars_daily' AS dataset, count(DISTINCT y) AS partitions, count(*) AS files FROM g")
 def lake_health(spark, d):
-    told = [(h["dataset"], h["partitions"], h["bytes"] > 0) for h in _ledgered(spark, d).health() if h["files"]]
-    return spark.createDataFrame(told, "dataset string, partitions long, has_bytes boolean")
+    told = [(h["dataset"], h["partitions"], h["files"]) for h in _small_files(spark, d).health() if h["files"]]
+    return spark.createDataFrame(told, "dataset string, partitions long, files long")
 
 
-@register("lake_recent", "SELECT * FROM (VALUES ('trade_cal', 'import'), ('index_basic', 'import')) AS t(dataset, operation)")
+@register(
+    "lake_recent",
+    f"WITH {CAL_SQL} SELECT 'trade_cal' AS dataset, 'import' AS operation, count(*) AS rows FROM trade_cal UNION ALL SELECT 'index_basic', 'import', 7 UNION ALL SELECT 'index_basic', 'import', count(*) FROM nation",
+)
 def lake_recent(spark, d):
-    return _ledgered(spark, d).recent(2).select("dataset", "operation")
+    return _ledgered(spark, d).recent(3).select("dataset", "operation", "rows")
 
 
 # imports
 
 
 class Service:
-    """A service that answers from a table, as text: what an import asks for by its parameters."""
+    """A service that answers from a table, as text: what an import asks for by its parameters.
+
+    The table lies in Parquet files, which whoever makes the call reads: only row groups that may have the days and values asked for. With
+    ``most``, an answer has so many rows at most and tells how many there are.
+    """
 
-    def __init__(self, rows: list[dict], day: str = ""):
-        self.rows, self.day = rows, day
+    def __init__(self, path: str, day: str = "", most: int = 0):
+        self.path, self.day, self.most = path, day, most
 
     def call(self, api: str, params: dict | None = None, fields: str = "") -> Page:
-        names, asked = fields.split(","), dict(params or {})
+        import pyarrow.dataset as files
+
+        system, path = located(self.path)
+        names, asked, test = fields.split(","), dict(params or {}), None
         lo, hi = asked.pop("start_date", ""), asked.pop("end_date", "")
-        found = [r for r in self.rows if all(str(r.get(k)) == v for k, v in asked.items()) and (not lo or lo <= r[self.day] <= hi)]
-        return Page(names, [[r.get(n) for n in names] for r in found])
+        tests = [files.field(k) == v for k, v in asked.items()] + ([(files.field(self.day) >= lo) & (files.field(self.day) <= hi)] if lo else [])
+        for t in tests:
+            test = t if test is None else test & t
+        rows = files.dataset(path, filesystem=system, format="parquet").to_table(columns=names, filter=test).to_pylist()
+        sent = rows[: self.most] if self.most else rows
+        return Page(names, [[r[n] for n in names] for r in sent], count=len(rows))
+
 
+def _served(spark, rows: DataFrame, fields: str, day: str = "", most: int = 0) -> Service:
+    """The rows as a service; fields that they lack are null."""
+    names, path = fields.split(","), scratch(spark)
+    kinds = dict(rows.dtypes)
+    shown = rows.select(*[F.lit(None).cast("string").alias(c) if c not in kinds else F.date_format(c, "yyyyMMdd").alias(c) if kinds[c] == "date" else F.col(c) for c in names])
+    (shown.repartitionByRange(day).sortWithinPartitions(day) if day else shown).write.parquet(path)
+    return Service(path, day, most)
 
-def _served(rows: DataFrame, day: str = "") -> Service:
-    shown = rows.select(*[F.date_format(c, "yyyyMMdd").alias(c) if k == "date" else F.col(c) for c, k in rows.dtypes])
-    return Service([r.asDict() for r in shown.collect()], day)
+
+def _days(rows: DataFrame, day: str) -> tuple[date, date]:
+    return tuple(rows.agg(F.min(day), F.max(day)).first())
 
 
 @register("import_snapshot", f"WITH {INDEX_BASIC_SQL} SELECT ts_code, name, market, publisher, base_date, base_point FROM index_basic")
 def import_snapshot(spark, d):
-    """A snapshot by slices, run twice: the second one replaces the first. Nations are 25 rows by definition."""
-    lake = Lake(spark, scratch(spark))
-    importer = ingest.Importer(lake, _served(_index_basic(spark, d)))
+    """A snapshot by slices, run twice: the second one replaces the first."""
+    lake, spec = Lake(spark, scratch(spark)), ingest.imports(2024)["index_basic"]
+    importer = ingest.Importer(lake, _served(spark, _index_basic(spark, d), spec.fields))
     for _ in range(2):
-        importer.run(ingest.imports(2024)["index_basic"])
+        importer.run(spec)
     return lake.scan("index_basic", columns=["ts_code", "name", "market", "publisher", "base_date", "base_point"])
 
 
-@register("import_windows", f"WITH {INDEX_SQL} SELECT ts_code, trade_date, vol FROM index_daily WHERE ts_code = '399001.SZ' AND trade_date BETWEEN DATE '1994-02-01' AND DATE '1995-08-15'")
+@register("import_windows", f"WITH {INDEX_SQL} SELECT ts_code, trade_date, high, vol FROM index_daily")
 def import_windows(spark, d):
-    """Windows of a year; a second run finds them in the ledger."""
-    lake = Lake(spark, scratch(spark))
-    index = _index_daily(spark, d).where("ts_code = '399001.SZ' AND trade_date BETWEEN DATE '1993-06-01' AND DATE '1996-06-01'").select("ts_code", "trade_date", "vol")
-    spec = ingest.Import("index_daily", "window", "ts_code,trade_date,close,vol", ({"ts_code": "399001.SZ"},), window_days=366)
-    importer = ingest.Importer(lake, _served(index, "trade_date"))
+    """All indices and days, in windows of a year of which the service sends 50 rows at most, so that they are halved; a second run finds them in the ledger."""
+    lake, index = Lake(spark, scratch(spark)), _index_daily(spark, d)
+    spec = replace(ingest.imports(2024)["index_daily"], slices=tuple({"ts_code": f"39900{i}.SZ"} for i in range(5)))
+    importer = ingest.Importer(lake, _served(spark, index, spec.fields, "trade_date", 50))
     for _ in range(2):
-        importer.run(spec, date(1994, 2, 1), date(1995, 8, 15))
-    return lake.scan("index_daily", columns=["ts_code", "trade_date", "vol"])
+        importer.run(spec, *_days(index, "trade_date"))
+    return lake.scan("index_daily", columns=["ts_code", "trade_date", "high", "vol"])
 
 
-@register("import_days", f"WITH {E_SQL} SELECT {_code_sql('ts_code')} AS ts_code, trade_date, open AS pre_close FROM e WHERE trade_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-10' AND ts_code <= 60")
+@register("import_days", f"WITH {E_SQL} SELECT {_code_sql('ts_code')} AS ts_code, trade_date, open AS pre_close, round(open + 5, 2) AS up_limit FROM e")
 def import_days(spark, d):
-    lake = Lake(spark, scratch(spark))
-    limits = _stk_limit(spark, d).where("trade_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-10' AND ts_code < '000061'")
-    importer = ingest.Importer(lake, _served(limits.unionByName(limits.where("pre_close > 20"))))  # the service repeats rows
-    importer.run(ingest.imports(2024)["stk_limit"], date(2024, 1, 8), date(2024, 1, 10))
-    return lake.scan("stk_limit", columns=["ts_code", "trade_date", "pre_close"])
+    """All days, a call each, in one job; the service repeats rows."""
+    lake, limits, spec = Lake(spark, scratch(spark)), _stk_limit(spark, d), ingest.imports(2024)["stk_limit"]
+    importer = ingest.Importer(lake, _served(spark, limits.unionByName(limits.where("pre_close > 20")), spec.fields, "trade_date"))
+    importer.run(spec, *_days(limits, "trade_date"))
+    return lake.scan("stk_limit", columns=["ts_code", "trade_date", "pre_close", "up_limit"])
 
 
 @register(

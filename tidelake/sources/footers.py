@@ -18,6 +18,13 @@ FILES_A_TASK = 64
 _STATS = "row_group int, rows long, field string, low string, high string, nulls long, bytes long"
 
 
+def located(path: str):
+    """(file system, path in it) for pyarrow, of a path as Spark writes it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub("^file:/+", "file:///", path) if ":" in path else f"file://{path}")
+
+
 def footers(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(all columns of ``files``, row_group, rows, field, low, high, nulls, bytes) for each column of each row group.
 
@@ -30,14 +37,13 @@ def footers(spark: SparkSession, files: DataFrame) -> DataFrame:
     def each(batches):
         import pyarrow as pa
         import pyarrow.parquet as pq
-        from pyarrow.fs import FileSystem
 
         def text(x):
             return None if x is None else x.isoformat(sep=" ") if hasattr(x, "hour") else x.isoformat() if hasattr(x, "isoformat") else x.decode("utf-8", "replace") if isinstance(x, bytes) else str(x)
 
         for batch in batches:
             for row in batch.to_pylist():
-                system, path = FileSystem.from_uri(re.sub("^file:/+", "file:///", row["file"]) if ":" in row["file"] else f"file://{row['file']}")
+                system, path = located(row["file"])
                 with system.open_input_file(path) as f:
                     told = pq.ParquetFile(f).metadata
                 out = []

@@ -1,8 +1,14 @@
-"""Imports: slices and windows of a source's calls, typed rows, the first of each key, partitions, a ledger to resume by."""
+"""Imports: slices and windows of a source's calls, typed rows, the first of each key, partitions, a ledger to resume by.
+
+All calls of a run are rows of one table, and executors make them. A window whose answer isn't whole is cut in two by the task that got it,
+and its halves are asked for, until every part is whole. A commit takes the answers of many calls, with their labels, so that a run
+that was cut off goes on after the last commit.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
@@ -15,7 +21,7 @@ from tidelake.functions import dates
 from tidelake.operators.timeseries import keep_first
 from tidelake.registry import TYPES, Dataset
 from tidelake.sources.lake import Lake
-from tidelake.sources.remote import complete
+from tidelake.sources.remote import Page, SourceError, complete
 
 
 @dataclass(frozen=True)
@@ -31,6 +37,7 @@ class Import:
     window_days: int = 31
 
 
+#: The indices whose bars are imported.
 _INDICES = ("000001.SH", "000016.SH", "000300.SH", "000905.SH", "000852.SH", "000688.SH", "399001.SZ", "399006.SZ", "399303.SZ", "899050.BJ")
 
 
@@ -87,12 +94,35 @@ def typed(rows: DataFrame, dataset: Dataset) -> DataFrame:
     return rows.select(*out, *[c for c in rows.columns if c.startswith("__")])
 
 
+#: Calls whose answers are committed together, at most.
+AT_ONCE = 2000
+
+
+def whole_pages(source, api: str, params: dict, fields: str) -> Iterator[Page]:
+    """A call's answer in whole pages, in the order of days.
+
+    An answer that lacks rows, or a service that finds the call too large, halves the days from start_date to end_date; both halves
+    are asked for. A single day, or a call without days, that can't be answered whole is an error.
+    """
+    todo = [params]
+    while todo:
+        asked = todo.pop()
+        try:
+            yield complete(source.call(api, asked, fields))
+        except SourceError as e:
+            a, b = (dates.date_parameter(asked[k]) if asked.get(k) else None for k in ("start_date", "end_date"))
+            if e.kind != "halve" or a is None or b is None or a >= b:
+                raise SourceError(f"{api} {json.dumps(asked, sort_keys=True)}: {e}", e.kind) from e
+            middle = a + (b - a) // 2
+            todo += [asked | {"start_date": f"{middle + timedelta(1):%Y%m%d}"}, asked | {"end_date": f"{middle:%Y%m%d}"}]
+
+
 class Importer:
     def __init__(self, lake: Lake, source):
         self.lake, self.source = lake, source
 
     def _rows(self, spec: Import, calls: list[dict]) -> DataFrame:
-        """The calls' rows as text, numbered in the calls' order. Executors make the calls, one to a partition."""
+        """The calls' rows as text, with the call's number and their own in the calls' order. Executors make the calls, one to a partition."""
         names, source, api = spec.fields.split(","), self.source, spec.dataset
         fields = spec.fields
 
@@ -101,47 +131,49 @@ class Importer:
 
             for batch in batches:
                 for k, params in zip(*(c.to_pylist() for c in batch.columns)):
-                    page = complete(source.call(api, json.loads(params), fields))
-                    at = [page.fields.index(n) if n in page.fields else None for n in names]
-                    text = [[None if i is None or r[i] is None else str(r[i]) for r in page.items] for i in at]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(t, pa.string()) for t in text), pa.array(range(k * 10**9, k * 10**9 + len(page.items)), pa.int64())], [*names, "__seq"])
+                    n = 0
+                    for page in whole_pages(source, api, json.loads(params), fields):
+                        at = [page.fields.index(f) if f in page.fields else None for f in names]
+                        text = [[None if i is None or r[i] is None else str(r[i]) for r in page.items] for i in at]
+                        size = len(page.items)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(t, pa.string()) for t in text), pa.array([k] * size, pa.int64()), pa.array(range(n, n + size), pa.int64())], [*names, "__call", "__seq"])
+                        n += size
 
         spark = self.lake.spark
         asked = spark.createDataFrame([(k, json.dumps(p)) for k, p in enumerate(calls)], "k long, params string").repartitionByRange(len(calls), "k")
-        return asked.mapInArrow(fetched, T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__seq", T.LongType())]))
+        return asked.mapInArrow(fetched, T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(n, T.LongType()) for n in ("__call", "__seq")]))
 
-    def _store(self, spec: Import, rows: DataFrame, label: str, replace: bool) -> dict:
+    def _store(self, spec: Import, rows: DataFrame, labels: list[str], replace: bool) -> dict:
         d = self.lake.registry[spec.dataset]
         own = typed(rows, d)
         if d.primary_key:
-            own = keep_first(own, list(d.primary_key), ["__seq"])
+            # of a snapshot's slices together, else of each call
+            own = keep_first(own, [*([] if spec.mode == "snapshot" else ["__call"]), *d.primary_key], ["__call", "__seq"])
         if d.partitions and spec.partition_from:
             own = own.withColumn(d.partitions[0], F.coalesce(F.col(spec.partition_from).cast("string"), F.lit("")))
-        own = own.drop("__seq")
-        return self.lake.write(spec.dataset, own, "replace" if replace else "append", "import", notes=label)
+        return self.lake.write(spec.dataset, own.drop("__call", "__seq"), "replace" if replace else "append", "import", notes=json.dumps(labels))
 
     def done(self, dataset: str) -> set[str]:
-        """Labels of windows that the ledger has."""
-        return self.lake.labels(dataset, "import")
+        """Labels of the calls whose answers are in the dataset."""
+        return {label for notes in self.lake.labels(dataset, "import") if notes.startswith("[") for label in json.loads(notes)}
 
-    def run(self, spec: Import, start: date | None = None, end: date | None = None, replace: bool = False, resume: bool = True) -> list[dict]:
-        """Imports; windows that are in the ledger already are left out.
+    def run(self, spec: Import, start: date | None = None, end: date | None = None, replace: bool = False, resume: bool = True, at_once: int = AT_ONCE) -> list[dict]:
+        """Imports, one job and one commit for ``at_once`` calls; calls that the ledger has are left out.
 
         A snapshot holds all there is, so it replaces what the dataset (or those of its partitions that it has) held:
-        running it again changes nothing.
+        running it again changes nothing. With ``replace``, a commit replaces the partitions that it has rows of.
         """
         if spec.mode == "snapshot":
-            return [self._store(spec, self._rows(spec, list(spec.slices)), "snapshot", True)]
+            return [self._store(spec, self._rows(spec, list(spec.slices)), ["snapshot"], True)]
         span = windows(start, end, 1 if spec.mode == "date" else spec.window_days)
-        done, out = self.done(spec.dataset) if resume else set(), []
+        done, calls = self.done(spec.dataset) if resume else set(), []
         for slice_ in spec.slices:
             for a, b in span:
                 label = json.dumps({**slice_, "from": f"{a:%Y%m%d}", "to": f"{b:%Y%m%d}"}, sort_keys=True)
-                if label in done:
-                    continue
-                params = {**slice_, spec.date_param: f"{a:%Y%m%d}"} if spec.mode == "date" else {**slice_, "start_date": f"{a:%Y%m%d}", "end_date": f"{b:%Y%m%d}"}
-                out.append(self._store(spec, self._rows(spec, [params]), label, replace))
-        return out
+                if label not in done:
+                    calls.append((label, {**slice_, spec.date_param: f"{a:%Y%m%d}"} if spec.mode == "date" else {**slice_, "start_date": f"{a:%Y%m%d}", "end_date": f"{b:%Y%m%d}"}))
+        parts = [calls[i : i + at_once] for i in range(0, len(calls), at_once)]
+        return [self._store(spec, self._rows(spec, [p for _, p in part]), [label for label, _ in part], replace) for part in parts]
 
 
 def compared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

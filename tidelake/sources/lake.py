@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.operators import predicates as P
+from tidelake.operators.compare import compared_partitions, differences
+from tidelake.operators.pages import after, page
 from tidelake.operators.timeseries import keep_first
 from tidelake.registry import Dataset, Registry, market
 from tidelake.sources.footers import footers, may_match
@@ -115,12 +117,32 @@ class Lake:
         if implied is not None:
             rows = rows.where(implied)
         rows = P.applied(rows, d, list(filters))
-        if limit or offset:
-            rows = rows.orderBy(*dict.fromkeys([*d.sorted_by, *d.primary_key]))
-            rows = rows.offset(offset) if offset else rows
-            rows = rows.limit(limit) if limit else rows
+        order = self.order(dataset)
+        if limit and offset:
+            rows = page(rows, order, offset, limit)
+        elif limit or offset:
+            rows = rows.orderBy(*order).offset(offset) if offset else rows.orderBy(*order).limit(limit)
         return rows.select(*(columns or d.names))
 
+    def scan_after(self, dataset: str, at: str, limit: int, filters: list[P.Predicate] = (), version: int | None = None) -> DataFrame:
+        """The next ``limit`` rows of a scan behind the row that the token ``at`` tells (pages.token of the sort key); empty: the first ones."""
+        d = self.registry[dataset]
+        return after(self.scan(dataset, filters, version=version), self.order(dataset), at, limit).select(*d.names)
+
+    def order(self, dataset: str) -> list[str]:
+        """The columns that pages of the dataset are ordered by."""
+        d = self.registry[dataset]
+        return list(dict.fromkeys([*d.sorted_by, *d.primary_key]))
+
+    def compared(self, dataset: str, left: int, right: int) -> DataFrame:
+        """Each partition's rows in two versions, and whether they are the same."""
+        return compared_partitions(self.read(dataset, left), self.read(dataset, right), list(self.registry[dataset].partitions))
+
+    def changes(self, dataset: str, left: int, right: int) -> DataFrame:
+        """Rows and fields that differ between two versions, by partition and primary key."""
+        d = self.registry[dataset]
+        return differences(self.read(dataset, left), self.read(dataset, right), list(d.primary_key), list(d.partitions))
+
     def cross(self, filters: list[P.Predicate] = (), columns: list[str] | None = None) -> DataFrame:
         """The daily cross-section: of each year the materialised table if there is one, else the daily bars."""
         names = columns or self.registry["daily_cross"].names
