@@ -100,20 +100,6 @@ def test_service(spark, home):
         http.shutdown()
 
 
-def test_expiring_orders(spark, tmp_path):
-    from tidelake.streaming.bars import expiring_orders
-
-    rows = [("a", "09:31", "placed"), ("b", "09:32", "placed"), ("a", "10:00", "filled"), ("c", "09:40", "placed"), ("c", "09:50", "cancelled"), ("d", "15:00", "placed")]
-    made = spark.createDataFrame(rows, "order_id string, t string, event string").selectExpr("order_id", "to_timestamp('2024-01-02 ' || t) ts", "event")
-    for i, part in enumerate((made, spark.createDataFrame([("e", "2024-01-02 16:00:00", "placed")], "order_id string, t string, event string").selectExpr("order_id", "to_timestamp(t) ts", "event"))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        orders = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
-        q = expiring_orders(orders).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    ended = {r.order_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert ended == {"a": "filled", "b": "expired", "c": "cancelled"}
-
-
 def test_windows_of_minutes_and_frequencies(spark):
     from tidelake.operators.timeseries import frequency, window_days
 

@@ -566,6 +566,79 @@ def _files_of(spark, d, home: str) -> DataFrame:
     return spark.readStream.schema(events.schema).parquet(f"{home}/in")
 
 
+def _told(out: DataFrame, home: str) -> DataFrame:
+    """All that a query with keyed state tells, from a run over the files, one after another."""
+    from tidelake.streaming.keyed import started
+
+    spark = out.sparkSession
+    _ended(started(out.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True), spark))
+    return spark.read.schema(out.schema).parquet(f"{home}/out")
+
+
+@register(
+    "stream_expiry",
+    """WITH o AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'), f AS (SELECT o.user_id, o.event_id, o.ts, min(p.ts) AS filled FROM o LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = o.user_id AND p.ts > o.ts AND p.ts <= o.ts + INTERVAL 12 HOUR GROUP BY ALL)
+    SELECT user_id, event_id::VARCHAR AS "order", CASE WHEN filled IS NULL THEN 'expired' ELSE 'filled' END AS status, coalesce(filled, ts + INTERVAL 12 HOUR) AS ended FROM f
+    WHERE filled IS NOT NULL OR ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events WHERE event_type IN ('signup', 'purchase')) - INTERVAL 1 HOUR""",
+)
+def stream_expiry(spark, d):
+    """Signups as orders, which a purchase of the user within twelve hours fills and which expire otherwise, by timers."""
+    from tidelake.streaming import keyed
+
+    home = scratch(spark)
+    rows = _files_of(spark, d, home).where("event_type IN ('signup', 'purchase')")
+    signup = F.col("event_type") == "signup"
+    orders = rows.select("user_id", F.when(signup, F.col("event_id")).alias("event_id"), "ts", F.when(signup, "placed").otherwise("filled").alias("event"))
+    out = keyed.expiring_orders(orders, "user_id", life="12 hours", order="event_id", late="1 hour")
+    return _told(out, home).withColumn("ended", F.col("ended").cast("timestamp_ntz"))
+
+
+@register(
+    "stream_day_reset",
+    """WITH RECURSIVE x AS (SELECT user_id, event_id AS id, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * floor(value)::BIGINT AS amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+        FROM events WHERE event_type IN ('purchase', 'error') AND floor(value) > 0),
+    r(user_id, n, id, day, done, held, sellable) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, DATE '1970-01-01', 0::BIGINT, 0::BIGINT, 0::BIGINT FROM x WHERE n = 1 UNION ALL
+        SELECT user_id, n, id, day, done, was + done, free + least(done, 0) FROM (SELECT x.user_id, x.n, x.id, x.day, r.held AS was, CASE WHEN x.day <> r.day THEN r.held ELSE r.sellable END AS free,
+            CASE WHEN x.amount > 0 THEN x.amount ELSE -least(-x.amount, CASE WHEN x.day <> r.day THEN r.held ELSE r.sellable END) END AS done FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1))
+    SELECT user_id, id, done, held, sellable FROM r WHERE n > 0""",
+)
+def stream_day_reset(spark, d):
+    """Purchases buy and errors sell; what was bought can be sold from the next day on."""
+    from tidelake.streaming import keyed
+
+    home = scratch(spark)
+    rows = _files_of(spark, d, home).where("event_type IN ('purchase', 'error') AND floor(value) > 0")
+    fills = rows.select("user_id", "event_id", "ts", (F.when(F.col("event_type") == "purchase", 1).otherwise(-1) * F.floor("value")).alias("amount"))
+    return _told(keyed.positions(fills, "user_id", id="event_id"), home)
+
+
+@register(
+    "stream_rolling",
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+    SELECT b.user_id, b.event_id AS id, count(*) AS n, round(sum(a.value), 4) AS total, max(a.value) AS high FROM x b JOIN x a ON a.user_id = b.user_id AND a.k BETWEEN b.k - 4 AND b.k AND a.ts > b.ts - INTERVAL 18 HOUR GROUP BY 1, 2""",
+)
+def stream_rolling(spark, d):
+    """Of each user's last 18 hours, five events at most."""
+    from tidelake.streaming import keyed
+
+    home = scratch(spark)
+    out = keyed.rolling(_files_of(spark, d, home), "user_id", "18 hours", 5, id="event_id")
+    return _told(out, home).withColumn("total", F.round("total", 4))
+
+
+@register("stream_import", f"WITH {E_SQL} SELECT {_code_sql('ts_code')} AS ts_code, trade_date, open AS pre_close, round(open - 5, 2) AS down_limit FROM e")
+def stream_import(spark, d):
+    """All days as a stream of windows, in two runs from one checkpoint: the second one starts after the first one's days."""
+    from tidelake.streaming.imports import import_into
+
+    home, limits, spec = scratch(spark), _stk_limit(spark, d), ingest.imports(2024)["stk_limit"]
+    lake, served = Lake(spark, f"{home}/lake"), _served(spark, limits, spec.fields, "trade_date")
+    first, last = _days(limits, "trade_date")
+    for upto in (first + (last - first) // 2, last):
+        _ended(import_into(lake, served, spec, first, upto, f"{home}/state"))
+    return lake.scan("stk_limit", columns=["ts_code", "trade_date", "pre_close", "down_limit"])
+
+
 @register("stream_into_lake", f"WITH {MINUTE_SQL} SELECT {_code_sql('user_id')} AS ts_code, ts AS trade_time, value AS close FROM events")
 def stream_into_lake(spark, d):
     """Two streams from one checkpoint: the second finds nothing left to write."""

@@ -1,9 +1,8 @@
-"""Structured Streaming: bars from ticks, suppression of repeats, ingestion into the lake, and an account that follows bars."""
+"""Structured Streaming: bars from ticks, suppression of repeats, ingestion into the lake."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,56 +38,3 @@ def into_lake(rows: DataFrame, lake, dataset: str, checkpoint: str):
             lake.write(dataset, batch, "append", "stream", notes=label, once=True)
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def expiring_orders(orders: DataFrame, key: str = "order_id", at: str = "ts", life: str = "6 hours") -> DataFrame:
-    """(order_id, status) of a stream of (order_id, ts, event: placed, filled or cancelled), as orders end.
-
-    An order that is neither filled nor cancelled expires once the watermark has passed its placing by ``life``.
-    """
-    import pandas as pd
-
-    span = int(pd.Timedelta(life).total_seconds() * 1000)
-
-    def each(group, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], "status": ["expired"]})
-            return
-        ended, placed = None, state.get[0] if state.exists else None
-        for part in parts:
-            for r in part.sort_values(at, kind="stable").itertuples():
-                if r.event == "placed":
-                    placed = int(r.ts.timestamp() * 1000)
-                elif ended is None:
-                    ended = r.event
-        if ended is not None:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({key: [group[0]], "status": [ended]})
-        elif placed is not None:
-            state.update((placed,))
-            state.setTimeoutTimestamp(max(placed + span, state.getCurrentWatermarkMs() + 1))
-
-    return orders.withColumn(at, F.col(at).cast("timestamp_ltz")).withWatermark(at, "0 seconds").groupBy(key).applyInPandasWithState(
-        each, f"{key} string, status string", "placed long", "append", "EventTimeTimeout"
-    )
-
-
-def following_positions(fills: DataFrame, key: str = "run_id") -> DataFrame:
-    """Cash flow and holdings after each batch of fills (run_id, day, amount, price): bought shares can be sold the next day."""
-    import pandas as pd
-
-    def each(group, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, sellable, cash, day = state.get if state.exists else (0, 0, 0.0, "")
-        for part in parts:
-            for r in part.sort_values("day", kind="stable").itertuples():
-                if r.day != day:
-                    day, sellable = r.day, held
-                n = int(r.amount) if r.amount > 0 else -min(-int(r.amount), sellable)
-                held, cash = held + n, cash - n * r.price
-                sellable += min(n, 0)
-        state.update((held, sellable, cash, day))
-        yield pd.DataFrame({key: [group[0]], "held": [held], "sellable": [sellable], "cash": [cash], "day": [day]})
-
-    return fills.groupBy(key).applyInPandasWithState(each, f"{key} string, held long, sellable long, cash double, day string", "held long, sellable long, cash double, day string", "update", "NoTimeout")
