@@ -228,6 +228,25 @@ def test_a_dedupe_that_is_overtaken(spark, tmp_path, monkeypatch):
     assert sorted(r.ts_code for r in lake.read("bars_daily").collect()) == ["a", "b"]
 
 
+def test_clustering(spark, tmp_path):
+    """Files of whole codes, of which one fills several files alone; overlaps as the footers tell them, before and after."""
+    lake = Lake(spark, str(tmp_path))
+    rows = [(f"c{i % 40:02d}", date(2023, 1, 1) + timedelta(i // 40), float(i)) for i in range(2000)] + [("c17", date(2022, 1, 1) + timedelta(i), 1.0) for i in range(365 + 300)]
+    frame = spark.createDataFrame(rows, "ts_code string, trade_date date, close double")
+    for i in range(3):
+        lake.write("bars_daily", frame.where(F.col("close") % 3 == i).repartition(2), arranged=True)
+    before = lake.version("bars_daily")
+    assert all(r.overlapping > 0 for r in lake.overlaps("bars_daily").collect() if r.files > 1 and r.year == "2023")
+    lake.cluster("bars_daily", 100)
+    assert {r.overlapping for r in lake.overlaps("bars_daily").collect()} == {0} and lake.changes("bars_daily", before, lake.version("bars_daily")).count() == 0
+    told = lake.footers("bars_daily").where("field IN ('ts_code', 'trade_date')").groupBy("year", "file", "rows").agg(*[F.max(F.when(F.col("field") == f, F.struct("low", "high"))).alias(f) for f in ("ts_code", "trade_date")]).collect()
+    large = [r for r in told if r.ts_code.low == r.ts_code.high == "c17"]
+    assert len(large) >= 6 and max(r.rows for r in told) <= 250
+    for r in large:  # of one code and year, no two files share a day
+        assert not [x for x in large if x is not r and x.year == r.year and x.trade_date.low <= r.trade_date.high and r.trade_date.low <= x.trade_date.high]
+    assert lake.verify("bars_daily").first().status == "ok"
+
+
 def test_a_folder_without_versions_is_adopted(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     lake.partitioned("bars_daily", spark.createDataFrame([("a", date(2023, 1, 3), 1.0)], "ts_code string, trade_date date, close double")).write.partitionBy("year").parquet(lake.path("bars_daily"))

@@ -50,6 +50,12 @@ def test_commands(spark, home):
     seen = told(spark, home, "diagnose", "bars_daily", "--filter", "ts_code=600000.SH", "--start", "20240120")[0]
     assert seen["rows"] == seen["rows_read"] > 5 and 0 < seen["bytes_read"] <= seen["bytes"]
     told(spark, home, "build-cross")
+    lake = Lake(spark, str(home / "lake"))
+    at = lake.version("bars_daily")
+    lake.write("bars_daily", lake.read("bars_daily").withColumn("close", F.when(F.col("trade_date") == date(2024, 1, 10), 77.0).otherwise(F.col("close"))).drop("year"), "replace")
+    seen = told(spark, home, "compare", "bars_daily", "--left", str(at), "--right", str(at + 1))
+    assert seen[0]["status"] == "differs" and {(r["field"], r["right"]) for r in seen[1:]} == {("close", "77.0")}
+    lake.write("bars_daily", lake.read("bars_daily", at).drop("year"), "replace")
     assert {r["dataset"]: r["status"] for r in told(spark, home, "verify")}["daily_cross"] == "ok"
     assert told(spark, home, "dedupe", "bars_daily") == [] and told(spark, home, "reconcile", "bars_daily") == [{"dataset": "bars_daily", "rows": 0}]
     health = told(spark, home, "health")

@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     opt = lambda *names, **kw: (names, kw)
     add("query", opt("name"), opt("--params", default="{}"), opt("--fields", default=""))
     add("scan", opt("dataset"), opt("--filter", action="append", default=[], help="field=value or field=a|b"), opt("--start", default=""), opt("--end", default=""), opt("--limit", type=int, default=100))
+    add("compare", opt("dataset"), opt("--left", type=int, required=True), opt("--right", type=int, required=True), opt("--limit", type=int, default=1000))
     add("diagnose", opt("dataset"), opt("--filter", action="append", default=[]), opt("--start", default=""), opt("--end", default=""))
     add("import", opt("dataset"), opt("--start", default=""), opt("--end", default=""), opt("--replace", action="store_true"))
     add("source", opt("action", choices=("list", "check", "call")), opt("name", nargs="?", default=""), opt("--api", default=""), opt("--params", default="{}"), opt("--fields", default=""))
@@ -94,6 +95,11 @@ def run(args: argparse.Namespace, spark, say=print) -> int:
     elif command == "scan":
         for r in lake.scan(args.dataset, predicates(lake, args.dataset, args.filter, args.start, args.end), limit=args.limit).toLocalIterator():
             tell(r.asDict())
+    elif command == "compare":
+        for r in lake.compared(args.dataset, args.left, args.right).where("status <> 'same'").toLocalIterator():
+            tell(r.asDict())
+        for r in lake.changes(args.dataset, args.left, args.right).limit(args.limit).toLocalIterator():
+            tell(r.asDict())
     elif command == "diagnose":
         for r in lake.scan_report(args.dataset, predicates(lake, args.dataset, args.filter, args.start, args.end)).orderBy("file").toLocalIterator():
             tell(r.asDict())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -44,3 +44,9 @@ def running_product(x: Column, order: WindowSpec) -> Column:
     minus = F.sum(F.when(x < 0, 1).otherwise(0)).over(order)
     zero = F.max(F.when(x == 0, 1).otherwise(0)).over(order)
     return F.when(zero == 1, 0.0).otherwise(F.exp(log) * F.when(minus % 2 == 1, -1.0).otherwise(1.0))
+
+
+def percentiles(rows: DataFrame, key: list[str], value: str, shares: dict[str, float], most: str | None = None) -> DataFrame:
+    """For each key the least value that so large a share of its values doesn't exceed, under each name, and the largest under ``most``; nulls don't count."""
+    ranks = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)").alias(n) for n, q in shares.items()]
+    return rows.groupBy(*key).agg(*ranks, *([F.max(value).alias(most)] if most else []))

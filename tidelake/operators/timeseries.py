@@ -177,3 +177,24 @@ def volume_reconciliation(minutes: DataFrame, daily: DataFrame, tolerance: float
     m = minutes.groupBy("ts_code", F.to_date("trade_time").alias("trade_date")).agg(F.sum("vol").alias("minute_vol"))
     out = m.join(daily.select("ts_code", "trade_date", (F.col("vol") * scale).alias("daily_vol")), ["ts_code", "trade_date"])
     return out.withColumn("agrees", F.abs(F.col("minute_vol") - F.col("daily_vol")) <= F.col("daily_vol") * tolerance)
+
+
+def moving_averages(bars: DataFrame, spans: dict[str, int], value: str = "close", code: str = "ts_code", at: str = "trade_date", digits: int | None = None) -> DataFrame:
+    """Bars with the mean of the last so many values under each name, from a code's first bar on that all of them have enough values for.
+
+    A span needs only the rows before it, so null values count as rows but not in the mean.
+    """
+    own = Window.partitionBy(code).orderBy(at)
+    mean = lambda n: F.avg(value).over(own.rowsBetween(-(n - 1), 0))
+    made = {name: mean(n) if digits is None else F.round(mean(n), digits) for name, n in spans.items()}
+    return bars.withColumns(made | {"__n": F.row_number().over(own)}).where(F.col("__n") >= max(spans.values())).drop("__n")
+
+
+#: Bytes of names that go to all tasks at most.
+NAMES_SENT = 8 << 20
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the columns of ``names`` (one row a key); null where a key has none. Small tables of names, by Spark's estimate, go to all tasks."""
+    size = int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.join(F.broadcast(names) if size <= NAMES_SENT else names, key, "left")

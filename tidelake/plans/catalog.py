@@ -337,9 +337,8 @@ def table_differences(spark, d):
 
 @register("name_lookup", "SELECT s_suppkey, s_name, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def name_lookup(spark, d):
-    # nations are 25 rows by definition
-    nation = F.broadcast(table(spark, d, "nation"))
-    return table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return timeseries.looked_up(table(spark, d, "supplier"), names, ["s_nationkey"]).select("s_suppkey", "s_name", "n_name")
 
 
 @register(
@@ -356,8 +355,7 @@ def source_compare(spark, d):
     "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1",
 )
 def latency_percentiles(spark, d):
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("value").alias("most"))
+    return stats.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, most="most")
 
 
 # factors
@@ -468,6 +466,41 @@ def factor_track(spark, d):
     return found.ic.select("trade_date", F.round("ic", 6).alias("ic"))
 
 
+_TRACKED_SQL = f"""{S_SQL}, p AS (SELECT ts_code, trade_date, CASE WHEN lag(close, 20) OVER o > 0 THEN close / lag(close, 20) OVER o - 1 END AS value, CASE WHEN close > 0 THEN lead(close, 5) OVER o / close - 1 END AS ret
+        FROM s WHERE trade_date BETWEEN DATE '1997-11-17' AND DATE '2000-01-16' WINDOW o AS (PARTITION BY ts_code ORDER BY trade_date)),
+    d AS (SELECT * FROM p WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '2000-01-01'), q AS (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM d WHERE value IS NOT NULL AND ret IS NOT NULL),
+    r AS (SELECT *, rank() OVER (PARTITION BY trade_date ORDER BY value) + (count(*) OVER (PARTITION BY trade_date, value) - 1) / 2 AS vr, rank() OVER (PARTITION BY trade_date ORDER BY ret) + (count(*) OVER (PARTITION BY trade_date, ret) - 1) / 2 AS rr,
+        least((row_number() OVER (PARTITION BY trade_date ORDER BY value, ts_code) - 1) // (n // 5), 4)::INTEGER AS layer FROM q WHERE n >= 10),
+    l AS (SELECT trade_date, layer, avg(ret) AS ret, count(*) AS n FROM r GROUP BY 1, 2), c AS (SELECT *, product(1 + ret / 5) OVER (PARTITION BY layer ORDER BY trade_date) - 1 AS cum FROM l),
+    i AS (SELECT trade_date, corr(value, ret) AS ic, corr(vr, rr) AS rank_ic FROM r GROUP BY 1), days AS (SELECT u.trade_date, ic, rank_ic FROM (SELECT DISTINCT trade_date FROM d) u LEFT JOIN i USING (trade_date))"""
+
+
+def _tracked(spark, d) -> factors.Tracking:
+    return factors.track(s_panel(spark, d), _factor("momentum", window=20), date(1998, 1, 1), date(2000, 1, 1))
+
+
+@register("factor_track_layers", f"WITH {_TRACKED_SQL} SELECT trade_date, layer, round(ret, 5) AS ret, n, round(cum, 3) AS cum FROM c")
+def factor_track_layers(spark, d):
+    return _tracked(spark, d).layers.select("trade_date", "layer", F.round("ret", 5).alias("ret"), "n", F.round("cum", 3).alias("cum"))
+
+
+@register("factor_track_coverage", f"WITH {_TRACKED_SQL} SELECT trade_date, count(*) AS universe, count(value) AS valid, round(count(value) / count(*), 5) AS coverage FROM d GROUP BY 1")
+def factor_track_coverage(spark, d):
+    return _tracked(spark, d).coverage.select("trade_date", "universe", "valid", F.round("coverage", 5).alias("coverage"))
+
+
+@register(
+    "factor_track_stats",
+    f"""WITH {_TRACKED_SQL}, e AS (SELECT layer, arg_max(cum, trade_date) AS cum, avg(ret) AS ret FROM c GROUP BY 1)
+    SELECT round(avg(ic), 5) AS ic_mean, round(stddev_samp(ic), 5) AS ic_std, round(avg(ic) / stddev_samp(ic), 4) AS ir, round(avg(rank_ic), 5) AS rank_ic_mean, round(avg(rank_ic) / stddev_samp(rank_ic), 4) AS rank_ir,
+    round(avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic IS NOT NULL THEN 0.0 END), 5) AS ic_positive_ratio, count(*) AS samples, (SELECT round(max(cum) FILTER (layer = 4) - max(cum) FILTER (layer = 0), 3) FROM e) AS long_short_cum,
+    (SELECT round(max(ret) FILTER (layer = 4), 5) FROM e) AS top_layer_avg, (SELECT round(max(ret) FILTER (layer = 0), 5) FROM e) AS bottom_layer_avg, (SELECT round(avg(ret), 5) FROM r) AS universe_avg FROM days""",
+)
+def factor_track_stats(spark, d):
+    r = lambda c, n=5: F.round(c, n).alias(c)
+    return _tracked(spark, d).stats.select(r("ic_mean"), r("ic_std"), r("ir", 4), r("rank_ic_mean"), r("rank_ir", 4), r("ic_positive_ratio"), "samples", r("long_short_cum", 3), r("top_layer_avg"), r("bottom_layer_avg"), r("universe_avg"))
+
+
 @register("top_n_screen", f"WITH {E_SQL} SELECT ts_code, amount AS value FROM e WHERE trade_date = DATE '2024-01-15' AND amount BETWEEN 50 AND 800 ORDER BY amount DESC, ts_code DESC LIMIT 10")
 def top_n_screen(spark, d):
     day = e_panel(spark, d).where(F.col("trade_date") == F.lit(date(2024, 1, 15))).select("ts_code", F.col("amount").alias("value"))
@@ -485,10 +518,8 @@ def bottom_n_band(spark, d):
     SELECT ts_code, trade_date, round(fast, 3) AS fast, round(slow, 3) AS slow, round(fast, 3) > round(slow, 3) AS above FROM a WHERE n >= 8""",
 )
 def ma_cross_signal(spark, d):
-    own = Window.partitionBy("ts_code").orderBy("trade_date")
-    ma = lambda n: F.round(F.avg("close").over(own.rowsBetween(-(n - 1), 0)), 3)
-    out = s_panel(spark, d).select("ts_code", "trade_date", ma(3).alias("fast"), ma(8).alias("slow"), F.row_number().over(own).alias("n"))
-    return out.where("n >= 8").select("ts_code", "trade_date", "fast", "slow", (F.col("fast") > F.col("slow")).alias("above"))
+    out = timeseries.moving_averages(s_panel(spark, d), {"fast": 3, "slow": 8}, digits=3)
+    return out.select("ts_code", "trade_date", "fast", "slow", (F.col("fast") > F.col("slow")).alias("above"))
 
 
 # performance and trades

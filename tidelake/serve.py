@@ -28,6 +28,10 @@ def plain(x):
     return x.isoformat() if isinstance(x, date) else x
 
 
+#: Answers about factors that are kept, the latest ones.
+TRACKED = 64
+
+
 class Service:
     """What the paths do, apart from HTTP: answer(method, path, body, token) gives (status, value)."""
 
@@ -73,7 +77,9 @@ class Service:
             start, end = date_parameter(body["start"]), date_parameter(body["end"])
             horizon, layers = int(body.get("horizon", 5)), int(body.get("layers", 5))
             # a factor's definition is part of the key, so that a new one isn't answered by the old one's figures
-            key = (rest[1], json.dumps(asdict(found), sort_keys=True), start, end, horizon, layers)
+            # and so are the versions of the data
+            versions = tuple(self.api.lake.version(d) for d in ("bars_daily", "daily_cross"))
+            key = (rest[1], json.dumps(asdict(found), sort_keys=True), start, end, horizon, layers, versions)
             if key not in self.tracked:
                 panel = self.api.lake.cross()
                 rows = lambda df: [plain(r.asDict()) for r in df.orderBy("trade_date", *[c for c in ("layer",) if c in df.columns]).collect()]
@@ -82,6 +88,8 @@ class Service:
                 else:
                     made = factors.track(panel, found, start, end, horizon, layers)
                     self.tracked[key] = {"ic": rows(made.ic), "layers": rows(made.layers), "coverage": rows(made.coverage), "stats": plain(made.stats.first().asDict())}
+                while len(self.tracked) > TRACKED:
+                    self.tracked.pop(next(iter(self.tracked)))
             return 200, self.tracked[key]
         return 200, asdict(found)
 

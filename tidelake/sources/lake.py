@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidelake.operators import predicates as P
 from tidelake.operators.compare import compared_partitions, differences
@@ -368,6 +370,51 @@ class Lake:
             self.write(dataset, keep_first(part, keys, ["__f", "__i"]).drop("__f", "__i"), "replace", "dedupe", notes=f"{sum(r.duplicates for r in todo)} repeated rows removed", base=at)
         return self.spark.createDataFrame(report, found.schema)
 
+    def cluster(self, dataset: str, rows_a_file: int = 0) -> dict:
+        """Rewrites a dataset so that files of a partition hold ranges of the first sort key that don't overlap, of about so many rows.
+
+        The ranges come from the data: rows counted by key give each key its place, and a range ends where the places pass another
+        multiple of a file's rows. A key with more rows than a file is cut by the second sort key, at its values, so its files share that
+        key alone. Rows with equal keys of both stay together. Counts have one row a key (and value, of large keys); rows move once.
+        Raises Conflict if another writer changed the dataset meanwhile.
+        """
+        d, base = self.registry[dataset], self.version(dataset)
+        size, parts = rows_a_file or d.target_file_rows, list(d.partitions)
+        key, then = [*dict.fromkeys([*d.sorted_by, *d.primary_key]), None][:2]
+        rows = self.read(dataset, None if base < 0 else base)
+
+        def met(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
+            return left.join(right.select(*[F.col(c).alias(f"__{c}") for c in names], *[c for c in right.columns if c not in names]), same).drop(*[f"__{c}" for c in names])
+
+        keys = [*parts, key]
+        upto = F.sum("n").over(Window.partitionBy(*parts).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+        place = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("__start", upto - F.col("n")).withColumn("__large", F.col("n") > size).drop("n")
+        # a large key begins ranges of its own, the key after it another
+        own = met(rows, place, keys).withColumn("__range", F.when(F.col("__large"), F.col("__start")).otherwise(F.floor(F.col("__start") / size) * size))
+        own = own.withColumn("__piece", F.lit(0).cast("long"))
+        if then is not None:
+            large = own.where("__large")
+            each = large.groupBy(*keys, then).agg(F.count("*").alias("n"))
+            many = F.sum("n").over(Window.partitionBy(*keys).orderBy(then).rowsBetween(Window.unboundedPreceding, 0))
+            cuts = each.withColumn("__piece", F.floor((many - F.col("n")) / size)).drop("n")
+            own = own.where("NOT __large").unionByName(met(large.drop("__piece"), cuts, [*keys, then]))
+        order = [*parts, "__range", F.when(F.col("__large"), F.col(key)), "__piece"]
+        files = own.select(*parts, "__range", F.when(F.col("__large"), F.col(key)).alias("k"), "__piece").distinct().count()
+        if not files:
+            return self.log(dataset, "cluster", 0)
+        out = own.repartitionByRange(files, *order).sortWithinPartitions(*parts, *[c for c in (key, then) if c], *[c for c in d.sorted_by if c not in (key, then)])
+        return self.write(dataset, out.drop("__start", "__large", "__range", "__piece"), "replace", "cluster", base=None if base < 0 else base, arranged=True)
+
+    def overlaps(self, dataset: str, version: int | None = None) -> DataFrame:
+        """(partitions, files, overlapping) of a version: how many files of a partition begin before an earlier one's last first-sort-key value; from footers."""
+        d = self.registry[dataset]
+        key = [*d.sorted_by, *d.primary_key][0]
+        each = self.footers(dataset, version).where(F.col("field") == key).groupBy(*d.partitions, "file").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        before = Window.partitionBy(*d.partitions).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+        over = F.coalesce(F.col("low") < F.max("high").over(before), F.lit(False))
+        return each.withColumn("over", over).groupBy(*d.partitions).agg(F.count("*").alias("files"), F.sum(F.col("over").cast("long")).alias("overlapping"))
+
     def build_cross(self, years: list[str] | None = None) -> dict:
         """Materialises the daily cross-section: its columns of the daily bars, sorted by date, whole years replaced."""
         d = self.registry["daily_cross"]
