@@ -61,6 +61,22 @@ def test_messy_rows(messy, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 11])
+def test_an_id_that_two_thirds_of_a_source_have(spark, hot):
+    """The rows of one id are told apart, so the source's words come as near to the target as one document allows."""
+    rows = [(hot if i % 3 else 1000 + i, "w " * (10 + i % 7 if i % 2 else 12), "a") for i in range(150)] + [(2000 + i, "v " * 20, f"s{i % 3}") for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_source = defaultdict(list)
+    for _, t, s in rows:
+        by_source[s].append(t)
+    got = mixing.mix(frame.repartition(3)).collect()
+    assert len(got) == len(rows)
+    check(got, by_source)
+    told = lambda found: sorted((r.doc_id, r.size, r.taken) for r in found)
+    assert told(got) == told(mixing.mix(frame.repartition(5)).collect())
+    assert Counter(r.doc_id for r in mixing.mixed(frame).collect()) == sum((Counter({r.doc_id: r.copies}) for r in got), Counter())
+
+
 def test_plan_is_native(documents):
     plan = mixing.mix(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
