@@ -5,9 +5,9 @@ each different group is interned once, with the number of documents that hold it
 counts of pairs of ids are sums of those numbers. A document that holds a pair in several of its groups would count more than
 once there; it says so itself, and that surplus comes off. What a group adds to its documents goes back to them by the group's key.
 
-A group's key is its ids themselves, so no two groups share one. The most frequent groups, SENT of them and a sixteenth more
-at most, are sent to all tasks; a document's other groups meet theirs by shuffle. So what moves are the tasks' distinct
-groups and the documents' rare ones, never the tokens.
+A group's key is its ids themselves, so no two groups share one. The most frequent groups, SENT of them at most, are sent to
+all tasks; a document's other groups meet theirs by shuffle. So what moves are the tasks' distinct groups and the documents' rare
+ones, never the tokens.
 """
 
 from __future__ import annotations
