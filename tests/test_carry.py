@@ -74,7 +74,9 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         carry.running(rows, ["k"], ["t"], {"x": carry.Running("mean", F.col("v"))})
     with pytest.raises(ValueError):
-        carry.running(rows, ["v"], ["k"], {"x": carry.last("v")})
+        carry.running(rows.withColumn("b", F.lit(True)), ["k"], ["b"], {"x": carry.last("v")})
+    text = spark.createDataFrame([("a", f"2024-01-{i:02d}", float(i)) for i in range(1, 29)], "k string, t string, v double")
+    assert [r.s for r in carry.running(text, ["k"], ["t"], {"s": carry.total("v")}, blocks=4).orderBy("t").collect()] == [i * (i + 1) / 2 for i in range(1, 29)]
 
 
 def test_lots(spark):

@@ -107,8 +107,6 @@ def lots(trades: DataFrame, key: list[str], order: tuple[str, ...] = ("trade_tim
     """
     amount = F.col("amount").cast(_AMOUNT)
     when = {f"__o{i}": F.col(c) for i, c in enumerate(order)}
-    if dict(trades.dtypes)[order[0]] == "string":
-        when = {"__t": F.col(order[0]).try_cast("timestamp_ntz")} | when
     own = trades.where("amount > 0").select(*key, *[c.alias(n) for n, c in when.items()], F.col("side") == "buy", "price", amount.alias("amount")).toDF(*key, *when, "buy", "price", "amount")
     net = F.when(F.col("buy"), -F.col("amount")).otherwise(F.col("amount"))
     zero = F.lit(0).cast(_AMOUNT)

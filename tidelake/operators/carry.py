@@ -39,8 +39,10 @@ last, following, first, lag, total, most, least, product, peak = map(_made, ("la
 
 
 def number(rows: DataFrame, c: str) -> Column:
-    """A time, or a number, as a number that grows with it."""
+    """A time, or a number, as a number that grows with it; text counts as ISO dates or times, all of it or none."""
     kind = rows.schema[c].dataType
+    if isinstance(kind, T.StringType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', try_cast(`{c}` AS timestamp_ntz))").cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, T.TimestampNTZType):

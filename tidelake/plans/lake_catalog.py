@@ -303,16 +303,16 @@ def lake_compared(spark, d):
     return lake.compared("bars_daily", at[0], at[2])
 
 
-@register("lake_clustered", _FILES_SQL + " SELECT y::VARCHAR AS year, sum(n)::BIGINT AS rows, round(sum(total), 0) AS total, true AS several, 0 AS overlapping FROM (SELECT y, f, count(*) AS n, sum(vol) AS total FROM f GROUP BY 1, 2) GROUP BY 1")
+@register("lake_clustered", _FILES_SQL + " SELECT y::VARCHAR AS year, sum(n)::BIGINT AS rows, round(sum(total), 0) AS total, 0 AS overlapping FROM (SELECT y, f, count(*) AS n, sum(vol) AS total FROM f GROUP BY 1, 2) GROUP BY 1")
 def lake_clustered(spark, d):
     """After two writes, whose files overlap, rows are clustered by code: what each year has, and how many of its files overlap."""
     lake, rows = Lake(spark, scratch(spark)), _monthly(spark, d)
     for odd in (0, 1):
         lake.write("bars_daily", rows.where(F.month("trade_date") % 2 == odd))
     lake.cluster("bars_daily", 300)
-    told = lake.overlaps("bars_daily").select("year", (F.col("files") > 1).alias("several"), "overlapping")
+    told = lake.overlaps("bars_daily").select("year", "overlapping")
     have = lake.read("bars_daily").groupBy("year").agg(F.count("*").alias("rows"), F.round(F.sum("vol"), 0).alias("total"))
-    return have.join(told, "year").select("year", "rows", "total", "several", "overlapping")
+    return have.join(told, "year").select("year", "rows", "total", "overlapping")
 
 
 @register("factor_table", f"WITH {MONTHLY_SQL} SELECT ts_code, trade_date, round(close / b - 1, 4) AS value FROM (SELECT *, lag(close, 3) OVER (PARTITION BY ts_code ORDER BY trade_date) AS b FROM m) WHERE b > 0")

@@ -25,7 +25,7 @@ from tidelake.registry import Dataset, Registry, market
 from tidelake.sources.footers import footers, may_match
 from tidelake.sources.versions import Conflict, File, Versions
 
-_LEDGER = "id string, dataset string, operation string, source string, created_at timestamp, rows long, partitions array<string>, files array<string>, notes string, version long"
+_LEDGER = "id string, dataset string, operation string, source string, created_at timestamp_ltz, rows long, partitions array<string>, files array<string>, notes string, version long"
 
 
 class Lake:
