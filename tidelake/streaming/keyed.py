@@ -139,9 +139,9 @@ class _Positions(StatefulProcessor):
         held, sellable, day = self.state.get() if self.state.exists() else (0, 0, -1)
         out = []
         for r in _sorted(rows, "time_us", "id").itertuples():
-            own, t, amount = int(r[1]), int(r[2]), int(r[3])
-            if t // 86_400_000_000 != day:
-                day, sellable = t // 86_400_000_000, held
+            own, today, amount = int(r[1]), int(r[3]), int(r[4])
+            if today != day:
+                day, sellable = today, held
             n = amount if amount > 0 else -min(-amount, sellable)
             held, sellable = held + n, sellable + min(n, 0)
             out.append((own, n, held, sellable))
@@ -158,13 +158,13 @@ class _Positions(StatefulProcessor):
 
 
 def positions(fills: DataFrame, key: str, at: str = "ts", id: str = "id", amount: str = "amount", late: str = "0 seconds") -> DataFrame:
-    """(key, id, done, held, sellable) for each fill of a stream: what was bought can be sold from the next day (UTC) on.
+    """(key, id, done, held, sellable) for each fill of a stream: what was bought can be sold from the next day on.
 
     A sale of more than is sellable is done as far as that goes. The day's bought shares become sellable with the key's first fill of another day.
     """
     kind = fills.schema[key].dataType.simpleString()
-    rows = _timed(fills, at, late).select(key, F.col(id).cast("long").alias("id"), "time_us", F.col(amount).cast("long").alias("amount"), at)
-    return rows.groupBy(key).transformWithStateInPandas(_Ordered(_Positions(key), ["id", "time_us", "amount"]), f"{key} {kind}, id long, done long, held long, sellable long", "Append", "EventTime")
+    rows = _timed(fills, at, late).select(key, F.col(id).cast("long").alias("id"), "time_us", F.unix_date(F.to_date(at)).alias("day"), F.col(amount).cast("long").alias("amount"), at)
+    return rows.groupBy(key).transformWithStateInPandas(_Ordered(_Positions(key), ["id", "time_us", "day", "amount"]), f"{key} {kind}, id long, done long, held long, sellable long", "Append", "EventTime")
 
 
 class _Rolling(StatefulProcessor):
