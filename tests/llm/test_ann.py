@@ -67,3 +67,15 @@ def test_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_ROWS", 20)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
     assert sorted(map(tuple, ann.search(table, F.col("vec_id") % 3 == 0, k=4).collect())) == sorted(map(tuple, whole)) and len(whole) == 800
+
+
+def test_many_near_copies_in_one_cell(spark):
+    """More vectors that nearly agree than any shortlist by codes would keep, and vectors without any structure."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=16) + 1e-4 * rng.normal(size=(1500, 16)), rng.normal(size=(1500, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = naive(np.arange(len(x)), x, range(0, len(x), 50), 5)
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {a for a, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)

@@ -1,13 +1,12 @@
-"""Approximate nearest neighbours by cosine: an inverted file with product-quantised residuals and exact reranking.
+"""Approximate nearest neighbours by cosine: an inverted file, whose cells are searched exactly.
 
-Vectors, scaled to length one, belong to the nearest of some coarse centroids; what is left after it is coded, part by
-part, by the nearest of 256 codewords. A query looks into the cells of its nearest centroids. There it ranks all
-vectors by a table of its products with the codewords (the asymmetric distance), and the best of them by the exact
-cosine of the original vectors.
+Vectors, scaled to length one, belong to the nearest of some coarse centroids. A query looks into the cells of its nearest
+centroids and ranks all their vectors by the exact cosine of the original vectors: products of matrices, which cost less
+than tables of coded parts and lose nothing where many vectors of a cell have the same code.
 
-Centroids and codewords come from a bounded sample of rows; every row is indexed. A cell is split into blocks of
-bounded size, and a query visits all blocks of a cell, so that no task gets a whole large cell; nor does one get all
-queries that visit it, for they come in blocks, too.
+Centroids come from a bounded sample of rows; every row is indexed. A cell is split into blocks of bounded size, and a
+query visits all blocks of a cell, so that no task gets a whole large cell; nor does one get all queries that visit it, for
+they come in blocks, too.
 """
 
 from __future__ import annotations
@@ -21,13 +20,14 @@ from pyspark.sql.window import Window
 
 from tidelake.llm.common import written
 
-#: Rows that centroids and codewords are fitted on, at most.
+#: Rows that centroids are fitted on, at most.
 SAMPLE = 20_000
 #: Rows in a block of a cell, about; cells are made so that one has CELL_ROWS on average, up to CELLS of them.
 BLOCK_ROWS, CELL_ROWS, CELLS = 8192, 1000, 4096
 #: Queries that visit a block in one task, about.
 QUERY_ROWS = 4096
-PARTS = 16
+#: Cosines of scaled vectors may differ so much from the exact ones, at most.
+SLACK = 1e-9
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -50,19 +50,15 @@ def _k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Index:
     dim: int
     centres: np.ndarray  # cells by dimensions
-    words: np.ndarray  # parts by codewords by dimensions of a part
     probe: int  # cells that a query visits
 
     @classmethod
-    def fit(cls, sample: np.ndarray, cells: int, parts: int = PARTS, seed: int = 42) -> Index:
+    def fit(cls, sample: np.ndarray, cells: int, seed: int = 42) -> Index:
         x = np.unique(sample, axis=0)  # many copies of a vector tell no more than one
         x = x / np.sqrt((x * x).sum(axis=1))[:, None]
         x = x[np.random.default_rng(seed).permutation(len(x))]
         centres = _k_means(x, min(cells, len(x)), 12, seed)
-        rest = (x - centres[_nearest(x, centres)])[:8192]
-        split = cls._split(rest, parts)
-        words = np.stack([_k_means(split[:, p], min(256, len(rest)), 8, seed + p) for p in range(parts)])
-        own = cls(sample.shape[1], centres, words, len(centres))
+        own = cls(sample.shape[1], centres, len(centres))
         own.probe = own.wanted(x)
         return own
 
@@ -77,58 +73,52 @@ class Index:
         at = np.sort(np.take_along_axis(rank, cell[near], axis=1).ravel())
         return int(at[min(len(at) - 1, int(share * len(at)))]) + 1 if len(at) else len(self.centres)
 
-    @staticmethod
-    def _split(x: np.ndarray, parts: int) -> np.ndarray:
-        each = -(-x.shape[1] // parts)
-        return np.pad(x, ((0, 0), (0, each * parts - x.shape[1]))).reshape(len(x), parts, each)
-
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cell and the code of each vector."""
-        x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        cell = _nearest(x, self.centres)
-        split = self._split(x - self.centres[cell], len(self.words))
-        return cell, np.stack([_nearest(split[:, p], w) for p, w in enumerate(self.words)], axis=1).astype(np.uint8)
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        return _nearest(x / np.sqrt((x * x).sum(axis=1))[:, None], self.centres)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each vector."""
         x = x / np.sqrt((x * x).sum(axis=1))[:, None]
         return np.argsort(0.5 * (self.centres * self.centres).sum(axis=1) - x @ self.centres.T, axis=1, kind="stable")[:, :n]
 
-    def best(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, code: np.ndarray, k: int, rerank: int):
-        """For each query the k best of these rows, the query's own left out: (query id, id, cosine) as three arrays.
 
-        Equal vectors count as one until the end, where the least ids stand for them.
-        """
-        order = np.argsort(ids, kind="stable")
-        x, ids, code = x[order], ids[order], code[order]
-        _, first, kind = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
-        by_kind = np.argsort(kind, kind="stable")
-        begin = np.searchsorted(kind[by_kind], np.arange(len(first) + 1))
-        ux, uc = x[first], code[first].astype(np.int64)
-        norm = np.sqrt((ux * ux).sum(axis=1))
-        out = ([], [], [])
-        for a in range(0, len(q), 128):
-            part = q[a : a + 128]
-            size = np.sqrt((part * part).sum(axis=1))
-            table = np.einsum("qpd,pwd->qpw", self._split(part / size[:, None], len(self.words)), self.words).astype(np.float32)
-            near = np.zeros((len(part), len(ux)), np.float32)
-            for p in range(len(self.words)):
-                near += table[:, p][:, uc[:, p]]
-            some = min(rerank, len(ux))
-            top = np.argpartition(-near, some - 1, axis=1)[:, :some]
-            for i, t in enumerate(top):
-                exact = (ux[t] * part[i]).sum(axis=1) / (norm[t] * size[i])
-                found = []
-                for j in np.argsort(-exact, kind="stable"):
-                    if len(found) > k and exact[j] < found[k - 1][0]:
-                        break
-                    members = ids[by_kind[begin[t[j]] : begin[t[j] + 1]]]
-                    found += [(exact[j], int(m)) for m in members[members != q_ids[a + i]][:k]]
-                for s, m in sorted(found, key=lambda f: (-f[0], f[1]))[:k]:
-                    out[0].append(int(q_ids[a + i]))
-                    out[1].append(m)
-                    out[2].append(float(s))
-        return out
+def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
+    """For each query the k best of these rows, the query's own left out: (query id, id, cosine) as three arrays.
+
+    Equal vectors count as one until the end, where the least ids stand for them. Products of scaled vectors choose those
+    that may be among the best; their cosines are then taken from the vectors as they are.
+    """
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    _, first, kind = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    by_kind = np.argsort(kind, kind="stable")
+    begin = np.searchsorted(kind[by_kind], np.arange(len(first) + 1))
+    ux = x[first]
+    norm = np.sqrt((ux * ux).sum(axis=1))
+    unit = (ux / norm[:, None]).T
+    out = ([], [], [])
+    for a in range(0, len(q), 128):
+        part = q[a : a + 128]
+        size = np.sqrt((part * part).sum(axis=1))
+        near = (part / size[:, None]) @ unit
+        # the query's own vector may be one of them
+        some = min(k + 1, len(ux))
+        least = np.partition(near, len(ux) - some, axis=1)[:, len(ux) - some] - SLACK
+        for i in range(len(part)):
+            t = np.flatnonzero(near[i] >= least[i])
+            exact = (ux[t] * part[i]).sum(axis=1) / (norm[t] * size[i])
+            found = []
+            for j in np.argsort(-exact, kind="stable"):
+                if len(found) > k and exact[j] < found[k - 1][0]:
+                    break
+                members = ids[by_kind[begin[t[j]] : begin[t[j] + 1]]]
+                found += [(exact[j], int(m)) for m in members[members != q_ids[a + i]][:k]]
+            for s, m in sorted(found, key=lambda f: (-f[0], f[1]))[:k]:
+                out[0].append(int(q_ids[a + i]))
+                out[1].append(m)
+                out[2].append(float(s))
+    return out
 
 
 def _vectors(column) -> np.ndarray:
@@ -150,7 +140,7 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (most.n if most else 0))
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, probes: int | None = None, rerank: int = 192) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row that ``is_query`` (a Column on vec_id) holds for.
 
     Candidates are all rows that can take part (see usable) but those with the query's own id; ties go to smaller ids.
@@ -171,9 +161,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
 
         for b in batches:
             if b.num_rows:
-                cell, code = index.value.place(_vectors(b.column(1)))
-                codes = pa.array([c.tobytes() for c in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), codes], ["vec_id", "v", "cell", "code"])
+                cell = index.value.place(_vectors(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], ["vec_id", "v", "cell"])
 
     def look(batches):
         import pyarrow as pa
@@ -183,7 +172,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
                 cells = index.value.probes(_vectors(b.column(1)), probes or index.value.probe).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(cells), pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, v array<double>, cell int, code binary"))
+    placed = written(rows.mapInArrow(place, "vec_id long, v array<double>, cell int"))
     asked = written(rows.where(is_query).distinct().mapInArrow(look, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell")))
     # one row for each cell, of which there is a fixed number at most
     parts = lambda n: F.greatest(F.ceil(F.count("*") / n), F.lit(1)).cast("int")
@@ -200,11 +189,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
         names = ["query_id", "vec_id", "score"]
         if not queries.num_rows or not members.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        code = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(members.num_rows, -1)
-        found = index.value.best(_vectors(queries.column("q")), np.asarray(queries.column("query_id")), _vectors(members.column("v")), np.asarray(members.column("vec_id")), code, k, rerank)
+        found = best(_vectors(queries.column("q")), np.asarray(queries.column("query_id")), _vectors(members.column("v")), np.asarray(members.column("vec_id")), k)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=names)
 
     key = ("cell", "block", "turn")
-    near = asked.select(*key, "query_id", "q").groupBy(*key).cogroup(held.select(*key, "vec_id", "v", "code").groupBy(*key)).applyInArrow(visit, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = asked.select(*key, "query_id", "q").groupBy(*key).cogroup(held.select(*key, "vec_id", "v").groupBy(*key)).applyInArrow(visit, "query_id long, vec_id long, score double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
