@@ -408,3 +408,10 @@ def test_sources(spark, monkeypatch):
     source = json.dumps({"kind": "exec", "argv": ["python", "-c", script]})
     rows = spark.read.format("market_calls").option("source", source).option("api", "x").option("fields", "k,v").option("calls", json.dumps([{"k": "a"}, {"k": "b"}])).load()
     assert {(r.k, r.v) for r in rows.collect()} == {("a", "1"), ("a", None), ("b", "1"), ("b", None)}
+
+
+def test_rounded_as_doubles(spark):
+    from tidelake.functions.market import rounded
+
+    got = spark.createDataFrame([(2384.865,), (-2384.865,), (0.5,), (1.005,), (None,)], "x double").select(rounded(F.col("x"), 2).alias("r"))
+    assert [r.r for r in got.collect()] == [2384.86, -2384.86, 0.5, 1.0, None]
