@@ -325,3 +325,67 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         bars.into_lake(cal, lake, "trade_cal", str(tmp_path / "c3")).awaitTermination()
     assert lake.read("trade_cal").count() == 5
+
+
+def test_waiting_orders_are_tried_once_a_bar(monkeypatch):
+    from tidelake.plans import broker, strategies
+
+    tries, held = [], broker.reaches
+    monkeypatch.setattr(broker, "reaches", lambda *a: tries.append(1) or held(*a))
+    codes = [f"{600000 + i}.SH" for i in range(300)]
+    bars = {f"2024-01-0{d}": {c: b.Bar(10.0, 10.0, 10.0, 10.0 - d / 100, 1e6) for c in codes} for d in (2, 3)}
+    r = b.simulate(strategies.Limits(0.99), b.Config("2024-01-01", "2024-12-31", 1e8, tuple(codes)), b.Market(bars))
+    assert len(r.orders) == 600 and len(tries) <= 4 * 600
+
+
+def test_positions_are_added_up_when_asked(monkeypatch):
+    sums = []
+    monkeypatch.setattr(Broker, "_settle", lambda self, f=Broker._settle: (sums.append(1) if self._stale else None, f(self)) and None)
+    from tidelake.plans import strategies
+
+    codes = [f"{600000 + i}.SH" for i in range(200)]
+    bars = {f"2024-01-0{d}": {c: b.Bar(10.0, 10.0, 10.0, 10.0, 1e6) for c in codes} for d in (2, 3)}
+    r = b.simulate(strategies.Hold(2), b.Config("2024-01-01", "2024-12-31", 1e8, tuple(codes)), b.Market(bars))
+    assert len(r.trades) == 400 and len(sums) <= 8
+    assert r.nav[0]["positions_value"] == pytest.approx(200 * 100 * 10.0) and r.nav[1]["positions_value"] == 0
+
+
+def test_hold_buys_all_on_credit():
+    from tidelake.plans import strategies
+
+    codes = ("600000.SH", "600001.SH", "600002.SH")
+    bars = {f"2024-01-0{d}": {c: b.Bar(10.0, 10.0, 10.0, 10.0, 1e6) for c in codes} for d in (2, 3)}
+    r = b.simulate(strategies.Hold(2, 0.0), b.Config("2024-01-01", "2024-12-31", 1500.0, codes), b.Market(bars))
+    assert [t["amount"] for t in r.trades] == [100] * 6 and r.nav[0]["cash"] < 0 and r.nav[1]["cash"] > 1400
+
+
+def test_runs_that_pass_by_tell_what_whole_ones_do(spark):
+    from pyspark.sql import functions as F
+
+    from tidelake.plans import strategies
+
+    rows = [(f"{600000 + c}.SH", f"2024-01-{d:02d}", *[10.0 + (c * d) % 7] * 4, 5000.0, 1.0, float((c * d) % 11)) for c in range(40) for d in range(1, 29) if (c + d) % 5]
+    bars = spark.createDataFrame(rows, "ts_code string, time string, open double, high double, low double, close double, volume double, amount double, amount_rank double")
+    kinds = [("a", "averages", {}), ("r", "rotation", {}), ("l", "limits", {}), ("h", "hold", {"until": 9}), ("x", "none", {})]
+    jobs = spark.createDataFrame([(i, s, json.dumps(p), "2024-01-05", "2024-12-31", 90_000.0, None if i != "a" else [f"{600000 + c}.SH" for c in range(30)], "600003.SH") for i, s, p in kinds], "run_id string, strategy string, params string, start string, end string, capital double, universe array<string>, benchmark string")
+    actions = spark.createDataFrame([(f"{600000 + c}.SH", d, 0.1, 0.0, 0.0, 0.5) for c in range(0, 40, 3) for d in ("2024-01-07", "2024-01-08")], "ts_code string, ex_date string, allotted_ps double, rationed_ps double, rationed_px double, bonus_ps double")
+    whole = b.run_many(jobs, bars, strategies.ALL, actions).cache()
+    by = b.navs(jobs, bars, strategies.ALL, actions)
+    same = ["run_id", "time", "value", "cash", "positions_value", "returns", "benchmark", "summary", "error"]
+    want = sorted(map(tuple, whole.select(same).collect()), key=repr)
+    assert sorted(map(tuple, by.select(same).collect()), key=repr) == want and len(want) == 4 * 24 + 1
+    trades = b.run_trades(jobs, bars, strategies.ALL, actions)
+    assert sorted(map(tuple, trades.collect())) == sorted(map(tuple, b.trades_of(whole).select(trades.columns).collect())) and trades.select(F.count_distinct("run_id")).first()[0] == 4
+
+
+def test_passing_keeps_what_is_looked_back_on():
+    import numpy as np
+
+    from tidelake.plans.passing import Passing
+
+    m = Passing({"close": 2})
+    for d in range(1, 10):
+        m.push(f"2024-01-0{d}", ["a"] if d == 1 else ["b", "c"], np.full((1 if d == 1 else 2, 6), float(d)), {})
+    assert len(m.kept) == 3 and m.values(["a", "b", "z"], m.times[-2:], "close") == {"a": [1.0, 1.0], "b": [8.0, 9.0], "z": [0.0, 0.0]}
+    with pytest.raises(ValueError):
+        m.values(["a"], m.times[:2], "close")
