@@ -375,7 +375,7 @@ def test_runs_that_pass_by_tell_what_whole_ones_do(spark):
     want = sorted(map(tuple, whole.select(same).collect()), key=repr)
     assert sorted(map(tuple, by.select(same).collect()), key=repr) == want and len(want) == 4 * 24 + 1
     trades = b.run_trades(jobs, bars, strategies.ALL, actions)
-    assert sorted(map(tuple, trades.collect())) == sorted(map(tuple, b.trades_of(whole).select(trades.columns).collect())) and trades.select(F.count_distinct("run_id")).first()[0] == 4
+    assert sorted(map(tuple, trades.collect())) == sorted(map(tuple, b.trades_of(whole).select(trades.columns).collect())) and trades.select(F.count_distinct("run_id")).first()[0] == 3
 
 
 def test_passing_keeps_what_is_looked_back_on():
