@@ -24,7 +24,7 @@ class Running:
     """A value for each row from its key's rows up to it, itself included.
 
     ``last``: the last that isn't null; ``next``: the first that isn't null from the row on; ``first``: the key's first that isn't null, wherever;
-    ``lag``: the row before's; ``sum``, ``max``, ``min``, ``product``; ``peak``: the highest that the running sum has been.
+    ``lag``: the row before's; ``lead``: the row after's; ``sum``, ``max``, ``min``, ``product``; ``peak``: the highest that the running sum has been.
     """
 
     kind: str
@@ -35,7 +35,7 @@ def _made(kind: str):
     return lambda c: Running(kind, F.col(c) if isinstance(c, str) else c)
 
 
-last, following, first, lag, total, most, least, product, peak = map(_made, ("last", "next", "first", "lag", "sum", "max", "min", "product", "peak"))
+last, following, first, lag, lead, total, most, least, product, peak = map(_made, ("last", "next", "first", "lag", "lead", "sum", "max", "min", "product", "peak"))
 
 
 def number(rows: DataFrame, c: str) -> Column:
@@ -58,7 +58,7 @@ def running(rows: DataFrame, key: list[str], order: list[str], values: dict[str,
     """``rows`` with a column for each of ``values``, over the rows of the same key in ascending order.
 
     order[0] is a time or a number, which blocks are cut by, evenly from its least to its largest value; ``span`` is one row with both, where
-    they are known. Rows equal in all of ``order`` come in no certain order, as in a window. Null keys are one key, and null times come
+    they are known, or with others that blocks are to be cut by. Rows equal in all of ``order`` come in no certain order, as in a window. Null keys are one key, and null times come
     first. Sums and extremes of no values are null, products one, and null values change none of them. An empty table gives none. ``values``
     may replace columns, but not those of the key or the order.
     """
@@ -105,6 +105,10 @@ def running(rows: DataFrame, key: list[str], order: list[str], values: dict[str,
             handed.append(F.max_by(F.struct(i.alias("x")), when).alias(h))
             carried.append(F.last(h, ignorenulls=True).over(before).alias(f"{n}c"))
             local[n] = F.coalesce(F.lag(F.struct(i.alias("x"))).over(inside), c)["x"]
+        elif v.kind == "lead":
+            handed.append(F.min_by(F.struct(i.alias("x")), when).alias(h))
+            carried.append(F.first(h, ignorenulls=True).over(after).alias(f"{n}c"))
+            local[n] = F.coalesce(F.lead(F.struct(i.alias("x"))).over(inside), c)["x"]
         elif v.kind == "sum":
             handed.append(F.sum(i).alias(h))
             carried.append(F.sum(h).over(before).alias(f"{n}c"))

@@ -51,6 +51,23 @@ def forward_filled(bars: DataFrame, slots: DataFrame, code: str, at: str, price:
 MINUTE_ROWS = 3_000_000
 
 
+#: Slots of a day, and those before each session.
+DAY_SLOTS = sum(b - a + 1 for a, b in SESSIONS)
+_BEFORE = [sum(b - a + 1 for a, b in SESSIONS[:i]) for i in range(len(SESSIONS))]
+
+#: Fixed value: slots of a block of minutes at least, those of 31 days.
+BLOCK_SLOTS = 31 * DAY_SLOTS
+
+
+def _slot(minute: Column) -> Column:
+    """The slot of a day that a minute after midnight is; null if it is none."""
+    return F.coalesce(*[F.when(minute.between(a, b), minute - a + n) for (a, b), n in zip(SESSIONS, _BEFORE)])
+
+
+def _time(day: Column, minute: Column) -> Column:
+    return day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))
+
+
 def window_days(wanted: int, codes: Column, most: int = MINUTE_ROWS) -> Column:
     """Days of minutes to hold for so many codes: as many as wanted (two at least) while the rows stay below ``most``, and one at least."""
     wanted, most = max(2, wanted), most if most > 0 else MINUTE_ROWS
@@ -63,19 +80,44 @@ def minute_filled(minutes: DataFrame, days: DataFrame, daily: DataFrame, code: s
 
     Missing minutes have the last close before them, no volume and NaN for the amount, from a code's first minute in the
     window on. A code with no minute in it is filled from its last daily close before the window, if there is one.
+
+    Slots are numbered. Only the minutes that there are move, each with the number of its code's next one; the slots between
+    the two are made where the minute is, last of all, so that the dense series is never shuffled.
     """
-    span = days.agg(F.min(day).alias("__from"), F.max(day).alias("__to"))
-    seeds = daily.join(F.broadcast(span)).where(F.col(day) < F.col("__from")).groupBy(code).agg(F.max_by("close", day).alias("__seed"))
-    inside = minutes.join(F.broadcast(span)).where(F.to_date(at).between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
-    codes = inside.select(code).union(seeds.where("__seed > 0").select(code)).distinct()
-    slots = grid(minute_clock(days, day).select(at), codes)
     prices = ["open", "high", "low", "close"]
-    own = slots.join(inside.select(code, at, *prices, "vol", "amount"), [code, at], "left").join(seeds, code, "left")
+    known = days.select(day).where(F.col(day).isNotNull()).distinct()
+    begin, end = known.agg(F.min(day)), known.agg(F.max(day))
+    seeds = daily.where(F.col(day) < begin.scalar()).groupBy(code).agg(F.max_by("close", day).alias("__seed")).where("__seed > 0")
+    # one row a day goes to all tasks
+    numbered = known.select(F.col(day).alias("__day"), (F.row_number().over(Window.orderBy(day)) - 1).alias("__d"))
+    size = numbered.agg((F.count("*") * DAY_SLOTS).cast("int").alias("__n"))
+    inside = minutes.where(F.to_date(at).between(begin.scalar(), end.scalar())).join(F.broadcast(numbered), F.to_date(at) == F.col("__day"))
+    minute = F.hour(at) * 60 + F.minute(at)
+    own = inside.where(F.col(at) == _time(F.col("__day"), minute)).withColumn("__k", F.col("__d") * DAY_SLOTS + _slot(minute)).where("__k IS NOT NULL")
+    start = seeds.select(code, F.lit(-1).alias("__k"), "__seed")
+    both = own.select(code, "__k", *prices, "vol", "amount").unionByName(start, allowMissingColumns=True).where(F.col(code).isNotNull())
+    length = F.greatest(F.lit(BLOCK_SLOTS), F.ceil(F.col("__n") / carry.BLOCKS))
+    span = size.select(F.lit(-1.0), (length * carry.BLOCKS - 2).cast("double"))
     has = F.col("close").isNotNull()
-    out = carry.running(own, [code], [at], {"__first": carry.first(F.when(has, F.col(at))), "__last": carry.last("close")}).withColumn("suspended", ~has)
-    out = out.where((F.col(at) >= F.col("__first")) | (F.col("__first").isNull() & (F.col("__seed") > 0)))
-    fill = F.coalesce("__last", "__seed")
-    return out.select(code, at, *[F.coalesce(c, fill).alias(c) for c in prices], F.coalesce("vol", F.lit(0.0)).alias("vol"), F.when(~F.col("suspended"), F.col("amount")).otherwise(F.lit(float("nan"))).alias("amount"), "suspended")
+    found = {"__first": carry.first(F.when(has, F.col("__k"))), "__last": carry.last("close"), "__seed": carry.last("__seed"), "__next": carry.lead("__k")}
+    out = carry.running(both, [code], ["__k"], found, span=span).where((F.col("__k") >= F.col("__first")) | (F.col("__first").isNull() & (F.col("__seed") > 0)))
+    out = out.join(F.broadcast(size)).withColumn("__next", F.coalesce("__next", "__n"))
+    # of minutes in one slot, the last is followed by the slots up to the next; a code's daily close has none itself
+    until = F.greatest(F.col("__k"), F.col("__next") - 1)
+    # few rows make many: as many tasks as a shuffle has, whatever the bytes
+    spread = out.where("__k >= 0 OR __next > 0").repartition(int(minutes.sparkSession.conf.get("spark.sql.shuffle.partitions")), code, "__k")
+    each = spread.withColumn("__s", F.explode(F.sequence(F.greatest(F.col("__k"), F.lit(0)), until)))
+    mine, fill = F.col("__s") == F.col("__k"), F.coalesce("__last", "__seed")
+    kept = lambda c: F.when(mine, F.col(c))
+    place = F.col("__s") % DAY_SLOTS
+    late = F.lit(0)
+    for (_, b), (a, _), n in zip(SESSIONS, SESSIONS[1:], _BEFORE[1:]):
+        late = late + F.when(place >= n, a - b - 1).otherwise(0)
+    each = each.join(F.broadcast(numbered), F.floor(F.col("__s") / DAY_SLOTS) == F.col("__d")).withColumn("__suspended", ~mine | ~has)
+    return each.select(
+        code, _time(F.col("__day"), F.lit(SESSIONS[0][0]) + place + late).alias(at), *[F.coalesce(kept(c), fill).alias(c) for c in prices], F.coalesce(kept("vol"), F.lit(0.0)).alias("vol"),
+        F.when(~F.col("__suspended"), F.col("amount")).otherwise(F.lit(float("nan"))).alias("amount"), F.col("__suspended").alias("suspended"),
+    )
 
 
 def resampled(minutes: DataFrame, width: str, code: str = "ts_code", at: str = "trade_time") -> DataFrame:
