@@ -103,3 +103,20 @@ def test_lots(spark):
     # what matches nothing: no trades of one side, null amounts
     odd = spark.createDataFrame([("x", "a", "sell", 5.0, 1.0, "2024-01-02", 1), ("x", "a", "buy", None, 1.0, "2024-01-03", 2), ("x", "a", "buy", 0.0, 1.0, "2024-01-04", 3)], "run_id string, security string, side string, amount double, price double, trade_time string, trade_id long")
     assert [tuple(r) for r in analytics.fifo(odd).collect()] == [("x", 0, 0, 0.0, 0.0)]
+
+
+def test_lots_move_once_unless_a_key_is_large(spark):
+    """The same lots by key and by blocks of time, also of keys that are large among others; keys a task can scan take one shuffle of their trades."""
+    rng = random.Random(11)
+    rows = [(k, rng.choice(["buy", "sell"]), float(rng.choice([1, 2, 3])), round(rng.uniform(5, 15), 2), rng.randrange(40), i) for k, n in (("a", 400), ("b", 30), (None, 30), *[(f"k{j}", 3) for j in range(20)]) for i in range(n)]
+    frame = spark.createDataFrame(rows, "security string, side string, amount double, price double, trade_time long, trade_id long").repartition(3)
+    found = {most: analytics.lots(frame, ["security"], most=most) for most in (1, 25, 200, 1000)}
+    plans = {most: lots._jdf.queryExecution().executedPlan().toString() for most, lots in found.items()}
+    assert plans[1000].count("Exchange hashpartitioning") == 1
+    assert "__block" not in plans[1000] and "__block" in plans[200]
+    got = {most: sorted(map(tuple, lots.collect()), key=repr) for most, lots in found.items()}
+    assert got[1] == got[25] == got[200] == got[1000]
+    want = {}
+    for k, side, amount, price, t, i in sorted(rows, key=lambda r: r[4:]):
+        want.setdefault(k, []).append((side, amount, price))
+    assert got[200] == sorted(((k, a, b, n) for k, own in want.items() for n, a, b in analytics.lot_pairs(own)), key=repr)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelake.operators import carry, stats
 
@@ -96,21 +97,54 @@ def lot_pairs(trades):
 _AMOUNT = "decimal(28,6)"
 
 
-def lots(trades: DataFrame, key: list[str], order: tuple[str, ...] = ("trade_time", "trade_id")) -> DataFrame:
+#: Keys are counted in so many buckets. Keys of a bucket that has more rows than the second, and than the third times its share, are cut into blocks of time.
+_BUCKETS, _BUCKET_ROWS, _SHARES = 4096, 1 << 20, 16
+
+
+def lots(trades: DataFrame, key: list[str], order: tuple[str, ...] = ("trade_time", "trade_id"), most: int = _BUCKET_ROWS) -> DataFrame:
     """(key, buy_price, sell_price, amount): what each sale took of each purchase, first in first out; surplus sales match nothing.
 
     Units are numbered as they are bought and as they are sold. Sales beyond what was bought by then count for nothing: their sum
     so far is the highest that sales less purchases have been, above zero. The numbers at which purchases and sales end cut the
     units into pieces; a piece belongs to the purchase and the sale that end next. These are running sums, a running maximum
-    and a look ahead, all in blocks (carry.py), so no task holds a security's whole history, and no ranges are joined.
+    and a look ahead, and no ranges are joined. Rows are counted by buckets of keys first, which is a job of its own. Keys of large
+    buckets (fewer than 256, by their share) are cut into blocks of time (carry.py), so no task holds a hot key's whole history;
+    that moves rows several times. All others move once, by key. ``most`` is the least number of rows that makes a bucket large.
     Trades with null or no positive amounts match nothing. Times as text are all ISO dates or times, or none is.
     """
-    amount = F.col("amount").cast(_AMOUNT)
-    when = {f"__o{i}": F.col(c) for i, c in enumerate(order)}
-    own = trades.where("amount > 0").select(*key, *[c.alias(n) for n, c in when.items()], F.col("side") == "buy", "price", amount.alias("amount")).toDF(*key, *when, "buy", "price", "amount")
+    own = trades.where("amount > 0")
+    bucket = F.pmod(F.xxhash64(*key), F.lit(_BUCKETS))
+    counted = own.groupBy(bucket.alias("b")).count()
+    limit = F.greatest(F.lit(most), F.sum("count").over(Window.partitionBy()) * _SHARES / _BUCKETS)
+    large = [r.b for r in counted.withColumn("limit", limit).where("count > limit").collect()]
+    if not large:
+        return _lots_by_key(own, key, order)
+    return _lots_by_key(own.where(~bucket.isin(large)), key, order).unionByName(_lots_by_blocks(own.where(bucket.isin(large)), key, order))
+
+
+def _lots_by_key(trades: DataFrame, key: list[str], order: tuple[str, ...]) -> DataFrame:
+    """One shuffle and two sorts: forward for the running sums, backward for what ends next. Narrow rows move, without what follows from them."""
+    buy, n, zero = F.col("__buy"), F.col("__n"), F.lit(0).cast(_AMOUNT)
+    moved = trades.select(*dict.fromkeys([*key, *order, "price", "amount"]), (F.col("side") == "buy").alias("__buy")).repartition(*key).withColumn("__n", F.col("amount").cast(_AMOUNT))
+    so_far = Window.partitionBy(*key).orderBy(*order, F.desc("__buy")).rowsBetween(Window.unboundedPreceding, 0)
+    flow = moved.withColumns({"__bought": F.sum(F.when(buy, n).otherwise(zero)).over(so_far), "__sold": F.sum(F.when(buy, zero).otherwise(n)).over(so_far)})
+    flow = flow.withColumn("__surplus", F.max(F.col("__sold") - F.col("__bought")).over(so_far))
+    ends = flow.withColumn("__at", F.when(buy, F.col("__bought")).otherwise(F.col("__sold") - F.greatest("__surplus", zero)).cast(_AMOUNT))
+    # rows that end at one place come in the order of time: the first of them has the piece, sales that took nothing follow the one that did
+    back = Window.partitionBy(*key).orderBy(F.desc("__at"), *[F.desc(c) for c in order], "__buy")
+    following = lambda c: F.last(F.when(c, F.col("price")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    size = F.col("__at") - F.coalesce(F.lead("__at").over(back), zero)
+    pieces = ends.select(*key, following(buy).alias("buy_price"), following(~buy).alias("sell_price"), size.cast("double").alias("amount"))
+    return pieces.where("amount > 0 AND buy_price IS NOT NULL AND sell_price IS NOT NULL")
+
+
+def _lots_by_blocks(trades: DataFrame, key: list[str], order: tuple[str, ...]) -> DataFrame:
+    """All in blocks of time: of the trades first, then of the units."""
+    when = [f"__o{i}" for i in range(len(order))]
+    own = trades.select(*key, *order, F.col("side") == "buy", "price", F.col("amount").cast(_AMOUNT)).toDF(*key, *when, "buy", "price", "amount")
     net = F.when(F.col("buy"), -F.col("amount")).otherwise(F.col("amount"))
     zero = F.lit(0).cast(_AMOUNT)
-    flow = carry.running(own, key, list(when), {"bought": carry.total(F.when(F.col("buy"), F.col("amount")).otherwise(zero)), "sold": carry.total(F.when(F.col("buy"), zero).otherwise(F.col("amount"))), "surplus": carry.peak(net)})
+    flow = carry.running(own, key, when, {"bought": carry.total(F.when(F.col("buy"), F.col("amount")).otherwise(zero)), "sold": carry.total(F.when(F.col("buy"), zero).otherwise(F.col("amount"))), "surplus": carry.peak(net)})
     at = F.when(F.col("buy"), F.col("bought")).otherwise(F.col("sold") - F.greatest("surplus", zero))
     ends = flow.select(*key, *when, at.cast(_AMOUNT).alias("at"), F.when(F.col("buy"), F.col("price")).alias("buy_price"), F.when(~F.col("buy"), F.col("price")).alias("sell_price"))
     # rows that end at one place come in the order of time: the first of them has the piece, sales that took nothing follow the one that did
