@@ -8,6 +8,7 @@ that a cut-off write left behind are in no version. Files that later versions dr
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from functools import reduce
 from urllib.parse import unquote
@@ -25,12 +26,19 @@ from tidelake.registry import Dataset, Registry, market
 from tidelake.sources.footers import footers, may_match
 from tidelake.sources.versions import Conflict, File, Versions
 
+#: A column of rows to be written: rows of a partition that share its value get files of their own.
+CUT = "__file"
+#: Rows that a task which cuts its rows into files gets, about.
+TASK_ROWS = 1 << 20
+#: Files moved at once.
+MOVERS = 8
 _LEDGER = "id string, dataset string, operation string, source string, created_at timestamp_ltz, rows long, partitions array<string>, files array<string>, notes string, version long"
 
 
 class Lake:
     def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None):
         self.spark, self.root, self.registry = spark, root.rstrip("/"), registry or market()
+        self._path_of, self._conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
 
     # files
 
@@ -38,8 +46,8 @@ class Lake:
         return f"{self.root}/{self.registry[dataset].root}"
 
     def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        p = self._path_of(path)
+        return p.getFileSystem(self._conf), p
 
     def versions(self, dataset: str) -> Versions:
         return Versions(self.spark, f"{self.root}/meta/manifest/{dataset}")
@@ -71,11 +79,18 @@ class Lake:
         fs, p = self._fs(path)
         if not fs.exists(p):
             return []
-        found, out = fs.listFiles(p, True), []
-        while found.hasNext():
-            f = found.next()
-            if f.getPath().getName().endswith(".parquet"):
-                out.append((f.getPath().toString(), f.getLen()))
+        # a call a level; located statuses would have a local disk's permissions looked up by a process a file
+        folders, out = [p], []
+        while folders:
+            level = self.spark.sparkContext._gateway.new_array(self._path_of, len(folders))
+            for i, folder in enumerate(folders):
+                level[i] = folder
+            folders = []
+            for f in fs.listStatus(level):
+                if f.isDirectory():
+                    folders.append(f.getPath())
+                elif (name := f.getPath().toString()).endswith(".parquet"):
+                    out.append((name, f.getLen()))
         return sorted(out)
 
     def partition_values(self, dataset: str, key: str) -> set[str]:
@@ -159,7 +174,7 @@ class Lake:
     def partitioned(self, dataset: str, rows: DataFrame) -> DataFrame:
         """Rows in the declared types with partition columns; year and month come from the time field unless given."""
         d = self.registry[dataset]
-        out = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(d.schema(False)[f.name].dataType).alias(f.name) for f in d.fields], *[p for p in d.partitions if p in rows.columns])
+        out = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(d.schema(False)[f.name].dataType).alias(f.name) for f in d.fields], *[p for p in (*d.partitions, CUT) if p in rows.columns])
         for p, layout in (("year", "yyyy"), ("month", "MM")):
             if p in d.partitions and p not in out.columns:
                 out = out.withColumn(p, F.coalesce(F.date_format(d.time_field, layout), F.lit("unknown")))
@@ -185,20 +200,24 @@ class Lake:
             out = out.sortWithinPartitions(*d.partitions, *d.sorted_by)
         staged = f"{self.root}/.staging/{uuid.uuid4().hex}"
         writer = out.write.option("compression", "zstd").option("maxRecordsPerFile", d.target_file_rows)
+        # the folder is this write's own until all is there, so tasks may put their files there themselves
+        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         writer = writer.option("parquet.block.size", max(1 << 20, d.row_group_rows * 16 * len(d.fields)))
-        if d.partitions:
-            writer = writer.partitionBy(*d.partitions)
+        if folders := [*d.partitions, *[c for c in (CUT,) if c in out.columns]]:
+            writer = writer.partitionBy(*folders)
         home, added = self.path(dataset), []
         try:
             writer.parquet(staged)
             listed = dict(self._listed(staged))
             count = self._counted(list(listed), staged, d)
             self._begun(dataset)
-            for path, size in listed.items():
-                to = self._under(path, staged)
-                if count.get(to):
-                    self._moved(path, f"{home}/{to}")
-                    added.append(File(to, count[to], size))
+            moves = {path: File(self._uncut(to), count[to], size) for path, size in listed.items() if count.get(to := self._under(path, staged))}
+            added += moves.values()
+            for folder in {f.folder for f in added}:
+                fs, p = self._fs(f"{home}/{folder}")
+                fs.mkdirs(p)
+            with ThreadPoolExecutor(MOVERS) as pool:
+                list(pool.map(lambda m: self._moved(m[0], f"{home}/{m[1].path}"), moves.items()))
             return self._commit(dataset, operation, added, mode, base, source, notes, once)
         except BaseException:
             for f in added:  # they are in no version
@@ -260,11 +279,14 @@ class Lake:
         rows = self.spark.read.schema(d.schema(False)).parquet(*files).groupBy(F.col("_metadata.file_path").alias("file")).count()
         return {self._under(unquote(r["file"]), home): r["count"] for r in rows.collect()}  # one row a file that comes
 
+    def _uncut(self, path: str) -> str:
+        """A file's path without the folder of its cut, which goes into the name."""
+        *folders, name = path.split("/")
+        return "/".join([*[x for x in folders if not x.startswith(f"{CUT}=")], "-".join([*[x.split("=", 1)[1] for x in folders if x.startswith(f"{CUT}=")], name])])
+
     def _moved(self, was: str, now: str) -> None:
         fs, p = self._fs(was)
-        _, to = self._fs(now)
-        fs.mkdirs(to.getParent())
-        if not fs.rename(p, to):
+        if not fs.rename(p, self._path_of(now)):
             raise OSError(f"{was} couldn't be moved to {now}")
 
     def vacuum(self, dataset: str, keep: int = 1, older_hours: float = 24.0) -> int:
@@ -375,7 +397,8 @@ class Lake:
 
         The ranges come from the data: rows counted by key give each key its place, and a range ends where the places pass another
         multiple of a file's rows. A key with more rows than a file is cut by the second sort key, at its values, so its files share that
-        key alone. Rows with equal keys of both stay together. Counts have one row a key (and value, of large keys); rows move once.
+        key alone. Rows with equal keys of both stay together. Counts have one row a key (and value, of large keys); rows move once, and
+        a task writes many files if they are small.
         Raises Conflict if another writer changed the dataset meanwhile.
         """
         d, base = self.registry[dataset], self.version(dataset)
@@ -399,11 +422,13 @@ class Lake:
             many = F.sum("n").over(Window.partitionBy(*keys).orderBy(then).rowsBetween(Window.unboundedPreceding, 0))
             cuts = each.withColumn("__piece", F.floor((many - F.col("n")) / size)).drop("n")
             own = own.where("NOT __large").unionByName(met(large.drop("__piece"), cuts, [*keys, then]))
-        order = [*parts, "__range", F.when(F.col("__large"), F.col(key)), "__piece"]
-        files = own.select(*parts, "__range", F.when(F.col("__large"), F.col(key)).alias("k"), "__piece").distinct().count()
+        # places that a large key's pieces begin at, and ranges of others, each told from the other
+        own = own.withColumn(CUT, ((F.col("__range") + F.col("__piece") * size) * 2 + F.col("__large").cast("long")).cast("long"))
+        files = own.select(*parts, CUT).distinct().count()
         if not files:
             return self.log(dataset, "cluster", 0)
-        out = own.repartitionByRange(files, *order).sortWithinPartitions(*parts, *[c for c in (key, then) if c], *[c for c in d.sorted_by if c not in (key, then)])
+        tasks = min(files, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), files * size // TASK_ROWS))
+        out = own.repartitionByRange(tasks, *parts, CUT).sortWithinPartitions(*parts, CUT, *[c for c in (key, then) if c], *[c for c in d.sorted_by if c not in (key, then)])
         return self.write(dataset, out.drop("__start", "__large", "__range", "__piece"), "replace", "cluster", base=None if base < 0 else base, arranged=True)
 
     def overlaps(self, dataset: str, version: int | None = None) -> DataFrame:
