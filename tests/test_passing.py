@@ -2,11 +2,12 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 
 from tidelake.plans import backtest as b
-from tidelake.plans import strategies
+from tidelake.plans import backtest_catalog, catalog, strategies  # noqa: F401  the first adds to the second
 from tidelake.plans.broker import Bar
 from tidelake.plans.passing import Passing
 
@@ -48,3 +49,24 @@ def test_jobs_come_once_and_runs_that_fail_late_have_no_trades(spark):
     assert "params" not in exchange
     errors = {r.run_id: r.error for r in b.navs(jobs, bars, known).collect() if r.error}
     assert errors == {"late": "RuntimeError: late"}
+
+
+def test_trades_of_a_held_run_that_fails_are_an_error(spark, sf_dir, monkeypatch):
+    monkeypatch.setitem(strategies.ALL, "hold", FailsLate)
+    with pytest.raises(Exception, match="run hold failed: RuntimeError: late"):
+        catalog.QUERIES["backtest_hold_trades"](spark, sf_dir).collect()
+
+
+def test_held_trades_without_a_code_equal_the_sql(spark, sf_dir, tmp_path):
+    own = str(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace (case when user_id % 3 = 0 then null else user_id end as user_id) from '{sf_dir}/events.parquet') to '{own}'")
+    con.sql(f"create view events as select * from '{own}'")
+    want = sorted(map(str, con.sql(catalog.ORACLE["backtest_hold_trades"]).fetchall()))
+    got = catalog.QUERIES["backtest_hold_trades"](spark, str(tmp_path)).collect()
+    assert sorted(str(tuple(r)) for r in got) == want and [r.side for r in got if r.security is None] == ["buy"]
+
+
+def test_strict_runs_that_fail_without_bars_are_an_error():
+    with pytest.raises(RuntimeError, match="run x failed: KeyError: 'none'"):
+        list(b._Task("x", {"strategy": "none", "params": None}, {}, "trades", strict=True).results())
