@@ -70,3 +70,16 @@ def test_held_trades_without_a_code_equal_the_sql(spark, sf_dir, tmp_path):
 def test_strict_runs_that_fail_without_bars_are_an_error():
     with pytest.raises(RuntimeError, match="run x failed: KeyError: 'none'"):
         list(b._Task("x", {"strategy": "none", "params": None}, {}, "trades", strict=True).results())
+
+
+class FailsLateToo(strategies.Rotation):
+    def handle_data(self, ctx, bars):
+        super().handle_data(ctx, bars)
+        if self.seen == 20:
+            raise RuntimeError("late")
+
+
+def test_trades_of_runs_of_which_one_fails_are_an_error(spark, sf_dir, monkeypatch):
+    monkeypatch.setitem(strategies.ALL, "rotation", FailsLateToo)
+    with pytest.raises(Exception, match="run rotation-3 failed: RuntimeError: late"):
+        catalog.QUERIES["backtest_trades"](spark, sf_dir).collect()
