@@ -9,7 +9,7 @@ import pytest
 from tidelake.plans import backtest as b
 from tidelake.plans import backtest_catalog, catalog, strategies  # noqa: F401  the first adds to the second
 from tidelake.plans.broker import Bar
-from tidelake.plans.passing import Passing
+from tidelake.plans.passing import PRICES, Passing
 
 
 def test_trades_of_a_day_pass_unless_the_strategy_asks_for_orders():
@@ -83,3 +83,21 @@ def test_trades_of_runs_of_which_one_fails_are_an_error(spark, sf_dir, monkeypat
     monkeypatch.setitem(strategies.ALL, "rotation", FailsLateToo)
     with pytest.raises(Exception, match="run rotation-3 failed: RuntimeError: late"):
         catalog.QUERIES["backtest_trades"](spark, sf_dir).collect()
+
+
+def test_lots_of_runs_of_which_one_fails_are_an_error(spark, sf_dir, monkeypatch):
+    monkeypatch.setitem(strategies.ALL, "rotation", FailsLateToo)
+    with pytest.raises(Exception, match="run rotation-3 failed: RuntimeError: late"):
+        catalog.QUERIES["fifo_lot_stats"](spark, sf_dir).collect()
+
+
+def test_strict_runs_fail_when_rows_are_added_not_in_the_end():
+    import pyarrow as pa
+
+    day = pa.record_batch({"ts_code": ["a"], **{p: [10.0] for p in PRICES}})
+    job = {"strategy": "late", "params": None, "start": "2024-01-01", "end": "2024-12-31", "capital": 1e6, "universe": None, "benchmark": None}
+    task = b._Task("x", job, {"late": FailsLate}, "trades", strict=True)
+    with pytest.raises(RuntimeError, match="run x failed: RuntimeError: late") as told:
+        for d in range(2, 9):
+            task.add(f"2024-01-0{d}", day)
+    assert d < 8 and str(told.value.__cause__) == "late"
